@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from demandloom.llm import mixing
+from demandloom.llm import mixing, pieces
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_sentencepiece(spark, sf_dir):
+    return pieces.encode_report(_docs(spark, sf_dir))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix_report(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {"op8_mix_sources": op8_mix_sources}
+    return {f.__name__: f for f in (op6_sentencepiece, op8_mix_sources)}
 
 
 def oracle_sql() -> dict:
