@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandloom.llm.common import bytes_list, map_arrow, slices
 
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, model: str | bytes = DEFAULT_MODEL, check: bool = Fa
     """
     proto = model if isinstance(model, bytes) else read_model(model)
     columns = [c for c in docs.columns if c not in ("token_ids", "round_trip")]
-    schema = docs.select(*columns).schema.add("token_ids", "array<int>")
+    schema = docs.select(*columns).schema.add("token_ids", T.ArrayType(T.IntegerType()))
     if check:
         schema = schema.add("round_trip", "boolean")
     at = columns.index("text")
