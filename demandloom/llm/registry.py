@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from demandloom.llm import mixing, pieces
+from demandloom.llm import mixing, pieces, quality
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_tokeniser_fertility(spark, sf_dir):
+    return quality.quality_report(_docs(spark, sf_dir))
+
+
 def op6_sentencepiece(spark, sf_dir):
     return pieces.encode_report(_docs(spark, sf_dir))
 
@@ -18,7 +22,7 @@ def op8_mix_sources(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_sentencepiece, op8_mix_sources)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op6_sentencepiece, op8_mix_sources)}
 
 
 def oracle_sql() -> dict:
