@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import mixing, pieces, quality
+from demandloom.llm import langid, mixing, pieces, quality
 
 
 def _docs(spark, sf_dir):
@@ -13,6 +13,10 @@ def op1_tokeniser_fertility(spark, sf_dir):
     return quality.quality_report(_docs(spark, sf_dir))
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.language_report(_docs(spark, sf_dir))
+
+
 def op6_sentencepiece(spark, sf_dir):
     return pieces.encode_report(_docs(spark, sf_dir))
 
@@ -22,7 +26,7 @@ def op8_mix_sources(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op6_sentencepiece, op8_mix_sources)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op6_sentencepiece, op8_mix_sources)}
 
 
 def oracle_sql() -> dict:
