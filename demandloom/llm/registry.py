@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, mixing, pieces, quality
+from demandloom.llm import langid, lattice_lm, mixing, pieces, quality
 
 
 def _docs(spark, sf_dir):
@@ -17,6 +17,10 @@ def op2_language_id(spark, sf_dir):
     return langid.language_report(_docs(spark, sf_dir))
 
 
+def op5_subword_lattice(spark, sf_dir):
+    return lattice_lm.score_report(_docs(spark, sf_dir))
+
+
 def op6_sentencepiece(spark, sf_dir):
     return pieces.encode_report(_docs(spark, sf_dir))
 
@@ -26,7 +30,7 @@ def op8_mix_sources(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op6_sentencepiece, op8_mix_sources)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op5_subword_lattice, op6_sentencepiece, op8_mix_sources)}
 
 
 def oracle_sql() -> dict:
