@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, lattice_lm, mixing, pieces, quality
+from demandloom.llm import langid, lattice_lm, mixing, neardup, pieces, quality
 
 
 def _docs(spark, sf_dir):
@@ -29,9 +29,13 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mix_report(_docs(spark, sf_dir))
 
 
+def op10_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_report(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op5_subword_lattice, op6_sentencepiece, op8_mix_sources)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op5_subword_lattice, op6_sentencepiece, op8_mix_sources, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_mix_sources": mixing.ORACLE}
+    return {"op8_mix_sources": mixing.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
