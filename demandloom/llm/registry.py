@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, lattice_lm, mips, mixing, neardup, pieces, quality
+from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, pieces, quality
 
 
 def _docs(spark, sf_dir):
@@ -17,6 +17,10 @@ def op2_language_id(spark, sf_dir):
     return langid.language_report(_docs(spark, sf_dir))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op4_norm_bucketed_search(spark, sf_dir):
     return mips.search_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -38,8 +42,8 @@ def op10_minhash_near_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op8_mix_sources, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op8_mix_sources, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_mix_sources": mixing.ORACLE, "op4_norm_bucketed_search": mips.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
+    return {"op8_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.oracle(), "op4_norm_bucketed_search": mips.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
