@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, pieces, quality
+from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, pieces, quality, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -33,6 +33,10 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.encode_report(_docs(spark, sf_dir))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix_report(_docs(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op10_minhash_near_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op8_mix_sources, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op7_toxicity, op8_mix_sources, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
