@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, pieces, quality, toxicity
+from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, pieces, quality, toxicity, warc_fixity
 
 
 def _docs(spark, sf_dir):
@@ -41,13 +41,17 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mix_report(_docs(spark, sf_dir))
 
 
+def op9_warc_fixity(spark, sf_dir):
+    return warc_fixity.audit_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_report(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op7_toxicity, op8_mix_sources, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op7_toxicity, op8_mix_sources, op9_warc_fixity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.oracle(), "op4_norm_bucketed_search": mips.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
+    return {"op8_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.oracle(), "op4_norm_bucketed_search": mips.ORACLE, "op9_warc_fixity": warc_fixity.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}

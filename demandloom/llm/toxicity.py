@@ -6,8 +6,8 @@ that excuse a word (exceptions) are patterns too, and cancel the matches that th
 
 The lexicon is learnt from a bounded sample of labelled rows: beginnings and words that are more frequent in toxic
 texts, counted in words and in documents, the best ones that do not contain each other. A pattern's weight is the
-log of how much more often it occurs than in clean text. A text's evidence compares each pattern's count with what
-clean text of the same length would have, so length alone never adds up, and counts no match above its weight. A logistic curve turns it into a score.
+log of how rare it is in clean text. A text's evidence is the surprise at each pattern's count, k (log k + weight -
+log words) less the excess: the count is held against clean text of the same length, so length alone never adds up. A logistic curve turns it into a score.
 """
 
 from __future__ import annotations
@@ -80,10 +80,9 @@ class Folder:
 
 @dataclass
 class Lexicon:
-    """Patterns with their rate in clean text (per word) and weight; the curve's intercept and slope; exceptions."""
+    """Patterns with their weights (-log of the rate per clean word); the curve's intercept and slope; exceptions."""
 
     patterns: list[str]
-    rates: list[float]
     weights: list[float]
     intercept: float = -10.0
     slope: float = 0.0
@@ -122,9 +121,9 @@ class Lexicon:
             return 0.0, 0
         words, total = max(1, folded.count(" ") - 1), 0.0
         for i, k in Counter(m[0] for m in found).items():
-            expected = words * self.rates[i]
+            expected = words * math.exp(-self.weights[i])
             if k > expected:
-                total += min(k * math.log(k / expected) - (k - expected), k * self.weights[i])
+                total += k * math.log(k / expected) - (k - expected)
         return total, len(found)
 
     def score(self, evidence: float) -> float:
@@ -189,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
     counted = durable(counted.where(F.col("d1") >= LEAST_DOCS), "toxic-counts")
     all_ = counted.where("pattern = ''").first()
     if all_ is None or not all_["k0"] or not all_["d0"]:
-        return Lexicon([], [], [], exceptions=exceptions)
+        return Lexicon([], [], exceptions=exceptions)
     n0, n1, docs0, docs1 = all_["k0"], all_["k1"], all_["d0"], all_["d1"]
     lift = ((F.col("k1") / n1) / ((F.col("k0") + 0.5) / n0) >= LEAST_LIFT) & ((F.col("d1") / docs1) / ((F.col("d0") + 0.5) / docs0) >= LEAST_LIFT)
     spread = F.col("d1") * F.log(F.col("d1") / docs1 * (docs0 + docs1) / (F.col("d0") + F.col("d1")))
@@ -205,9 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
             continue
         chosen.append(r)
         taken.add(p)
-    rates = [(r["k0"] + 0.5) / (n0 + 1) for r in chosen]
-    weights = [math.log((r["k1"] / n1) / rate) for r, rate in zip(chosen, rates, strict=True)]
-    lexicon = Lexicon([r["pattern"] for r in chosen], rates, weights, exceptions=exceptions)
+    lexicon = Lexicon([r["pattern"] for r in chosen], [-math.log((r["k0"] + 0.5) / (n0 + 1)) for r in chosen], exceptions=exceptions)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder()
