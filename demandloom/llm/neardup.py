@@ -33,7 +33,7 @@ from demandloom.llm.components import components
 COORDINATES = 40
 #: A pair at the threshold is missed with at most this probability.
 MISS = 1e-8
-POST_BLOCK = 256
+POST_BLOCK = 512
 SET_BLOCK = 192
 #: Cluster members and removed documents up to this many are broadcast (16 bytes each) instead of shuffling texts.
 BROADCAST_IDS = 1_000_000
@@ -115,14 +115,30 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _runs(df: DataFrame, key: str, fn: Callable[[list[tuple]], Iterator[tuple[int, int]]]) -> DataFrame:
-    """Edges (a, b) from fn over the rows of each key (the first column), which a shuffle and a sort bring together."""
+    """Edges (a, b) from fn over the rows of each key (the first column), which a shuffle and a sort bring together.
+
+    A task passes on an edge only if its ends are not connected by those before it: the same members meet under many
+    keys, and what leaves a task is a forest over all of its keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
         a: list[int] = []
         b: list[int] = []
         for _, group in itertools.groupby(rows, itemgetter(0)):
             for x, y in fn(list(group)):
+                p, q = root(x), root(y)
+                if p == q:
+                    continue
+                above[max(p, q)] = min(p, q)
                 a.append(x)
                 b.append(y)
             if len(a) > 20_000:
