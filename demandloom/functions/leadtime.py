@@ -1,11 +1,59 @@
-"""Lead-time demand."""
+"""Lead-time demand: block bootstrap of standardised errors, and the shortcuts it is compared with."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.quantiles import normal_quantile
+
+BLOCK = 7
+LEAST_POOL = 30
+
 
 def standardised(error: Column, point: Column) -> Column:
     """Error over the root of the forecast, floored at a quarter."""
     return error / F.sqrt(F.greatest(point, F.lit(0.25)))
+
+
+def hashed_start(seed: int = 17) -> Callable[[Column, Column, Column, Column], Column]:
+    """Block starts from a hash of (key, sample, block): independent of partitioning."""
+    return lambda key, sample, block, most: F.pmod(F.xxhash64(key, sample, block, F.lit(seed)), most)
+
+
+def lcg_start(key: Column, sample: Column, block: Column, most: Column) -> Column:
+    """Block starts from one step of a linear congruence, which any SQL engine can follow."""
+    return F.pmod((sample * 1103515245 + block * 12345 + 20011) % 2147483648, most)
+
+
+def daily_paths(points: DataFrame, pools: DataFrame, length: int, samples: int, start=lcg_start, block: int = BLOCK) -> DataFrame:
+    """(key, sample, day, demand): contiguous blocks of a series' standardised errors on its forecast path.
+
+    points: (key, point) a constant forecast, or (key, path) an array by day. pools: (key, pool) arrays in time order;
+    a pool of fewer than 30 errors raises. Demand is not negative.
+    """
+    path = F.col("path") if "path" in points.columns else F.array_repeat(F.col("point"), length)
+    met = points.join(pools, "key").withColumn("path", path)
+    pool = F.when(F.size("pool") < LEAST_POOL, F.raise_error(F.lit(f"a pool needs {LEAST_POOL} errors"))).otherwise(F.col("pool"))
+    rows = met.withColumn("pool", pool).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)).cast("array<bigint>"))).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    first = start(F.col("key"), F.col("sample"), F.floor(F.col("day") / block).cast("bigint"), (F.size("pool") - block + 1).cast("bigint"))
+    z = F.element_at("pool", (first + F.col("day") % block + 1).cast("int"))
+    p = F.element_at("path", F.col("day") + 1)
+    return rows.select("key", "sample", "day", F.greatest(F.lit(0.0), p + z * F.sqrt(F.greatest(p, F.lit(0.25)))).alias("demand"))
+
+
+def leadtime_samples(paths: DataFrame) -> DataFrame:
+    return paths.groupBy("key", "sample").agg(F.sum("demand").alias("demand"))
+
+
+def leadtime_quantiles(samples: DataFrame, taus: tuple[float, ...]) -> DataFrame:
+    """(key, tau, quantile), linearly interpolated."""
+    q = samples.groupBy("key").agg(F.percentile("demand", F.array(*[F.lit(t) for t in taus])).alias("q"))
+    return q.select("key", F.posexplode("q").alias("i", "quantile")).select("key", F.element_at(F.array(*[F.lit(t) for t in taus]), F.col("i") + 1).alias("tau"), "quantile")
+
+
+def iid_normal(total: Column, sigma: Column, length: Column, tau: float) -> Column:
+    """Sum of the path plus the normal quantile of independent days."""
+    return total + F.lit(normal_quantile(tau)) * sigma * F.sqrt(length)

@@ -30,17 +30,15 @@ def seasonal_naive(ys: Column, h: Column) -> Column:
 
 
 def smoothed(ys: Column, alpha: Column) -> Column:
-    """(level, sse) of exponential smoothing that starts at the first value."""
+    """(sse, alpha, level) of exponential smoothing that starts at the first value."""
     first = F.struct(F.try_element_at(ys, F.lit(1)).alias("level"), F.lit(0.0).alias("sse"))
     step = lambda s, y: F.struct((alpha * y + (1 - alpha) * s["level"]).alias("level"), (s["sse"] + (y - s["level"]) * (y - s["level"])).alias("sse"))
-    return F.aggregate(F.slice(ys, 2, F.greatest(F.size(ys) - 1, F.lit(0))), first, step)
+    return F.aggregate(F.slice(ys, 2, F.greatest(F.size(ys) - 1, F.lit(0))), first, step, lambda s: F.struct(s["sse"].alias("sse"), alpha.alias("alpha"), s["level"].alias("level")))
 
 
 def ses_fit(ys: Column) -> Column:
     """(sse, alpha, level) of the best alpha by in-sample one-step error; the smaller alpha wins a tie. Null without history."""
-    grid = F.array(*[F.lit(a) for a in ALPHAS])
-    fits = F.transform(grid, lambda a: F.struct(smoothed(ys, a)["sse"].alias("sse"), a.alias("alpha"), smoothed(ys, a)["level"].alias("level")))
-    return F.when(F.size(ys) > 0, F.array_min(fits))
+    return F.when(F.size(ys) > 0, F.array_min(F.transform(F.array(*[F.lit(a) for a in ALPHAS]), lambda a: smoothed(ys, a))))
 
 
 def ses(ys: Column, h: Column) -> Column:

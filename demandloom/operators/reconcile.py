@@ -11,3 +11,110 @@ def residual_tail(residuals: DataFrame, value: str, length: int, *keys: str) ->
     rows = residuals.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("date", F.col(value).alias("v")))), lambda x: x["v"]).alias("all"))
     kept = F.slice("all", F.greatest(F.size("all") - length + 1, F.lit(1)), F.least(F.size("all"), F.lit(length)))
     return rows.select(*keys, F.concat(F.array_repeat(F.lit(0.0), F.greatest(length - F.size("all"), F.lit(0))), kept).alias("tail"))
+
+
+def edges(bottom: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """The summing matrix as rows (level, key, bkey): which bottom series belong to which node. bottom has the level columns and bkey."""
+    from demandloom.operators.panel import series_keys
+
+    return bottom.select("bkey", F.explode(series_keys(levels)).alias("s")).select("s.level", "s.key", "bkey").distinct()
+
+
+def bottom_up(edge: DataFrame, bottom: DataFrame, *by: str, value: str = "value") -> DataFrame:
+    """(level, key, by..., value): sums of the bottom rows (bkey, by..., value)."""
+    return edge.join(bottom, "bkey").groupBy("level", "key", *by).agg(F.sum(value).alias(value))
+
+
+def coherence_error(summed: DataFrame, forecasts: DataFrame, *by: str) -> DataFrame:
+    """Largest absolute gap between forecasts (level, key, by..., value) and the sums of their bottom rows."""
+    met = forecasts.withColumnRenamed("value", "own").join(summed, ["level", "key", *by])
+    return met.agg(F.max(F.abs(F.col("own") - F.col("value"))).alias("violation"))
+
+
+def proportions(history: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, parent, share): a child's part of its parent's whole history; equal parts if the parent sold nothing."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(parent)
+    per = history.groupBy(child, parent).agg(F.sum("y").alias("y"))
+    return per.select(child, parent, F.coalesce(F.try_divide(F.col("y"), F.nullif(F.sum("y").over(w), F.lit(0.0))), 1.0 / F.count("*").over(w)).alias("share"))
+
+
+def middle_out(parents: DataFrame, shares: DataFrame, parent: str) -> DataFrame:
+    """Parent forecasts (parent, ..., value) shared out by proportions: (child, ..., value)."""
+    return parents.join(shares, parent).withColumn("value", F.col("value") * F.col("share")).drop("share")
+
+
+def mint_two_level(top: DataFrame, children: DataFrame, *by: str) -> DataFrame:
+    """Minimum trace over a total and its children with diagonal weights, in closed form.
+
+    top: (by..., value, w); children: (key, by..., value, w). The gap between the total and the children's sum is
+    shared in proportion to the variances; the reconciled total is the children's new sum. Returns (key, by..., value).
+    """
+    sums = children.groupBy(*by).agg(F.sum("value").alias("s"), F.sum("w").alias("sw"))
+    gap = top.withColumnRenamed("value", "v0").withColumnRenamed("w", "w0").join(sums, list(by)).select(*by, ((F.col("v0") - F.col("s")) / (F.col("w0") + F.col("sw"))).alias("step"))
+    new = children.join(gap, list(by)).select("key", *by, (F.col("value") + F.col("w") * F.col("step")).alias("value"))
+    return new.unionByName(new.groupBy(*by).agg(F.sum("value").alias("value")).withColumn("key", F.lit("TOTAL")))
+
+
+#: Series whose covariance is solved on the driver; more are refused rather than collected.
+MOST_SERIES = 2_000
+
+
+def shrunk_covariance(resid):
+    """Shrinkage of the sample covariance (rows are series) towards its diagonal; returns it and the weight of the diagonal."""
+    import numpy as np
+
+    centred = resid - resid.mean(1, keepdims=True)
+    n = centred.shape[1]
+    cov = centred @ centred.T / max(n - 1, 1)
+    sd = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
+    off = ~np.eye(len(cov), dtype=bool)
+    r = (cov / np.outer(sd, sd))[off]
+    # the published estimate reduces to the spread of the off-diagonal correlations relative to their size
+    weight = 1.0 if not len(r) or (r**2).mean() == 0 else float(np.clip(1 - r.mean() ** 2 / (r**2).mean(), 0.05, 1.0))
+    return weight * np.diag(np.diag(cov)) + (1 - weight) * cov, weight
+
+
+def mint_matrix(s, resid, method: str):
+    """The matrix that maps base forecasts of all nodes to coherent ones: ŷ - W C' (C W C')⁺ C ŷ, C the aggregation constraints."""
+    import numpy as np
+
+    n, bottom = s.shape
+    tops = n - bottom
+    if method == "ols":
+        w = np.eye(n)
+    elif method == "wls":
+        v = resid.var(1)
+        w = np.diag(np.where(v <= 0, 1e-6, v))
+    else:
+        w, _ = shrunk_covariance(resid)
+        w = w + np.eye(n) * 1e-6 * np.trace(w) / n
+    c = np.concatenate([np.eye(tops), -s[:tops]], 1)
+    return np.eye(n) - w @ c.T @ np.linalg.pinv(c @ w @ c.T) @ c
+
+
+def mint(base: DataFrame, edge: DataFrame, tails: DataFrame, bottom_level: str, method: str = "wls") -> DataFrame:
+    """(level, key, h, value) reconciled by minimum trace; base the same, tails (level, key, tail) residuals of one length.
+
+    The hierarchy's nodes, not its sales, decide the size of what comes to the driver; MOST_SERIES bounds it. The
+    resulting matrix goes back as rows, so the forecasts themselves are combined by a join and a sum.
+    """
+    import numpy as np
+
+    rows = tails.limit(MOST_SERIES + 1).collect()
+    if len(rows) > MOST_SERIES:
+        raise ValueError(f"minimum trace is solved for {MOST_SERIES} series at most")
+    rows.sort(key=lambda r: (r["level"] == bottom_level, r["level"], r["key"]))
+    place = {(r["level"], r["key"]): i for i, r in enumerate(rows)}
+    bottom = [r["key"] for r in rows if r["level"] == bottom_level]
+    at = {k: j for j, k in enumerate(bottom)}
+    s = np.zeros((len(rows), len(bottom)))
+    for r in edge.collect():
+        if r["bkey"] in at and (r["level"], r["key"]) in place:
+            s[place[r["level"], r["key"]], at[r["bkey"]]] = 1
+    m = mint_matrix(s, np.array([r["tail"] for r in rows], float), method)
+    cells = [(rows[i]["level"], rows[i]["key"], rows[j]["level"], rows[j]["key"], float(m[i, j])) for i, j in zip(*np.nonzero(np.abs(m) > 1e-12), strict=True)]
+    weights = base.sparkSession.createDataFrame(cells, "level string, key string, from_level string, from_key string, weight double")
+    source = base.select(F.col("level").alias("from_level"), F.col("key").alias("from_key"), "h", "value")
+    return weights.join(source, ["from_level", "from_key"]).groupBy("level", "key", "h").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
