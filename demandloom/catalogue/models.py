@@ -1,8 +1,329 @@
-"""Queries."""
+"""Files, fitted models, constrained plans, joint samples, the generator and streams."""
 
 from __future__ import annotations
 
-from demandloom.catalogue.registry import Catalogue
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import SparkSession, Window
+from pyspark.sql import functions as F
+
+from demandloom.catalogue.base import ALL, grid_of
+from demandloom.catalogue.decide import items_of
+from demandloom.catalogue.registry import Catalogue, r6
+from demandloom.catalogue.sql import with_
+from demandloom.functions import leadtime as L
+from demandloom.functions import metrics as M
+from demandloom.functions import quantiles as Q
+from demandloom.operators import baselines as B
+from demandloom.operators import boosting as GB
+from demandloom.operators import deep as D
+from demandloom.operators import elasticity as E
+from demandloom.operators import features as X
+from demandloom.operators import markdown as K
+from demandloom.operators import panel as P
+from demandloom.operators import probabilistic as PR
+from demandloom.operators import reconcile as R
+from demandloom.operators import regression as RG
+from demandloom.sources import generator as GN
+from demandloom.sources import sales as S
+from demandloom.sources.sales import sales, table
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+_MONTHS = with_("panel", "SELECT level, key, date_trunc('month', date)::DATE AS month, sum(y)::BIGINT AS y FROM panel GROUP BY 1, 2, 3")
+
+
+def months_of(spark, sf_dir):
+    return P.roll_up(sales(spark, sf_dir)).groupBy("level", "key", F.trunc("date", "month").alias("month")).agg(F.sum("y").cast("long").alias("y"))
+
+
+_MONTH_SCHEMA = "level string, key string, month date, y long"
+
+
+@C.query(_MONTHS, dates="month")
+def S2_csv(spark, sf_dir):
+    """Written as CSV and read with a declared schema."""
+    S.write_csv(months_of(spark, sf_dir), path := work_path(spark, "csv"))
+    return S.read_csv(spark, path, _MONTH_SCHEMA)
+
+
+@C.query(_MONTHS, dates="month")
+def S4_gzip_csv(spark, sf_dir):
+    """The same, compressed."""
+    S.write_csv(months_of(spark, sf_dir), path := work_path(spark, "csv-gz"), gzip=True)
+    return S.read_csv(spark, path, _MONTH_SCHEMA)
+
+
+@C.query(with_("panel", "SELECT level, key, list_sum(ys)::BIGINT AS total, len(ys)::INT AS n FROM (SELECT level, key, list(y) AS ys FROM panel GROUP BY level, key)"))
+def S6_nested_parquet(spark, sf_dir):
+    """Arrays as stage files, partitioned by level."""
+    rows = P.roll_up(sales(spark, sf_dir)).groupBy("level", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "y"))), lambda r: r["y"]).alias("ys"))
+    S.write_parquet(rows, path := work_path(spark, "stage"), ("level",))
+    return spark.read.parquet(path).select("level", "key", F.aggregate("ys", F.lit(0.0), lambda a, y: a + y).cast("long").alias("total"), F.size("ys").alias("n"))
+
+
+@C.query(_MONTHS, dates="month")
+def S13_json(spark, sf_dir):
+    """Written as JSON lines and read back."""
+    S.write_json(months_of(spark, sf_dir), path := work_path(spark, "json"))
+    return spark.read.schema(_MONTH_SCHEMA).json(path)
+
+
+@C.query()
+def S14_text_report(spark, sf_dir):
+    """A report of two sections as text lines."""
+    m = months_of(spark, sf_dir)
+    S.write_report({"Months": m.groupBy("level").agg(F.sum("y").alias("y")), "Series": m.groupBy("level").agg(F.count_distinct("key").alias("n"))}, path := work_path(spark, "report"))
+    return spark.read.text(path, recursiveFileLookup=True).withColumnRenamed("value", "line")
+
+
+_SAMPLED = "SELECT key FROM (SELECT DISTINCT key FROM panel WHERE level = 'store_cat') ORDER BY md5('s1:' || key) LIMIT 20"
+
+
+@C.query(with_("panel", "SELECT key, count(*) AS n, sum(y)::BIGINT AS y FROM panel WHERE level = 'store_cat' AND key IN (SELECT key FROM sampled) GROUP BY key", sampled=_SAMPLED))
+def P19_series_sample(spark, sf_dir):
+    """Whole series of a seeded sample of 20 keys: keys are sampled, never rows."""
+    p = P.roll_up(sales(spark, sf_dir), ("store_cat",))
+    keys = p.select("key").distinct().orderBy(F.md5(F.concat(F.lit("s1:"), "key").cast("binary"))).limit(20)
+    return p.join(keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("y"))
+
+
+@C.query()
+def P20_window_budget(spark, sf_dir):
+    """Training windows cut to a budget by a hash."""
+    w = D.training_windows(grid_of(spark, sf_dir, "store"), stride=7)
+    return D.sample_windows(w, 2_000).select("key", "t", r6("scale", "scale"))
+
+
+@C.query(with_("sales", "SELECT store_id, " + ", ".join(f"sum((cat_id = '{c}')::INT)::BIGINT AS cat_id_{c}" for c in ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM sales GROUP BY store_id"))
+def F12_dummies(spark, sf_dir):
+    """Indicator columns without the first level, summed by store."""
+    d = RG.dummies(sales(spark, sf_dir).select("store_id", "cat_id"), "cat_id", ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+    return d.groupBy("store_id").agg(*[F.sum(c).alias(c) for c in d.columns if c.startswith("cat_id_")])
+
+
+def item_weeks(spark, sf_dir):
+    w = P.weekly(sales(spark, sf_dir), "store_id", "cat_id", "item_id")
+    return E.rival_index(w.withColumn("safe", F.greatest("price", F.lit(0.01))), "item_id", "safe", ("week", "store_id", "cat_id"))
+
+
+def _fits(df, *keys: str):
+    return df.select(*keys, *[r6(c, c) for c in ("estimate", "se")], "n")
+
+
+@C.query()
+def E3_poisson_by_category(spark, sf_dir):
+    """Poisson price response by category, with and without the promotion, stores as effects."""
+    w = P.weekly(sales(spark, sf_dir), "store_id", "cat_id")
+    plain = RG.fit_groups(w, ["cat_id"], regressors=("log_p",), effects=("store_id",)).withColumn("spec", F.lit("E"))
+    full = RG.fit_groups(w, ["cat_id"], effects=("store_id",)).withColumn("spec", F.lit("F"))
+    return _fits(plain.unionByName(full), "cat_id", "spec")
+
+
+@C.query()
+def E8_per_item(spark, sf_dir):
+    """Poisson fit of every item with store effects and robust errors."""
+    return _fits(RG.fit_groups(item_weeks(spark, sf_dir), ["item_id"], effects=("store_id",)), "item_id")
+
+
+@C.query()
+def E11_by_segment(spark, sf_dir):
+    """Promoted against unpromoted weeks, and items above against below the median volume."""
+    w = item_weeks(spark, sf_dir)
+    volume = w.groupBy("item_id").agg(F.sum("units").alias("volume"))
+    cut = volume.crossJoin(volume.agg(F.median("volume").alias("median")))
+    w = w.join(cut, "item_id")
+    kinds = F.explode(F.array(F.struct(F.when(F.col("promo") > 0.3, "promo").otherwise("regular").alias("segment")), F.struct(F.when(F.col("volume") >= F.col("median"), "fast").otherwise("slow").alias("segment")))).alias("k")
+    return _fits(RG.fit_groups(w.select("*", kinds).withColumn("segment", F.col("k.segment")), ["segment"], regressors=("log_p",), effects=("cat_id",)), "segment")
+
+
+@C.query()
+def E13_cross_price(spark, sf_dir):
+    """Own and rivals' price by category, and own price with the rivals left out."""
+    w = item_weeks(spark, sf_dir)
+    both = RG.fit_groups(w, ["cat_id"], regressors=("log_p", "promo"), effects=("store_id",), rival="rival_log_rel").withColumn("spec", F.lit("G"))
+    own = RG.fit_groups(w, ["cat_id"], regressors=("log_p", "promo"), effects=("store_id",)).withColumn("spec", F.lit("I"))
+    return both.unionByName(own).select("cat_id", "spec", *[r6(c, c) for c in ("estimate", "se", "cross", "cross_se")], "n")
+
+
+def _feature_rows(spark, sf_dir, level: str = "store"):
+    g = X.exogenous(grid_of(spark, sf_dir, level, measures=ALL))
+    cal = P.calendar(g.select("date").distinct()).select("date", "event")
+    f = X.add_features(g.join(cal, "date"))
+    return f.crossJoin(F.broadcast(P.origins(f.select("date")).where("fold = 6").select("origin")))
+
+
+@C.query()
+def B6_boosted_mean(spark, sf_dir):
+    """Boosted Poisson trees on the features of all stores: last fold's error next to the seasonal naive's."""
+    f = _feature_rows(spark, sf_dir).cache()
+    names = list(X.FEATURES)
+    models = GB.fit_models(X.training_rows(f, F.col("origin")), names, (None,), 60, 0, sample_rows=40_000)
+    p = GB.predict(f.where("date >= origin"), models, names, ["key", "date", "y", "lag_28"])
+    return p.groupBy("key").agg(r6(M.wmape("y", "mean"), "wmape"), r6(M.bias("y", "mean"), "bias"), r6(M.wmape("y", "lag_28"), "naive_wmape"))
+
+
+@C.query()
+def B7_boosted_quantiles(spark, sf_dir):
+    """Boosted quantiles, rearranged: coverage and loss by quantile on the last fold."""
+    f = _feature_rows(spark, sf_dir).cache()
+    names = list(X.FEATURES)
+    models = GB.fit_models(X.training_rows(f, F.col("origin")), names, Q.SERVICE_LEVELS, 0, 30, sample_rows=20_000)
+    p = GB.predict(f.where("date >= origin"), models, names, ["key", "date", "y"])
+    fan = p.select("y", Q.rearranged(F.array(*[F.col(f"q_{round(100 * t)}") for t in Q.SERVICE_LEVELS])).alias("q"))
+    t = Q.cross_scores(fan)
+    return t.select("tau", *[r6(c, c) for c in t.columns if c != "tau"])
+
+
+@C.query()
+def B12_deep_forecast(spark, sf_dir):
+    """The residual network on windows of all stores before the last origin: its error by store."""
+    g = grid_of(spark, sf_dir, "store").cache()
+    o = P.origins(g).where("fold = 6")
+    before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
+    net = D.fit_network(D.training_windows(before, stride=9), budget=4_000, epochs=8, width=64)
+    h = B.histories(g, o)
+    actual = h.select("key", F.posexplode("actual").alias("h0", "y")).select("key", (F.col("h0") + 1).alias("h"), "y")
+    return D.forecast(h, net).join(actual, ["key", "h"]).groupBy("key").agg(r6(M.wmape(), "wmape"), r6(M.bias(), "bias"))
+
+
+@C.query()
+def R7_series_sweep(spark, sf_dir):
+    """Error over growing numbers of series: seasonal naive, network, and the value added."""
+    g = grid_of(spark, sf_dir, "store_cat").cache()
+    o = P.origins(g).where("fold = 6")
+    before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
+    keys = g.select("key").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("key").cast("binary")))))
+    out = None
+    for n in (10, 50, 150):
+        some = keys.where(F.col("r") <= n).select("key")
+        net = D.fit_network(D.training_windows(before.join(some, "key", "left_semi"), stride=28), budget=2_000, epochs=3, width=32)
+        h = B.histories(g.join(some, "key", "left_semi"), o).cache()
+        actual = h.select("key", F.posexplode("actual").alias("h0", "y"), B.seasonal_naive(F.col("ys"), F.lit(1)).alias("x")).select("key", (F.col("h0") + 1).alias("h"), "y")
+        naive = B.backtest(g.join(some, "key", "left_semi"), ("seasonal_naive",)).where("fold = 6").select("key", "h", F.col("yhat").alias("naive"))
+        row = D.forecast(h, net).join(actual, ["key", "h"]).join(naive, ["key", "h"]).agg(F.lit(n).alias("series"), r6(M.wmape("y", "naive"), "seasonal_naive"), r6(M.wmape(), "deep"), r6(M.wmape("y", "naive") - M.wmape(), "fva"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _tails(spark, sf_dir, *levels: str):
+    g = grid_of(spark, sf_dir, *levels)
+    o = F.broadcast(P.origins(g).where("fold = 6").select("origin"))
+    r = g.withColumn("r", F.col("y") - F.lag("y", 7).over(X.by_date())).crossJoin(o).where("date < origin AND r IS NOT NULL")
+    return g, R.residual_tail(r, "r", 180, "level", "key")
+
+
+@C.query()
+def H7_mint(spark, sf_dir):
+    """Minimum trace over total, states and stores by all three covariances: largest incoherence and error by level."""
+    levels = ("total", "state", "store")
+    g, tails = _tails(spark, sf_dir, *levels)
+    tails = tails.cache()
+    edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels).cache()
+    f = B.backtest(g, ("ses",)).where("fold = 6").cache()
+    base = f.select("level", "key", "h", F.col("yhat").alias("value"))
+    out = None
+    for method in ("ols", "wls", "shrink"):
+        m = R.mint(base, edge, tails, "store", method).cache()
+        up = R.bottom_up(edge, m.where("level = 'store'").select(F.col("key").alias("bkey"), "h", "value"), "h")
+        gap = R.coherence_error(up, m, "h")
+        row = m.join(f.select("level", "key", "h", "y"), ["level", "key", "h"]).groupBy("level").agg(r6(M.wmape("y", "value"), "wmape")).crossJoin(gap).select(F.lit(method).alias("method"), "level", "wmape", F.round("violation", 4).alias("violation"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@C.query()
+def H12_joint_samples(spark, sf_dir):
+    """Joint draws for stores, summed up: quantiles by level, and the gap to summed store quantiles."""
+    levels = ("total", "state", "store")
+    g, tails = _tails(spark, sf_dir, "store")
+    points = B.backtest(g, ("seasonal_naive",)).where("fold = 6 AND h <= 7").select(F.col("key").alias("bkey"), F.col("h").cast("int").alias("h"), F.col("yhat").alias("value"))
+    draws = PR.bottom_samples(points, tails.select(F.col("key").alias("bkey"), "tail"), 200)
+    edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels)
+    week = draws.groupBy("bkey", "sample").agg(F.sum("value").alias("value"))
+    return PR.level_ratios(PR.reconcile_draws(edge, week), "store", 0.95).select("level", r6("q95", "q95"), r6("ratio", "ratio"), r6("gap", "gap"))
+
+
+@C.query()
+def L9_compare_methods(spark, sf_dir):
+    """Bootstrap, summed daily quantiles and the independent normal for three lead times and levels, by store."""
+    taus = (0.90, 0.95, 0.98)
+    g = grid_of(spark, sf_dir, "store")
+    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b")))).withColumn("p", F.lag("y", 7).over(Window.partitionBy("key").orderBy("date")))
+    z = F.when(F.col("p").isNotNull(), F.struct("date", L.standardised(F.col("y") - F.col("p"), F.col("p")).alias("z")))
+    recent = F.when(F.col("date") > F.date_sub("b", 28), F.col("y"))
+    per = g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(recent).alias("point"), F.percentile(F.when(F.col("date") > F.date_sub("b", 180), F.col("y")), F.array(*[F.lit(t) for t in taus])).alias("daily")).cache()
+    out = None
+    for days in (7, 14, 28):
+        q = L.leadtime_quantiles(L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), days, 200, start=L.hashed_start())), taus)
+        met = q.join(per, "key").withColumn("length", F.lit(days))
+        sigma = F.sqrt(F.aggregate("pool", F.lit(0.0), lambda a, x: a + x * x) / F.size("pool")) * F.sqrt(F.greatest("point", F.lit(0.25)))
+        iid = F.coalesce(*[F.when(F.col("tau") == t, L.iid_normal(F.col("point") * days, sigma, F.col("length"), t)) for t in taus])
+        daily = F.coalesce(*[F.when(F.col("tau") == t, F.col("daily")[i] * days) for i, t in enumerate(taus)])
+        row = met.select("key", "length", "tau", r6("quantile", "bootstrap"), r6(daily, "sum_of_daily"), r6(iid, "iid"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@C.query()
+def K9_constrained_plans(spark, sf_dir):
+    """For every store, four plans over its items: rivals ignored, rivals in, a shared pool, and a discount budget."""
+    columns = "dept string, policy string, status string, converged boolean, iterations int, value double, depths array<array<double>>"
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        items = [{"item_id": r.key, "dept": r.dept, "base_daily": r.base_daily, "ref_price": r.ref_price, "elasticity": -1.6, "inventory": r.inventory} for r in pdf.itertuples()]
+        ticket = sum(i["base_daily"] * i["ref_price"] * K.PHASES * K.PHASE_DAYS for i in items)
+        policies = {"ignore": dict(cross=0.0), "cross": dict(cross=0.35), "pool": dict(cross=0.35, pools=[[0, 1]] if len(items) > 1 else []), "budget": dict(cross=0.35, budget=0.12 * ticket)}
+        got = {n: K.solve_plan(items, **kw) for n, kw in policies.items()}
+        return pd.DataFrame([{"dept": items[0]["dept"], "policy": n, "status": r["status"], "converged": r["converged"], "iterations": r["iterations"], "value": round(r["value"], 4), "depths": [list(d) for d in r["depths"]]} for n, r in got.items()])
+
+    return items_of(spark, sf_dir).groupBy("dept").applyInPandas(plan, columns)
+
+
+def generated(spark, sf_dir, days: int = 364):
+    """The generator over the catalogue's brands (priced by their parts) and the regions as stores."""
+    part = table(spark, sf_dir, "part")
+    items = part.groupBy(F.concat_ws("-", "p_type", "p_brand").alias("item_id"), F.concat_ws("-", "p_type", F.pmod(F.crc32(F.col("p_brand").cast("binary")), F.lit(2))).alias("dept_id"), F.col("p_type").alias("cat_id")).agg(F.round(F.avg("p_retailprice") / 100, 2).alias("base_price"))
+    stores = table(spark, sf_dir, "region").select(F.col("r_name").alias("store_id"), F.col("r_name").alias("state_id"))
+    return items, GN.panel(items, stores, "2023-01-01", days)
+
+
+@C.query()
+def G4_generated_panel(spark, sf_dir):
+    """The synthetic panel summed by category and month."""
+    _, p = generated(spark, sf_dir)
+    return p.groupBy("cat_id", F.trunc("date", "month").cast("string").alias("month")).agg(F.sum("sales").alias("sales"), r6(F.avg("sell_price"), "price"), r6(F.avg("promo"), "promo_share"), r6(F.avg((F.col("sales") == 0).cast("int")), "zero_share"))
+
+
+@C.query()
+def G5_truth(spark, sf_dir):
+    """The truth record of the synthetic panel."""
+    items, p = generated(spark, sf_dir)
+    t = GN.truth(items, p)
+    return t.select(F.size("elasticity_by_category").alias("categories"), F.size("elasticity_by_item").alias("items"), r6("zero_share", "zero_share"), "n_series", "n_rows", "days", "date_min", "date_max", "cross_elasticity")
+
+
+@C.query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def ST1_daily_events(spark, sf_dir):
+    """The event stream's daily counts, read to its present end."""
+    from demandloom.streaming import events as SE
+
+    path = work_path(spark, "stream")
+    SE.run_available(SE.daily_counts(SE.event_stream(spark, sf_dir)), path, work_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))

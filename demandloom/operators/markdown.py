@@ -91,8 +91,17 @@ def evaluate(plan: DataFrame, elasticity: str, cross: float) -> DataFrame:
 MOST_ITEMS = 40
 
 
+def _undominated(options: list[tuple[float, float, float]], allowed: list[int], units_matter: bool) -> list[int]:
+    """Options that no other beats in value without more spend (and, in a pool, more units)."""
+    kept: list[int] = []
+    for j in sorted(allowed, key=lambda j: (-options[j][0], options[j][2], options[j][1], j)):
+        if not any(options[k][2] <= options[j][2] + 1e-12 and (not units_matter or options[k][1] <= options[j][1] + 1e-12) for k in kept):
+            kept.append(j)
+    return kept
+
+
 def choose_plan(options: list[list[tuple[float, float, float]]], stock: list[float], pools: list[list[int]], budget: float | None) -> tuple[str, list[int], float]:
-    """Exact choice of one option per item: (status, option by item, value).
+    """The choice of one option per item, exact to a millionth: (status, option by item, value).
 
     options[i]: (value, units, spend) by option. Units of a pool's items together stay within its stock, as does each
     other item within its own; spend of all within the budget. Depth-first branch and bound: items are decided in
@@ -105,12 +114,18 @@ def choose_plan(options: list[list[tuple[float, float, float]]], stock: list[flo
     if any(not a for a in allowed):
         return "Infeasible", [], 0.0
     room = [sum(stock[i] for i in p) for p in pools]
-    # a multiplier on spend makes the bound sharp: value - m * spend over open items, plus m times what is left to spend
-    multipliers = [0.0] if budget is None else sorted({0.0, *[m / 20 for m in range(1, 41)]})
+    # a multiplier on spend sharpens the bound: value - m * spend over open items, plus m times what is left to spend
+    allowed = [_undominated(o, a, i in pooled) for i, (o, a) in enumerate(zip(options, allowed, strict=True))]
+    multipliers = [0.0] if budget is None else [m / 20 for m in range(61)]
     reduced = {m: [max(options[i][j][0] - m * options[i][j][2] for j in allowed[i]) for i in range(n)] for m in multipliers}
+    # the few multipliers with the lowest bound for the whole are the ones that bound its parts well
+    multipliers = sorted(multipliers, key=lambda m: sum(reduced[m]) + m * (budget or 0.0))[:4]
     tails = {m: [sum(reduced[m][i:]) for i in range(n + 1)] for m in multipliers}
-    order = [sorted(a, key=lambda j, i=i: -options[i][j][0]) for i, a in enumerate(allowed)]
+    first = multipliers[0]
+    order = [sorted(a, key=lambda j, i=i: first * options[i][j][2] - options[i][j][0]) for i, a in enumerate(allowed)]
     least_units = [min(o[j][1] for j in a) for o, a in zip(options, allowed, strict=True)]
+    least_spend = [min(o[j][2] for j in a) for o, a in zip(options, allowed, strict=True)]
+    rest_spend = [sum(least_spend[i:]) for i in range(n + 1)]
     best: tuple[float, list[int]] = (-math.inf, [])
     chosen = [0] * n
 
@@ -118,14 +133,15 @@ def choose_plan(options: list[list[tuple[float, float, float]]], stock: list[flo
         nonlocal best
         left = math.inf if budget is None else budget - spend
         bound = min(tails[m][i] + (m * left if m else 0.0) for m in multipliers)
-        if value + bound <= best[0] + 1e-9:
+        # within a millionth of the best counts as no better: a plan is in money
+        if value + bound <= best[0] + max(1e-9, 1e-6 * abs(best[0])):
             return
         if i == n:
             best = (value, chosen.copy())
             return
         for j in order[i]:
             v, u, s = options[i][j]
-            if s > left + 1e-9:
+            if s + rest_spend[i + 1] > left + 1e-9:
                 continue
             k = group.get(i)
             if k is not None:
