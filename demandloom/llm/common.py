@@ -15,7 +15,9 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SEPARATOR = "[\\x20\\x09-\\x0D]+"
 
 #: Texts are handled in slices of about this many bytes, so that one Arrow batch of long texts stays small in Python.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+_resident: dict[object, object] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -86,6 +88,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What later tasks in the same Python worker can use again (tables of words met, models); another key takes its place.
+
+    Workers outlive stages, so only one such object is kept: stages of a pipeline do not pile theirs up.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of df if there are at most limit, else None: the size check before every broadcast here."""
     rows = df.limit(limit + 1).collect()

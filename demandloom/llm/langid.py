@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import bytes_list, durable, map_arrow, slices
+from demandloom.llm.common import bytes_list, durable, map_arrow, slices, worker_state
 
 #: Order of the models, and the bound of the sample: rows per language in expectation, and different words per language.
 ORDER = 5
@@ -34,7 +34,7 @@ MOST_LANGUAGES = 2_000
 REJECT_Z = 8.0
 REJECT_BITS = 2.25
 UNDETERMINED = "und"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 MEMO_CHARS = 40
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -303,9 +303,6 @@ def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROW
     return identifier
 
 
-_loaded: dict[str, Identifier] = {}
-
-
 def predict(docs: DataFrame, identifier: Identifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of keep, then lang_pred, score, rejected and bits_per_char for every whole text; rows one for one."""
     import pickle
@@ -318,10 +315,7 @@ def predict(docs: DataFrame, identifier: Identifier, keep: tuple[str, ...] = ("d
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("bits_per_char", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = pickle.loads(blob.value)
-        mine = _loaded[key]
+        mine = worker_state(key, lambda: pickle.loads(blob.value))
         for batch in slices(batches, at):
             got = mine.identify(bytes_list(batch.column(at)))
             made = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.float64()))]
@@ -337,13 +331,14 @@ def train_on_fold(docs: DataFrame, learn_from: Column) -> Identifier:
 def keep_known(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """The documents that are not rejected, with their columns; a text without letters is rejected."""
     import pickle
+    import uuid
 
+    key = uuid.uuid4().hex
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(identifier))
     at = docs.columns.index("text")
-    held: dict[str, Identifier] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = held.setdefault("it", pickle.loads(blob.value))
+        mine = worker_state(key, lambda: pickle.loads(blob.value))
         for batch in slices(batches, at):
             yield batch.filter(pa.array([not g[2] for g in mine.identify(bytes_list(batch.column(at)))], pa.bool_()))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import bytes_list, durable, held_out, lowered, map_arrow, slices
+from demandloom.llm.common import bytes_list, durable, held_out, lowered, map_arrow, slices, worker_state
 from demandloom.llm.pieces import DEFAULT_MODEL, MARK, Vocabulary, read_model
 
 #: Words in the dictionary of each worker, and how many counted words a task holds before it passes them on.
@@ -231,9 +231,6 @@ def _with_marginals(words: DataFrame, lattice: Lattice) -> DataFrame:
     return map_arrow(words.select("word", "c"), run, "word binary, c long, lp double")
 
 
-_heads: dict[str, dict[bytes, tuple[int, float]]] = {}
-
-
 def score_texts(docs: DataFrame, learn: str = "learn", model: str | bytes = DEFAULT_MODEL, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, then the contract's columns for every row of docs (doc_id, text, and the boolean column learn).
 
@@ -267,10 +264,7 @@ def score_texts(docs: DataFrame, learn: str = "learn", model: str | bytes = DEFA
         """Per document one row that sums its frequent words, and one for each other word."""
         import xxhash
 
-        if key not in _heads:
-            _heads.clear()
-            _heads[key] = {w: (c, float(np.log10(c + 1)) - base_unit, lp) for w, (c, lp) in pickle.loads(head.value).items()}
-        known = _heads[key]
+        known = worker_state(key, lambda: {w: (c, float(np.log10(c + 1)) - base_unit, lp) for w, (c, lp) in pickle.loads(head.value).items()})
         for batch in slices(batches, 1):
             out: list[list] = [[] for _ in columns]
             for doc, text in zip(batch.column(0).to_pylist(), bytes_list(batch.column(1)), strict=True):

@@ -62,7 +62,7 @@ class Shingler:
         import xxhash
 
         got = xxhash.xxh3_64_intdigest(word)
-        if len(self.memo) < 400_000 and len(word) < 64:
+        if len(self.memo) < 150_000 and len(word) < 64:
             self.memo[word] = got
         return got
 

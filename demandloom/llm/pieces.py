@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandloom.llm.common import bytes_list, map_arrow, slices
+from demandloom.llm.common import bytes_list, map_arrow, slices, worker_state
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marked words that a worker remembers; longer ones than MEMO_CHARS are encoded each time.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 MEMO_CHARS = 48
 
 
@@ -93,7 +93,7 @@ class Vocabulary:
         """Whether two neighbouring pieces stay as they are when their characters are merged on their own."""
         if (got := self._apart.get(left << 32 | right)) is None:
             got = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
-            if len(self._apart) < 1_000_000:
+            if len(self._apart) < 400_000:
                 self._apart[left << 32 | right] = got
         return got
 
@@ -185,15 +185,9 @@ def decode_ids(vocabulary: Vocabulary, ids: Iterable[int]) -> bytes:
     return text[1:] if text[:1] == b" " else text
 
 
-_encoders: dict[bytes, Encoder] = {}
-
-
 def encoder_for(proto: bytes) -> Encoder:
     """One encoder per model and worker process."""
-    if proto not in _encoders:
-        _encoders.clear()
-        _encoders[proto] = Encoder(Vocabulary.from_model(proto))
-    return _encoders[proto]
+    return worker_state(("pieces", proto), lambda: Encoder(Vocabulary.from_model(proto)))
 
 
 def read_model(path: str = DEFAULT_MODEL) -> bytes:

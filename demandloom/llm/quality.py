@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from demandloom.llm.common import bytes_list, map_arrow, slices, words_of
+from demandloom.llm.common import bytes_list, map_arrow, slices, words_of, worker_state
 from demandloom.llm.pieces import DEFAULT_MODEL, read_model
 
 #: Characters that mark up rather than write.
 SYMBOLS = b"#*$%&|<>"
 #: A worker forgets its words when it holds so many.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 120_000
 
 
 @dataclass(frozen=True)
@@ -156,14 +156,8 @@ def verdict(n: int, chars: int, symbols: int, repeated: int, band: Band, per_tok
     return False, band.min_chars <= per_token <= band.max_chars and byte_share <= band.max_bytes and entropy >= band.min_entropy and symbols <= band.max_symbols * chars
 
 
-_tables: dict[bytes, WordTable] = {}
-
-
 def _table(proto: bytes) -> WordTable:
-    if proto not in _tables:
-        _tables.clear()
-        _tables[proto] = WordTable(proto)
-    return _tables[proto]
+    return worker_state(("quality", proto), lambda: WordTable(proto))
 
 
 REPORT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, byte_share double, token_entropy double"

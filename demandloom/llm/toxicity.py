@@ -35,7 +35,7 @@ LEAST_DOCS = 4
 LEAST_LIFT = 4.0
 LEAST_G = 18.0
 THRESHOLD = 0.7
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 #: Letters of other scripts that look like Latin ones, and digits and symbols that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁԛԝвкмнтАВЕКМНОРСТУХαοερτυνικηωβ", "aeopcyxijshdqwbkmhtabekmhopctyxaoeptuvikhwb")
