@@ -91,71 +91,74 @@ def evaluate(plan: DataFrame, elasticity: str, cross: float) -> DataFrame:
 MOST_ITEMS = 40
 
 
-def _undominated(options: list[tuple[float, float, float]], allowed: list[int], units_matter: bool) -> list[int]:
-    """Options that no other beats in value without more spend (and, in a pool, more units)."""
-    kept: list[int] = []
-    for j in sorted(allowed, key=lambda j: (-options[j][0], options[j][2], options[j][1], j)):
-        if not any(options[k][2] <= options[j][2] + 1e-12 and (not units_matter or options[k][1] <= options[j][1] + 1e-12) for k in kept):
-            kept.append(j)
+def _undominated(options: list[tuple[float, float, float, tuple]]) -> list[tuple[float, float, float, tuple]]:
+    """Options (value, units, spend, choice) that no other matches in value with less spend, the most valuable first."""
+    kept: list[tuple[float, float, float, tuple]] = []
+    for o in sorted(options, key=lambda o: (-o[0], o[2], o[3])):
+        if not kept or o[2] < kept[-1][2] - 1e-12:
+            kept.append(o)
     return kept
 
 
 def choose_plan(options: list[list[tuple[float, float, float]]], stock: list[float], pools: list[list[int]], budget: float | None) -> tuple[str, list[int], float]:
-    """The choice of one option per item, exact to a millionth: (status, option by item, value).
+    """The choice of one option per item, exact to a ten-thousandth: (status, option by item, value).
 
     options[i]: (value, units, spend) by option. Units of a pool's items together stay within its stock, as does each
-    other item within its own; spend of all within the budget. Depth-first branch and bound: items are decided in
-    turn, the bound being what is decided plus each open item's best value, lowered by a price on spend.
+    other item within its own; spend of all within the budget. A pool becomes one item whose options are the joint
+    ones that fit. What remains is bound by the budget alone: depth-first branch and bound, the bound being what is
+    decided plus the best open values less a price on their spend, plus that price on what is left to spend.
     """
-    n = len(options)
-    pooled = {i for p in pools for i in p}
-    group = {i: k for k, p in enumerate(pools) for i in p}
-    allowed = [[j for j, (_, u, _) in enumerate(o) if i in pooled or u <= stock[i] + 1e-9] for i, o in enumerate(options)]
-    if any(not a for a in allowed):
-        return "Infeasible", [], 0.0
-    room = [sum(stock[i] for i in p) for p in pools]
-    # a multiplier on spend sharpens the bound: value - m * spend over open items, plus m times what is left to spend
-    allowed = [_undominated(o, a, i in pooled) for i, (o, a) in enumerate(zip(options, allowed, strict=True))]
-    multipliers = [0.0] if budget is None else [m / 20 for m in range(61)]
-    reduced = {m: [max(options[i][j][0] - m * options[i][j][2] for j in allowed[i]) for i in range(n)] for m in multipliers}
-    # the few multipliers with the lowest bound for the whole are the ones that bound its parts well
-    multipliers = sorted(multipliers, key=lambda m: sum(reduced[m]) + m * (budget or 0.0))[:4]
+    groups = [list(p) for p in pools] + [[i] for i in range(len(options)) if not any(i in p for p in pools)]
+    joint = []
+    for members in groups:
+        room = sum(stock[i] for i in members)
+        rows: list[tuple[float, float, float, tuple]] = [(0.0, 0.0, 0.0, ())]
+        for at, i in enumerate(members):
+            rest = sum(min(u for _, u, _ in options[k]) for k in members[at + 1 :])
+            rows = [(v + v2, u + u2, s + s2, (*c, j)) for v, u, s, c in rows for j, (v2, u2, s2) in enumerate(options[i]) if u + u2 + rest <= room + 1e-9]
+        if not rows:
+            return "Infeasible", [], 0.0
+        joint.append(_undominated(rows))
+    n = len(groups)
+    multipliers = [0.0]
+    if budget is not None:
+        # the price with the lowest bound for the whole bounds its parts well too; the bound is convex in the price
+        bound_at = lambda m: sum(max(v - m * s for v, _, s, _ in o) for o in joint) + m * budget
+        low, high = 0.0, 4.0
+        for _ in range(50):
+            third = (high - low) / 3
+            low, high = (low, high - third) if bound_at(low + third) <= bound_at(high - third) else (low + third, high)
+        multipliers = [(low + high) / 2, 0.0]
+    reduced = {m: [max(v - m * s for v, _, s, _ in o) for o in joint] for m in multipliers}
     tails = {m: [sum(reduced[m][i:]) for i in range(n + 1)] for m in multipliers}
-    first = multipliers[0]
-    order = [sorted(a, key=lambda j, i=i: first * options[i][j][2] - options[i][j][0]) for i, a in enumerate(allowed)]
-    least_units = [min(o[j][1] for j in a) for o, a in zip(options, allowed, strict=True)]
-    least_spend = [min(o[j][2] for j in a) for o, a in zip(options, allowed, strict=True)]
-    rest_spend = [sum(least_spend[i:]) for i in range(n + 1)]
-    best: tuple[float, list[int]] = (-math.inf, [])
-    chosen = [0] * n
-
-    def walk(i: int, value: float, spend: float, used: list[float]) -> None:
+    joint = [sorted(o, key=lambda x: multipliers[0] * x[2] - x[0]) for o in joint]
+    rest_spend = [sum(min(x[2] for x in o) for o in joint[i:]) for i in range(n + 1)]
+    best: tuple[float, list[tuple]] = (-math.inf, [])
+    chosen: list[tuple] = [()] * n
+
+    def walk(i: int, value: float, spend: float) -> None:
         nonlocal best
         left = math.inf if budget is None else budget - spend
         bound = min(tails[m][i] + (m * left if m else 0.0) for m in multipliers)
-        # within a millionth of the best counts as no better: a plan is in money
-        if value + bound <= best[0] + max(1e-9, 1e-6 * abs(best[0])):
+        # within a ten-thousandth of the best counts as no better: demand is not known that well
+        if value + bound <= best[0] + max(1e-9, 1e-4 * abs(best[0])):
             return
         if i == n:
             best = (value, chosen.copy())
             return
-        for j in order[i]:
-            v, u, s = options[i][j]
-            if s + rest_spend[i + 1] > left + 1e-9:
-                continue
-            k = group.get(i)
-            if k is not None:
-                rest = sum(least_units[x] for x in pools[k] if x > i)
-                if used[k] + u + rest > room[k] + 1e-9:
-                    continue
-                used[k] += u
-            chosen[i] = j
-            walk(i + 1, value + v, spend + s, used)
-            if k is not None:
-                used[k] -= u
-
-    walk(0, 0.0, 0.0, [0.0] * len(pools))
-    return ("Optimal", best[1], best[0]) if best[1] else ("Infeasible", [], 0.0)
+        for v, _, s, c in joint[i]:
+            if s + rest_spend[i + 1] <= left + 1e-9:
+                chosen[i] = c
+                walk(i + 1, value + v, spend + s)
+
+    walk(0, 0.0, 0.0)
+    if not best[1]:
+        return "Infeasible", [], 0.0
+    picked = [0] * len(options)
+    for members, c in zip(groups, best[1], strict=True):
+        for i, j in zip(members, c, strict=True):
+            picked[i] = j
+    return "Optimal", picked, best[0]
 
 
 def solve_plan(items: list[dict], cross: float, budget: float | None = None, pools: list[list[int]] | None = None, rounds: int = 12, phase_days: int = PHASE_DAYS) -> dict:
