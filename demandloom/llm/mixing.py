@@ -45,33 +45,37 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     ).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
-def copy_counts(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies (and the columns named in keep).
+def _with_targets(rows: DataFrame, sized: DataFrame, weights: tuple[float, ...], max_repeat: float, seed: str) -> DataFrame:
+    """rows (with doc_id and source) and __mix_size, __mix_target, __mix_copies: of the source the first two, of the row the last."""
+    targets = durable(source_targets(sized, weights, max_repeat), "mix-targets")
+    named = targets.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target"), F.col("rate").alias("__mix_rate"))
+    same = F.col("source").eqNullSafe(F.col("__mix_source"))
+    if bounded_rows(targets.select("source"), BROADCAST_SOURCES) is not None:
+        joined = rows.join(F.broadcast(named), same, "left")
+    else:
+        salted = named.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("__mix_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__mix_of") == F.col("__mix_salt")), "left").drop("__mix_of", "__mix_salt")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    whole = F.floor("__mix_rate")
+    return joined.withColumn("__mix_copies", (whole + (draw < F.col("__mix_rate") - whole).cast("int")).cast("int")).drop("__mix_source", "__mix_rate")
+
+
+def copy_counts(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, seed: str = "mix") -> DataFrame:
+    """Per document: doc_id, size, source_size, target, copies.
 
     copies is floor(rate) plus 1 with probability rate - floor(rate); the draw is the first 13 hex digits of
     md5(seed:doc_id), so reruns agree and rows that repeat a doc_id draw alike. A null text has size 0; a null
     source is a source; a null doc_id draws as the text 'null'.
     """
-    columns = [c for c in ("doc_id", "source", *keep) if c in docs.columns]
-    sized = docs.select(*dict.fromkeys(columns), word_count(F.col("text")).alias("size"))
-    if not keep:
-        sized = durable(sized, "mix-sizes")
-    targets = durable(source_targets(sized.select("source", "size"), weights, max_repeat), "mix-targets")
-    renamed = targets.withColumnRenamed("source", "__source")
-    if bounded_rows(targets.select("source"), BROADCAST_SOURCES) is not None:
-        joined = sized.join(F.broadcast(renamed), F.col("source").eqNullSafe(F.col("__source")), "left")
-    else:
-        salted = renamed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("__of", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, (F.coalesce("source", F.lit("\0")) == F.coalesce("__source", F.lit("\0"))) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__of") == F.col("__salt")), "left").drop("__of", "__salt")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("int")).cast("int")).drop("__source")
+    sized = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    met = _with_targets(sized, sized.select("source", "size"), weights, max_repeat, seed)
+    return met.select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: every document as often as copy_counts says, with the columns of docs."""
-    counted = copy_counts(docs, weights, max_repeat, seed, keep=tuple(docs.columns))
-    return counted.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixed corpus: every document as often as copy_counts says, with the columns of docs, whatever their names."""
+    met = _with_targets(docs, docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeat, seed)
+    return met.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
