@@ -293,7 +293,8 @@ def K9_constrained_plans(spark, sf_dir):
         got = {n: K.solve_plan(items, **kw) for n, kw in policies.items()}
         return pd.DataFrame([{"dept": items[0]["dept"], "policy": n, "status": r["status"], "converged": r["converged"], "iterations": r["iterations"], "value": round(r["value"], 4), "depths": [list(d) for d in r["depths"]]} for n, r in got.items()])
 
-    return items_of(spark, sf_dir).groupBy("dept").applyInPandas(plan, columns)
+    # a plan is minutes of search on few rows: stores are dealt out by number, not by size
+    return items_of(spark, sf_dir).repartition(64, "dept").groupBy("dept").applyInPandas(plan, columns)
 
 
 def generated(spark, sf_dir, days: int = 364):
