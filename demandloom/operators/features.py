@@ -84,9 +84,14 @@ def calendar_features() -> dict[str, Column]:
 
 
 def fill_price(price: str = "price") -> Column:
-    """A missing price takes the last one before it in its series, else the first one after."""
+    """A missing price takes the last one before it in its series, else the series' first one.
+
+    Where nothing comes before, the first one after is the first of the whole series: a frame that Spark evaluates once
+    per series, whereas one from each row to the end would be walked anew for every row.
+    """
     w = by_date()
-    return F.coalesce(F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(price, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    before = F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(before, F.first(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def exogenous(panel: DataFrame, weighting: str = "same_day") -> DataFrame:

@@ -41,12 +41,14 @@ def roll_up(sales: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
 def dense(panel: DataFrame, *measures: str) -> DataFrame:
     """Every series on every day between the first and the last day of the panel; missing days are 0.
 
-    Zero rows are added and summed in: one shuffle by series serves this sum and all windows over a series.
+    Zero rows are added and summed in: one shuffle by series serves this sum and all windows over a series. Its number
+    of partitions is the session's and stays: judged by their bytes, which zeros hardly have, adaptive execution would
+    merge what costs much to compute into a few tasks.
     """
     measures = measures or ("y",)
     days = panel.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     spine = panel.select("level", "key").distinct().crossJoin(F.broadcast(days)).where("a IS NOT NULL").select("level", "key", F.explode(F.sequence("a", "b")).alias("date"), *[F.lit(0.0).alias(m) for m in measures])
-    rows = panel.select("level", "key", "date", *measures).unionByName(spine).repartition("level", "key")
+    rows = panel.select("level", "key", "date", *measures).unionByName(spine).repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), "level", "key")
     return rows.groupBy("level", "key", "date").agg(*[F.sum(m).alias(m) for m in measures])
 
 
