@@ -22,9 +22,18 @@ def grid_of(spark: SparkSession, sf_dir: str, *levels: str, measures: tuple[str,
     return P.dense(P.roll_up(sales(spark, sf_dir), levels or P.LEVELS), *measures)
 
 
-def last_fold(grid: DataFrame) -> DataFrame:
-    """The grid with the last fold's origin on every row."""
-    return grid.crossJoin(F.broadcast(P.origins(grid).where("fold = 6").select("origin")))
+def origins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins of the folds from the days of the sales: a grid ends on the same day, and would be built twice to be asked."""
+    return P.origins(sales(spark, sf_dir).select("date"))
+
+
+def last_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origins_of(spark, sf_dir).where("fold = 6").select("origin")
+
+
+def last_fold(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with the last fold's origin on each."""
+    return rows.crossJoin(F.broadcast(last_origin(spark, sf_dir)))
 
 
 @C.query("SELECT l_orderkey, CAST(l_shipdate AS DATE) AS ship_date, l_quantity::BIGINT AS qty, round(l_extendedprice * (1 - l_discount) + 3.1e-8::DOUBLE, 6) AS net FROM lineitem", dates="ship_date")
@@ -161,7 +170,7 @@ _LAST = "SELECT * FROM ({q}) WHERE date >= (SELECT b - 27 FROM bounds)"
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", w="SELECT key, date, " + ", ".join(f"lag(y, {k}) OVER s AS lag_{k}" for k in X.LAGS) + " FROM grid WHERE level = 'store_cat' WINDOW s AS (PARTITION BY key ORDER BY date)"), dates="date")
 def W1_lags(spark, sf_dir):
     """Target lags of the horizon and more, for the last fold's days."""
-    g = last_fold(grid_of(spark, sf_dir, "store_cat")).withColumns(X.lags())
+    g = last_fold(grid_of(spark, sf_dir, "store_cat"), spark, sf_dir).withColumns(X.lags())
     return g.where("date >= origin").select("key", "date", *X.lags())
 
 
@@ -182,7 +191,7 @@ def _rolling_sql(key: str = "key") -> str:
 def W2_rolling(spark, sf_dir):
     """Rolling means, deviations, zero share and the same-weekday mean, for the last fold's days."""
     roll = X.rolling()
-    g = last_fold(grid_of(spark, sf_dir, "store_cat")).withColumn("dow", F.weekday("date")).withColumns({**roll, "dow_mean_4w": X.same_weekday_mean()})
+    g = last_fold(grid_of(spark, sf_dir, "store_cat"), spark, sf_dir).withColumn("dow", F.weekday("date")).withColumns({**roll, "dow_mean_4w": X.same_weekday_mean()})
     return g.where("date >= origin").select("key", "date", *[r6(c, c) for c in (*roll, "dow_mean_4w")])
 
 
@@ -196,7 +205,7 @@ def W6_price_windows(spark, sf_dir):
     """Price relative to its own recent mean, and its weekly change."""
     g = X.exogenous(grid_of(spark, sf_dir, "store_cat", measures=ALL))
     prices = X.price_features()
-    return last_fold(g.withColumns(prices)).where("date >= origin").select("key", "date", *[r6(c, c) for c in prices])
+    return last_fold(g.withColumns(prices), spark, sf_dir).where("date >= origin").select("key", "date", *[r6(c, c) for c in prices])
 
 
 @C.query(with_("backtest", """SELECT b.level, b.key, round(avg(abs(y - yhat)) / nullif(max(s.a), 0), 6) AS mase, round(sqrt(avg((y - yhat) ** 2) / nullif(max(s.q), 0)), 6) AS rmsse FROM backtest b JOIN scale s USING (level, key) WHERE fold = 6 AND method = 'seasonal_naive' GROUP BY b.level, b.key""",
@@ -204,8 +213,8 @@ def W6_price_windows(spark, sf_dir):
 def W9_scale(spark, sf_dir):
     """MASE and RMSSE of the seasonal naive over the last fold."""
     g = grid_of(spark, sf_dir, "total", "state", "store")
-    scale = M.seasonal_scale(last_fold(g).where("date < origin"), "level", "key")
-    b = B.backtest(g, ("seasonal_naive",)).where("fold = 6").join(scale, ["level", "key"])
+    scale = M.seasonal_scale(last_fold(g, spark, sf_dir).where("date < origin"), "level", "key")
+    b = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6").join(scale, ["level", "key"])
     return b.groupBy("level", "key").agg(r6(M.mase(F.col("scale_abs")), "mase"), r6(M.rmsse(F.col("scale_sq")), "rmsse"))
 
 
@@ -238,7 +247,7 @@ def O4_top_keys(spark, sf_dir):
   (SELECT level, key, date, y, CASE WHEN date < b - 20 THEN lag(y, 7) OVER s WHEN date < b - 13 THEN lag(y, 14) OVER s WHEN date < b - 6 THEN lag(y, 21) OVER s ELSE lag(y, 28) OVER s END AS p FROM grid, bounds WINDOW s AS (PARTITION BY level, key ORDER BY date)) , bounds WHERE date > b - 28 GROUP BY level"""))
 def M1_wmape_by_level(spark, sf_dir):
     """Seasonal-naive WMAPE and bias by level over the last fold."""
-    b = B.backtest(grid_of(spark, sf_dir), ("seasonal_naive",), folds=1)
+    b = B.backtest(grid_of(spark, sf_dir), ("seasonal_naive",), starts=origins_of(spark, sf_dir).where("fold = 6"))
     return b.groupBy("level").agg(r6(M.wmape(), "wmape"), r6(M.bias(), "bias"))
 
 
@@ -263,8 +272,9 @@ _B15 = "SELECT key, f.date, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY key O
 def B15_feature_matrix(spark, sf_dir):
     """All 34 features for the last fold's days."""
     g = X.exogenous(grid_of(spark, sf_dir, "store_cat", measures=ALL))
-    cal = P.calendar(g.select("date").distinct()).select("date", "event")
-    f = last_fold(X.add_features(g.join(cal, "date"))).where("date >= origin")
+    # the event follows from the date: a join with a calendar would shuffle the panel by date and back
+    f = X.add_features(g.withColumn("event", P.event_of(F.col("date"))))
+    f = last_fold(f, spark, sf_dir).where("date >= origin")
     exact = {*[f"lag_{k}" for k in X.LAGS], "dow", "month", "is_weekend", "snap", "days_to_xmas", *[f"ev_{e}" for e in P.EVENTS]}
     return f.select("key", "date", *[c if c in exact else r6(c, c) for c in X.FEATURES])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import grid_of, last_fold
+from demandloom.catalogue.base import grid_of, last_fold, last_origin, origins_of
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
@@ -24,7 +24,7 @@ BOTH = "round(sum(abs(y - yhat)) / nullif(sum(abs(y)), 0), 6) AS wmape, round(su
 
 
 def backtest_of(spark, sf_dir, *levels: str, methods: tuple[str, ...] = tuple(B.BASELINES)):
-    return B.backtest(grid_of(spark, sf_dir, *(levels or UPPER)), methods)
+    return B.backtest(grid_of(spark, sf_dir, *(levels or UPPER)), methods, starts=origins_of(spark, sf_dir))
 
 
 def store_sums(backtest, *by: str):
@@ -93,7 +93,7 @@ def B2_seasonal_naive(spark, sf_dir):
 def B3_ses(spark, sf_dir):
     """Exponential smoothing with its alpha by in-sample error."""
     g = grid_of(spark, sf_dir, *UPPER)
-    h = B.histories(g, P.origins(g).where("fold = 6")).withColumn("fit", B.ses_fit(F.col("ys")))
+    h = B.histories(g, origins_of(spark, sf_dir).where("fold = 6")).withColumn("fit", B.ses_fit(F.col("ys")))
     return h.select("level", "key", F.round("fit.alpha", 2).alias("alpha"), r6("fit.level", "level_end"))
 
 
@@ -135,8 +135,8 @@ def H7_mint_two_level(spark, sf_dir):
     """Minimum trace over the total and its states with error variances as weights."""
     g = grid_of(spark, sf_dir, "total", "state")
     d = F.col("y") - F.lag("y", 7).over(Window.partitionBy("level", "key").orderBy("date"))
-    w = last_fold(g).where("date < origin").withColumn("d", d).groupBy("level", "key").agg(F.var_pop("d").alias("w"))
-    f = B.backtest(g, ("ses",)).where("fold = 6").join(w, ["level", "key"]).select("level", "key", "h", F.col("yhat").alias("value"), "w")
+    w = last_fold(g, spark, sf_dir).where("date < origin").withColumn("d", d).groupBy("level", "key").agg(F.var_pop("d").alias("w"))
+    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6").join(w, ["level", "key"]).select("level", "key", "h", F.col("yhat").alias("value"), "w")
     out = R.mint_two_level(f.where("level = 'total'").select("h", "value", "w"), f.where("level = 'state'").select("key", "h", "value", "w"), "h")
     return out.select("key", "h", r6("value", "value"))
 
@@ -146,9 +146,9 @@ def H9_middle_out(spark, sf_dir):
     """Store forecasts shared out to categories by historical proportions."""
     s = sales(spark, sf_dir).withColumn("key", F.concat_ws("|", "store_id", "cat_id"))
     g = grid_of(spark, sf_dir, "store")
-    before = s.crossJoin(F.broadcast(P.origins(g).where("fold = 6").select("origin"))).where("date < origin").withColumnRenamed("units", "y")
+    before = s.crossJoin(F.broadcast(last_origin(spark, sf_dir))).where("date < origin").withColumnRenamed("units", "y")
     shares = R.proportions(before, "key", "store_id")
-    f = B.backtest(g, ("seasonal_naive",)).where("fold = 6").select(F.col("key").alias("store_id"), "h", F.col("yhat").alias("value"))
+    f = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6").select(F.col("key").alias("store_id"), "h", F.col("yhat").alias("value"))
     return R.middle_out(f, shares, "store_id").select("key", "h", r6("value", "value"))
 
 
@@ -178,7 +178,7 @@ _TAUS = "[0.5, 0.75, 0.9, 0.95, 0.98]::DOUBLE[]"
 def fan_of(spark, sf_dir, window: int = 180):
     """(key, h, y, q): the empirical quantiles of each store's last days before the last origin as its fan."""
     g = grid_of(spark, sf_dir, "store")
-    h = B.histories(g, P.origins(g).where("fold = 6"))
+    h = B.histories(g, origins_of(spark, sf_dir).where("fold = 6"))
     values = h.select("key", F.explode(F.slice("ys", F.greatest(F.size("ys") - window + 1, F.lit(1)), F.lit(window))).alias("v"))
     q = values.groupBy("key").agg(F.percentile("v", F.array(*[F.lit(t) for t in Q.SERVICE_LEVELS])).alias("q"))
     return h.select("key", F.posexplode("actual").alias("h0", "y")).select("key", (F.col("h0") + 1).alias("h"), "y").join(q, "key")
@@ -221,7 +221,7 @@ _CROSSED = """SELECT h.key, [quantile_cont(v, 0.5) FILTER (WHERE i <= 28), quant
 def Q7_crossing(spark, sf_dir):
     """A fan whose quantiles come from different windows crosses; rearranged, it does not, and its loss is compared."""
     g = grid_of(spark, sf_dir, "store")
-    h = B.histories(g, P.origins(g).where("fold = 6"))
+    h = B.histories(g, origins_of(spark, sf_dir).where("fold = 6"))
     back = h.select("key", F.posexplode(F.slice(F.reverse("ys"), 1, 180)).alias("i", "v"))
     parts = ((0.5, 28), (0.75, 56), (0.9, 14), (0.95, 180), (0.98, 28))
     q = back.groupBy("key").agg(F.array(*[F.percentile(F.when(F.col("i") < n, F.col("v")), t) for t, n in parts]).alias("q"))
@@ -267,7 +267,7 @@ _BYS = {"global": "'all'", "klass": "class", "key": "key"}
 def C5_gates(spark, sf_dir):
     """One choice for all, one per demand class, one per series: selected on folds 1 to 3, scored on 4 to 6."""
     g = grid_of(spark, sf_dir, "store")
-    b = store_sums(B.backtest(g).join(M.adi_cv2(g, "level", "key").select("level", "key", "class"), ["level", "key"]), "key", "class")
+    b = store_sums(B.backtest(g, starts=origins_of(spark, sf_dir)).join(M.adi_cv2(g, "level", "key").select("level", "key", "class"), ["level", "key"]), "key", "class")
     out = G.compare_gates(b.where("selecting"), b.where("NOT selecting"), {"global": F.lit("all"), "klass": F.col("class"), "key": F.col("key")})
     return out.select("gate", "n_decisions", r6("wmape", "wmape"), r6("bias", "bias"))
 
@@ -276,7 +276,7 @@ def C5_gates(spark, sf_dir):
 def R3_win_rate(spark, sf_dir):
     """By demand class, the share of series on which smoothing beats the seasonal naive."""
     g = grid_of(spark, sf_dir, "store")
-    b = B.backtest(g, ("seasonal_naive", "ses")).where("fold > 3").join(M.adi_cv2(g, "level", "key").select("level", "key", "class"), ["level", "key"])
+    b = B.backtest(g, ("seasonal_naive", "ses"), starts=origins_of(spark, sf_dir)).where("fold > 3").join(M.adi_cv2(g, "level", "key").select("level", "key", "class"), ["level", "key"])
     e = F.abs(F.col("y") - F.col("yhat"))
     per = b.groupBy("key", "class").agg(F.sum(F.when(F.col("method") == "ses", e)).alias("s"), F.sum(F.when(F.col("method") == "seasonal_naive", e)).alias("v"), F.sum(F.when(F.col("method") == "ses", F.abs("y"))).alias("a"))
     return per.groupBy("class").agg(F.count("*").alias("n"), r6(F.avg((F.col("s") < F.col("v")).cast("int")), "win_rate"), r6(F.try_divide(F.sum("s"), F.nullif(F.sum("a"), F.lit(0.0))), "ses_wmape"))
@@ -293,13 +293,13 @@ def R5_recon_report(spark, sf_dir):
     """Base, bottom-up and middle-out by level on the last fold, and the best of each level."""
     s = sales(spark, sf_dir)
     g = grid_of(spark, sf_dir, *UPPER)
-    f = B.backtest(g, ("ses",)).where("fold = 6").select("level", "key", "h", "y", F.col("yhat").alias("value"))
+    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6").select("level", "key", "h", "y", F.col("yhat").alias("value"))
     places = s.select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct()
     edge = R.edges(places, UPPER)
     actual = f.select("level", "key", "h", "y")
     bottom = f.where("level = 'store'").select(F.col("key").alias("bkey"), "h", "value")
     up = R.bottom_up(edge, bottom, "h").join(actual, ["level", "key", "h"])
-    before = s.crossJoin(F.broadcast(P.origins(g).where("fold = 6").select("origin"))).where("date < origin").withColumnRenamed("units", "y")
+    before = s.crossJoin(F.broadcast(last_origin(spark, sf_dir))).where("date < origin").withColumnRenamed("units", "y")
     middle = R.middle_out(f.where("level = 'state'").select(F.col("key").alias("state_id"), "h", "value"), R.proportions(before, "store_id", "state_id"), "state_id")
     out = R.bottom_up(edge, middle.select(F.col("store_id").alias("bkey"), "h", "value"), "h").join(actual, ["level", "key", "h"])
     cols = ["level", "y", "value"]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import ALL, grid_of
+from demandloom.catalogue.base import ALL, grid_of, last_origin, origins_of
 from demandloom.catalogue.decide import items_of
 from demandloom.catalogue.registry import Catalogue, r6
 from demandloom.catalogue.sql import with_
@@ -163,9 +163,8 @@ def E13_cross_price(spark, sf_dir):
 
 def _feature_rows(spark, sf_dir, level: str = "store"):
     g = X.exogenous(grid_of(spark, sf_dir, level, measures=ALL))
-    cal = P.calendar(g.select("date").distinct()).select("date", "event")
-    f = X.add_features(g.join(cal, "date"))
-    return f.crossJoin(F.broadcast(P.origins(f.select("date")).where("fold = 6").select("origin")))
+    f = X.add_features(g.withColumn("event", P.event_of(F.col("date"))))
+    return f.crossJoin(F.broadcast(last_origin(spark, sf_dir)))
 
 
 @C.query()
@@ -194,7 +193,7 @@ def B7_boosted_quantiles(spark, sf_dir):
 def B12_deep_forecast(spark, sf_dir):
     """The residual network on windows of all stores before the last origin: its error by store."""
     g = grid_of(spark, sf_dir, "store").cache()
-    o = P.origins(g).where("fold = 6")
+    o = origins_of(spark, sf_dir).where("fold = 6")
     before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
     net = D.fit_network(D.training_windows(before, stride=9), budget=4_000, epochs=8, width=64)
     h = B.histories(g, o)
@@ -206,7 +205,7 @@ def B12_deep_forecast(spark, sf_dir):
 def R7_series_sweep(spark, sf_dir):
     """Error over growing numbers of series: seasonal naive, network, and the value added."""
     g = grid_of(spark, sf_dir, "store_cat").cache()
-    o = P.origins(g).where("fold = 6")
+    o = origins_of(spark, sf_dir).where("fold = 6")
     before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
     keys = g.select("key").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("key").cast("binary")))))
     out = None
@@ -215,7 +214,7 @@ def R7_series_sweep(spark, sf_dir):
         net = D.fit_network(D.training_windows(before.join(some, "key", "left_semi"), stride=28), budget=2_000, epochs=3, width=32)
         h = B.histories(g.join(some, "key", "left_semi"), o).cache()
         actual = h.select("key", F.posexplode("actual").alias("h0", "y"), B.seasonal_naive(F.col("ys"), F.lit(1)).alias("x")).select("key", (F.col("h0") + 1).alias("h"), "y")
-        naive = B.backtest(g.join(some, "key", "left_semi"), ("seasonal_naive",)).where("fold = 6").select("key", "h", F.col("yhat").alias("naive"))
+        naive = B.backtest(g.join(some, "key", "left_semi"), ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6").select("key", "h", F.col("yhat").alias("naive"))
         row = D.forecast(h, net).join(actual, ["key", "h"]).join(naive, ["key", "h"]).agg(F.lit(n).alias("series"), r6(M.wmape("y", "naive"), "seasonal_naive"), r6(M.wmape(), "deep"), r6(M.wmape("y", "naive") - M.wmape(), "fva"))
         out = row if out is None else out.unionByName(row)
     return out
@@ -223,7 +222,7 @@ def R7_series_sweep(spark, sf_dir):
 
 def _tails(spark, sf_dir, *levels: str):
     g = grid_of(spark, sf_dir, *levels)
-    o = F.broadcast(P.origins(g).where("fold = 6").select("origin"))
+    o = F.broadcast(last_origin(spark, sf_dir))
     r = g.withColumn("r", F.col("y") - F.lag("y", 7).over(X.by_date())).crossJoin(o).where("date < origin AND r IS NOT NULL")
     return g, R.residual_tail(r, "r", 180, "level", "key")
 
@@ -235,7 +234,7 @@ def H7_mint(spark, sf_dir):
     g, tails = _tails(spark, sf_dir, *levels)
     tails = tails.cache()
     edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels).cache()
-    f = B.backtest(g, ("ses",)).where("fold = 6").cache()
+    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6").cache()
     base = f.select("level", "key", "h", F.col("yhat").alias("value"))
     out = None
     for method in ("ols", "wls", "shrink"):
@@ -252,7 +251,7 @@ def H12_joint_samples(spark, sf_dir):
     """Joint draws for stores, summed up: quantiles by level, and the gap to summed store quantiles."""
     levels = ("total", "state", "store")
     g, tails = _tails(spark, sf_dir, "store")
-    points = B.backtest(g, ("seasonal_naive",)).where("fold = 6 AND h <= 7").select(F.col("key").alias("bkey"), F.col("h").cast("int").alias("h"), F.col("yhat").alias("value"))
+    points = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6 AND h <= 7").select(F.col("key").alias("bkey"), F.col("h").cast("int").alias("h"), F.col("yhat").alias("value"))
     draws = PR.bottom_samples(points, tails.select(F.col("key").alias("bkey"), "tail"), 200)
     edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels)
     week = draws.groupBy("bkey", "sample").agg(F.sum("value").alias("value"))

@@ -76,9 +76,12 @@ def histories(grid: DataFrame, folds: DataFrame) -> DataFrame:
     return met.select("fold", "level", "key", F.slice(ys, F.lit(1), n).alias("ys"), F.slice(ys, n + 1, F.lit(HORIZON)).alias("actual"))
 
 
-def backtest(grid: DataFrame, methods: tuple[str, ...] = tuple(BASELINES), folds: int = FOLDS) -> DataFrame:
-    """(fold, level, key, method, h, y, yhat): every method on every fold and day of the horizon."""
-    hist = histories(grid, origins(grid, folds))
+def backtest(grid: DataFrame, methods: tuple[str, ...] = tuple(BASELINES), folds: int = FOLDS, starts: DataFrame | None = None) -> DataFrame:
+    """(fold, level, key, method, h, y, yhat): every method on every fold and day of the horizon.
+
+    starts: (fold, origin), where they are known more cheaply than from the grid's days.
+    """
+    hist = histories(grid, origins(grid, folds) if starts is None else starts)
     # what does not depend on the day is computed once per history
     once = hist.withColumns({f"m_{m}": BASELINES[m](F.col("ys"), F.lit(1)) for m in methods if m != "seasonal_naive"})
     tail = once.withColumn("week", F.slice("ys", F.greatest(F.size("ys") - SEASON + 1, F.lit(1)), F.least(F.size("ys"), F.lit(SEASON)))).drop("ys")

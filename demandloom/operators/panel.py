@@ -69,27 +69,28 @@ EVENTS = ("ThanksgivingRunup", "Thanksgiving", "BlackFriday", "ChristmasRunup",
 EVENT_MULTIPLIERS = {"ThanksgivingRunup": 1.9, "Thanksgiving": 0.55, "BlackFriday": 1.45, "ChristmasRunup": 1.8, "Christmas": 0.05, "NewYearEve": 1.3, "July4": 1.35, "SuperBowl": 1.5}
 
 
-def calendar(days: DataFrame) -> DataFrame:
-    """date, dow, doy, year, month, day, event, event_mult of a table of dates; no two events share a day.
-
-    The place of a weekday within its month follows from the date, so no day looks at others.
-    """
-    d = F.col("date")
-    base = days.select(d, weekday(d).alias("dow"), F.dayofyear(d).alias("doy"), F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"))
-    nth = F.floor((F.col("day") - 1) / 7) + 1
-    thanks = F.date_add(F.make_date("year", F.lit(11), F.lit(1)), F.pmod(F.lit(3) - weekday(F.make_date("year", F.lit(11), F.lit(1))), F.lit(7)) + 21)
-    event = (
+def event_of(d: Column) -> Column:
+    """Name of the event on a date, or 'none'; no two events share a day. It follows from the date, so no day looks at others."""
+    month, day = F.month(d), F.dayofmonth(d)
+    november = F.make_date(F.year(d), F.lit(11), F.lit(1))
+    thanks = F.date_add(november, F.pmod(F.lit(3) - weekday(november), F.lit(7)) + 21)
+    return (
         F.when((d >= F.date_sub(thanks, 6)) & (d < thanks), "ThanksgivingRunup")
         .when(d == thanks, "Thanksgiving")
         .when(d == F.date_add(thanks, 1), "BlackFriday")
-        .when((F.col("month") == 12) & F.col("day").between(18, 24), "ChristmasRunup")
-        .when((F.col("month") == 12) & (F.col("day") == 25), "Christmas")
-        .when((F.col("month") == 12) & (F.col("day") == 31), "NewYearEve")
-        .when((F.col("month") == 7) & (F.col("day") == 4), "July4")
-        .when((F.col("month") == 2) & (F.col("dow") == 6) & (nth == 1), "SuperBowl")
+        .when((month == 12) & day.between(18, 24), "ChristmasRunup")
+        .when((month == 12) & (day == 25), "Christmas")
+        .when((month == 12) & (day == 31), "NewYearEve")
+        .when((month == 7) & (day == 4), "July4")
+        .when((month == 2) & (weekday(d) == 6) & (day <= 7), "SuperBowl")
         .otherwise("none")
     )
-    named = base.withColumn("event", event)
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """date, dow, doy, year, month, day, event, event_mult of a table of dates."""
+    d = F.col("date")
+    named = days.select(d, weekday(d).alias("dow"), F.dayofyear(d).alias("doy"), F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"), event_of(d).alias("event"))
     multiplier = F.coalesce(*[F.when(F.col("event") == e, F.lit(m)) for e, m in EVENT_MULTIPLIERS.items()], F.lit(1.0))
     return named.withColumn("event_mult", multiplier)
 
