@@ -1,9 +1,11 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, and a sentence over several lines into its lines too; both are normalised (lower case,
-everything but letters, digits and inner dots to single spaces). Known licence sentences map to identifiers. The
-identifiers of a text in order are then matched against licence rules, which are ordered: full texts come before
-notices, notices before mentions, and each rule is a sequence of identifiers that must occur in this order.
+A text is lower-cased and read as words between two kinds of marks: sentence ends and line ends. A known licence sentence
+is found where its words stand between any two marks, so wrapped lines, blank lines, comment signs and an unterminated
+line before it (a title, a copyright line) do not hide it. A whole sentence over several lines counts beside its lines. Known sentences are cut at sentence ends as texts are: one
+with an inner 'v. ' is a sequence of pieces. The identifiers of a text in order are then matched against licence rules,
+which are ordered: full texts come before notices, notices before mentions, and each rule is a sequence of identifiers
+that must occur in this order.
 
 Everything happens within the row, in DataFrame functions: no join, no shuffle. The known sentences are a fixed list.
 """
@@ -71,10 +73,12 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 SENTENCE_END = r"[.!?;:]+(?:[ \t\n\x0b\f\r]+|\z)"
 NOT_WORD = r"[^a-z0-9.]+"
 EDGE = " ."
+#: Marks in lower-cased text, where no capital occurs: a sentence end and a line end.
+END, LINE = "E", "L"
 
 
 def normalised(sentence: str) -> str:
-    """The same normalisation as the column expression, for the fixed lists."""
+    """Lower case, everything but letters, digits and inner dots to single spaces."""
     import re
 
     return re.sub("[^a-z0-9.]+", " ", sentence.lower()).strip(EDGE)
@@ -85,20 +89,31 @@ def known_sentences() -> dict[str, str]:
     return {normalised(s): name for name, variants in SENTENCES.items() for s in variants}
 
 
-def _normal(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, NOT_WORD, " "), F.lit(EDGE))
+def known_pieces() -> dict[tuple[str, ...], str]:
+    """Normalised pieces of a sentence, cut at sentence ends as texts are -> identifier."""
+    import re
+
+    cut = re.compile(SENTENCE_END.replace(r"\z", r"\Z"))
+    return {tuple(normalised(piece) for piece in cut.split(s)): name for name, variants in SENTENCES.items() for s in variants}
+
+
+def _known_pattern() -> str:
+    """A known sentence as a whole one, with the mark that ends it, or else between any two marks; its words may be on several lines."""
+    piece = lambda p: f"[ {LINE}]++".join(w.replace(".", "[.]") for w in p.split(" "))
+    known = "|".join(f"[ {LINE}]*{END}{END}[ {LINE}]*".join(piece(p) for p in pieces) for pieces in known_pieces())
+    return f"{END}[ .{LINE}]*(?:{known})[ .{LINE}]*{END}|[{END}{LINE}][ .]*(?:{known})[ .]*(?=[{END}{LINE}])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Array of the identifiers of a text's known licence sentences, in order; null and empty texts have none."""
-    known = known_sentences()
-    chunks = F.split(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END)
-    lines = lambda c: F.when(F.instr(c, "\n") > 0, F.concat(F.array(c), F.split(c, "\n"))).otherwise(F.array(c))
-    pieces = F.flatten(F.transform(chunks, lines))
-    # a set lookup per sentence; only the few known ones reach the identifier map
-    hits = F.filter(F.transform(pieces, _normal), lambda s: s.isin(list(known)))
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(hits, lambda s: F.element_at(names, s))
+    ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END, END + END)
+    words = F.regexp_replace(F.translate(ends, "\n", LINE), f"[^a-z0-9.{END}{LINE}]+", " ")
+    hits = F.regexp_extract_all(F.concat(F.lit(END), words, F.lit(END)), F.lit(_known_pattern()), F.lit(0))
+    names = F.create_map(*[F.lit(x) for pieces, name in known_pieces().items() for x in (" ".join(pieces), name)])
+    plain = lambda s: F.btrim(F.regexp_replace(s, f"[ {END}{LINE}]+", " "), F.lit(EDGE))
+    several = lambda s: F.endswith(s, F.lit(END)) & (F.instr(s, LINE) > 0)
+    found = F.flatten(F.transform(hits, lambda s: F.when(several(s), F.concat(F.array(s), F.split(s, LINE))).otherwise(F.array(s))))
+    return F.filter(F.transform(found, lambda s: F.element_at(names, plain(s))), lambda n: n.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:

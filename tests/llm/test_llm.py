@@ -121,6 +121,66 @@ def test_license_sentences_in_order(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+ISC_BODY = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+APACHE_BODY = """Copyright [yyyy] [name of copyright owner]
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL_BODY = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_wrapped_license_texts(spark):
+    holder = "Copyright (c) 2024 Some Body\n"
+    commented = lambda t, sign: "".join(f"{sign} {line}".rstrip() + "\n" for line in t.splitlines())
+    texts = {
+        "MIT": [f"MIT License\n\n{holder}\n{MIT_BODY}", f"{holder}\n{MIT_BODY}", f"{holder}{MIT_BODY}", f"{holder}\n{MIT_BODY}".replace("\n", "\r\n")], "ISC": [f"ISC License\n\n{holder}\n{ISC_BODY}", f"{holder}{ISC_BODY}"],
+        "Apache-2.0": [APACHE_BODY, APACHE_BODY.replace("at\n\n", "at\n").replace("2.0\n\n", "2.0\n")], "MPL-2.0": [MPL_BODY, MPL_BODY.replace("v. 2.0", "v.\n2.0"), f"An unterminated title\n{MPL_BODY}"],
+    }
+    rows = [(t, name) for name, ts in texts.items() for t in ts for t in (t, commented(t, "#"), commented(t, " *"))]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(rows)])).collect()}
+    assert [(got[i].license, got[i].kind) for i in range(len(rows))] == [(name, "text") for _, name in rows]
+    assert got[0].sentence_ids == "mit-title,mit-grant,mit-condition,mit-warranty" and got[0].n_sentences == 4
+    short = [
+        (0, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "en", "a"), (1, "This Source Code Form is subject to the terms of the Mozilla Public License, v. Other words. 2.0", "en", "a"),
+        (2, "Licensed under the. MIT License", "en", "a"), (3, "not Licensed under the MIT License", "en", "a"), (4, "words\n\nLicensed under\n\nthe MIT License\n", "en", "a"),
+    ]
+    got = {r.doc_id: (r.license, r.kind, r.n_sentences) for r in licenses.scan(docs_of(spark, short)).collect()}
+    assert got == {0: ("MPL-2.0", "notice", 1), 1: (None, None, 0), 2: ("MIT", "mention", 1), 3: (None, None, 0), 4: ("MIT", "notice", 1)}
+
+
 # exact top-k
 
 
