@@ -172,7 +172,7 @@ def B6_boosted_mean(spark, sf_dir):
     """Boosted Poisson trees on the features of all stores: last fold's error next to the seasonal naive's."""
     f = _feature_rows(spark, sf_dir).cache()
     names = list(X.FEATURES)
-    models = GB.fit_models(X.training_rows(f, F.col("origin")), names, (None,), 60, 0, sample_rows=40_000)
+    models = GB.fit_models(X.training_rows(f, F.col("origin")), names, (None,), GB.TREES, 0)
     p = GB.predict(f.where("date >= origin"), models, names, ["key", "date", "y", "lag_28"])
     return p.groupBy("key").agg(r6(M.wmape("y", "mean"), "wmape"), r6(M.bias("y", "mean"), "bias"), r6(M.wmape("y", "lag_28"), "naive_wmape"))
 
@@ -182,7 +182,7 @@ def B7_boosted_quantiles(spark, sf_dir):
     """Boosted quantiles, rearranged: coverage and loss by quantile on the last fold."""
     f = _feature_rows(spark, sf_dir).cache()
     names = list(X.FEATURES)
-    models = GB.fit_models(X.training_rows(f, F.col("origin")), names, Q.SERVICE_LEVELS, 0, 30, sample_rows=20_000)
+    models = GB.fit_models(X.training_rows(f, F.col("origin")), names, Q.SERVICE_LEVELS, 0, GB.QUANTILE_TREES)
     p = GB.predict(f.where("date >= origin"), models, names, ["key", "date", "y"])
     fan = p.select("y", Q.rearranged(F.array(*[F.col(f"q_{round(100 * t)}") for t in Q.SERVICE_LEVELS])).alias("q"))
     t = Q.cross_scores(fan)
@@ -195,7 +195,7 @@ def B12_deep_forecast(spark, sf_dir):
     g = grid_of(spark, sf_dir, "store").cache()
     o = origins_of(spark, sf_dir).where("fold = 6")
     before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
-    net = D.fit_network(D.training_windows(before, stride=9), budget=4_000, epochs=8, width=64)
+    net = D.fit_network(D.training_windows(before))
     h = B.histories(g, o)
     actual = h.select("key", F.posexplode("actual").alias("h0", "y")).select("key", (F.col("h0") + 1).alias("h"), "y")
     return D.forecast(h, net).join(actual, ["key", "h"]).groupBy("key").agg(r6(M.wmape(), "wmape"), r6(M.bias(), "bias"))
@@ -203,15 +203,20 @@ def B12_deep_forecast(spark, sf_dir):
 
 @C.query()
 def R7_series_sweep(spark, sf_dir):
-    """Error over growing numbers of series: seasonal naive, network, and the value added."""
+    """Error over growing numbers of series: seasonal naive, network, and the value added.
+
+    All arms train on the same number of windows, so that only the number of series they come from grows.
+    """
     g = grid_of(spark, sf_dir, "store_cat").cache()
     o = origins_of(spark, sf_dir).where("fold = 6")
     before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
     keys = g.select("key").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("key").cast("binary")))))
+    size = before.agg(F.count_distinct("key").alias("series"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("days")).first()
+    arms, budget = D.sweep_arms(size["series"], size["days"])
     out = None
-    for n in (10, 50, 150):
+    for n in arms:
         some = keys.where(F.col("r") <= n).select("key")
-        net = D.fit_network(D.training_windows(before.join(some, "key", "left_semi"), stride=28), budget=2_000, epochs=3, width=32)
+        net = D.fit_network(D.training_windows(before.join(some, "key", "left_semi"), D.fixed_stride(size["days"], n, budget)), budget)
         h = B.histories(g.join(some, "key", "left_semi"), o).cache()
         actual = h.select("key", F.posexplode("actual").alias("h0", "y"), B.seasonal_naive(F.col("ys"), F.lit(1)).alias("x")).select("key", (F.col("h0") + 1).alias("h"), "y")
         naive = B.backtest(g.join(some, "key", "left_semi"), ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6").select("key", "h", F.col("yhat").alias("naive"))

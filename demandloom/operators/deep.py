@@ -103,6 +103,12 @@ def fixed_stride(days: int, n_series: int, budget: int = WINDOW_BUDGET, back: in
     return max(1, (days - back - ahead) // max(1, budget // max(1, n_series)))
 
 
+def sweep_arms(n_series: int, days: int, back: int = BACK, ahead: int = AHEAD) -> tuple[tuple[int, ...], int]:
+    """Numbers of series up to all of them, and the windows that each arm trains on: as many as the narrowest has, at most the budget."""
+    arms = tuple(sorted({max(1, n_series // 15), max(1, n_series // 3), n_series}))
+    return arms, min(WINDOW_BUDGET, arms[0] * max(1, days - back - ahead + 1))
+
+
 def sample_windows(windows: DataFrame, budget: int) -> DataFrame:
     """At most about budget windows, by a hash of (key, t)."""
     share = min(1.0, budget / max(windows.count(), 1))

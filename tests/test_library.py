@@ -14,6 +14,7 @@ from demandloom.functions import metrics as M
 from demandloom.functions import quantiles as Q
 from demandloom.operators import baselines as B
 from demandloom.operators import boosting as GB
+from demandloom.operators import deep as D
 from demandloom.operators import elasticity as E
 from demandloom.operators import features as X
 from demandloom.operators import gate as G
@@ -205,6 +206,36 @@ def duck():
 CHECKED = ("S1_scan_project", "P4_date_filters", "J1_calendar_join", "A2_multi_agg", "A9_ordered_stats", "A19_leave_one_out", "W2_rolling", "W10_gaps", "M1_wmape_by_level", "M5_intermittency", "A15_pivot_wmape", "B4_croston", "H7_mint_two_level", "H13_reconcile_draws", "Q1_pinball_table", "L2_bootstrap_lcg", "C5_gates", "E9_shrinkage", "K2_schedules", "V4_orders", "V5_override_latest", "S6_nested_parquet", "ST1_daily_events")
 
 
+def test_models_are_trained_at_full_size(spark, monkeypatch):
+    trees, windows = [], []
+    small_models, small_network = GB.fit_models, D.fit_network
+
+    def models(rows, features, taus, n, n_quantile, sample_rows=GB.SAMPLE_ROWS, depth=GB.DEPTH):
+        trees.append((n, n_quantile, sample_rows, depth))
+        return small_models(rows, features, taus, 1, 1, 1000, 1)
+
+    def network(rows, budget=D.WINDOW_BUDGET, epochs=12, width=256, seed=0):
+        windows.append((D.sample_windows(rows, budget).count(), rows.count(), epochs, width))
+        return small_network(rows, 50, 1, 8)
+
+    monkeypatch.setattr(GB, "fit_models", models)
+    monkeypatch.setattr(D, "fit_network", network)
+    for name in ("B6_boosted_mean", "B7_boosted_quantiles", "B12_deep_forecast", "R7_series_sweep"):
+        assert catalogue.queries()[name](spark, SF).count() > 0
+    assert trees == [(220, 0, 100_000, 5), (0, 140, 100_000, 5)]
+    assert all(w[2:] == (12, 256) for w in windows)
+    assert windows[0][0] == windows[0][1]
+    used = [w[0] for w in windows[1:]]
+    assert len(used) == 3 and max(used) < 1.05 * min(used) and min(used) > 9_000
+
+
+def test_sweep_sizes_follow_the_table():
+    assert D.sweep_arms(150, 2400) == ((10, 50, 150), 10 * 2317)
+    assert D.sweep_arms(30_000, 1913) == ((2_000, 10_000, 30_000), 150_000)
+    assert D.sweep_arms(1, 50) == ((1,), 1)
+
+
+
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.queries()[name](spark, SF)
