@@ -257,7 +257,7 @@ def H12_joint_samples(spark, sf_dir):
     levels = ("total", "state", "store")
     g, tails = _tails(spark, sf_dir, "store")
     points = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6 AND h <= 7").select(F.col("key").alias("bkey"), F.col("h").cast("int").alias("h"), F.col("yhat").alias("value"))
-    draws = PR.bottom_samples(points, tails.select(F.col("key").alias("bkey"), "tail"), 200)
+    draws = PR.bottom_samples(points, tails.select(F.col("key").alias("bkey"), "tail"))
     edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels)
     week = draws.groupBy("bkey", "sample").agg(F.sum("value").alias("value"))
     return PR.level_ratios(PR.reconcile_draws(edge, week), "store", 0.95).select("level", r6("q95", "q95"), r6("ratio", "ratio"), r6("gap", "gap"))
@@ -274,7 +274,7 @@ def L9_compare_methods(spark, sf_dir):
     per = g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(recent).alias("point"), F.percentile(F.when(F.col("date") > F.date_sub("b", 180), F.col("y")), F.array(*[F.lit(t) for t in taus])).alias("daily")).cache()
     out = None
     for days in (7, 14, 28):
-        q = L.leadtime_quantiles(L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), days, 200, start=L.hashed_start())), taus)
+        q = L.leadtime_quantiles(L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), days, L.SAMPLES, start=L.hashed_start())), taus)
         met = q.join(per, "key").withColumn("length", F.lit(days))
         sigma = F.sqrt(F.aggregate("pool", F.lit(0.0), lambda a, x: a + x * x) / F.size("pool")) * F.sqrt(F.greatest("point", F.lit(0.25)))
         iid = F.coalesce(*[F.when(F.col("tau") == t, L.iid_normal(F.col("point") * days, sigma, F.col("length"), t)) for t in taus])

@@ -11,6 +11,8 @@ from demandloom.functions.quantiles import normal_quantile
 
 BLOCK = 7
 LEAST_POOL = 30
+#: Paths drawn for a series.
+SAMPLES = 4_000
 
 
 def standardised(error: Column, point: Column) -> Column:

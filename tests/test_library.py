@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandloom import catalogue
+from demandloom.functions import leadtime as L
 from demandloom.functions import metrics as M
 from demandloom.functions import quantiles as Q
 from demandloom.operators import baselines as B
@@ -20,6 +21,7 @@ from demandloom.operators import features as X
 from demandloom.operators import gate as G
 from demandloom.operators import markdown as K
 from demandloom.operators import panel as P
+from demandloom.operators import probabilistic as PR
 from demandloom.operators import reconcile as R
 from demandloom.operators import regression as RG
 
@@ -229,6 +231,16 @@ def test_models_are_trained_at_full_size(spark, monkeypatch):
     assert len(used) == 3 and max(used) < 1.05 * min(used) and min(used) > 9_000
 
 
+def test_draws_are_as_many_as_the_methods_need(spark, monkeypatch):
+    counts = []
+    paths, joint = L.daily_paths, PR.bottom_samples
+    monkeypatch.setattr(L, "daily_paths", lambda a, b, days, n, start: counts.append(n) or paths(a, b, days, 20, start=start))
+    monkeypatch.setattr(PR, "bottom_samples", lambda a, b, samples=500, **kw: counts.append(samples) or joint(a, b, 20, **kw))
+    for name in ("L9_compare_methods", "H12_joint_samples"):
+        assert catalogue.queries()[name](spark, SF).count() > 0
+    assert counts == [4000, 4000, 4000, 500]
+
+
 def test_sweep_sizes_follow_the_table():
     assert D.sweep_arms(150, 2400) == ((10, 50, 150), 10 * 2317)
     assert D.sweep_arms(30_000, 1913) == ((2_000, 10_000, 30_000), 150_000)
