@@ -5,9 +5,10 @@ probabilities; a text is its words, then an end. Since no piece reaches over the
 of a text factors at word boundaries, and the marginal of a text is the sum of its words' log marginals: the forward
 recursion runs once per different word, over many words at a time.
 
-Piece probabilities start from the vocabulary's own scores and are fitted to the training words by expected counts
-(forward-backward). A merge vocabulary's scores are ranks; they enter as a Zipf law over ranks. Pieces, bytes and the
-end share one distribution, so the model's probabilities of all texts sum to at most 1.
+The vocabulary's own scores weight the segmentations of the training words; from these weights come the expected
+uses of each piece (forward-backward), and from the uses the probabilities that score texts. A merge vocabulary's
+scores are ranks; they enter as a Zipf law over ranks. Pieces, bytes and the end share one distribution, so the
+model's probabilities of all texts sum to at most 1. Bytes that are no UTF-8 are scored as byte pieces.
 
 Work is arranged around the words table (word, count in training): built with map-side sums and shuffled once by
 word. The most frequent words, a fixed number, go to the workers as a dictionary; a document's other words are joined
@@ -16,10 +17,12 @@ by word. No word of that join is frequent, so the join has no hot key, and its r
 
 from __future__ import annotations
 
+import math
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +36,67 @@ from demandloom.llm.pieces import DEFAULT_MODEL, MARK, Vocabulary, read_model
 HEAD_WORDS = 100_000
 FLUSH_WORDS = 300_000
 #: Rounds of expected counts, and the weight of the vocabulary's own scores among them, in pieces.
-ROUNDS = 3
+ROUNDS = 2
 PRIOR_PIECES = 2_000.0
-#: Longer words are scored one by one.
+#: Longer words go through the recursion one by one, in windows of so many characters.
 LONG_WORD = 40
+WINDOW = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class SuffixTable:
+    """Hashes of all endings of the pieces: whether an ending is a piece, and whether a longer piece ends in it.
+
+    Open addressing over two flat arrays; a code is 2 * (piece id + 1) plus 1 if a longer piece has this ending.
+    """
+
+    def __init__(self, pieces: list[tuple[str, int]]):
+        codes: dict[int, int] = {}
+        for piece, i in pieces:
+            value = 0
+            for n, c in enumerate(reversed(piece), 1):
+                value = (value + ord(c) + 1) * int(_MIX) & (1 << 64) - 1
+                value ^= value >> 29
+                codes[value] = codes.get(value, 0) | (2 * (i + 1) if n == len(piece) else 1)
+        bits = max(4, (4 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.codes = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        for key, code in codes.items():
+            at = key >> 64 - bits
+            while self.codes[at]:
+                at = (at + 1) & self.mask
+            self.keys[at], self.codes[at] = key, code
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes by hash; 0: no piece ends so."""
+        at = (hashes >> self.shift).astype(np.int64)
+        out = self.codes[at]
+        wrong = np.flatnonzero((self.keys[at] != hashes) & (out != 0))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            out[wrong] = self.codes[at[wrong]]
+            wrong = wrong[(self.keys[at[wrong]] != hashes[wrong]) & (out[wrong] != 0)]
+        return out
+
+
 @dataclass
-class Lattice:
-    """Sorted hashes of the pieces, their ids, and log probabilities by id; the last id is the end of a text."""
+class Arcs:
+    """Arcs of some words' lattices: states they lead from and to, piece ids (-1 - c: character c as bytes), and the runs.
 
-    hashes: np.ndarray
+    Arcs of a run have different ends and different starts; an arc's start is the end of arcs in earlier runs only.
+    """
+
+    start: np.ndarray
+    end: np.ndarray
     ids: np.ndarray
+    runs: np.ndarray  # bounds of the runs
+
+
+@dataclass
+class Lattice:
+    """The endings of the pieces and log probabilities by id; the last id is the end of a text."""
+
+    table: SuffixTable
     longest: int
     first_byte: int
     logs: np.ndarray
@@ -68,11 +119,9 @@ class Lattice:
             logs[own] = scores[own]
         logs[bytes_] = logs[own].min()
         logs -= np.log(np.exp(logs[np.isfinite(logs)]).sum())
-        hashes = np.array([_hash_of(p) for p, _ in usable], np.uint64)
-        at = np.argsort(hashes)
         # 256 byte pieces in order, or none: then a character outside the vocabulary has the lowest probability once per byte
         first_byte = bytes_[0] if len(bytes_) == 256 else -1
-        return cls(hashes[at], own[at], max(len(p) for p, _ in usable), first_byte, logs)
+        return cls(SuffixTable(usable), max(len(p) for p, _ in usable), first_byte, logs)
 
     def fitted(self, counts: np.ndarray, ends: float) -> Lattice:
         """With probabilities from expected counts by id, the number of texts, and the present ones as a prior."""
@@ -82,104 +131,156 @@ class Lattice:
         total = counts + prior
         total[-1] = ends + 1.0
         with np.errstate(divide="ignore"):
-            return Lattice(self.hashes, self.ids, self.longest, self.first_byte, np.log(total) - np.log(total.sum()))
+            return replace(self, logs=np.log(total) - np.log(total.sum()))
 
-    def _byte_log(self, char: int) -> tuple[float, list[int]]:
+    def _bytes_of(self, char: int) -> list[int]:
         raw = chr(char).encode("utf-8", "surrogateescape")
-        if self.first_byte < 0:
-            return float(len(raw) * self.logs[np.isfinite(self.logs)].min()), []
-        ids = [self.first_byte + b for b in raw]
-        return float(self.logs[ids].sum()), ids
-
-    def _arcs(self, words: list[str], lengths: np.ndarray) -> tuple[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Arcs (end, length) -> (rows, piece ids) over marked words of any lengths up to the widest; ids -1-c: character c as bytes."""
-        width = int(lengths.max())
-        codes = np.zeros((len(words), width), np.uint64)
-        codes[np.arange(width)[None, :] < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        arcs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        with np.errstate(over="ignore"):
-            for end in range(1, width + 1):
-                rows = np.flatnonzero(lengths >= end)
-                value = np.zeros(len(rows), np.uint64)
-                for length in range(1, min(end, self.longest) + 1):
-                    value = (value + codes[rows, end - length] + np.uint64(1)) * _MIX
-                    value ^= value >> np.uint64(29)
-                    at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
-                    hit = self.hashes[at] == value
-                    if length == 1 and not hit.all():
-                        missing = -1 - codes[rows[~hit], end - 1].astype(np.int64)
-                        arcs[end, length] = (np.concatenate([rows[hit], rows[~hit]]), np.concatenate([self.ids[at[hit]], missing]))
-                    elif hit.any():
-                        arcs[end, length] = (rows[hit], self.ids[at[hit]])
-        return arcs, codes
+        return [self.first_byte + b for b in raw] if self.first_byte >= 0 else [-1] * len(raw)
 
     def _weights(self, ids: np.ndarray) -> np.ndarray:
         out = self.logs[np.maximum(ids, 0)]
-        for c in np.unique(ids[ids < 0]):
-            out[ids == c] = self._byte_log(-1 - int(c))[0]
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            lowest = self.logs[np.isfinite(self.logs)].min()
+            chars, which = np.unique(ids[unknown], return_inverse=True)
+            each = [sum(self.logs[i] if i >= 0 else lowest for i in self._bytes_of(-1 - int(c))) for c in chars]
+            out[unknown] = np.array(each)[which]
         return out
 
-    def _forward(self, arcs: dict, n: int, width: int) -> np.ndarray:
-        alpha = np.full((width + 1, n), -np.inf)
-        alpha[0] = 0.0
-        for (end, length), (rows, ids) in arcs.items():  # by end, then length
-            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - length, rows] + self._weights(ids))
+    def _arcs(self, codes: np.ndarray, depth: np.ndarray, at: np.ndarray, words: np.ndarray | int) -> Arcs:
+        """Arcs that end at the places `at` of the characters: depth counts from the word's start, words is the number of words before."""
+        places, lengths, ids = [], [], []
+        value = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, self.longest + 1):
+                value = (value + codes[at - n + 1] + np.uint64(1)) * _MIX
+                value ^= value >> np.uint64(29)
+                code = self.table(value)
+                piece = (code >> 1) - 1
+                if n == 1:  # a character outside the vocabulary has its bytes
+                    piece = np.where(piece >= 0, piece, -1 - codes[at].astype(np.int64))
+                    hit = np.arange(len(at))
+                else:
+                    hit = np.flatnonzero(piece >= 0)
+                places.append(at[hit])
+                lengths.append(np.full(len(hit), n, np.int64))
+                ids.append(piece[hit].astype(np.int64))
+                longer = (code & 1 == 1) & (depth[at] > n)
+                at, value = at[longer], value[longer]
+                if not len(at):
+                    break
+        place, length, id_ = np.concatenate(places), np.concatenate(lengths), np.concatenate(ids)
+        end = place + 1 + (words[place] if isinstance(words, np.ndarray) else words)
+        group = depth[place] * (self.longest + 1) + length
+        order = np.argsort(group, kind="stable")
+        runs = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]])
+        return Arcs((end - length)[order], end[order], id_[order], runs)
+
+    def _short(self, words: list[str]) -> tuple[Arcs, np.ndarray, np.ndarray, int]:
+        """Arcs over marked words of ordinary lengths, the first and last state of each, and the number of states."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        row = np.repeat(np.arange(len(words)), lengths)
+        depth = np.arange(len(row)) - first[row] + 1
+        arcs = self._arcs(_codes(words), depth, np.arange(len(row)), row)
+        return arcs, first + np.arange(len(words)), first + lengths + np.arange(len(words)), len(row) + len(words)
+
+    @staticmethod
+    def _forward(arcs: Arcs, weights: np.ndarray, first: np.ndarray, states: int) -> np.ndarray:
+        alpha = np.full(states, -np.inf)
+        alpha[first] = 0.0
+        for a, b in zip(arcs.runs[:-1], arcs.runs[1:], strict=True):
+            end = arcs.end[a:b]
+            alpha[end] = np.logaddexp(alpha[end], alpha[arcs.start[a:b]] + weights[a:b])
         return alpha
 
-    def marginals(self, words: list[str]) -> np.ndarray:
-        """Natural log of the marginal probability of each word (without its mark in the argument)."""
-        out = np.empty(len(words))
-        for at, marked, lengths in _groups(words):
-            arcs, _ = self._arcs(marked, lengths)
-            alpha = self._forward(arcs, len(marked), int(lengths.max()))
-            out[at] = alpha[lengths, np.arange(len(marked))]
+    def marginals(self, words: list[str], *others: Lattice) -> list[np.ndarray]:
+        """Natural log of the marginal probability of each word (without its mark in the argument).
+
+        One array for this lattice and one for each of others, which differ in their probabilities only.
+        """
+        models = (self, *others)
+        out = [np.empty(len(words)) for _ in models]
+        short, long_ = _by_length(words)
+        if len(short):
+            arcs, first, last, states = self._short([MARK + words[i] for i in short])
+            for m, scores in zip(models, out, strict=True):
+                scores[short] = self._forward(arcs, m._weights(arcs.ids), first, states)[last]
+        for i in long_:
+            for m, scores in zip(models, out, strict=True):
+                scores[i] = m._long(MARK + words[i])[-1]
         return out
 
+    def _windows(self, codes: np.ndarray) -> Iterator[Arcs]:
+        depth = np.arange(1, len(codes) + 1)
+        for a in range(0, len(codes), WINDOW):
+            yield self._arcs(codes, depth, np.arange(a, min(a + WINDOW, len(codes))), 0)
+
+    def _long(self, word: str) -> np.ndarray:
+        """Forward scores of one word by position; arcs are held for one window at a time."""
+        alpha = [-math.inf] * (len(word) + 1)
+        alpha[0] = 0.0
+        for arcs in self._windows(_codes([word])):
+            for start, end, w in zip(arcs.start.tolist(), arcs.end.tolist(), self._weights(arcs.ids).tolist(), strict=True):
+                alpha[end] = _add(alpha[end], alpha[start] + w)
+        return np.array(alpha)
+
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece over words that occur so often."""
         total = np.zeros(len(self.logs))
-        for at, marked, lengths in _groups(words):
-            arcs, _ = self._arcs(marked, lengths)
-            width, n = int(lengths.max()), len(marked)
-            alpha = self._forward(arcs, n, width)
-            beta = np.full((width + 1, n), -np.inf)
-            beta[lengths, np.arange(n)] = 0.0
-            all_ = alpha[lengths, np.arange(n)]
-            for (end, length), (rows, ids) in reversed(arcs.items()):
-                through = beta[end, rows] + self._weights(ids)
-                use = np.exp(alpha[end - length, rows] + through - all_[rows]) * counts[at][rows]
-                known = ids >= 0
-                np.add.at(total, ids[known], use[known])
-                for c in np.unique(ids[~known]):
-                    for i in self._byte_log(-1 - int(c))[1]:
-                        total[i] += use[ids == c].sum()
-                beta[end - length, rows] = np.logaddexp(beta[end - length, rows], through)
+        short, long_ = _by_length(words)
+        if len(short):
+            arcs, first, last, states = self._short([MARK + words[i] for i in short])
+            weights = self._weights(arcs.ids)
+            alpha = self._forward(arcs, weights, first, states)
+            beta = np.full(states, -np.inf)
+            # a state's number of uses: log of the count less the word's marginal
+            beta[last] = np.log(counts[short]) - alpha[last]
+            use = np.empty(len(weights))
+            for a, b in zip(arcs.runs[-2::-1], arcs.runs[:0:-1], strict=True):
+                start, through = arcs.start[a:b], beta[arcs.end[a:b]] + weights[a:b]
+                use[a:b] = alpha[start] + through
+                beta[start] = np.logaddexp(beta[start], through)
+            self._count(total, arcs.ids, np.exp(use))
+        for i in long_:
+            codes = _codes([MARK + words[i]])
+            alpha = self._long(MARK + words[i])
+            back = [-math.inf] * len(alpha)
+            back[-1] = math.log(counts[i]) - alpha[-1]
+            for arcs in reversed(list(self._windows(codes))):
+                weights = self._weights(arcs.ids)
+                through = np.empty(len(weights))
+                for k in range(len(weights) - 1, -1, -1):
+                    through[k] = back[arcs.end[k]] + weights[k]
+                    back[arcs.start[k]] = _add(back[arcs.start[k]], through[k])
+                self._count(total, arcs.ids, np.exp(alpha[arcs.start] + through))
         return total
 
+    def _count(self, total: np.ndarray, ids: np.ndarray, uses: np.ndarray) -> None:
+        known = ids >= 0
+        total += np.bincount(ids[known], weights=uses[known], minlength=len(total))
+        chars, which = np.unique(ids[~known], return_inverse=True)
+        for c, n in zip(chars, np.bincount(which, weights=uses[~known], minlength=len(chars)), strict=True):
+            for i in self._bytes_of(-1 - int(c)):
+                if i >= 0:
+                    total[i] += n
+
+
+def _add(a: float, b: float) -> float:
+    """Log of the sum of two exponentials."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
 
-def _hash_of(piece: str) -> int:
-    value = 0
-    for c in reversed(piece):
-        value = (value + ord(c) + 1) * int(_MIX) & (1 << 64) - 1
-        value ^= value >> 29
-    return value
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of all words; a byte that is no UTF-8 is a lone surrogate."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _groups(words: list[str]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """Marked words in runs of similar lengths and bounded size: (places, words, lengths)."""
-    marked = [MARK + w for w in words]
-    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-    order = np.argsort(lengths, kind="stable")
-    at = 0
-    while at < len(order):
-        widest = int(lengths[order[at]])
-        stop = at + 1
-        limit = 1 if widest > LONG_WORD else 20_000
-        while stop < len(order) and stop - at < limit and lengths[order[stop]] <= widest + 1:
-            stop += 1
-        some = order[at:stop]
-        yield some, [marked[i] for i in some], lengths[some]
-        at = stop
+def _by_length(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    long_ = np.fromiter((len(w) >= LONG_WORD for w in words), bool, len(words))
+    return np.flatnonzero(~long_), np.flatnonzero(long_)
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -204,102 +305,135 @@ def word_table(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text", "learn"), count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _shown(words: pa.Array) -> list[str]:
+    return [w.decode("utf-8", "surrogateescape") for w in words.to_pylist()]
+
+
 def _expected_counts(words: DataFrame, lattice: Lattice) -> np.ndarray:
     """Summed over all tasks: one row per piece at most comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.logs))
         for batch in batches:
-            shown = [w.decode("utf-8", "surrogateescape") for w in batch.column(0).to_pylist()]
-            total += lattice.expected(shown, batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+            if batch.num_rows:
+                total += lattice.expected(_shown(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
 
-    rows = map_arrow(words.where("c > 0").select("word", "c"), run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+    uses = map_arrow(words.where("c > 0").select("word", "c"), run, "piece int, uses double")
     out = np.zeros(len(lattice.logs))
-    for r in rows:
+    for r in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
         out[r["piece"]] = r["uses"]
     return out
 
 
-def _with_marginals(words: DataFrame, lattice: Lattice) -> DataFrame:
+def _with_marginals(words: DataFrame, fitted: Lattice, own: Lattice) -> DataFrame:
+    """lp and own_lp: log10 marginals under the fitted probabilities and under the vocabulary's own scores."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shown = [w.decode("utf-8", "surrogateescape") for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.marginals(shown) / np.log(10.0))], ["word", "c", "lp"])
+            if batch.num_rows:
+                scores = [pa.array(x / math.log(10.0)) for x in fitted.marginals(_shown(batch.column(0)), own)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *scores], ["word", "c", "lp", "own_lp"])
+
+    return map_arrow(words.select("word", "c"), run, "word binary, c long, lp double, own_lp double")
 
-    return map_arrow(words.select("word", "c"), run, "word binary, c long, lp double")
+
+SUMS = ("n_tokens", "n_known", "base_score", "score", "own_score")
 
 
 def score_texts(docs: DataFrame, learn: str = "learn", model: str | bytes = DEFAULT_MODEL, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, then the contract's columns for every row of docs (doc_id, text, and the boolean column learn).
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, over whole texts; a null text is an empty one, so an end
-    only. Rows are kept one for one: equal rows (doc_id and text) are summed and divided again. Without any training
-    row, counts are 0, the base probability is 1 / (V + 1) with V = 0, and pieces keep the vocabulary's own scores.
+    only. own_score is the log10 marginal under the vocabulary's own scores, with the same probability of an end.
+    Rows are kept one for one: equal rows (doc_id and text) are summed and divided again. Without any training row,
+    counts are 0, the base probability is 1 / (V + 1) with V = 0, and pieces keep the vocabulary's own scores. Words
+    of any length and bytes that are no UTF-8 have a probability.
     """
-    import uuid
-
     proto = model if isinstance(model, bytes) else read_model(model)
-    rows = docs.select("doc_id", "text", F.col(learn).alias("learn"))
+    rows = docs.select("doc_id", "text", F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
     words = durable(word_table(rows), "lm-words")
     totals = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = rows.where("learn").count()
     n_train = (totals["n"] or 0) + ends
     v = (totals["v"] or 0) + (1 if ends else 0)
-    lattice = Lattice.from_model(proto)
+    start = Lattice.from_model(proto)
+    lattice = start
     for _ in range(rounds):
         lattice = lattice.fitted(_expected_counts(words, lattice), ends)
     if not rounds:
         lattice = lattice.fitted(np.zeros(len(lattice.logs)), ends)
-    scored = durable(_with_marginals(words, lattice), "lm-scored")
-    base_unit = float(np.log10(n_train + (v + 1)))
-    end_base, end_score = float(np.log10(ends + 1)) - base_unit, float(lattice.logs[-1] / np.log(10.0))
-    top = scored.orderBy(F.desc("c"), "word").limit(head_words).collect()
-    head = docs.sparkSession.sparkContext.broadcast(pickle.dumps({bytes(r["word"]): (r["c"], r["lp"]) for r in top}))
+    scored = durable(_with_marginals(words, lattice, start), "lm-scored")
+    base_unit = math.log10(n_train + (v + 1))
+    end_base, end_score = math.log10(ends + 1) - base_unit, float(lattice.logs[-1] / math.log(10.0))
+    top = scored.orderBy(F.desc("c"), "word").limit(head_words).select("word", "c", "lp", "own_lp").toArrow()
+    facts = np.stack([top.column("c").to_numpy() > 0, np.log10(top.column("c").to_numpy() + 1.0) - base_unit, top.column("lp").to_numpy(), top.column("own_lp").to_numpy()], 1)
+    head = docs.sparkSession.sparkContext.broadcast(pickle.dumps((top.column("word").combine_chunks().to_pylist(), facts)))
     key = uuid.uuid4().hex
-    columns = ["doc_id", "mark", "word", "times", "n_tokens", "n_known", "base", "score", "rows"]
+
+    def open_head() -> tuple[dict[bytes, int], np.ndarray]:
+        names, known = pickle.loads(head.value)
+        return {w: i for i, w in enumerate(names)}, known
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document one row that sums its frequent words, and one for each other word."""
         import xxhash
 
-        known = worker_state(key, lambda: {w: (c, float(np.log10(c + 1)) - base_unit, lp) for w, (c, lp) in pickle.loads(head.value).items()})
+        number, known = worker_state(key, open_head)
+        find = number.get
         for batch in slices(batches, 1):
-            out: list[list] = [[] for _ in columns]
-            for doc, text in zip(batch.column(0).to_pylist(), bytes_list(batch.column(1)), strict=True):
-                mark = xxhash.xxh3_128_digest((b"0" if text is None else b"1" + text))
-                counts = Counter(lowered(text).split())
-                n, seen, base, score = 1, int(ends > 0), end_base, end_score
-                for word, times in counts.items():
-                    n += times
-                    got = known.get(word)
-                    if got is None:
-                        for column, x in zip(out, (doc, mark, b"w" + word, times, 0, 0, 0.0, 0.0, 0), strict=True):
-                            column.append(x)
+            texts = bytes_list(batch.column(1))
+            sums = np.zeros((len(texts), len(SUMS)))
+            marks = [xxhash.xxh3_128_digest(b"0" if t is None else b"1" + t) for t in texts]
+            rest: list[bytes] = []
+            times: list[int] = []
+            per_doc = np.zeros(len(texts), np.int64)
+            for d, text in enumerate(texts):
+                split_ = lowered(text).split()
+                before, at, k = len(rest), [], []
+                for word, n in Counter(split_).items():
+                    i = find(word)
+                    if i is None:
+                        rest.append(word)
+                        times.append(n)
                     else:
-                        seen += times * (got[0] > 0)
-                        base += times * got[1]
-                        score += times * got[2]
-                # the key of this row is no word, differs between documents and meets nothing in the join
-                for column, x in zip(out, (doc, mark, b"d" + mark, 0, n, seen, base, score, 1), strict=True):
-                    column.append(x)
-            kinds = (batch.schema.field(0).type, pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], columns)
+                        at.append(i)
+                        k.append(n)
+                per_doc[d] = len(rest) - before
+                sums[d, 0] = len(split_) + 1
+                sums[d, 1:] = (int(ends > 0), end_base, end_score, end_score)
+                sums[d, 1:] += np.array(k, np.float64) @ known[at] if at else 0.0
+            of = np.concatenate([np.arange(len(texts)), np.repeat(np.arange(len(texts)), per_doc)])
+            more = len(rest)
+            # the key of a document's own row is no word, differs between documents and meets nothing in the join
+            words_ = pa.concat_arrays([pa.array([b"d" + m for m in marks], pa.binary()), pa.array([b"w" + w for w in rest], pa.binary())])
+            tail = [pa.array(np.concatenate([sums[:, j], np.zeros(more)])) for j in range(len(SUMS))]
+            mark = pa.array(np.frombuffer(b"".join(m[:8] for m in marks), np.int64)).take(pa.array(of))
+            flag = pa.array(np.concatenate([np.ones(len(texts), np.int64), np.zeros(more, np.int64)]))
+            number_of = pa.array(np.concatenate([np.zeros(len(texts), np.int64), np.array(times, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), mark, words_, number_of, flag, *tail], ["doc_id", "mark", "word", "times", "rows", *SUMS])
 
     doc_type = rows.schema["doc_id"].dataType.simpleString()
-    parts = map_arrow(rows.select("doc_id", "text"), split, f"doc_id {doc_type}, mark binary, word binary, times long, n_tokens long, n_known long, base double, score double, rows long")
-    keyed = scored.select(F.concat(F.lit(b"w"), F.col("word")).alias("word"), "c", "lp")
+    schema = f"doc_id {doc_type}, mark long, word binary, times long, rows long, " + ", ".join(f"{c} double" for c in SUMS)
+    parts = map_arrow(rows.select("doc_id", "text"), split, schema)
+    keyed = scored.select(F.concat(F.lit(b"w"), F.col("word")).alias("word"), "c", "lp", "own_lp")
     met = parts.join(keyed, "word", "left")
-    base = F.col("base") + F.when(F.col("times") > 0, F.col("times") * (F.log10(F.col("c") + 1.0) - F.lit(base_unit))).otherwise(0.0)
-    score = F.col("score") + F.when(F.col("times") > 0, F.col("times") * F.col("lp")).otherwise(0.0)
-    seen = F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)
-    summed = met.groupBy("doc_id", "mark").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(seen).alias("n_known"), F.sum(base).alias("base_score"), F.sum(score).alias("score"), F.sum("rows").alias("rows"))
-    one = summed.select("doc_id", *[(F.col(c) / F.col("rows")).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")], F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
-    return one.select("doc_id", F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    more = {
+        "n_tokens": F.lit(0.0),
+        "n_known": F.when(F.col("c") > 0, F.col("times")).otherwise(0),
+        "base_score": F.when(F.col("times") > 0, F.col("times") * (F.log10(F.col("c") + 1.0) - F.lit(base_unit))).otherwise(0.0),
+        "score": F.when(F.col("times") > 0, F.col("times") * F.col("lp")).otherwise(0.0),
+        "own_score": F.when(F.col("times") > 0, F.col("times") * F.col("own_lp")).otherwise(0.0),
+    }
+    summed = met.groupBy("doc_id", "mark").agg(*[F.sum(F.col(c) + x).alias(c) for c, x in more.items()], F.sum("rows").alias("rows"))
+    one = summed.select("doc_id", *[(F.col(c) / F.col("rows")).alias(c) for c in SUMS], F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    whole = [F.round(c).cast("long").alias(c) for c in SUMS[:2]]
+    return one.select("doc_id", *whole, F.lit(n_train).cast("long").alias("train_tokens"), *SUMS[2:])
 
 
 def score_report(docs: DataFrame) -> DataFrame:
-    """Contract rows; learns where crc32(doc_id as text) mod 7 is not 2."""
+    """Contract rows and own_score; learns where crc32(doc_id as text) mod 7 is not 2."""
     out = held_out(F.col("doc_id"), 7, 2)
-    return score_texts(docs.select("doc_id", "text", (~out).alias("learn"))).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score_texts(docs.select("doc_id", "text", (~out).alias("learn")))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "own_score")

@@ -235,14 +235,15 @@ def test_lattice_marginals_and_expected_counts():
     proto = pieces.read_model()
     lattice, vocabulary = lattice_lm.Lattice.from_model(proto), pieces.Vocabulary.from_model(proto)
     words = ["the", "hello", "unbelievable", "é", "a", "motion"]
-    assert np.allclose(lattice.marginals(words), [brute_marginal(vocabulary, lattice.logs, w) for w in words])
-    assert np.isfinite(lattice.marginals(["日本🎉", "x" * 200, "\x00"])).all()
+    assert np.allclose(lattice.marginals(words)[0], [brute_marginal(vocabulary, lattice.logs, w) for w in words])
+    assert np.isfinite(lattice.marginals(["日本🎉", "x" * 200, "\x00", "a\udcffb"])[0]).all()
     uses = lattice.expected(["hello"], np.array([3.0]))
     size = [len(p) for p in vocabulary.pieces]
     assert abs(sum(u * size[i] for i, u in enumerate(uses[:-1])) - 3 * 6) < 1e-6
     fitted = lattice.fitted(uses, 2)
     assert abs(np.exp(fitted.logs[np.isfinite(fitted.logs)]).sum() - 1) < 1e-9
     assert fitted.marginals(["hello"])[0] > lattice.marginals(["hello"])[0]
+    assert np.array_equal(lattice.marginals(words, fitted)[1], fitted.marginals(words)[0])
 
 
 def test_lm_base_scores_by_brute_force(spark, odd, empty):
@@ -266,6 +267,70 @@ def test_lm_base_scores_by_brute_force(spark, odd, empty):
     assert lattice_lm.score_report(empty).count() == 0
 
 
+def segmentations(vocabulary, logs, marked):
+    """Every way to cut a marked word into pieces, or bytes for one character outside the vocabulary."""
+    if not marked:
+        yield []
+        return
+    for n in range(1, 20):
+        i = vocabulary.ids.get(marked[:n]) if n <= len(marked) else None
+        if i is not None:
+            for rest in segmentations(vocabulary, logs, marked[n:]):
+                yield [i, *rest]
+    if marked[:1] not in vocabulary.ids:
+        own = [vocabulary.byte_ids[b] for b in marked[0].encode("utf-8", "surrogateescape")]
+        for rest in segmentations(vocabulary, logs, marked[1:]):
+            yield [*own, *rest]
+
+
+def plain_scores(texts, learn, rounds):
+    """log10 of the marginal of each text (fitted, and by the vocabulary's own scores) from all segmentations."""
+    proto = pieces.read_model()
+    vocabulary, logs = pieces.Vocabulary.from_model(proto), lattice_lm.Lattice.from_model(proto).logs
+    words = [[w.decode("utf-8", "surrogateescape") for w in t.lower().split()] for t in texts]
+    ways = {w: list(segmentations(vocabulary, logs, pieces.MARK + w)) for ws in words for w in ws}
+    own = logs
+    for _ in range(rounds):
+        uses = np.zeros(len(logs))
+        for ws, teaches in zip(words, learn, strict=True):
+            for w in ws if teaches else ():
+                p = np.array([math.exp(sum(logs[i] for i in way)) for way in ways[w]])
+                for share, way in zip(p / p.sum(), ways[w], strict=True):
+                    for i in way:
+                        uses[i] += share
+        prior = np.where(np.isfinite(logs), np.exp(logs), 0.0)
+        prior[-1] = 0.0
+        total = uses + prior * lattice_lm.PRIOR_PIECES / prior.sum()
+        total[-1] = sum(learn) + 1.0
+        logs = np.log(np.maximum(total, 1e-300) / total.sum())
+    end = logs[-1]
+    score = lambda ws, l: (end + sum(math.log(sum(math.exp(sum(l[i] for i in way)) for way in ways[w])) for w in ws)) / math.log(10)
+    return [(score(ws, logs), score(ws, own)) for ws in words]
+
+
+def test_lm_scores_of_whole_texts_by_brute_force(spark):
+    texts = [b"the cat sat", b"The hat\ton a mat", b"", b"caf\xc3\xa9 \xe6\x97\xa5", b"ab\xffcd \xed\xa0\x80", b"zebra the the"]
+    learn = [True, True, True, False, True, False]
+    raw = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, learn, strict=True))], "doc_id long, t binary, learn boolean")
+    df = raw.select("doc_id", F.expr("CAST(t AS STRING)").alias("text"), "learn")
+    for rounds, head in ((2, 100_000), (1, 3)):
+        want = plain_scores(texts, learn, rounds)
+        got = {r.doc_id: r for r in lattice_lm.score_texts(df, rounds=rounds, head_words=head).collect()}
+        for i, (score, own) in enumerate(want):
+            assert abs(got[i].score - score) < 1e-6 and abs(got[i].own_score - own) < 1e-6
+
+
+def test_lm_very_long_words():
+    lattice = lattice_lm.Lattice.from_model(pieces.read_model())
+    for word in ("ab" * 30, "x\udcff" * 25, "日本" * 22):
+        whole = lattice._short([pieces.MARK + word])
+        arcs, first, last, states = whole
+        assert abs(lattice.marginals([word])[0][0] - lattice._forward(arcs, lattice._weights(arcs.ids), first, states)[last][0]) < 1e-6
+        uses = lattice.expected([word], np.array([2.0]))
+        assert abs((lattice.expected([word[:19], word], np.array([1.0, 2.0])) - lattice.expected([word[:19]], np.array([1.0])) - uses).max()) < 1e-6
+    assert np.isfinite(lattice.marginals(["ab" * 500_000])[0]).all()
+
+
 # SentencePiece
 
 
