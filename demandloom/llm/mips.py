@@ -1,11 +1,16 @@
 """Exact top-k by inner product over norm buckets.
 
-Vectors are ordered by length and cut into buckets, so one bucket holds vectors of nearly one length. A query starts
-with a threshold: its k-th best score among a fixed number of the longest vectors. For a bucket the threshold divided
-by the query's and the bucket's lengths is the cosine that a member must have. Above 1, the bucket is skipped, and so
-are all later ones. A high cosine selects members by coordinate: along the query's strongest coordinates a member's
-direction must lie in a narrow interval. Otherwise members are selected by length. What is left is verified by exact
-integer products. Queries and vectors meet block by block, never row by row.
+Vectors are grouped by length: a level holds lengths within a few percent of each other, and a full level is cut into
+buckets by a hash of the id. A query starts with a threshold: its k-th best score among a bounded number of the
+longest vectors. For a bucket the threshold divided by the query's and the bucket's lengths is the cosine that a
+member must have. Above 1, the bucket is skipped. A high cosine selects members by coordinate: along the query's
+strongest coordinates a member's direction must lie in a narrow interval. Otherwise members are selected by length.
+What is left is verified by exact integer products. A task walks its buckets from long to short, and the thresholds
+of its queries rise with the best scores of each bucket.
+
+Queries of similar needs make a block, and a block goes to the buckets of the levels that it needs. A bucket is
+repeated for every few of its blocks, so no bucket or level, however wanted, ends in one task. What the driver holds
+is one row per level, and the number of levels is bounded by the range of floating-point numbers.
 """
 
 from __future__ import annotations
@@ -17,84 +22,99 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import bounded_rows, durable, map_arrow
+from demandloom.llm.common import durable, map_arrow
 
+#: Levels per doubling of the length.
+LEVELS = 16
+#: Most vectors and bytes of a bucket, most queries of a block, and blocks per copy of a bucket.
 BUCKET = 4096
+BUCKET_BYTES = 2 << 20
 QUERY_BLOCK = 512
-#: Longest vectors that give the first thresholds; this many go to each task that packs queries.
+BLOCKS_PER_COPY = 16
+#: Longest vectors that give the first thresholds: at most so many, and so many bytes.
 SEEDS = 8192
+SEED_BYTES = 16 << 20
 #: From this cosine on, members are selected by coordinate, along so many coordinates.
 HIGH_COSINE = 0.7
 COORDINATES = 4
-#: Components are cut to this absolute value, which keeps 512 products within a long.
-LARGEST = float(1 << 27)
-#: Buckets whose lengths the driver keeps; beyond, queries go to all buckets and skip them there.
-DESCRIBED_BUCKETS = 100_000
-PAYLOAD = "ids binary, matrix binary, dim int"
+#: Blocks whose thresholds a task remembers from bucket to bucket.
+REMEMBERED_BLOCKS = 4096
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v array<long>, norm): components floor(scale * x), x as double, one row per vec_id.
+    """(vec_id, v array<double>, level): components floor(scale * x), x as double, one row per vec_id.
 
-    A vector that is null or empty, or has a null or non-finite component, and a null vec_id take no part. Of rows
-    that repeat a vec_id with different vectors the smallest (in array order) counts.
+    Components are whole numbers of any size a double holds. A vector that is null or empty, or has a null or
+    non-finite component, before or after scaling, and a null vec_id take no part. Of rows that repeat a vec_id with
+    different vectors the smallest (in array order) counts.
     """
-    x = F.transform("embedding", lambda c: c.cast("double"))
-    valid = F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
-    v = F.transform("x", lambda c: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), c * scale))).cast("long"))
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(valid).select("vec_id", v.alias("v"))
-    one = whole.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
+    x = F.transform("embedding", lambda c: c.cast("double") * F.lit(scale))
+    finite = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
+    whole = F.transform("x", lambda c: F.when(F.abs(c) < F.lit(float(1 << 52)), F.floor(c).cast("double")).otherwise(c))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).select("vec_id", whole.alias("v"))
+    one = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # the level of a length, in logarithms, so that squares of very large components stay finite
+    most = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + F.pow(c / F.col("most"), F.lit(2.0)))
+    level = F.when(F.col("most") > 0, F.floor(F.lit(float(LEVELS)) * (F.log2("most") + F.log2(squares) / 2))).otherwise(F.lit(-1))
+    return one.withColumn("most", most).select("vec_id", "v", level.cast("int").alias("level"))
+
+
+def _need(thresholds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The lowest level that may hold a member for each query; -1: all."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(thresholds > 0, thresholds / lengths, 0.0)
+        level = np.floor(LEVELS * np.log2(least)) - 1
+    return np.where(np.isfinite(level), level, -1).astype(np.int32)
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    most = np.abs(m).max(1, initial=0.0)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        return np.where(most > 0, most * np.sqrt(((m / most[:, None]) ** 2).sum(1)), 0.0)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, int]:
+def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column, shorter ones padded with zeros."""
     offsets = column.offsets.to_numpy()
     flat, lengths = column.values.to_numpy(zero_copy_only=False), np.diff(offsets)
-    width = int(lengths.max()) if len(lengths) else 0
-    out = np.zeros((len(lengths), width), np.int64)
-    out[np.arange(width)[None, :] < lengths[:, None]] = flat[offsets[0] : offsets[-1]]
-    return out, width
-
-
-def _pack(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of consecutive rows of each partition: longest and shortest norm, and the payload."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(part: pa.Table) -> pa.RecordBatch:
-            part = part.combine_chunks()
-            m, width = _matrix(part.column("v").chunk(0))
-            norms = part.column("norm").to_numpy()
-            ids = part.column("vec_id").to_numpy().astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([float(norms.max())]), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["longest", "ids", "matrix", "dim"])
-
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            while batch.num_rows:
-                some = batch.slice(0, rows - size)
-                batch = batch.slice(some.num_rows)
-                held.append(some)
-                size += some.num_rows
-                if size == rows:
-                    yield packed(pa.Table.from_batches(held))
-                    held, size = [], 0
-        if held:
-            yield packed(pa.Table.from_batches(held))
-
-    return map_arrow(df.select("vec_id", "v", "norm"), run, f"longest double, {PAYLOAD}")
-
-
-def _open(ids: bytes, matrix: bytes, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    got = np.frombuffer(ids, np.int64)
-    m = np.frombuffer(matrix, np.int64).reshape(len(got), dim)
-    return got, m if dim == width else np.pad(m, ((0, 0), (0, width - dim)))
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat[offsets[0] : offsets[-1]]
+    return out
+
+
+def _wide(m: np.ndarray, width: int) -> np.ndarray:
+    return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer products; in floating point as long as no partial sum can leave the exact range."""
-    bound = float(np.abs(q).sum(1).max(initial=0)) * float(np.abs(p).max(initial=0))
-    return np.rint(q.astype(np.float64) @ p.T.astype(np.float64)).astype(np.int64) if bound < 2**53 else q @ p.T
+    """Exact integer products of whole-numbered rows; one outside the range of a long counts as the nearest long.
+
+    One product in floating point as long as no partial sum can leave the exact range; else products of limbs of 20
+    bits, whose sums stay exact, put together as longs or, where they could overflow, as unbounded integers.
+    """
+    bound = float(np.abs(q).sum(1).max(initial=0.0)) * float(np.abs(p).max(initial=0.0))
+    if bound < 2**53:
+        return np.rint(q @ p.T).astype(np.int64)
+    fits = bound < 2**62
+    total = np.zeros((len(q), len(p)), np.int64 if fits else object)
+    for i, a in _limbs(q):
+        for j, b in _limbs(p):
+            part = np.rint(a @ b.T).astype(np.int64)
+            with np.errstate(over="ignore"):
+                total = total + (part << min(20 * (i + j), 63) if fits else part.astype(object) * (1 << 20 * (i + j)))
+    return total if fits else np.clip(total, LOWEST, HIGHEST).astype(np.int64)
+
+
+def _limbs(m: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """m = sum of limb * 2**(20 * number): whole limbs below 2**20 in absolute value, with the sign of the component."""
+    i = 0
+    while m.any():
+        rest = np.trunc(m / (1 << 20))
+        yield i, m - rest * (1 << 20)
+        m, i = rest, i + 1
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -102,18 +122,23 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > 4 * k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= cut)
-        return at[np.lexsort((ids[at], -scores[at]))][:k]
-    return np.lexsort((ids, -scores))[:k]
+        return at[_best_first(scores[at], ids[at])][:k]
+    return _best_first(scores, ids)[:k]
+
+
+def _best_first(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.lexsort((ids, ~scores))  # ~s = -1 - s turns the order round without overflow
 
 
 def bucket_best(q_ids: np.ndarray, q: np.ndarray, thresholds: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of query, ids, scores) of each query's k best members that reach its threshold."""
-    norms, lengths = np.sqrt((p.astype(np.float64) ** 2).sum(1)), np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    norms, lengths = _lengths(p), _lengths(q)
     longest = float(norms.max(initial=0.0))
     slack = 1 - 1e-9
     with np.errstate(divide="ignore", invalid="ignore"):
         needed = np.where(thresholds > 0, thresholds / lengths, -np.inf) * slack  # the length a member must have
         cosine = needed / longest
+    needed = np.where(np.isnan(needed), -np.inf, needed)
     cosine = np.where(np.isnan(cosine), -np.inf, cosine)
     by_coordinate = cosine >= HIGH_COSINE
     by_length = ~by_coordinate
@@ -151,73 +176,139 @@ def _reached(i: int, own: int, threshold: float, scores: np.ndarray, ids: np.nda
         yield i, ids[at], scores[at]
 
 
+PAYLOAD = "ids binary, matrix binary, dim int, thresholds binary"
+ROUTED = f"level int, part int, copy int, block int, {PAYLOAD}"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(key, ids, matrix, thresholds) of each run of rows with one key: so many key columns, then vec_id, v and perhaps threshold."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+
+    def whole() -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]:
+        part = pa.Table.from_batches(held).combine_chunks()
+        thresholds = part.column(keys + 2).to_numpy() if part.num_columns > keys + 2 else None
+        return key, part.column(keys).to_numpy().astype(np.int64), _matrix(part.column(keys + 1).chunk(0)), thresholds
+
+    for batch in batches:
+        of = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1) if batch.num_rows else np.zeros((0, keys))
+        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            mine = tuple(int(x) for x in of[a])
+            if held and mine != key:
+                yield whole()
+                held.clear()
+            key = mine
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _row(level: int, part: int, copy: int, block: int, ids: np.ndarray, m: np.ndarray, thresholds: np.ndarray | None) -> pa.RecordBatch:
+    payload = (ids.tobytes(), np.ascontiguousarray(m).tobytes(), m.shape[1], None if thresholds is None else thresholds.tobytes())
+    kinds = (*[pa.int32()] * 4, pa.binary(), pa.binary(), pa.int32(), pa.binary())
+    names = [c.split()[0] for c in ROUTED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((level, part, copy, block, *payload), kinds, strict=True)], names)
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["matrix"]).reshape(len(ids), row["dim"])
+
+
+def _counts(rows: DataFrame, level: str) -> dict[int, tuple[int, int]]:
+    """By level, of which there are some thousands at most: number of rows and most components."""
+    found = rows.groupBy(level).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).collect()
+    return {r[level]: (r["n"], r["dim"]) for r in found}
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over all other vectors.
 
     Ties go to the smaller vec_id; a query with fewer others gets them all; shorter vectors count as padded with
-    zeros. An empty table, or one without queries, gives no rows.
+    zeros. A product outside the range of a long counts as the nearest long. An empty table, or one without queries,
+    gives no rows.
     """
     spark = vectors.sparkSession
     whole = durable(whole_vectors(vectors, scale), "mips-whole")
-    ordered = whole.repartitionByRange(F.col("norm").desc(), "vec_id").sortWithinPartitions(F.col("norm").desc(), "vec_id")
-    packed = durable(_pack(ordered, BUCKET).withColumn("key", F.monotonically_increasing_id()), "mips-buckets")
-    seeds = whole.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toPandas()
-    lengths = bounded_rows(packed.select("key", "longest"), DESCRIBED_BUCKETS)
-    width = max([len(v) for v in seeds["v"]], default=0)
-    seed_ids = seeds["vec_id"].to_numpy(np.int64)
-    seed = np.zeros((len(seeds), width), np.int64)
-    for i, v in enumerate(seeds["v"]):
-        seed[i, : len(v)] = v
+    sizes = _counts(whole, "level")
+    dim = max((d for _, d in sizes.values()), default=1)
+    capacity = max(64, min(BUCKET, BUCKET_BYTES // (8 * dim)))
+    parts = {level: -(-n // capacity) for level, (n, _) in sizes.items()}
+
+    seeds = whole.orderBy(F.desc("level"), "vec_id").limit(max(k + 1, min(SEEDS, SEED_BYTES // (8 * dim)))).select("vec_id", "v").toArrow()
+    seed_ids = seeds.column("vec_id").to_numpy().astype(np.int64)
+    seed = _matrix(seeds.column("v").combine_chunks()) if len(seed_ids) else np.zeros((0, 1))
     sent = spark.sparkContext.broadcast((seed_ids, seed))
 
     def first_thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = sent.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                wide = max(row["dim"], m.shape[1])
-                q_ids, q = _open(row["ids"], row["matrix"], row["dim"], wide)
+        for big in batches:
+            for at in range(0, big.num_rows, QUERY_BLOCK):
+                batch = big.slice(at, QUERY_BLOCK)
+                q_ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                width = max(q.shape[1], m.shape[1])
+                scores = _products(_wide(q, width), _wide(m, width))
                 found = np.full(len(q), -np.inf)
-                least = 0.0
-                if len(m):
-                    scores = _products(q, np.pad(m, ((0, 0), (0, wide - m.shape[1]))))
-                    for i, s in enumerate(scores):
-                        s = s[ids != q_ids[i]]
-                        if len(s) >= k:
-                            found[i] = np.partition(s, len(s) - k)[len(s) - k]
-                    norms = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        need = np.where(found > 0, found / norms, 0.0)
-                    least = float(np.nan_to_num(need).min()) * (1 - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([row["ids"]], pa.binary()), pa.array([row["matrix"]], pa.binary()), pa.array([row["dim"]], pa.int32()), pa.array([found.tobytes()], pa.binary()), pa.array([least])], ["ids", "matrix", "dim", "thresholds", "least"])
-
-    queries = _pack(whole.where(is_query).repartitionByRange(F.col("norm").desc(), "vec_id"), QUERY_BLOCK)
-    started = durable(map_arrow(queries.select("ids", "matrix", "dim"), first_thresholds, f"{PAYLOAD}, thresholds binary, least double"), "mips-queries")
-    described = packed.select("key", "longest")
-    q = started.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"), "thresholds", "least")
-    if lengths is not None:
-        # buckets that are long enough for some query of the block
-        table = F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["longest"]).alias("longest")) for r in lengths]) if len(lengths) <= 500 else None
-        if table is not None and len(lengths):
-            routed = q.withColumn("bucket", F.explode(F.filter(table, lambda b: b["longest"] >= F.col("least")))).withColumn("key", F.col("bucket.key")).drop("bucket")
-        else:
-            routed = q.join(F.broadcast(described), F.col("longest") >= F.col("least")).drop("longest")
-    else:
-        routed = q.withColumn("one", F.lit(1)).join(described.withColumn("one", F.lit(1)), "one").drop("one", "longest")
-    met = routed.join(packed.select("key", "ids", "matrix", "dim"), "key")
+                for i, s in enumerate(scores):
+                    s = s[ids != q_ids[i]]
+                    if len(s) >= k:
+                        found[i] = np.partition(s, len(s) - k)[len(s) - k]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(_need(found, _lengths(q)))], ["vec_id", "v", "threshold", "need"])
+
+    asked = map_arrow(whole.where(is_query).select("vec_id", "v"), first_thresholds, "vec_id long, v array<double>, threshold double, need int")
+    asked = durable(asked, "mips-queries")
+    needs = {need: -(-n // QUERY_BLOCK) for need, (n, _) in sorted(_counts(asked, "need").items())}
+    first = dict(zip(needs, np.concatenate([[0], np.cumsum(list(needs.values()))]).tolist(), strict=False))
+    # blocks are numbered by need, so a level is needed by the blocks before some number
+    copies = {level: -(-sum(n for need, n in needs.items() if need <= level) // BLOCKS_PER_COPY) for level in parts}
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (level, part), ids, m, _ in _packed(batches, 2):
+            for copy in range(copies[level]):
+                yield _row(level, part, copy, -1, ids, m, None)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (need, part), ids, m, thresholds in _packed(batches, 2):
+            block = first[need] + part
+            for level, n in parts.items():
+                for bucket in range(n if level >= need else 0):
+                    yield _row(level, bucket, block // BLOCKS_PER_COPY, block, ids, m, thresholds)
+
+    def dealt(df: DataFrame, key: str, of: dict[int, int]) -> DataFrame:
+        table = spark.createDataFrame(sorted(of.items()), f"{key} int, parts int")
+        part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int").alias("part")
+        rows = df.join(F.broadcast(table), key).select(key, part, *[c for c in df.columns if c != key])
+        return rows.repartition(key, "part").sortWithinPartitions(key, "part", "vec_id")
+
+    routed = map_arrow(dealt(whole, "level", parts), buckets, ROUTED).union(map_arrow(dealt(asked, "need", needs).select("need", "part", "vec_id", "v", "threshold"), blocks, ROUTED))
+    walked = routed.repartition("level", "part", "copy").sortWithinPartitions(F.desc("level"), "part", "copy", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for j in range(batch.num_rows):
-                row = {c: batch.column(n)[j].as_py() for n, c in enumerate(batch.schema.names)}
-                wide = max(row["dim"], row["q_dim"])
-                q_ids, q_m = _open(row["q_ids"], row["q_matrix"], row["q_dim"], wide)
-                ids, p = _open(row["ids"], row["matrix"], row["dim"], wide)
-                got = list(bucket_best(q_ids, q_m, np.frombuffer(row["thresholds"]), ids, p, k))
-                if got:
-                    of = np.concatenate([np.full(len(x), q_ids[i]) for i, x, _ in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([x for _, x, _ in got])), pa.array(np.concatenate([s for *_, s in got]))], ["query_id", "vec_id", "score"])
-
-    found = map_arrow(met.select("q_ids", "q_matrix", "q_dim", "thresholds", "ids", "matrix", "dim"), search, "query_id long, vec_id long, score long")
+        ids, p, risen = np.zeros(0, np.int64), np.zeros((0, 1)), {}
+        rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
+        for row in rows:
+            if row["block"] < 0:
+                ids, p = _opened(row)
+                continue
+            q_ids, q = _opened(row)
+            width = max(q.shape[1], p.shape[1])
+            thresholds = risen.get(row["block"])
+            if thresholds is None:
+                if len(risen) >= REMEMBERED_BLOCKS:
+                    risen.clear()
+                thresholds = risen[row["block"]] = np.frombuffer(row["thresholds"]).copy()
+            got = list(bucket_best(q_ids, _wide(q, width), thresholds, ids, _wide(p, width), k))
+            if got:
+                for i, _, scores in got:
+                    if len(scores) == k:
+                        thresholds[i] = max(thresholds[i], float(scores[-1]))
+                of = np.concatenate([np.full(len(x), q_ids[i]) for i, x, _ in got])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([x for _, x, _ in got])), pa.array(np.concatenate([s for *_, s in got]))], ["query_id", "vec_id", "score"])
+
+    found = map_arrow(walked, search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -204,10 +204,52 @@ def test_top_k_equals_brute_force(spark):
     assert mips.search_report(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_values_and_one_wanted_level(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.integers(-4, 5, 3) * 10.0 ** rng.integers(0, 7)]) for i in range(200)]
+    rows += [(1000, [4.0e6, 1.0]), (1020, [5.0e6, 1.0]), (1040, [3.0e38, -3.0e38, 1.0]), (1041, [3.0e38, 3.0e38, 5.0]), (1060, [0.0, 0.0, 0.0]), (1080, [1e18, 3.0, 1.0]), (1081, [1.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    inner = lambda a, b: min(2**63 - 1, max(-(2**63), sum(x * y for x, y in zip(a, b, strict=False))))
+    got = defaultdict(list)
+    for r in mips.search_report(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (i for i in whole if i % 20 == 0):
+        want = sorted(((i, inner(whole[q], v)) for i, v in whole.items() if i != q), key=lambda t: (-t[1], t[0]))[:20]
+        assert got[q] == want
+    # vectors of one length fill one level, which every query needs: it is cut into buckets and repeated for the blocks
+    turn = rng.normal(size=(3000, 8))
+    turn *= 40 / np.linalg.norm(turn, axis=1)[:, None]
+    same = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(turn)], "vec_id long, embedding array<double>")
+    m = np.floor(64 * turn).astype(np.int64)
+    small = {"BUCKET": 256, "QUERY_BLOCK": 16, "BLOCKS_PER_COPY": 2}
+    kept = {n: getattr(mips, n) for n in small}
+    try:
+        for n, x in small.items():
+            setattr(mips, n, x)
+        found = mips.search_report(same).toPandas()
+    finally:
+        for n, x in kept.items():
+            setattr(mips, n, x)
+    for q, rows_ in found.groupby("query_id"):
+        want = sorted(((-int(s), i) for i, s in enumerate(m @ m[q]) if i != q))[:20]
+        assert [(-r.score, r.vec_id) for r in rows_.sort_values("rank").itertuples()] == want
+    assert found["query_id"].nunique() == 150
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(2)
+    for size in (10, 1e6, 1e9, 1e15, 1e30):
+        q, p = np.trunc(rng.normal(size=(6, 5)) * size), np.trunc(rng.normal(size=(7, 5)) * size)
+        want = [[min(2**63 - 1, max(-(2**63), sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for b in p] for a in q]
+        assert mips._products(q, p).tolist() == want
+
+
 def test_coordinate_route_loses_nothing():
     rng = np.random.default_rng(1)
     p = rng.integers(-5, 6, size=(500, 6)) * 100
     q = p[:40] + rng.integers(-9, 10, size=(40, 6))
+    p, q = p.astype(float), q.astype(float)
     scores = q @ p.T
     thresholds = np.sort(scores, 1)[:, -3].astype(float)
     got = {i: set(ids.tolist()) for i, ids, _ in mips.bucket_best(np.full(40, -1), q, thresholds, np.arange(500), p, 500)}
