@@ -17,6 +17,9 @@ WORD_SEPARATOR = "[\\x20\\x09-\\x0D]+"
 #: Texts are handled in slices of about this many bytes, so that one Arrow batch of long texts stays small in Python.
 SLICE_BYTES = 2 << 20
 
+#: A key with no more rows than this is never a hot one.
+HOT_ROWS = 10_000
+
 _resident: dict[object, object] = {}
 
 
@@ -103,3 +106,18 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of df if there are at most limit, else None: the size check before every broadcast here."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined (inner) with table, which has one row per key; weight: the column of table that counts the key's rows.
+
+    Keys with more than a thousandth of all rows are fewer than a thousand: their part of table is broadcast, and
+    their rows stay where they are. The others are shuffled. rows is read twice if there are such keys.
+    """
+    found = table.agg(F.sum(weight).alias("all"), F.max(weight).alias("most")).first()
+    limit = max(HOT_ROWS, (found["all"] or 0) // 1000)
+    if (found["most"] or 0) <= limit:
+        return rows.join(table, keys)
+    hot = table.where(F.col(weight) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)

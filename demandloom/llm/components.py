@@ -2,7 +2,7 @@
 
 Each step replaces a node's edges by edges to the smallest node it knows (Kiveris et al., Connected Components in
 MapReduce and Beyond, 2014). The minima are sums with map-side combine; they are written before they are joined back,
-so that both sides of the join are shuffled for it and a node with very many edges can be split at run time.
+and the edges of nodes with very many of them are not shuffled for that join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import durable
+from demandloom.llm.common import durable, spread_join
 
 MOST_ROUNDS = 60
 
@@ -37,12 +37,12 @@ def _is_star(e: DataFrame) -> bool:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("v").alias("u"), F.col("m").alias("w")).union(e.select(F.col("m").alias("u"), F.col("v").alias("w")))
-    least = durable(both.groupBy("u").agg(F.min("w").alias("w")).select("u", F.least("u", "w").alias("least")), "edges-min")
-    return durable(both.join(least, "u").where("w > u AND w != least").select(F.col("w").alias("v"), F.col("least").alias("m")).distinct(), "edges-large")
+    least = durable(both.groupBy("u").agg(F.min("w").alias("w"), F.count("*").alias("n")).select("u", F.least("u", "w").alias("least"), "n"), "edges-min")
+    return durable(spread_join(both, least, ["u"], "n").where("w > u AND w != least").select(F.col("w").alias("v"), F.col("least").alias("m")).distinct(), "edges-large")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = durable(e.groupBy("v").agg(F.min("m").alias("least")), "edges-min")
-    met = e.join(least, "v")
+    least = durable(e.groupBy("v").agg(F.min("m").alias("least"), F.count("*").alias("n")), "edges-min")
+    met = spread_join(e, least, ["v"], "n")
     pairs = F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("least").alias("m")), F.struct(F.col("m").alias("v"), F.col("least").alias("m")))).alias("e")
     return durable(met.select(pairs).select("e.v", "e.m").where("v != m").distinct(), "edges-small")

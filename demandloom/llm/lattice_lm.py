@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.common import bytes_list, durable, held_out, lowered, map_arrow, slices, worker_state
-from demandloom.llm.pieces import DEFAULT_MODEL, MARK, Vocabulary, read_model
+from demandloom.llm.pieces import DEFAULT_MODEL, MARK, SuffixTable, Vocabulary, codes_of, read_model
 
 #: Words in the dictionary of each worker, and how many counted words a task holds before it passes them on.
 HEAD_WORDS = 100_000
@@ -41,42 +41,6 @@ PRIOR_PIECES = 2_000.0
 #: Longer words go through the recursion one by one, in windows of so many characters.
 LONG_WORD = 40
 WINDOW = 1 << 15
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class SuffixTable:
-    """Hashes of all endings of the pieces: whether an ending is a piece, and whether a longer piece ends in it.
-
-    Open addressing over two flat arrays; a code is 2 * (piece id + 1) plus 1 if a longer piece has this ending.
-    """
-
-    def __init__(self, pieces: list[tuple[str, int]]):
-        codes: dict[int, int] = {}
-        for piece, i in pieces:
-            value = 0
-            for n, c in enumerate(reversed(piece), 1):
-                value = (value + ord(c) + 1) * int(_MIX) & (1 << 64) - 1
-                value ^= value >> 29
-                codes[value] = codes.get(value, 0) | (2 * (i + 1) if n == len(piece) else 1)
-        bits = max(4, (4 * len(codes)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.codes = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-        for key, code in codes.items():
-            at = key >> 64 - bits
-            while self.codes[at]:
-                at = (at + 1) & self.mask
-            self.keys[at], self.codes[at] = key, code
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes by hash; 0: no piece ends so."""
-        at = (hashes >> self.shift).astype(np.int64)
-        out = self.codes[at]
-        wrong = np.flatnonzero((self.keys[at] != hashes) & (out != 0))
-        while len(wrong):
-            at[wrong] = (at[wrong] + 1) & self.mask
-            out[wrong] = self.codes[at[wrong]]
-            wrong = wrong[(self.keys[at[wrong]] != hashes[wrong]) & (out[wrong] != 0)]
-        return out
 
 
 @dataclass
@@ -97,7 +61,6 @@ class Lattice:
     """The endings of the pieces and log probabilities by id; the last id is the end of a text."""
 
     table: SuffixTable
-    longest: int
     first_byte: int
     logs: np.ndarray
 
@@ -121,7 +84,7 @@ class Lattice:
         logs -= np.log(np.exp(logs[np.isfinite(logs)]).sum())
         # 256 byte pieces in order, or none: then a character outside the vocabulary has the lowest probability once per byte
         first_byte = bytes_[0] if len(bytes_) == 256 else -1
-        return cls(SuffixTable(usable), max(len(p) for p, _ in usable), first_byte, logs)
+        return cls(SuffixTable(usable), first_byte, logs)
 
     def fitted(self, counts: np.ndarray, ends: float) -> Lattice:
         """With probabilities from expected counts by id, the number of texts, and the present ones as a prior."""
@@ -149,29 +112,9 @@ class Lattice:
 
     def _arcs(self, codes: np.ndarray, depth: np.ndarray, at: np.ndarray, words: np.ndarray | int) -> Arcs:
         """Arcs that end at the places `at` of the characters: depth counts from the word's start, words is the number of words before."""
-        places, lengths, ids = [], [], []
-        value = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for n in range(1, self.longest + 1):
-                value = (value + codes[at - n + 1] + np.uint64(1)) * _MIX
-                value ^= value >> np.uint64(29)
-                code = self.table(value)
-                piece = (code >> 1) - 1
-                if n == 1:  # a character outside the vocabulary has its bytes
-                    piece = np.where(piece >= 0, piece, -1 - codes[at].astype(np.int64))
-                    hit = np.arange(len(at))
-                else:
-                    hit = np.flatnonzero(piece >= 0)
-                places.append(at[hit])
-                lengths.append(np.full(len(hit), n, np.int64))
-                ids.append(piece[hit].astype(np.int64))
-                longer = (code & 1 == 1) & (depth[at] > n)
-                at, value = at[longer], value[longer]
-                if not len(at):
-                    break
-        place, length, id_ = np.concatenate(places), np.concatenate(lengths), np.concatenate(ids)
+        place, length, id_ = self.table.pieces_at(codes, depth, at)
         end = place + 1 + (words[place] if isinstance(words, np.ndarray) else words)
-        group = depth[place] * (self.longest + 1) + length
+        group = depth[place] * (self.table.longest + 1) + length
         order = np.argsort(group, kind="stable")
         runs = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]])
         return Arcs((end - length)[order], end[order], id_[order], runs)
@@ -182,7 +125,7 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         row = np.repeat(np.arange(len(words)), lengths)
         depth = np.arange(len(row)) - first[row] + 1
-        arcs = self._arcs(_codes(words), depth, np.arange(len(row)), row)
+        arcs = self._arcs(codes_of(words), depth, np.arange(len(row)), row)
         return arcs, first + np.arange(len(words)), first + lengths + np.arange(len(words)), len(row) + len(words)
 
     @staticmethod
@@ -220,7 +163,7 @@ class Lattice:
         """Forward scores of one word by position; arcs are held for one window at a time."""
         alpha = [-math.inf] * (len(word) + 1)
         alpha[0] = 0.0
-        for arcs in self._windows(_codes([word])):
+        for arcs in self._windows(codes_of([word])):
             for start, end, w in zip(arcs.start.tolist(), arcs.end.tolist(), self._weights(arcs.ids).tolist(), strict=True):
                 alpha[end] = _add(alpha[end], alpha[start] + w)
         return np.array(alpha)
@@ -243,7 +186,7 @@ class Lattice:
                 beta[start] = np.logaddexp(beta[start], through)
             self._count(total, arcs.ids, np.exp(use))
         for i in long_:
-            codes = _codes([MARK + words[i]])
+            codes = codes_of([MARK + words[i]])
             alpha = self._long(MARK + words[i])
             back = [-math.inf] * len(alpha)
             back[-1] = math.log(counts[i]) - alpha[-1]
@@ -273,11 +216,6 @@ def _add(a: float, b: float) -> float:
     return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Code points of all words; a byte that is no UTF-8 is a lone surrogate."""
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-
-
 def _by_length(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     long_ = np.fromiter((len(w) >= LONG_WORD for w in words), bool, len(words))
     return np.flatnonzero(~long_), np.flatnonzero(long_)

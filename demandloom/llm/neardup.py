@@ -8,11 +8,13 @@
    the long lists of common values are skipped.
 3. Under one value, signatures are compared in blocks; pairs that agree on `agree` coordinates count as candidates.
    A block passes on a spanning forest of them, not the pairs, and the components of these are candidate clusters.
-4. Clusters are verified on full shingle sets, again in blocks: intersections of two blocks are one sparse product,
-   and each passes on a spanning forest of its confirmed links. Their components, with the copies put back, are the
-   result. All pairs of a cluster are looked at, in tasks of two blocks each; none is written out.
+4. Clusters are verified on full shingle sets: intersections of two blocks are one sparse product, and each passes on
+   a spanning forest of its confirmed links. A cluster that is one block is verified at once. In a larger one each
+   member first meets the cluster's representative; those it confirms are one component already. Only the rest is
+   then held against all, block by block. Components of the links, with the copies put back, are the result.
 
-Lists and clusters of any size are cut into blocks by a hash of the member, so no task holds more than two blocks.
+Lists and clusters of any size are cut into blocks by a hash of the member, clusters also by the size of the members,
+so no task key holds more than two blocks. Values and clusters with very many members are joined without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,19 +26,21 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import bounded_rows, bytes_list, durable, lowered, map_arrow, slices
+from demandloom.llm.common import bytes_list, durable, lowered, map_arrow, slices, spread_join
 from demandloom.llm.components import components
 
 COORDINATES = 40
 #: A pair at the threshold is missed with at most this probability.
 MISS = 1e-8
-POST_BLOCK = 512
+POST_BLOCK = 256
+#: Members of a block of a cluster, and their shingles: fewer members where these are large.
 SET_BLOCK = 192
-#: Cluster members and removed documents up to this many are broadcast (16 bytes each) instead of shuffling texts.
-BROADCAST_IDS = 1_000_000
+SET_SHINGLES = 1_000_000
+#: Cluster members and removed documents up to this many are broadcast (some 40 bytes each) instead of shuffling texts.
+BROADCAST_IDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -149,15 +153,25 @@ def _runs(df: DataFrame, key: str, fn: Callable[[list[tuple]], Iterator[tuple[in
     return map_arrow(df.repartition(key).sortWithinPartitions(key), run, "a long, b long")
 
 
-def _blocks(df: DataFrame, of: list[str], member: str, block: int) -> DataFrame:
-    """df with a row per pair of blocks that its row takes part in: task (the pair's key) and side (0 or 1).
+def _blocks(df: DataFrame, of: str, own: Column, others: Column) -> DataFrame:
+    """df with a row per pair of blocks that its row takes part in: task (the pair's key) and side (0 or 1; 2: one block).
 
-    of: the key whose members are cut into n / block blocks, n being the column of that name.
+    of: the key whose members are cut into blocks; own: the row's block; others: how many blocks, from 0, it meets.
     """
-    parts = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
-    own = F.pmod(F.xxhash64(member, F.lit(11)), parts).cast("int")
-    spread = df.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return spread.withColumn("task", F.concat_ws(":", *of, F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", F.when(F.col("other") == F.col("own"), F.lit(2)).otherwise((F.col("own") > F.col("other")).cast("int"))).drop("parts", "own", "other")
+    spread = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    side = F.when(F.col("other") == F.col("own"), F.lit(2)).otherwise((F.col("own") > F.col("other")).cast("int"))
+    task = F.concat_ws(":", of, F.least("own", "other"), F.greatest("own", "other"))
+    return spread.withColumn("task", task).withColumn("side", side).drop("own", "other")
+
+
+def _dealt(member: str, parts: Column) -> Column:
+    """The block, of so many, that a member is in."""
+    return F.pmod(F.xxhash64(member, F.lit(11)), parts).cast("int")
+
+
+def _cut(members: Column, size: Column) -> Column:
+    """How many blocks so many members, and so many shingles of theirs, make."""
+    return F.greatest(F.ceil(members / F.lit(float(SET_BLOCK))), F.ceil(size / F.lit(float(SET_SHINGLES)))).cast("int")
 
 
 def _forest(ids: list[int], linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -194,8 +208,9 @@ def _sides(rows: list[tuple], side: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(posts: DataFrame, agree: int) -> DataFrame:
     """posts: item, class_id, low (the signature's lower 16 bits by coordinate)."""
-    sizes = posts.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
-    tasks = _blocks(posts.join(sizes, "item"), ["item"], "class_id", POST_BLOCK).select("task", "side", "class_id", "low")
+    sizes = durable(posts.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"), "near-lists")
+    parts = F.ceil(F.col("n") / F.lit(float(POST_BLOCK))).cast("int")
+    tasks = _blocks(spread_join(posts, sizes, ["item"], "n"), "item", _dealt("class_id", parts), parts).select("task", "side", "class_id", "low")
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         left, right = _sides(rows, 1)
@@ -210,14 +225,17 @@ def _candidates(posts: DataFrame, agree: int) -> DataFrame:
     return _runs(tasks, "task", compare)
 
 
-def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between the members of each cluster (node, component) that hold on their full shingle sets, as a forest."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = durable(clusters.join(sizes, "component").select(F.col("node").alias("class_id"), F.col("component").alias("cluster"), "n"), "near-members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
-    few = bounded_rows(members.select("class_id"), BROADCAST_IDS) if members.count() <= BROADCAST_IDS else None
-    met = texts.join(F.broadcast(members) if few is not None else members, "class_id")
-    tasks = _blocks(met, ["cluster"], "class_id", SET_BLOCK).select("task", "side", "class_id", F.col("text").cast("binary").alias("text"))
+def _confirmed(docs: DataFrame, clusters: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the members of each cluster (node, component) that hold on their full shingle sets, as a forest.
+
+    A cluster's representative is its smallest member, whose id names it.
+    """
+    sized = clusters.select(F.col("node").alias("class_id"), F.col("component").alias("cluster")).join(classes.select("class_id", "n_shingles").dropDuplicates(["class_id"]), "class_id")
+    sized = durable(sized, "near-sized")
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    sizes = durable(sizes.withColumn("parts", _cut(F.col("n"), F.col("size"))), "near-sizes")
+    members = durable(spread_join(sized, sizes, ["cluster"], "n"), "near-members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("binary").alias("text"))
     shinglers: dict[int, Shingler] = {}
 
     def verify(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -231,7 +249,35 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -
         union = sizes[left][:, None] + sizes[right][None, :] - shared
         yield from _forest([r[2] for r in rows], (100 * shared >= percent * union) & (shared > 0), left, right)
 
-    return _runs(tasks, "task", verify)
+    def links(tasks: DataFrame) -> DataFrame:
+        """tasks: (class_id, task, side); the texts come last, so that they are shipped to their tasks and nowhere else."""
+        met = texts.join(F.broadcast(tasks) if tasks.count() <= BROADCAST_IDS else tasks, "class_id")
+        return _runs(met.select("task", "side", "class_id", "text"), "task", verify)
+
+    # a cluster of one block against itself; in others the representative (side 0) meets every block
+    is_first = F.col("class_id") == F.col("cluster")
+    own = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(is_first, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_dealt("class_id", F.col("parts"))))
+    side = F.when(F.col("parts") == 1, F.lit(2)).when(is_first, F.lit(0)).otherwise(F.lit(1))
+    first = members.select("class_id", "cluster", side.alias("side"), F.explode(own).alias("own"))
+    found = durable(links(durable(first.select("class_id", F.concat_ws(":", "cluster", "own").alias("task"), "side"), "near-tasks")), "near-links")
+
+    large = members.where("parts > 1 AND class_id != cluster").select("class_id", "cluster", "n_shingles")
+    confirmed = found.select(F.col("a").alias("class_id"), F.lit(True).alias("confirmed")).distinct()
+    large = durable(large.join(confirmed, "class_id", "left").withColumn("rest", F.col("confirmed").isNull()), "near-large")
+    if large.where("rest").isEmpty():
+        return found
+    rest, other = F.col("rest"), ~F.col("rest")
+    parts = large.groupBy("cluster").agg(
+        F.count("*").alias("n"),
+        _cut(F.count_if(rest), F.sum(F.when(rest, F.col("n_shingles")).otherwise(0))).alias("parts_rest"),
+        _cut(F.count_if(other), F.sum(F.when(other, F.col("n_shingles")).otherwise(0))).alias("parts_other"),
+    )
+    parts = durable(parts.where("parts_rest > 0 AND n > 1"), "near-parts")
+    # blocks of the rest come first and meet all blocks; the others meet those of the rest only
+    block = F.when(rest, _dealt("class_id", F.col("parts_rest"))).otherwise(F.col("parts_rest") + _dealt("class_id", F.greatest(F.col("parts_other"), F.lit(1))))
+    meets = F.when(rest, F.col("parts_rest") + F.col("parts_other")).otherwise(F.col("parts_rest"))
+    second = _blocks(spread_join(large, parts, ["cluster"], "n"), "cluster", block, meets).select("class_id", "task", "side")
+    return found.union(durable(links(durable(second, "near-tasks")), "near-links"))
 
 
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -264,16 +310,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     agree = least_agreement(percent / 100)
     signed = durable(_signatures(docs, width), "near-signed")
-    classes = durable(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig")), "near-classes")
+    classes = durable(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "near-classes")
     items = classes.select("digest", F.posexplode("sig").alias("coordinate", "value"))
     often = durable(items.groupBy("coordinate", "value").agg(F.count("*").alias("df")).where("df > 1"), "near-items")
-    shared = items.join(often, ["coordinate", "value"])
+    shared = spread_join(items, often, ["coordinate", "value"], "df")
     rest = F.lit(COORDINATES - agree + 1) - (F.lit(COORDINATES) - F.size("found"))
     prefix = shared.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value"))).alias("found")).where(rest > 0).select("digest", F.slice("found", F.lit(1), F.least(rest, F.size("found"))).alias("found"))
     low = F.unhex(F.concat_ws("", F.transform("sig", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFF))), 4, "0"))))
     posts = durable(prefix.join(classes.select("digest", "class_id", low.alias("low")), "digest").select("class_id", "low", F.explode("found").alias("f")).select(F.concat_ws(".", "f.coordinate", "f.value").alias("item"), "class_id", "low"), "near-posts")
     clusters = components(_candidates(posts, agree))
-    found = components(_confirmed(docs, clusters, width, percent))
+    found = components(_confirmed(docs, durable(clusters, "near-clusters"), classes, width, percent))
     of_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component"))
     of_class = durable(of_class, "near-result")
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")

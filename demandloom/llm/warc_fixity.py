@@ -18,39 +18,69 @@ from demandloom.llm.common import durable
 RANGE_BYTES = 1 << 16
 FANOUT = 16
 RECORDS_PER_FILE = 256
+INDEX = ("file", "offset", "length", "record_id", "hash")
+
+
+def sha(value: Column) -> Column:
+    return F.sha2(value.cast("binary"), 256)
 
 
 def warc_records(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(file, offset, length, record_id, record): pages as response records, so many page ids to a file, in id order.
+    """(file, record_id, record): pages as response records, so many page ids to a file.
 
-    A null url or html is empty; a page without an id has no record. Rows that repeat an id follow each other.
+    A null url or html is empty; a page without an id has no record.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col("url"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    record = F.concat(head, body, F.lit("\r\n\r\n"))
-    rows = pages.where("page_id IS NOT NULL").select(F.floor(F.col("page_id") / records_per_file).cast("long").alias("file"), F.col("page_id").cast("long").alias("record_id"), record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("file").orderBy("record_id", F.xxhash64("record")).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("file", "offset", "length", "record_id", "record")
+    page = F.col("page_id").cast("string")
+    lines = (
+        F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), page),
+        F.concat(F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col("url"), F.lit(""))),
+        F.concat(F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")),
+    )
+    file = F.floor(F.col("page_id") / records_per_file).cast("long")
+    rows = pages.where("page_id IS NOT NULL")
+    return rows.select(file.alias("file"), F.col("page_id").cast("long").alias("record_id"), F.concat(*lines, body, F.lit("\r\n\r\n")).alias("record"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows (file, record_id, length, hash, ...) with the offset that each record has when its file holds them in id order.
+
+    Rows that repeat an id follow each other by hash. Bodies have no part in this: what is shuffled by file are the
+    lengths and hashes of its records.
+    """
+    before = Window.partitionBy("file").orderBy("record_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+
+
+def index_of(records: DataFrame) -> DataFrame:
+    """The index (file, offset, length, record_id, hash) of records; their hash is taken of record where there is no hash yet.
+
+    This comes before any shuffle. A null record counts as empty.
+    """
+    if "hash" not in records.columns:
+        records = records.withColumn("hash", sha(F.coalesce(F.col("record").cast("binary"), F.lit(b""))))
+    return records.select(*INDEX)
 
 
-def leaves(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def leaves(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file, node, hash, records): a row per offset range that a record begins in; rows that repeat count once."""
-    hashed = records.select("file", "offset", F.struct("offset", "length", "record_id", F.sha2(F.coalesce(F.col("record"), F.lit("")).cast("binary"), 256).alias("hash")).alias("r"))
-    grouped = hashed.groupBy("file", F.floor(F.col("offset") / range_bytes).cast("long").alias("node")).agg(F.sort_array(F.collect_set("r")).alias("records"))
+    node = F.floor(F.col("offset") / range_bytes).cast("long").alias("node")
+    records = F.sort_array(F.collect_set(F.struct("offset", "length", "record_id", "hash"))).alias("records")
     line = F.transform("records", lambda r: F.concat_ws(":", r["offset"], r["length"], r["hash"]))
-    return grouped.select("file", "node", F.sha2(F.array_join(line, ",").cast("binary"), 256).alias("hash"), "records")
+    return index.groupBy("file", node).agg(records).select("file", "node", sha(F.array_join(line, ",")).alias("hash"), "records")
 
 
 def parents(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The next level: (file, node, hash) over so many children each."""
     children = F.sort_array(F.collect_list(F.struct("node", "hash")))
     up = level.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(children.alias("c"))
-    return up.select("file", "node", F.sha2(F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["node"], c["hash"])), ",").cast("binary"), 256).alias("hash"))
+    line = F.transform("c", lambda c: F.concat_ws(":", c["node"], c["hash"]))
+    return up.select("file", "node", sha(F.array_join(line, ",")).alias("hash"))
 
 
-def merkle_tree(records: DataFrame, depth: int, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, name: str = "merkle") -> list[DataFrame]:
+def merkle_tree(index: DataFrame, depth: int, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, name: str = "merkle") -> list[DataFrame]:
     """Levels from leaves to roots, written out; depth levels above the leaves."""
-    levels = [durable(leaves(records, range_bytes), f"{name}-0")]
+    levels = [durable(leaves(index, range_bytes), f"{name}-0")]
     for k in range(depth):
         levels.append(durable(parents(levels[-1], fanout), f"{name}-{k + 1}"))
     return levels
@@ -65,10 +95,15 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """file, offset, length, record_id, status ('changed', 'missing' or 'extra' in the replica), primary_hash, replica_hash.
 
-    Both sides are (file, offset, length, record_id, record); a null file is a file, rows with a null offset are left
-    out. Equal replicas, and two empty ones, give no rows.
+    Both sides have file, offset, length, record_id and hash or record; other columns are ignored. A null file is a
+    file of its own; rows with a null offset are left out; repeated rows count once. Where a side has several records
+    at one offset, equal ones meet first and the others by record_id and hash. Equal replicas, and two empty ones,
+    give no rows. A range holds as many records as begin in its bytes, so a leaf is small as long as records have
+    a length.
     """
-    primary, replica = (x.where("offset IS NOT NULL").withColumn("file", F.coalesce(F.col("file"), F.lit(-1))) for x in (primary, replica))
+    file_type = primary.schema["file"].dataType
+    name = F.when(F.col("file").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("file").cast("string")))
+    primary, replica = (index_of(x.where("offset IS NOT NULL")).withColumn("file", name) for x in (primary, replica))
     last = primary.select("offset").union(replica.select("offset")).agg(F.max("offset")).first()[0] or 0
     depth, reach = 0, last // range_bytes + 1
     while reach > 1:
@@ -77,34 +112,40 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     bad = _differing(a[depth], b[depth])
     for k in range(depth - 1, -1, -1):
         bad = durable(bad, "merkle-bad").withColumnRenamed("node", "up")
-        below = [level.select("file", "node", "hash", F.floor(F.col("node") / fanout).cast("long").alias("up")).join(bad, ["file", "up"], "left_semi") for level in (a[k], b[k])]
+        up = F.floor(F.col("node") / fanout).cast("long").alias("up")
+        below = [level.select("file", "node", "hash", up).join(bad, ["file", "up"], "left_semi") for level in (a[k], b[k])]
         bad = _differing(*below)
     bad = durable(bad, "merkle-bad")
-    sides = []
-    for level, hash_name in ((a[0], "primary_hash"), (b[0], "replica_hash")):
-        r = level.join(bad, ["file", "node"], "left_semi").select("file", F.explode("records").alias("r"))
-        sides.append(r.select("file", F.col("r.offset").alias("offset"), F.col("r.length").alias("length"), F.col("r.record_id").alias("record_id"), F.col("r.hash").alias(hash_name)))
-    met = sides[0].alias("p").join(sides[1].alias("q"), ["file", "offset"], "full")
-    status = F.when(F.col("replica_hash").isNull(), F.lit("missing")).when(F.col("primary_hash").isNull(), F.lit("extra")).otherwise(F.lit("changed"))
-    return met.where(~F.col("primary_hash").eqNullSafe(F.col("replica_hash"))).select("file", "offset", F.coalesce("p.length", "q.length").alias("length"), F.coalesce("p.record_id", "q.record_id").alias("record_id"), status.alias("status"), "primary_hash", "replica_hash")
+    p, q = (x[0].join(bad, ["file", "node"], "left_semi").select("file", F.explode("records").alias("r")).select("file", "r.*") for x in (a, b))
+    p, q = durable(p, "merkle-p"), durable(q, "merkle-q")
 
+    def alone(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
+        """Records of x that y does not have, numbered at their offset."""
+        mine, other = x.alias("x"), y.alias("y")
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in INDEX]
+        number = F.row_number().over(Window.partitionBy("file", "offset").orderBy("record_id", "hash")).alias("number")
+        return mine.join(other, same, "left_anti").select("file", "offset", number, F.struct("length", "record_id", "hash").alias(side))
 
-def _draw(record_id: Column) -> Column:
-    """Two hex digits that decide the fate of a record in the damaged copy."""
-    return F.substring(F.md5(record_id.cast("string").cast("binary")), 1, 2)
-
-
-def damaged_copy(records: DataFrame) -> DataFrame:
-    """A replica of records with known damage: 2 in 256 have their last characters overwritten, 1 in 256 are lost."""
-    spoilt = F.concat(F.expr("substring(record, 1, length(record) - 4)"), F.lit("\0\0\0\0"))
-    fate = _draw(F.col("record_id"))
-    return records.where(fate != "2a").withColumn("record", F.when(fate.isin("07", "d3"), spoilt).otherwise(F.col("record")))
+    met = alone(p, q, "p").join(alone(q, p, "q"), ["file", "offset", "number"], "full")
+    status = F.when(F.col("q").isNull(), F.lit("missing")).when(F.col("p").isNull(), F.lit("extra")).otherwise(F.lit("changed"))
+    file = F.when(F.col("file") != "null", F.expr("substring(file, 2)")).cast(file_type).alias("file")
+    of = lambda c: F.when(F.col("p").isNotNull(), F.col(f"p.{c}")).otherwise(F.col(f"q.{c}")).alias(c)
+    return met.select(file, "offset", of("length"), of("record_id"), status.alias("status"), F.col("p.hash").alias("primary_hash"), F.col("q.hash").alias("replica_hash"))
 
 
 def audit_report(pages: DataFrame) -> DataFrame:
-    """The audit of all pages as WARC records against their damaged copy; page_id instead of record_id."""
-    records = durable(warc_records(pages), "warc-records")
-    return audit(records, damaged_copy(records)).withColumnRenamed("record_id", "page_id")
+    """The audit of all pages as WARC records against a damaged copy; page_id instead of record_id.
+
+    In the copy 2 records in 256, chosen by a hash of the id, have their last characters overwritten, and 1 in 256 is
+    lost. Both replicas are hashed where the pages lie.
+    """
+    fate = F.substring(F.md5(F.col("record_id").cast("string").cast("binary")), 1, 2)
+    spoilt = F.concat(F.expr("substring(record, 1, length(record) - 4)"), F.lit("\0\0\0\0"))
+    copied = F.when(fate.isin("07", "d3"), sha(spoilt)).when(fate != "2a", sha(F.col("record")))
+    rows = warc_records(pages).select("file", "record_id", F.octet_length("record").cast("long").alias("length"), sha(F.col("record")).alias("hash"), copied.alias("copied"))
+    both = durable(placed(rows), "warc-index")
+    replica = both.where("copied IS NOT NULL").select("file", "offset", "length", "record_id", F.col("copied").alias("hash"))
+    return audit(both, replica).withColumnRenamed("record_id", "page_id")
 
 
 ORACLE = r"""

@@ -390,6 +390,21 @@ def test_encoding_equals_the_library_and_decodes(docs, odd, empty):
     assert pieces.encode_report(odd).count() == len(ODD) and pieces.encode(empty).count() == 0
 
 
+def test_encoding_keeps_other_columns_and_odd_texts(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=pieces.read_model())
+    texts = ["a" * 70_000 + " b", "the cat " * 60_000, "x\ny  z \u2581", " lead", "tail  ", "é" * 500]
+    df = spark.createDataFrame([(i, t, "mine", 5) for i, t in enumerate(texts)], "doc_id long, text string, round_trip string, token_ids int")
+    got = pieces.encode(df)
+    assert got.columns == ["doc_id", "text", "round_trip", "token_ids"] and {r.round_trip for r in got.collect()} == {"mine"}
+    for r in pieces.encode(df, check=True).collect():
+        assert r.round_trip is True
+        assert pieces.MARK in r.text or r.token_ids == sp.encode(r.text)
+    raw = spark.createDataFrame([(1, b"ab\xff cd \xed\xa0\x80")], "doc_id long, t binary").select("doc_id", F.expr("CAST(t AS STRING)").alias("text"))
+    assert pieces.encode(raw, check=True).where("round_trip").count() == 1
+
+
 def test_unigram_viterbi_is_the_best_of_all():
     names = ["<unk>", "▁", "a", "b", "c", "▁a", "ab", "bc", "abc", "▁ab"]
     scores = [0.0, -3.1, -2.0, -2.5, -2.2, -2.1, -2.9, -3.3, -5.2, -3.9]
@@ -470,13 +485,29 @@ def test_mixing_targets_and_copies(spark, odd, empty):
 
 def test_fixity_finds_exactly_the_damage(spark):
     rows = [(i, f"http://h/{i}", "<p>" + "x" * (i * 37 % 900)) for i in range(900)] + [(None, "u", "h"), (5, None, None)]
-    rec = warc_fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"), 700).cache()
+    made = warc_fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"), 700)
+    rec = warc_fixity.placed(made.withColumn("length", F.octet_length("record").cast("long")).withColumn("hash", warc_fixity.sha(F.col("record")))).drop("hash").cache()
     bad = rec.where("record_id NOT IN (17, 640)").withColumn("record", F.when(F.col("record_id").isin(3, 899), F.lit("broken")).otherwise(F.col("record")))
-    extra = spark.createDataFrame([(9, 0, 4, 5000, "more")], rec.schema)
-    got = {(r.record_id, r.status) for r in warc_fixity.audit(rec, bad.union(extra), range_bytes=1024, fanout=4).collect()}
+    extra = spark.createDataFrame([(9, 5000, "more", 4, 0)], "file long, record_id long, record string, length long, offset long")
+    got = {(r.record_id, r.status) for r in warc_fixity.audit(rec, bad.unionByName(extra), range_bytes=1024, fanout=4).collect()}
     assert got == {(3, "changed"), (899, "changed"), (17, "missing"), (640, "missing"), (5000, "extra")}
     assert warc_fixity.audit(rec, rec).count() == 0
     assert warc_fixity.audit(rec.limit(0), rec.limit(0)).count() == 0
+    by_file = defaultdict(int)
+    for r in rec.orderBy("file", "offset").collect():
+        assert r.offset == by_file[r.file]
+        by_file[r.file] += r.length
+
+
+def test_fixity_of_odd_rows(spark):
+    schema = "file long, offset long, length long, record_id long, record string, node string, status int"
+    of = lambda rows: spark.createDataFrame([(*r, "n", 1) for r in rows], schema)
+    one = [(None, 0, 3, 1, "aaa"), (-1, 0, 3, 2, "bbb"), (1, None, 3, 3, "ccc"), (1, 0, 3, 4, "ddd"), (1, 0, 3, 5, "eee"), (1, 0, 3, 5, "eee"), (1, 70_000, 0, 6, None), (1, 70_000, 3, None, "fff")]
+    two = [(None, 0, 3, 1, "aaX"), (-1, 0, 3, 2, "bbb"), (1, None, 3, 3, "other"), (1, 0, 3, 4, "ddd"), (1, 0, 3, 5, "eeX"), (1, 0, 3, 7, "new"), (1, 70_000, 0, 6, "")]
+    got = sorted((r.file is None, r.offset, r.record_id, r.status) for r in warc_fixity.audit(of(one), of(two)).collect())
+    assert got == [(False, 0, 5, "changed"), (False, 0, 7, "extra"), (False, 70_000, None, "missing"), (True, 0, 1, "changed")]
+    assert warc_fixity.audit(of(one), of(one).repartition(3)).count() == 0
+    assert warc_fixity.audit(of(one), of([])).count() == 6
 
 
 # near-duplicates
@@ -522,6 +553,32 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got) and len(got) == len(rows) + 1
 
 
+def test_large_clusters_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SET_BLOCK", 5)
+    monkeypatch.setattr(neardup, "SET_SHINGLES", 300)
+    monkeypatch.setattr(neardup, "POST_BLOCK", 6)
+    monkeypatch.setattr("demandloom.llm.common.HOT_ROWS", 20)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    chain = [base]
+    for _ in range(90):  # neighbours are near copies, ends are not
+        chain.append([w if rng.random() > 0.02 else f"n{rng.randint(0, 10**6)}" for w in chain[-1]])
+    family = [[w if rng.random() > 0.015 else f"m{rng.randint(0, 10**6)}" for w in base[::-1]] for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rng.sample(chain + family, len(chain) + len(family)))]
+    got = neardup.near_duplicates(docs_of(spark, [(i, t, "en", "a") for i, t in rows]), 3, 85).collect()
+    want = plain_components(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 3
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 50_000)}" for _ in range(400_000)]
+    other = words[:390_000] + [f"x{i}" for i in range(10_000)]
+    rows = [(1, " ".join(words), "en", "a"), (2, " ".join(other), "en", "a"), (3, "y" * 2_000_000, "en", "a"), (4, "y" * 2_000_000, "en", "a"), (5, " ".join(words[::-1]), "en", "a")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_drop_near_duplicates_keeps_one_row(odd, empty):
     left = neardup.drop_near_duplicates(odd)
     assert left.columns == odd.columns
