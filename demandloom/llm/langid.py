@@ -3,32 +3,44 @@
 Words are maximal runs of letters, lower-cased, between a start and an end mark; contexts do not reach over a word.
 So a text's cross-entropy under a language is a sum over its words, and a worker scores each different word once.
 
-Training counts (language, word) on a bounded sample of labelled rows, then builds one model per language: for each
-order the hashes of the n-grams seen, sorted, with their interpolated log-probability, and the hashes of the contexts
-seen, sorted, with their back-off weight. A model is a few arrays whose size the sample bounds; all travel to the
-workers. Prediction takes the language with the lowest cross-entropy per character and rejects a text whose
-cross-entropy is far above what texts of that language have (calibrated on sample rows the model did not learn from).
+Training counts (language, word) on a sample of labelled rows, bounded in rows and bytes per language, then builds
+one model per language: for each order the hashes of the n-grams seen, sorted, with their interpolated
+log-probability, and the hashes of the contexts seen, sorted, with their back-off weight. Models are written as
+Parquet. They travel to the workers in groups of at most MODEL_BYTES: mostly one; with more, the best language so far
+goes from pass to pass with the row. Prediction takes the language with the lowest cross-entropy per character and
+rejects a text whose cross-entropy is far above what texts of that language have (calibrated on sample rows the model
+did not learn from).
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from demandloom.llm.common import bytes_list, durable, map_arrow, slices, worker_state
+from demandloom.llm.common import bytes_list, durable, held_out, map_arrow, slices, spread_join, worker_state
 
-#: Order of the models, and the bound of the sample: rows per language in expectation, and different words per language.
+#: Order of the models, and the bound of the sample of each language in expectation: rows, bytes, and bytes of one text.
 ORDER = 5
 SAMPLE_ROWS = 1_500
-SAMPLE_WORDS = 200_000
-MOST_LANGUAGES = 2_000
+SAMPLE_BYTES = 8 << 20
+SAMPLE_TEXT_BYTES = 1 << 20
+#: Models that the driver and the workers hold at a time; a single larger one goes alone.
+MODEL_BYTES = 64 << 20
+#: A longer run of letters is read as several.
+LONGEST_RUN = 1_000
 #: A text is rejected if its cross-entropy exceeds the mean of its language by this many standard deviations, and by
 #: this many bits a character at least: a sound text that quotes another language at length stays below that.
 REJECT_Z = 8.0
@@ -47,11 +59,11 @@ def letter_runs(text: bytes | None) -> list[str]:
     if not text:
         return []
     found = _LETTERS.findall(text.decode("utf-8", "replace").lower())
-    return found if all(map(str.isalpha, found)) else [x for w in found for x in _split_alpha(w)]
-
-
-def _split_alpha(word: str) -> list[str]:
-    return "".join(c if c.isalpha() else " " for c in word).split(" ") if not word.isalpha() else [word]
+    if not all(map(str.isalpha, found)):
+        found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    if len(max(found, key=len, default="")) > LONGEST_RUN:
+        found = [w[k : k + LONGEST_RUN] for w in found for k in range(0, len(w), LONGEST_RUN)]
+    return found
 
 
 def _grams(words: list[str], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -215,134 +227,180 @@ class Identifier:
             return {w: base + i for i, w in enumerate(new)}, self.bits
         return {w: base + i for i, w in enumerate(new)}, np.concatenate([self.bits, bits])
 
-    def identify(self, texts: list[bytes | None]) -> list[tuple[str, float, bool, float | None]]:
-        """(language, score, rejected, bits per character) of each text.
+    def identify(self, texts: list[bytes | None], states: list[State] | None = None) -> list[State]:
+        """The state of each text after these languages, from that after earlier groups of languages.
 
-        The score is the softmax of the log-likelihoods at an effective length of at most 40 characters. No letters,
-        or no model: ('und', 0, True, None). Ties go to the language that sorts first.
+        Ties go to the language that sorts first.
         """
         runs = [letter_runs(t) for t in texts]
+        states = states or [NO_STATE] * len(texts)
         if not self.models:
-            return [(UNDETERMINED, 0.0, True, None)] * len(texts)
-        extra, bits = self._rows({w for words in runs for w in words if w})
+            return states
+        extra, bits = self._rows({w for words in runs for w in words})
         memo, out = self.memo, []
-        for words in runs:
-            words = [w for w in words if w]
+        for words, before in zip(runs, states, strict=True):
             if not words:
-                out.append((UNDETERMINED, 0.0, True, None))
+                out.append(before)
                 continue
             at = [memo[w] if w in memo else extra[w] for w in words]
             n = sum(map(len, words)) + len(words)
             entropy = bits[at].sum(0) / n
             best = int(np.argmin(entropy))
-            relative = np.exp2(-(entropy - entropy[best]) * min(n, 40))
+            logs = -entropy * min(n, SCORE_CHARS)
+            total = float(logs.max() + np.log2(np.exp2(logs - logs.max()).sum()))
+            if before.total is not None:
+                total = float(np.logaddexp2(total, before.total))
+            if before.lang is not None and before.entropy <= entropy[best]:
+                out.append(State(before.lang, before.entropy, before.limit, n, total))
+                continue
             model = self.models[best]
             limit = model.mean + max(REJECT_BITS, self.reject_z * float(np.sqrt(model.spread**2 + model.per_char**2 / n)))
-            out.append((model.lang, float(1 / relative.sum()), bool(entropy[best] > limit), float(entropy[best])))
+            out.append(State(model.lang, float(entropy[best]), limit, n, total))
         return out
 
 
+#: The score takes a text as no longer than this.
+SCORE_CHARS = 40
+
+
+class State(NamedTuple):
+    """Of a text: the best language so far, its bits per character and their limit, characters, and log2 of the sum of likelihoods."""
+
+    lang: str | None
+    entropy: float
+    limit: float
+    n: int
+    total: float | None
+
+
+NO_STATE = State(None, math.inf, math.inf, 0, None)
+STATE = [T.StructField(n, t) for n, t in (("__lang", T.StringType()), ("__entropy", T.DoubleType()), ("__limit", T.DoubleType()), ("__n", T.LongType()), ("__total", T.DoubleType()))]
+STATE_TYPES = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+
+
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows of each language, chosen by a hash of the text; all rows of a smaller one."""
-    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not totals:
-        return labelled.limit(0)
-    # a driver-side dictionary of at most MOST_LANGUAGES entries, turned into one literal map
-    shares = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
+    """About `rows` rows and SAMPLE_BYTES of each language, chosen by a hash of the text; all of a smaller one."""
+    fitting = labelled.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    totals = fitting.groupBy("lang").agg(F.count("*").alias("__rows"), F.sum(F.octet_length("text")).alias("__bytes"))
+    share = F.least(F.lit(float(rows)) / F.col("__rows"), F.lit(float(SAMPLE_BYTES)) / F.greatest("__bytes", F.lit(1)))
+    totals = durable(totals.select("lang", "__rows", share.alias("__share")), "lang-totals")
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return labelled.where(draw < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
+    return spread_join(fitting, totals, ["lang"], "__rows").where(draw < F.col("__share")).select("text", "lang")
+
 
+@dataclass
+class Trained:
+    """The models as a table (lang, model), and groups of languages, each small enough to be held at a time.
+
+    measured: by language the mean and spread of its calibration texts' bits per character.
+    """
 
-def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, reject_z: float = REJECT_Z) -> Identifier:
+    table: DataFrame | None
+    groups: list[list[str]]
+    measured: dict[str, tuple[float, float]] = field(default_factory=dict)
+    reject_z: float = REJECT_Z
+
+    def identifier(self, group: list[str]) -> Identifier:
+        rows = self.table.where(F.col("lang").isin(group)).orderBy("lang").collect()
+        models = [pickle.loads(r["model"]) for r in rows]
+        for m in models:
+            mean, spread = self.measured.get(m.lang, (4.0, 0.0))
+            # floors keep the limit apart from clean texts where the calibration rows are few or all alike
+            m.mean, m.spread, m.per_char = mean, max(spread, 0.03 * mean), max(1.0, 0.5 * mean)
+        return Identifier(models, self.reject_z)
+
+
+def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, reject_z: float = REJECT_Z, model_bytes: int = MODEL_BYTES) -> Trained:
     """Fit on (text, lang), both non-null: one sample row in five calibrates, the others teach.
 
-    The sample has about sample_rows rows per language, and a model keeps its sample_words most frequent words, so
-    neither the groups nor what comes to the driver grow with the table.
+    The sample has about sample_rows rows and SAMPLE_BYTES per language, so a language's group does not grow with the
+    table. All languages have a model.
     """
-    rows = durable(_sample(labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL"), sample_rows).withColumn("part", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5))), "lang-sample")
+    known = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = durable(_sample(known, sample_rows).withColumn("part", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5))), "lang-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            found: dict[tuple[str, str], int] = {}
+            found: Counter[tuple[str, str]] = Counter()
             for text, lang in zip(bytes_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for w in letter_runs(text):
-                    if w:
-                        found[lang, w[:200]] = found.get((lang, w[:200]), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+                found.update((lang, w) for w in letter_runs(text))
+            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     words = map_arrow(rows.where("part != 0").select("text", "lang"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
-        pdf = pdf.sort_values(["n", "word"], ascending=[False, True]).head(sample_words).sort_values("word")
+        pdf = pdf.sort_values("word")
         model = fit_model(pdf["lang"].iloc[0], list(pdf["word"]), pdf["n"].to_numpy(), order)
         return pd.DataFrame({"lang": [model.lang], "model": [pickle.dumps(model)]})
 
-    import pickle
-
-    built = words.groupBy("lang").applyInPandas(build, "lang string, model binary").collect()
-    models = [pickle.loads(r["model"]) for r in sorted(built, key=lambda r: r["lang"])]
-    identifier = Identifier(models, reject_z)
+    table = durable(words.groupBy("lang").applyInPandas(build, "lang string, model binary"), "lang-models")
+    groups: list[list[str]] = []
+    held = model_bytes
+    for r in table.select("lang", F.octet_length("model").alias("size")).orderBy("lang").toLocalIterator():
+        if held + r["size"] > model_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["lang"])
+        held += r["size"]
+    trained = Trained(table, groups, reject_z=reject_z)
+    judged = identified(rows.where("part = 0").select("text", "lang"), trained)
+    long_ = F.when(F.col("__n") >= 400, F.col("__entropy"))
+    stats = judged.where("__lang = lang").groupBy("lang").agg(F.avg("__entropy").alias("mean"), F.stddev_pop(long_).alias("spread"))
+    trained.measured = {r["lang"]: (r["mean"], r["spread"] or 0.0) for r in stats.collect()}
+    return trained
+
+
+def identified(docs: DataFrame, trained: Trained) -> DataFrame:
+    """docs with the columns of STATE; a pass per group of languages, written out in between."""
+    out = docs.drop(*[f.name for f in STATE])
+    columns = out.columns
+    at = columns.index("text")
+    schema = T.StructType([*out.schema.fields, *STATE])
+    for k, group in enumerate(trained.groups or [[]]):
+        out = _one_pass(out if k == 0 else durable(out, "lang-pass"), trained.identifier(group) if group else Identifier([]), at, len(columns), schema)
+    return out
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            texts, langs = bytes_list(batch.column(0)), batch.column(1).to_pylist()
-            rows = [(lang, x, sum(map(len, letter_runs(t)))) for t, lang, (pred, _, _, x) in zip(texts, langs, identifier.identify(texts), strict=True) if pred == lang]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.float64()), (2, pa.float64()))], ["lang", "x", "n"])
-
-    found = map_arrow(rows.where("part = 0").select("text", "lang"), measure, "lang string, x double, n double")
-    long_ = F.when(F.col("n") >= 400, F.col("x"))
-    stats = {r["lang"]: r for r in found.groupBy("lang").agg(F.avg("x").alias("mean"), F.stddev_pop(long_).alias("spread")).collect()}
-    for m in models:
-        s = stats.get(m.lang)
-        m.mean = s["mean"] if s else 4.0
-        # floors keep the limit apart from clean texts where the calibration rows are few or all alike
-        m.spread = max((s["spread"] or 0.0) if s else 0.0, 0.03 * m.mean)
-        m.per_char = max(1.0, 0.5 * m.mean)
-    return identifier
-
-
-def predict(docs: DataFrame, identifier: Identifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns of keep, then lang_pred, score, rejected and bits_per_char for every whole text; rows one for one."""
-    import pickle
-    import uuid
 
+def _one_pass(docs: DataFrame, identifier: Identifier, at: int, own: int, schema: T.StructType) -> DataFrame:
     key = uuid.uuid4().hex
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(identifier))
-    columns = list(dict.fromkeys([*keep, "text"]))
-    at = columns.index("text")
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("bits_per_char", "double")
+    again = len(docs.columns) > own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = worker_state(key, lambda: pickle.loads(blob.value))
         for batch in slices(batches, at):
-            got = mine.identify(bytes_list(batch.column(at)))
-            made = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in keep], *made], schema.names)
+            states = [State(*x) for x in zip(*[c.to_pylist() for c in batch.columns[own:]], strict=True)] if again else None
+            got = mine.identify(bytes_list(batch.column(at)), states)
+            made = [pa.array([g[i] for g in got], k) for i, k in enumerate(STATE_TYPES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *made], schema.names)
 
-    return map_arrow(docs.select(*columns), run, schema)
+    return map_arrow(docs, run, schema)
 
 
-def train_on_fold(docs: DataFrame, learn_from: Column) -> Identifier:
+def predict(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns of keep, then lang_pred, score, rejected and bits_per_char for every whole text; rows one for one."""
+    columns = list(dict.fromkeys([*keep, "text"]))
+    states = identified(docs.select(*columns), trained)
+    n = F.least(F.col("__n"), F.lit(SCORE_CHARS))
+    score = F.pow(F.lit(2.0), F.least(F.lit(0.0), -F.col("__entropy") * n - F.col("__total")))
+    known = F.col("__lang").isNotNull()
+    return states.select(
+        *keep,
+        F.coalesce("__lang", F.lit(UNDETERMINED)).alias("lang_pred"),
+        F.when(known, score).otherwise(0.0).alias("score"),
+        (~known | (F.col("__entropy") > F.col("__limit"))).alias("rejected"),
+        F.when(known, F.col("__entropy")).alias("bits_per_char"),
+    )
+
+
+def train_on_fold(docs: DataFrame, learn_from: Column) -> Trained:
     return train(docs.where(learn_from))
 
 
-def keep_known(docs: DataFrame, identifier: Identifier) -> DataFrame:
+def keep_known(docs: DataFrame, trained: Trained) -> DataFrame:
     """The documents that are not rejected, with their columns; a text without letters is rejected."""
-    import pickle
-    import uuid
-
-    key = uuid.uuid4().hex
-    blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(identifier))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = worker_state(key, lambda: pickle.loads(blob.value))
-        for batch in slices(batches, at):
-            yield batch.filter(pa.array([not g[2] for g in mine.identify(bytes_list(batch.column(at)))], pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
+    return identified(docs, trained).where("__lang IS NOT NULL AND __entropy <= __limit").select(*docs.columns)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -351,8 +409,5 @@ def language_report(docs: DataFrame) -> DataFrame:
     A null text or one without letters is 'und' with score 0; a null lang teaches nothing; without any labelled row
     every text is 'und'.
     """
-    from demandloom.llm.common import held_out
-
     out = held_out(F.col("doc_id"), 3, 1)
-    identifier = train_on_fold(docs, ~out)
-    return predict(docs, identifier).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected", "bits_per_char")
+    return predict(docs, train_on_fold(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected", "bits_per_char")

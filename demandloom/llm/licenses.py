@@ -1,11 +1,13 @@
 """Licence scans by sentence rules.
 
-A text is lower-cased and read as words between two kinds of marks: sentence ends and line ends. A known licence sentence
-is found where its words stand between any two marks, so wrapped lines, blank lines, comment signs and an unterminated
-line before it (a title, a copyright line) do not hide it. A whole sentence over several lines counts beside its lines. Known sentences are cut at sentence ends as texts are: one
-with an inner 'v. ' is a sequence of pieces. The identifiers of a text in order are then matched against licence rules,
+A text is lower-cased and read as words between two kinds of marks: sentence ends and line ends. A known licence
+sentence is found where its words stand between any two marks, so wrapped lines, blank lines, comment signs and an
+unterminated line before it (a title, a copyright line) do not hide it. A whole sentence over several lines counts
+beside its lines. Known sentences are cut at sentence ends as texts are: one with an inner 'v. ' is a sequence of
+pieces. The identifiers of a text in order are then matched against licence rules,
 which are ordered: full texts come before notices, notices before mentions, and each rule is a sequence of identifiers
-that must occur in this order.
+that must occur in this order. Every licence of a text is reported, by the first of its rules that matches; a rule
+whose sentences are part of a longer one's (two clauses of three) gives way to that.
 
 Everything happens within the row, in DataFrame functions: no join, no shuffle. The known sentences are a fixed list.
 """
@@ -30,11 +32,32 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl3-notice": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"),
     "gpl-free": ("This program is free software",),
     "gpl3-terms": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
-    "gpl2-terms": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",),
+    "gpl2-notice": ("Licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License v2.0", "This work is licensed under the GNU General Public License, version 2"),
+    "lgpl-free": ("This library is free software",),
+    "lgpl21-terms": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version"),
+    "lgpl3-terms": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version"),
+    "lgpl3-notice": ("Licensed under the GNU Lesser General Public License, version 3", "Licensed under the GNU Lesser General Public License v3.0"),
+    "agpl3-terms": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "agpl3-notice": ("Licensed under the GNU Affero General Public License, version 3", "Licensed under the GNU Affero General Public License v3.0"),
+    "gpl2-terms": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",),
+    "lgpl-hope": ("This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",),
     "gpl-hope": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",),
     "ccbync4-notice": ("Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0"),
     "ccby4-notice": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "ccbysa4-notice": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "ccbynd4-notice": ("Licensed under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "ccbyncsa4-notice": ("Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "ccbyncnd4-notice": ("Licensed under CC BY-NC-ND 4.0", "This work is licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    "cc0-waived": ("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",),
+    "bsd3-notice": ("Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", 'Licensed under the BSD 3-Clause "New" or "Revised" License'),
+    "bsd2-notice": ("Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License"),
+    "bsd-style": ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",),
+    "epl2-notice": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0"),
+    "ofl11-notice": ("This Font Software is licensed under the SIL Open Font License, Version 1.1",),
+    "zlib-warranty": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
+    "bsl1-notice": ("Distributed under the Boost Software License, Version 1.0",),
+    "artistic2-notice": ("Licensed under the Artistic License 2.0", "Released under the Artistic License 2.0"),
     "cc0-notice": ("This work is dedicated to the public domain under CC0 1.0", "Licensed under CC0 1.0"),
     "bsd-redistribution": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "bsd-source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
@@ -47,7 +70,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "reserved": ("All rights reserved",),
 }
 
-#: Licence rules in their order; the first that matches names the licence.
+#: Licence rules in their order.
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("MIT", "text", ("mit-grant", "mit-condition", "mit-warranty")),
     ("BSD-3-Clause", "text", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
@@ -55,21 +78,59 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Apache-2.0", "text", ("apache-notice", "apache-comply", "apache-copy", "apache-asis", "apache-see")),
     ("GPL-3.0-or-later", "text", ("gpl-free", "gpl3-terms", "gpl-hope")),
     ("GPL-2.0-or-later", "text", ("gpl-free", "gpl2-terms", "gpl-hope")),
+    ("LGPL-2.1-or-later", "text", ("lgpl-free", "lgpl21-terms")),
+    ("LGPL-3.0-or-later", "text", ("lgpl3-terms",)),
+    ("AGPL-3.0-or-later", "text", ("gpl-free", "agpl3-terms", "gpl-hope")),
     ("MPL-2.0", "text", ("mpl2-notice", "mpl2-copy")),
     ("ISC", "text", ("isc-grant",)),
+    ("Zlib", "text", ("zlib-warranty", "zlib-grant")),
     ("Unlicense", "text", ("unlicense",)),
+    ("CC0-1.0", "text", ("cc0-waived",)),
     ("Apache-2.0", "notice", ("apache-notice",)),
+    ("GPL-3.0-or-later", "notice", ("gpl3-terms",)),
+    ("GPL-2.0-or-later", "notice", ("gpl2-terms",)),
+    ("AGPL-3.0-or-later", "notice", ("agpl3-terms",)),
     ("GPL-3.0-only", "notice", ("gpl3-notice",)),
+    ("GPL-2.0-only", "notice", ("gpl2-notice",)),
+    ("LGPL-3.0-only", "notice", ("lgpl3-notice",)),
+    ("AGPL-3.0-only", "notice", ("agpl3-notice",)),
+    ("CC-BY-NC-SA-4.0", "notice", ("ccbyncsa4-notice",)),
+    ("CC-BY-NC-ND-4.0", "notice", ("ccbyncnd4-notice",)),
     ("CC-BY-NC-4.0", "notice", ("ccbync4-notice",)),
     ("CC-BY-SA-4.0", "notice", ("ccbysa4-notice",)),
+    ("CC-BY-ND-4.0", "notice", ("ccbynd4-notice",)),
     ("CC-BY-4.0", "notice", ("ccby4-notice",)),
     ("CC0-1.0", "notice", ("cc0-notice",)),
     ("MPL-2.0", "notice", ("mpl2-notice",)),
+    ("EPL-2.0", "notice", ("epl2-notice",)),
+    ("OFL-1.1", "notice", ("ofl11-notice",)),
+    ("BSL-1.0", "notice", ("bsl1-notice",)),
+    ("Artistic-2.0", "notice", ("artistic2-notice",)),
+    ("BSD-3-Clause", "notice", ("bsd3-notice",)),
+    ("BSD-2-Clause", "notice", ("bsd2-notice",)),
     ("MIT", "notice", ("mit-notice",)),
+    ("LicenseRef-BSD-style", "mention", ("bsd-style",)),
     ("MIT", "mention", ("mit-title",)),
     ("LicenseRef-reserved", "mention", ("reserved",)),
 )
 
+
+def tags() -> dict[str, str]:
+    """SPDX tag of each named licence, by the identifier of its sentence."""
+    names = dict.fromkeys(name for name, _, _ in RULES if not name.startswith("LicenseRef"))
+    return {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in names}
+
+
+SENTENCES |= {name: (sentence,) for name, sentence in tags().items()}
+_TAGGED = tuple((sentence.split(": ")[1], "tag", (name,)) for name, sentence in tags().items())
+RULES = (*(r for r in RULES if r[1] != "mention"), *_TAGGED, *(r for r in RULES if r[1] == "mention"))
+
+
+def covers(i: int, j: int) -> bool:
+    """Whether rule j says nothing beside rule i: a later rule of the same licence, or of a part of its sentences."""
+    return i != j and ((RULES[i][0] == RULES[j][0] and i < j) or set(RULES[j][2]) < set(RULES[i][2]))
+
+
 SENTENCE_END = r"[.!?;:]+(?:[ \t\n\x0b\f\r]+|\z)"
 NOT_WORD = r"[^a-z0-9.]+"
 EDGE = " ."
@@ -109,7 +170,8 @@ def sentence_ids(text: Column) -> Column:
     ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END, END + END)
     words = F.regexp_replace(F.translate(ends, "\n", LINE), f"[^a-z0-9.{END}{LINE}]+", " ")
     hits = F.regexp_extract_all(F.concat(F.lit(END), words, F.lit(END)), F.lit(_known_pattern()), F.lit(0))
-    names = F.create_map(*[F.lit(x) for pieces, name in known_pieces().items() for x in (" ".join(pieces), name)])
+    by_words = {" ".join(pieces): name for pieces, name in known_pieces().items()}
+    names = F.create_map(*[F.lit(x) for item in by_words.items() for x in item])
     plain = lambda s: F.btrim(F.regexp_replace(s, f"[ {END}{LINE}]+", " "), F.lit(EDGE))
     several = lambda s: F.endswith(s, F.lit(END)) & (F.instr(s, LINE) > 0)
     found = F.flatten(F.transform(hits, lambda s: F.when(several(s), F.concat(F.array(s), F.split(s, LINE))).otherwise(F.array(s))))
@@ -117,13 +179,30 @@ def sentence_ids(text: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, license (null if none), kind, n_sentences, sentence_ids (joined by commas).
+    """One row per document: doc_id, license (null if none), kind, licenses, n_sentences, sentence_ids (joined by commas).
 
-    Rows are kept one for one. A text without a known sentence, a null or an empty one has license and kind null.
+    licenses joins all licences of the text as license:kind, in the order of the rules; license and kind are the
+    first. Rows are kept one for one. A text without a known sentence, a null or an empty one has license and kind
+    null and no licenses.
     """
-    ids = docs.select("doc_id", sentence_ids(F.col("text")).alias("ids")).withColumn("sequence", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
-    found = F.coalesce(*[F.when(F.col("sequence").rlike(_pattern(rule)), F.struct(F.lit(name).alias("license"), F.lit(kind).alias("kind"))) for name, kind, rule in RULES])
-    return ids.withColumn("found", F.when(F.size("ids") > 0, found)).select("doc_id", F.col("found.license").alias("license"), F.col("found.kind").alias("kind"), F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
+    ids = docs.select("doc_id", sentence_ids(F.col("text")).alias("ids"))
+    joined = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
+    # the rules that match, by number: tested where there are sentences only
+    numbers = F.array(*[F.when(F.col("sequence").rlike(_pattern(rule)), F.lit(i)) for i, (_, _, rule) in enumerate(RULES)])
+    matched = ids.withColumn("sequence", joined).withColumn("matched", F.when(F.size("ids") > 0, F.array_compact(numbers)))
+    hidden = F.array(*[F.array(*[F.lit(i) for i in range(len(RULES)) if covers(i, j)]).cast("array<int>") for j in range(len(RULES))])
+    left = F.filter("matched", lambda j: ~F.arrays_overlap(F.element_at(hidden, j + 1), F.col("matched")))
+    names = F.array(*[F.lit(f"{name}:{kind}") for name, kind, _ in RULES])
+    found = matched.withColumn("found", F.coalesce(F.transform(left, lambda j: F.element_at(names, j + 1)), F.array().cast("array<string>")))
+    first = F.split(F.element_at("found", 1), ":")
+    return found.select(
+        "doc_id",
+        F.when(F.size("found") > 0, F.element_at(first, 1)).alias("license"),
+        F.when(F.size("found") > 0, F.element_at(first, 2)).alias("kind"),
+        F.array_join("found", ",").alias("licenses"),
+        F.size("ids").cast("long").alias("n_sentences"),
+        F.array_join("ids", ",").alias("sentence_ids"),
+    )
 
 
 def _pattern(rule: tuple[str, ...]) -> str:
@@ -133,15 +212,18 @@ def _pattern(rule: tuple[str, ...]) -> str:
 def oracle() -> str:
     """The scan as SQL over the same fixed lists."""
     known = ", ".join(f"('{s}', '{n}')" for s, n in known_sentences().items())
-    rules = " ".join(f"WHEN regexp_matches(sequence, '{_pattern(rule)}') THEN {i}" for i, (_, _, rule) in enumerate(RULES))
-    names = ", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kind, _) in enumerate(RULES))
+    rules = ", ".join(f"({i}, '{_pattern(rule)}', '{name}', '{kind}')" for i, (name, kind, rule) in enumerate(RULES))
+    hidden = ", ".join(f"({i}, {j})" for i in range(len(RULES)) for j in range(len(RULES)) if covers(i, j))
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), names(i, license, kind) AS (VALUES {names}),
+WITH known(sentence, id) AS (VALUES {known}), rules(i, pattern, license, kind) AS (VALUES {rules}), hidden(i, j) AS (VALUES {hidden}),
 chunked AS (SELECT doc_id, unnest(list_transform(string_split_regex(lower(coalesce(text, '')), '[.!?;:]+(?:[ \t\n\x0b\f\r]+|\z)'), lambda x, k: {{'c': x, 'i': k}})) AS c FROM documents),
 lined AS (SELECT doc_id, c.i AS pos, unnest(list_transform(string_split(c.c, chr(10)), lambda x, k: {{'c': x, 'i': k}})) AS l FROM chunked WHERE strpos(c.c, chr(10)) > 0),
 pieces AS (SELECT doc_id, c.i AS pos, 0 AS line, c.c AS piece FROM chunked UNION ALL SELECT doc_id, pos, l.i, l.c FROM lined),
 hits AS (SELECT doc_id, pos, line, id FROM pieces JOIN known ON trim(regexp_replace(piece, '[^a-z0-9.]+', ' ', 'g'), ' .') = sentence),
 ordered AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos, line) AS ids, ',' || string_agg(id, ',,' ORDER BY pos, line) || ',' AS sequence FROM hits GROUP BY doc_id),
-ruled AS (SELECT *, CASE {rules} END AS i FROM ordered)
-SELECT d.doc_id, license, kind, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids FROM documents d LEFT JOIN ruled r ON d.doc_id = r.doc_id LEFT JOIN names USING (i)
+matched AS (SELECT doc_id, i, license, kind FROM ordered JOIN rules ON regexp_matches(sequence, pattern)),
+seen AS (SELECT * FROM matched m WHERE NOT EXISTS (SELECT 1 FROM hidden h JOIN matched o ON o.i = h.i WHERE h.j = m.i AND o.doc_id = m.doc_id)),
+ruled AS (SELECT doc_id, arg_min(license, i) AS license, arg_min(kind, i) AS kind, string_agg(license || ':' || kind, ',' ORDER BY i) AS licenses FROM seen GROUP BY doc_id)
+SELECT d.doc_id, r.license, r.kind, coalesce(r.licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids
+FROM documents d LEFT JOIN ordered o ON d.doc_id = o.doc_id LEFT JOIN ruled r ON d.doc_id = r.doc_id
 """

@@ -18,13 +18,14 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import bounded_rows, bytes_list, durable, held_out, map_arrow, slices
+from demandloom.llm.common import bytes_list, durable, held_out, map_arrow, slices
 
 #: Bound of the labelled sample, in rows of each class (in expectation), and of the lexicon.
 SAMPLE_ROWS = 8_000
@@ -38,17 +39,29 @@ THRESHOLD = 0.7
 MEMO_WORDS = 150_000
 
 #: Letters of other scripts that look like Latin ones, and digits and symbols that stand for letters.
-HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁԛԝвкмнтАВЕКМНОРСТУХαοερτυνικηωβ", "aeopcyxijshdqwbkmhtabekmhopctyxaoeptuvikhwb")
+HOMOGLYPHS = str.maketrans(
+    "аеорсухіјѕһԁԛԝвкмнтгьӏѵґүАВЕКМНОРСТУХαοερτυνικηωβγσχօսհցոıɡɑɩʟɴʀ",
+    "aeopcyxijshdqwbkmhtrblvryabekmhopctyxaoeptuvikhwbyoxouhgnigailnr",
+)
 STAND_INS = str.maketrans("013457@$!", "oieastasi")
-#: Phrases in which a lexicon word means no harm.
+#: Phrases in which a lexicon word means no harm; more are learnt.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser", "pond scum")
+#: A learnt exception is in so many clean documents of the sample and so much more frequent there.
+EXCEPTION_DOCS = 5
+EXCEPTION_LIFT = 8.0
 
 _INNER = re.compile(r"[^\w@$!]+|_+")
 
 
 def fold(word: str) -> list[str]:
-    """The folded words of a run without spaces: mostly one, none for a run of symbols."""
-    word = unicodedata.normalize("NFKC", word).lower().translate(HOMOGLYPHS)
+    """The folded words of a run without spaces: mostly one, none for a run of symbols.
+
+    Accents and invisible characters go, so that they do not split or hide a word.
+    """
+    if not word.isascii():
+        kept = (c for c in unicodedata.normalize("NFKD", word) if unicodedata.category(c) not in ("Mn", "Cf"))
+        word = unicodedata.normalize("NFKC", "".join(kept))
+    word = word.lower().translate(HOMOGLYPHS)
     out = []
     for part in _INNER.split(word):
         part = part.rstrip("@$!")
@@ -112,7 +125,18 @@ class Lexicon:
         found, excused = [], []
         for last, (i, n) in self.automaton().iter(folded):
             (found if i >= 0 else excused).append((i, last - n + 1, last + 1))
-        return [m for m in found if not any(a <= m[1] and m[2] <= b for _, a, b in excused)] if excused else found
+        if not excused:
+            return found
+        # of the exceptions that begin no later than a match, does one reach its end? both lists are walked once
+        excused.sort(key=itemgetter(1))
+        out, at, reach = [], 0, -1
+        for m in sorted(found, key=itemgetter(1)):
+            while at < len(excused) and excused[at][1] <= m[1]:
+                reach = max(reach, excused[at][2])
+                at += 1
+            if m[2] > reach:
+                out.append(m)
+        return out
 
     def evidence(self, folded: str) -> tuple[float, int]:
         """Weighted surprise at the counts, given the number of words; and the number of matches."""
@@ -149,7 +173,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     shares = {c: min(1.0, rows / n) for c, n in totals.items()}
     share = F.when(F.col("toxic") == 1, F.lit(shares.get(1, 0.0))).otherwise(F.lit(shares.get(0, 0.0)))
     some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0) < share)
-    few = bounded_rows(some, 4 * rows) is not None
+    some = durable(some, "toxic-labels")
+    few = some.count() <= 4 * rows
     met = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some) if few else some, "doc_id")
     return durable(met.select("text", "toxic"), "toxic-sample"), shares
 
@@ -206,6 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
         taken.add(p)
     lexicon = Lexicon([r["pattern"] for r in chosen], [-math.log((r["k0"] + 0.5) / (n0 + 1)) for r in chosen], exceptions=exceptions)
 
+    lexicon.exceptions = (*exceptions, *learnt_exceptions(sample, lexicon, docs0, docs1))
+    lexicon._automaton = None
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder()
         for batch in slices(batches, 0):
@@ -216,6 +244,37 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
     return lexicon
 
 
+def learnt_exceptions(sample: DataFrame, lexicon: Lexicon, docs0: int, docs1: int) -> list[str]:
+    """Phrases of a matched word and its neighbour that are far more frequent in clean documents, by name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder()
+        found: list[Counter[str]] = [Counter(), Counter()]
+        for batch in slices(batches, 0):
+            for text, toxic in zip(bytes_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                found[toxic].update(phrases(lexicon, folder(text)))
+        keys = list(found[0].keys() | found[1].keys())
+        columns = [pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in found]]
+        yield pa.RecordBatch.from_arrays(columns, ["phrase", "d0", "d1"])
+
+    counted = map_arrow(sample, run, "phrase string, d0 long, d1 long").groupBy("phrase").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    lift = F.col("d0") / docs0 >= EXCEPTION_LIFT * (F.col("d1") + 0.5) / docs1
+    rows = counted.where((F.col("d0") >= EXCEPTION_DOCS) & lift).orderBy(F.desc("d0"), "phrase").limit(MOST_PATTERNS).collect()
+    return sorted(r["phrase"] for r in rows)
+
+
+def phrases(lexicon: Lexicon, folded: str) -> set[str]:
+    """Each matched word of a text with the word before it, and with the word after it."""
+    out = set()
+    for _, start, _ in lexicon.matches(folded):
+        end = folded.index(" ", start + 1)
+        if start:
+            out.add(folded[folded.rindex(" ", 0, start) + 1 : end])
+        if end + 1 < len(folded):
+            out.add(folded[start + 1 : folded.index(" ", end + 1)])
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Intercept and slope by Newton's method, with a slight ridge so that separable data settle."""
     beta = np.zeros(2)

@@ -88,6 +88,65 @@ def test_language_model_is_a_distribution():
     assert m.entropy(["abc"])[0] < m.entropy(["dca"])[0]
 
 
+def plain_kneser_ney(words, counts, order):
+    """log2 probability of a predicted mark or letter given what precedes it in its word, by dictionaries."""
+    grams = [Counter() for _ in range(order + 1)]
+    for w, c in zip(words, counts, strict=True):
+        marked = ["<", *w, ">"]
+        for at in range(1, len(marked)):
+            for n in range(1, min(order, at + 1) + 1):
+                grams[n][tuple(marked[at - n + 1 : at + 1])] += c
+    times = {}
+    for n in range(1, order + 1):
+        kinds = Counter(g[1:] for g in grams[n + 1]) if n < order else {}
+        times[n] = {g: (kinds[g] if n < order and kinds.get(g) else c) for g, c in grams[n].items()}
+    tables, below = {}, None
+    for n in range(1, order + 1):
+        t = times[n]
+        once, twice = sum(x == 1 for x in t.values()), sum(x == 2 for x in t.values())
+        d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        total, kinds = Counter(), Counter()
+        for g, x in t.items():
+            total[g[:-1]] += x
+            kinds[g[:-1]] += 1
+        tables[n] = (t, total, kinds, d)
+
+    def p(history, c, n):
+        t, total, kinds, d = tables[n]
+        h = tuple(history[len(history) - n + 1 :]) if n > 1 else ()
+        if n == 1:
+            spare = d * kinds[()] / total[()] / (kinds[()] + 256)
+            return max(t.get((c,), 0) - d, 0) / total[()] + spare
+        if not total[h]:
+            return p(history, c, n - 1)
+        return max(t.get((*h, c), 0) - d, 0) / total[h] + d * kinds[h] / total[h] * p(history, c, n - 1)
+
+    def bits(word):
+        marked = ["<", *word, ">"]
+        return -sum(math.log2(p(marked[:at], marked[at], min(order, at + 1))) for at in range(1, len(marked)))
+
+    return bits
+
+
+def test_language_model_equals_plain_kneser_ney():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abcdé", k=rng.randint(1, 7))) for _ in range(60)})
+    counts = [rng.randint(1, 6) for _ in words]
+    for order in (2, 3, 5):
+        m, bits = langid.fit_model("x", words, np.array(counts), order), plain_kneser_ney(words, counts, order)
+        some = [*words[:20], "zzz", "abz", "a", "bcdéabcd", "dddd"]
+        assert np.allclose(m.entropy(some), [bits(w) for w in some], rtol=1e-4)
+
+
+def test_language_groups_agree(spark, docs):
+    one = langid.train(docs)
+    many = langid.train(docs, model_bytes=1)
+    assert len(one.groups) == 1 and len(many.groups) == len(one.groups[0]) > 2
+    a, b = ({(r.doc_id, r.lang_pred, round(r.score, 9), r.rejected) for r in langid.predict(docs, x).collect()} for x in (one, many))
+    assert a == b
+    assert langid.letter_runs(("é" * 2500 + " 12 ab²c").encode()) == ["é" * 1000, "é" * 1000, "é" * 500, "ab", "c"]
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark, docs, odd, empty):
     r = langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(r) == docs.count()
@@ -181,6 +240,28 @@ def test_wrapped_license_texts(spark):
     assert got == {0: ("MPL-2.0", "notice", 1), 1: (None, None, 0), 2: ("MIT", "mention", 1), 3: (None, None, 0), 4: ("MIT", "notice", 1)}
 
 
+def test_every_license_rule_and_several_licenses(spark):
+    rows = [(i, "Some title\n\n" + "\n".join(licenses.SENTENCES[s][0] + "." for s in rule) + "\nOther words.", "en", "a") for i, (_, _, rule) in enumerate(licenses.RULES)]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, rows)).collect()}
+    for i, (name, kind, rule) in enumerate(licenses.RULES):
+        assert f"{name}:{kind}" in got[i].licenses.split(","), (name, kind, got[i])
+        assert got[i].sentence_ids == ",".join(rule)
+        assert len(got[i].licenses.split(",")) == 1
+    two = [
+        (0, "Licensed under the Apache License, Version 2.0. Released under the MIT License.", "en", "a"),
+        (1, "# SPDX-License-Identifier: GPL-3.0-only\nAll rights reserved.\nReleased under the MIT License.\nMIT License", "en", "a"),
+        (2, "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "en", "a"),
+        (3, "/* SPDX-License-Identifier: BSD-2-Clause */", "en", "a"),
+    ]
+    got = {r.doc_id: (r.license, r.kind, r.licenses) for r in licenses.scan(docs_of(spark, two)).collect()}
+    assert got == {
+        0: ("Apache-2.0", "notice", "Apache-2.0:notice,MIT:notice"),
+        1: ("MIT", "notice", "MIT:notice,GPL-3.0-only:tag,LicenseRef-reserved:mention"),
+        2: ("LGPL-2.1-or-later", "text", "LGPL-2.1-or-later:text"),
+        3: ("BSD-2-Clause", "tag", "BSD-2-Clause:tag"),
+    }
+
+
 # exact top-k
 
 
@@ -432,6 +513,52 @@ def test_folding_and_exceptions():
     assert lexicon.evidence(folder("such tr4sh and a trash can".encode()))[1] == 1
 
 
+def plain_evidence(lexicon, folded):
+    """Matches at every position, without an automaton."""
+    spans = lambda p: [(k, k + len(p)) for k in range(len(folded)) if folded.startswith(p, k)]
+    excused = [s for e in lexicon.exceptions for s in spans(" " + " ".join(x for w in e.split() for x in toxicity.fold(w)) + " ")]
+    total, n = 0.0, 0
+    for p, weight in zip(lexicon.patterns, lexicon.weights, strict=True):
+        k = sum(not any(a <= s and e <= b for a, b in excused) for s, e in spans(p))
+        expected = max(1, folded.count(" ") - 1) * math.exp(-weight)
+        n += k
+        if k > expected:
+            total += k * math.log(k / expected) - (k - expected)
+    return total, n
+
+
+def test_toxicity_evidence_by_brute_force():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon([" trash ", " idio", " lose", " tr4p "], [6.0, 7.0, 3.0, 2.0], exceptions=("trash can", "sore loser", "the trash can lid"))
+    folder = toxicity.Folder()
+    words = ["trash", "can", "lid", "the", "1diot", "idiotic", "sore", "loser", "losing", "tr4p", "ok", "tr\u0430sh", "tra\u200bsh", "tr\u00e1sh", "***"]
+    for _ in range(200):
+        folded = folder(" ".join(rng.choices(words, k=rng.randint(0, 25))).encode())
+        got, want = lexicon.evidence(folded), plain_evidence(lexicon, folded)
+        assert abs(got[0] - want[0]) < 1e-9 and got[1] == want[1]
+    assert toxicity.phrases(lexicon, " the idiotic lid ") == {"the idiotic", "idiotic lid"}
+    assert folder("tra\u200bsh tr\u00e1sh tr\u0430sh".encode()) == " trash trash trash "
+
+
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(7)
+    filler = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        w = rng.choices(filler, k=40)
+        if i % 3 == 0:
+            w[5:5] = ["grub", "grub"]
+        elif i % 9 == 1:
+            w[5:5] = ["beetle", "grub"]
+        rows.append((i, " ".join(w), i % 3 == 0))
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, int(x)) for i, _, x in rows], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels, exceptions=())
+    assert "beetle grub" in lexicon.exceptions and "grub grub" not in lexicon.exceptions
+    got = {r.doc_id: r.predicted for r in toxicity.score_texts(docs_of(spark, [(1, "w1 w2 beetle grub w3", "en", "a"), (2, "w1 w2 grub grub w3 w4", "en", "a")]), lexicon).collect()}
+    assert got[1] == 0 and got[2] == 1
+
+
 def test_toxicity_held_out(spark, odd, empty):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = toxicity.toxicity_report(d, l).join(l, "doc_id").where("held_out").collect()
