@@ -18,8 +18,8 @@ from demandloom.llm.common import durable
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are not close to any learnt language; without a labelled row none can be judged and all stay."""
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    identifier = langid.train_on_fold(labelled, F.lit(True))
-    return langid.keep_known(docs, identifier) if identifier.models else docs
+    trained = langid.train_on_fold(labelled, F.lit(True))
+    return langid.keep_known(docs, trained) if trained.groups else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
