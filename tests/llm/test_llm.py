@@ -67,6 +67,56 @@ def test_quality_base_counts_and_odd_rows(odd, docs, empty):
     assert all(r.base_failed and not r.kept for r in got)
     assert quality.quality_report(empty).count() == 0
     assert quality.keep_good(docs).columns == docs.columns
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {r.doc_id for r in quality.quality_report(docs).where("kept").collect()} < {r.doc_id for r in quality.keep_good(docs, least_words=1).collect()}
+
+
+def test_quality_measures_and_verdict_by_brute_force(spark, docs):
+    import base64 as b64
+
+    import sentencepiece
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    ranks = {b64.b64decode(a): int(b) for a, b in map(bytes.split, open(quality.SECOND_MODEL, "rb"))}
+    second = tiktoken.Encoding("own", pat_str=quality.SECOND_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    extra = ["שלום עולם " * 5 + " ".join(f"מילה{i} טובה" for i in range(40)), " ".join(f"слово{i} и дело" for i in range(40)), " ".join(chr(0x2600 + i) * 3 for i in range(90)), "zq" * 300 + " a" * 60]
+    texts = {r.doc_id: r.text for r in docs.limit(120).collect()} | {10_000 + i: t for i, t in enumerate(extra)}
+    asked = 0
+    for r in quality.quality_report(docs_of(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect():
+        words = (texts[r.doc_id] or "").encode().split()
+        if not words:
+            assert not r.kept and r.chars_per_token is None
+            continue
+        shown = [w.decode() for w in words]
+        ids = [i for w in shown for i in sp.encode(w)]
+        share = np.array(list(Counter(ids).values())) / len(ids)
+        chars = sum(map(len, shown))
+        assert abs(r.chars_per_token - chars / len(ids)) < 1e-9
+        assert abs(r.byte_share - sum(sp.is_byte(i) for i in ids) / len(ids)) < 1e-9
+        assert abs(r.token_entropy + (share * np.log2(share)).sum() / np.log2(min(max(len(ids), 2), 256))) < 1e-9
+        scripts = Counter()
+        for w in shown:
+            first = next((c for c in w if c.isalpha()), None)
+            if first:
+                scripts[__import__("unicodedata").name(first, "").split(" ")[0]] += len(w)
+        assert r.script == (max(scripts, key=scripts.get) if scripts else "NONE")
+        band = quality.BANDS[r.script]
+        known = band.min_chars <= r.chars_per_token <= band.max_chars and r.byte_share <= band.max_bytes
+        if not known and not r.base_failed:
+            asked += 1
+            other = second.encode_ordinary(" ".join(shown))
+            broken = sum("\ufffd" in second.decode_single_token_bytes(i).decode("utf-8", "replace") for i in other)
+            assert abs(r.chars_per_token_second - chars / len(other)) < 1e-9 and abs(r.byte_share_second - broken / len(other)) < 1e-9
+            known = band.min_chars <= r.chars_per_token_second <= band.max_chars and r.byte_share_second <= band.max_bytes
+        else:
+            assert r.chars_per_token_second is None
+        assert r.kept == (not r.base_failed and known and r.token_entropy >= band.min_entropy and r.n_symbols <= band.max_symbols * chars)
+    assert asked
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        ids = rng.integers(0, 6, rng.integers(1, 40))
+        assert quality.repeated_words(ids) == quality.repeated_words(ids + 3_000_000) == plain_quality(" ".join(map(str, ids)))[4]
 
 
 def test_quality_keeps_sound_texts_and_drops_noise(spark, docs):
@@ -733,7 +783,7 @@ def test_pipeline_stages(spark, docs):
     assert out.columns == [*docs.columns, "token_ids"]
     rows = out.collect()
     assert rows
-    kept = {r.doc_id for r in quality.quality_report(docs).where("kept").select("doc_id").collect()}
+    kept = {r.doc_id for r in quality.keep_good(docs, least_words=1).select("doc_id").collect()}
     assert {r.doc_id for r in rows} <= kept
     empty = docs.limit(0)
     for _, stage in P.STAGES:
