@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents outside the base rules or their script's fertility bands."""
-    return quality.keep_good(docs)
+    """Drops documents that repeat themselves or lie outside their script's fertility bands; short but sound ones stay."""
+    return quality.keep_good(docs, least_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
