@@ -18,8 +18,8 @@ QUERIES, ORACLES = C.queries, C.oracles
 ALL = ("y", "revenue", "promo_units", "price_sum", "promo_sum", "n")
 
 
-def grid_of(spark: SparkSession, sf_dir: str, *levels: str, measures: tuple[str, ...] = ("y",)) -> DataFrame:
-    return P.dense(P.roll_up(sales(spark, sf_dir), levels or P.LEVELS), *measures)
+def grid_of(spark: SparkSession, sf_dir: str, *levels: str, measures: tuple[str, ...] = ("y",), since: DataFrame | None = None) -> DataFrame:
+    return P.dense(P.roll_up(sales(spark, sf_dir), levels or P.LEVELS), *measures, since=since)
 
 
 def origins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,25 @@ def origins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.origins(sales(spark, sf_dir).select("date"))
 
 
+def last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b: the last day of the sales, which every grid ends on."""
+    return sales(spark, sf_dir).agg(F.max("date").alias("b"))
+
+
 def last_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins_of(spark, sf_dir).where("fold = 6").select("origin")
 
 
+def history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cut: the first day that features of the last fold can look back to."""
+    return last_origin(spark, sf_dir).select(F.date_sub("origin", X.LOOK_BACK).alias("cut"))
+
+
+def recent_exogenous(spark: SparkSession, sf_dir: str, *levels: str) -> DataFrame:
+    """X.exogenous over the days from history_cut on, which no earlier day can change but by the price it hands on."""
+    return X.exogenous_since(P.roll_up(sales(spark, sf_dir), levels), history_cut(spark, sf_dir))
+
+
 def last_fold(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows with the last fold's origin on each."""
     return rows.crossJoin(F.broadcast(last_origin(spark, sf_dir)))
@@ -46,7 +61,7 @@ def S1_scan_project(spark, sf_dir):
 def P4_date_filters(spark, sf_dir):
     """Date, membership, range and conjunction filters as conditional counts over the dense grid."""
     g = grid_of(spark, sf_dir, "store_cat")
-    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b"))))
+    g = g.crossJoin(F.broadcast(last_day(spark, sf_dir)))
     d = F.col("date")
     tests = {"in_horizon": d >= F.date_sub("b", 27), "last_56": d > F.date_sub("b", 56), "last_91": d >= F.date_sub("b", 90), "weekend": F.weekday(d).isin(5, 6), "week_before_last": d.between(F.date_sub("b", 13), F.date_sub("b", 7)) & (F.col("y") > 0)}
     return g.groupBy("key").agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
@@ -101,10 +116,10 @@ def J10_dense_grid(spark, sf_dir):
     return grid_of(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_rows"), F.count_distinct("key").alias("n_series"), r6(F.avg((F.col("y") == 0).cast("int")), "zero_share"), F.round(F.sum("y"), 2).alias("total"))
 
 
-@C.query(with_("panel", "SELECT level, key, date_trunc('month', date)::DATE AS month, round(sum(y), 2) AS y FROM panel GROUP BY 1, 2, 3"), dates="month")
+@C.query(with_("panel6", "SELECT level, key, date_trunc('month', date)::DATE AS month, round(sum(y), 2) AS y FROM panel6 GROUP BY 1, 2, 3"), dates="month")
 def A1_level_rollup(spark, sf_dir):
     """Monthly sums of all levels from one pass."""
-    return P.roll_up(sales(spark, sf_dir)).groupBy("level", "key", F.trunc("date", "month").alias("month")).agg(F.round(F.sum("y"), 2).alias("y"))
+    return P.roll_up(sales(spark, sf_dir), P.ALL_LEVELS).groupBy("level", "key", F.trunc("date", "month").alias("month")).agg(F.round(F.sum("y"), 2).alias("y"))
 
 
 @C.query(with_("sales", "SELECT store_id || '|' || cat_id AS key, count(*) AS n, round(sum(units), 2) AS units, round(avg(revenue) + 3.1e-8::DOUBLE, 6) AS mean_revenue, max(units) AS most, count(DISTINCT item_id) AS items, round(avg(promo::INT), 6) AS promo_share, min(item_id) AS first_item, max(promo::INT)::INT AS any_promo FROM sales GROUP BY 1"))
@@ -170,7 +185,7 @@ _LAST = "SELECT * FROM ({q}) WHERE date >= (SELECT b - 27 FROM bounds)"
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", w="SELECT key, date, " + ", ".join(f"lag(y, {k}) OVER s AS lag_{k}" for k in X.LAGS) + " FROM grid WHERE level = 'store_cat' WINDOW s AS (PARTITION BY key ORDER BY date)"), dates="date")
 def W1_lags(spark, sf_dir):
     """Target lags of the horizon and more, for the last fold's days."""
-    g = last_fold(grid_of(spark, sf_dir, "store_cat"), spark, sf_dir).withColumns(X.lags())
+    g = last_fold(grid_of(spark, sf_dir, "store_cat", since=history_cut(spark, sf_dir)), spark, sf_dir).withColumns(X.lags())
     return g.where("date >= origin").select("key", "date", *X.lags())
 
 
@@ -191,19 +206,19 @@ def _rolling_sql(key: str = "key") -> str:
 def W2_rolling(spark, sf_dir):
     """Rolling means, deviations, zero share and the same-weekday mean, for the last fold's days."""
     roll = X.rolling()
-    g = last_fold(grid_of(spark, sf_dir, "store_cat"), spark, sf_dir).withColumn("dow", F.weekday("date")).withColumns({**roll, "dow_mean_4w": X.same_weekday_mean()})
+    g = last_fold(grid_of(spark, sf_dir, "store_cat", since=history_cut(spark, sf_dir)), spark, sf_dir).withColumn("dow", F.weekday("date")).withColumns({**roll, "dow_mean_4w": X.same_weekday_mean()})
     return g.where("date >= origin").select("key", "date", *[r6(c, c) for c in (*roll, "dow_mean_4w")])
 
 
-_FILLED = """SELECT level, key, date, y, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(p IGNORE NULLS) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price, coalesce(promo_units / nullif(y, 0), promo_sum / nullif(n, 0), 0) AS promo
-  FROM (SELECT *, coalesce(revenue / nullif(y, 0), price_sum / nullif(n, 0)) AS p FROM grid)"""
+_FILLED = """SELECT level, key, date, y, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(p IGNORE NULLS) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price, coalesce(promo_sum / nullif(n, 0), 0) AS promo
+  FROM (SELECT *, price_sum / nullif(n, 0) * coalesce((lag(revenue, 28) OVER s / nullif(lag(y, 28) OVER s, 0)) / (lag(price_sum, 28) OVER s / nullif(lag(n, 28) OVER s, 0)), 1) AS p FROM grid WINDOW s AS (PARTITION BY level, key ORDER BY date))"""
 _PRICE = "round(CASE WHEN count(price) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN 55 PRECEDING AND CURRENT ROW) >= 7 THEN price / avg(price) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN 55 PRECEDING AND CURRENT ROW) END, 6) AS price_rel_56, round(price / lag(price, 7) OVER (PARTITION BY level, key ORDER BY date) - 1, 6) + 0.0::DOUBLE AS price_chg_7, round(ln(greatest(price, 0.01::DOUBLE)), 6) + 0.0::DOUBLE AS log_price"
 
 
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", filled=_FILLED, w=f"SELECT key, date, {_PRICE} FROM filled WHERE level = 'store_cat'"), dates="date")
 def W6_price_windows(spark, sf_dir):
     """Price relative to its own recent mean, and its weekly change."""
-    g = X.exogenous(grid_of(spark, sf_dir, "store_cat", measures=ALL))
+    g = recent_exogenous(spark, sf_dir, "store_cat")
     prices = X.price_features()
     return last_fold(g.withColumns(prices), spark, sf_dir).where("date >= origin").select("key", "date", *[r6(c, c) for c in prices])
 
@@ -243,11 +258,17 @@ def O4_top_keys(spark, sf_dir):
     return P.roll_up(sales(spark, sf_dir), ("store_cat",)).groupBy("key").agg(F.round(F.sum("y"), 2).alias("y")).orderBy("key").limit(50)
 
 
-@C.query(with_("grid", """SELECT level, round(sum(abs(y - p)) / nullif(sum(abs(y)), 0), 6) AS wmape, round(sum(p - y) / nullif(sum(abs(y)), 0), 6) AS bias FROM
-  (SELECT level, key, date, y, CASE WHEN date < b - 20 THEN lag(y, 7) OVER s WHEN date < b - 13 THEN lag(y, 14) OVER s WHEN date < b - 6 THEN lag(y, 21) OVER s ELSE lag(y, 28) OVER s END AS p FROM grid, bounds WINDOW s AS (PARTITION BY level, key ORDER BY date)) , bounds WHERE date > b - 28 GROUP BY level"""))
+#: The six levels over the last 35 days.
+_RECENT_SIX = """SELECT k.level, k.key, d.date, coalesce(p.y, 0) AS y FROM (SELECT DISTINCT level, key FROM panel6) k CROSS JOIN (SELECT unnest(generate_series(b - 34, b, INTERVAL 1 DAY))::DATE AS date FROM bounds) d LEFT JOIN panel6 p ON p.level = k.level AND p.key = k.key AND p.date = d.date"""
+
+
+@C.query(with_("panel6 bounds", """SELECT level, round(sum(abs(y - p)) / nullif(sum(abs(y)), 0), 6) AS wmape, round(sum(p - y) / nullif(sum(abs(y)), 0), 6) AS bias FROM
+  (SELECT level, key, date, y, CASE WHEN date < b - 20 THEN lag(y, 7) OVER s WHEN date < b - 13 THEN lag(y, 14) OVER s WHEN date < b - 6 THEN lag(y, 21) OVER s ELSE lag(y, 28) OVER s END AS p FROM recent, bounds WINDOW s AS (PARTITION BY level, key ORDER BY date)) , bounds WHERE date > b - 28 GROUP BY level""", recent=_RECENT_SIX))
 def M1_wmape_by_level(spark, sf_dir):
-    """Seasonal-naive WMAPE and bias by level over the last fold."""
-    b = B.backtest(grid_of(spark, sf_dir), ("seasonal_naive",), starts=origins_of(spark, sf_dir).where("fold = 6"))
+    """Seasonal-naive WMAPE and bias by level, all six, over the last fold: a season before it is all that is read of the past."""
+    since = last_origin(spark, sf_dir).select(F.date_sub("origin", B.SEASON).alias("cut"))
+    g = grid_of(spark, sf_dir, *P.ALL_LEVELS, since=since)
+    b = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir).where("fold = 6"))
     return b.groupBy("level").agg(r6(M.wmape(), "wmape"), r6(M.bias(), "bias"))
 
 
@@ -260,7 +281,7 @@ def M5_intermittency(spark, sf_dir):
 
 @C.query(with_("grid", "SELECT level, key, date, round(price + 3.1e-8::DOUBLE, 6) AS price, round(promo + 3.1e-8::DOUBLE, 6) AS promo FROM filled", filled=_FILLED), dates="date")
 def H3_exog(spark, sf_dir):
-    """Unit-weighted price and promo share at every level, filled forward then backward."""
+    """Price and promo share at every level, weighted by the units of the horizon's lag, filled forward then backward."""
     g = X.exogenous(grid_of(spark, sf_dir, measures=ALL))
     return g.select("level", "key", "date", r6s("price", "price"), r6s("promo", "promo"))
 
@@ -271,7 +292,7 @@ _B15 = "SELECT key, f.date, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY key O
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", filled=_FILLED, **_FULL_CALENDAR, w=_B15), dates="date")
 def B15_feature_matrix(spark, sf_dir):
     """All 34 features for the last fold's days."""
-    g = X.exogenous(grid_of(spark, sf_dir, "store_cat", measures=ALL))
+    g = recent_exogenous(spark, sf_dir, "store_cat")
     # the event follows from the date: a join with a calendar would shuffle the panel by date and back
     f = X.add_features(g.withColumn("event", P.event_of(F.col("date"))))
     f = last_fold(f, spark, sf_dir).where("date >= origin")

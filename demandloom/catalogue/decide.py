@@ -17,6 +17,7 @@ from demandloom.operators import markdown as K
 from demandloom.operators import panel as P
 from demandloom.plans import service as V
 from demandloom.sources.sales import sales, table
+from demandloom.sources.store import written
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
@@ -55,9 +56,12 @@ _ITEMS = f"SELECT key, split_part(key, '|', 1) AS dept, split_part(key, '|', 2)
 
 def items_of(spark, sf_dir):
     """(key, dept, cat, base_daily, ref_price, inventory): the recent daily rate, mean price and a stock that will not clear."""
-    g = grid_of(spark, sf_dir, "store_cat", measures=("y", "revenue"))
-    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b"))))
-    rate = g.groupBy("key").agg(F.avg(F.when(F.col("date") > F.date_sub("b", 56), F.col("y"))).alias("base_daily"), (F.sum("revenue") / F.sum("y")).alias("ref_price")).where("base_daily > 0.15")
+    s = sales(spark, sf_dir)
+    p = P.roll_up(s, ("store_cat",)).crossJoin(F.broadcast(s.agg(F.min("date").alias("a"), F.max("date").alias("b"))))
+    # a day without sales adds nothing to either sum, so no grid is needed
+    recent = F.sum(F.when(F.col("date") > F.date_sub("b", 56), F.col("y")).otherwise(0.0))
+    days = F.least(F.lit(56), F.datediff(F.max("b"), F.min("a")) + 1)
+    rate = p.groupBy("key").agg((recent / days).alias("base_daily"), F.try_divide(F.sum("revenue"), F.sum("y")).alias("ref_price")).where("base_daily > 0.15")
     part = F.split("key", "\\|")
     stock = F.ceil(F.round(K.expected_full_price(F.col("base_daily")) * 2.2, 6)).cast("double")
     return rate.select("key", part[0].alias("dept"), part[1].alias("cat"), "base_daily", "ref_price", stock.alias("inventory"))
@@ -87,7 +91,7 @@ def _best(e: str, where: str = "") -> str:
 @C.query(with_("grid", "SELECT key, list_aggregate(list_transform(b.depths, lambda d: round(100 * d)::INT::VARCHAR), 'string_agg', '/') AS schedule, round(b.rev, 4) AS revenue, round(100 * f.depths[1])::INT AS flat, round(f.rev, 4) AS flat_revenue FROM best b JOIN flat f USING (key)", items=_ITEMS, schedules=_SCHEDULES, best=_best("-1.5::DOUBLE"), flat=_best("-1.5::DOUBLE", "WHERE depths[1] = depths[3]")))
 def K2_schedules(spark, sf_dir):
     """The best of 56 falling price paths and the best single discount, for every item."""
-    items = items_of(spark, sf_dir).withColumn("e", F.lit(-1.5)).cache()
+    items = written(items_of(spark, sf_dir), "items").withColumn("e", F.lit(-1.5))
     best = K.best_schedules(items, "e")
     flat = K.best_schedules(items, "e", [(d,) * K.PHASES for d in K.DEPTHS])
     text = F.array_join(F.transform("depths", lambda d: F.round(100 * d).cast("int").cast("string")), "/")
@@ -114,7 +118,7 @@ def K6_decision_table(spark, sf_dir):
     """Decided on one elasticity, scored in a world with another: revenue by category, world and policy."""
     from demandloom.plans.pricing import decision_table
 
-    t = decision_table(items_of(spark, sf_dir).cache(), _GOOD, _BAD, {n: _TRUE * (1 + m) for n, m in _WORLDS.items()})
+    t = decision_table(written(items_of(spark, sf_dir), "items"), _GOOD, _BAD, {n: _TRUE * (1 + m) for n, m in _WORLDS.items()})
     return t.select("cat", "world", *[F.round(f"rev_{p}", 2).alias(f"rev_{p}") for p in ("none", "flat", "bad", "good", "oracle")], r6("bad_cost_pct", "bad_cost_pct"))
 
 
@@ -160,7 +164,7 @@ _LEVEL = "CASE WHEN sl = 0.9 THEN 3 WHEN sl = 0.97 THEN 5 ELSE 1 END"
   SELECT key, lead, sl, case_pack, n, sum(q[n]) AS cover, sum(mean) AS mean FROM (SELECT key, h, q, mean, lead, sl, case_pack, LEVEL AS n FROM fans, (SELECT unnest([7, 28]) AS lead), (SELECT unnest([0.6, 0.9, 0.97]::DOUBLE[]) AS sl), (SELECT unnest([6, 24]) AS case_pack)) WHERE h <= lead GROUP BY ALL)""".replace("LEVEL", _LEVEL), fans=_FANS))
 def V4_orders(spark, sf_dir):
     """Orders for a grid of requests, one of which is refused."""
-    f = fans_of(spark, sf_dir).cache()
+    f = written(fans_of(spark, sf_dir), "fans")
     lists = {"lead_time_days": (7, 28, 40), "service_level": (0.6, 0.9, 0.97), "case_pack": (6, 24)}
     r = f.select("key").distinct()
     for c, values in lists.items():

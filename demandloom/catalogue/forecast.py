@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import grid_of, last_fold, last_origin, origins_of
+from demandloom.catalogue.base import grid_of, last_day, last_fold, last_origin, origins_of
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
@@ -16,6 +16,7 @@ from demandloom.operators import gate as G
 from demandloom.operators import panel as P
 from demandloom.operators import reconcile as R
 from demandloom.sources.sales import sales
+from demandloom.sources.store import written
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
@@ -27,9 +28,16 @@ def backtest_of(spark, sf_dir, *levels: str, methods: tuple[str, ...] = tuple(B.
     return B.backtest(grid_of(spark, sf_dir, *(levels or UPPER)), methods, starts=origins_of(spark, sf_dir))
 
 
+def classes_before(grid, spark, sf_dir, fold: int = 4):
+    """(level, key, class) from the days before a fold's origin: with fold 4 no evaluation day has a part in a series' class."""
+    origin = origins_of(spark, sf_dir).where(F.col("fold") == fold).select("origin")
+    before = grid.crossJoin(F.broadcast(origin)).where("date < origin")
+    return M.adi_cv2(before, "level", "key").select("level", "key", "class")
+
+
 def store_sums(backtest, *by: str):
     """Sums by method and window (selecting: folds 1 to 3), kept: everything below reads these few rows."""
-    return G.method_sums(backtest.withColumn("selecting", F.col("fold") <= 3), *by, "selecting").cache()
+    return written(G.method_sums(backtest.withColumn("selecting", F.col("fold") <= 3), *by, "selecting"), "method-sums")
 
 
 @C.query(with_("backtest", """SELECT level, round(n, 6) AS naive, round(s, 6) AS seasonal_naive, round(e, 6) AS ses, round(c, 6) AS croston_sba, round(s - e, 6) + 0.0::DOUBLE AS fva FROM (SELECT level, max(w) FILTER (WHERE method = 'naive') AS n, max(w) FILTER (WHERE method = 'seasonal_naive') AS s, max(w) FILTER (WHERE method = 'ses') AS e, max(w) FILTER (WHERE method = 'croston_sba') AS c
@@ -177,7 +185,7 @@ _TAUS = "[0.5, 0.75, 0.9, 0.95, 0.98]::DOUBLE[]"
 
 def fan_of(spark, sf_dir, window: int = 180):
     """(key, h, y, q): the empirical quantiles of each store's last days before the last origin as its fan."""
-    g = grid_of(spark, sf_dir, "store")
+    g = grid_of(spark, sf_dir, "store", since=last_origin(spark, sf_dir).select(F.date_sub("origin", window).alias("cut")))
     h = B.histories(g, origins_of(spark, sf_dir).where("fold = 6"))
     values = h.select("key", F.explode(F.slice("ys", F.greatest(F.size("ys") - window + 1, F.lit(1)), F.lit(window))).alias("v"))
     q = values.groupBy("key").agg(F.percentile("v", F.array(*[F.lit(t) for t in Q.SERVICE_LEVELS])).alias("q"))
@@ -203,8 +211,7 @@ def Q10_diagonal_winner(spark, sf_dir):
   x="SELECT g.key, y, length(g.key)::DOUBLE AS stock, tau FROM grid g, bounds, (SELECT unnest([0.5, 0.75, 0.9]::DOUBLE[]) AS tau) WHERE level = 'store_cat' AND date > b - 180"))
 def Q3_newsvendor(spark, sf_dir):
     """Orders in whole cases for a week at the quantile that unit costs imply."""
-    g = grid_of(spark, sf_dir, "store_cat")
-    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b")))).where(F.col("date") > F.date_sub("b", 180))
+    g = grid_of(spark, sf_dir, "store_cat", since=last_day(spark, sf_dir).select(F.date_sub("b", 179).alias("cut")))
     costs = ((1.0, 1.0), (3.0, 1.0), (9.0, 1.0))
     taus = [u / (u + o) for u, o in costs]
     q = g.groupBy("key").agg(F.percentile("y", F.array(*[F.lit(t) for t in taus])).alias("qs"))
@@ -238,8 +245,7 @@ _Z90 = repr(Q.normal_quantile(0.9))
 @C.query(with_("grid", f"""SELECT key, len::INT AS length, round(q90 * len, 6) AS sum_of_daily, round(m * len + {_Z90}::DOUBLE * sd * sqrt(len), 6) AS iid FROM (SELECT key, avg(y) AS m, stddev_pop(y) AS sd, quantile_cont(y, 0.9) AS q90 FROM grid, bounds WHERE level = 'store_cat' AND date > b - 180 GROUP BY key), (SELECT unnest([7, 14, 28]) AS len)"""))
 def L6_leadtime_shortcuts(spark, sf_dir):
     """Summed daily quantiles and the independent normal, for three lead times."""
-    g = grid_of(spark, sf_dir, "store_cat")
-    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b")))).where(F.col("date") > F.date_sub("b", 180))
+    g = grid_of(spark, sf_dir, "store_cat", since=last_day(spark, sf_dir).select(F.date_sub("b", 179).alias("cut")))
     s = g.groupBy("key").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("sd"), F.percentile("y", 0.9).alias("q90")).withColumn("length", F.explode(F.array(F.lit(7), F.lit(14), F.lit(28))))
     return s.select("key", "length", r6(F.col("q90") * F.col("length"), "sum_of_daily"), r6(L.iid_normal(F.col("m") * F.col("length"), F.col("sd"), F.col("length"), 0.9), "iid"))
 
@@ -251,7 +257,7 @@ _POOL = "SELECT key, list((y - p) / sqrt(greatest(p, 0.25::DOUBLE)) ORDER BY dat
 def L2_bootstrap_lcg(spark, sf_dir):
     """Two-week demand by block bootstrap, with block starts that SQL can follow."""
     g = grid_of(spark, sf_dir, "store")
-    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b")))).withColumn("p", F.lag("y", 7).over(Window.partitionBy("key").orderBy("date")))
+    g = g.crossJoin(F.broadcast(last_day(spark, sf_dir))).withColumn("p", F.lag("y", 7).over(Window.partitionBy("key").orderBy("date")))
     z = F.when(F.col("p").isNotNull(), F.struct("date", L.standardised(F.col("y") - F.col("p"), F.col("p")).alias("z")))
     per = g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(F.when(F.col("date") > F.date_sub("b", 28), F.col("y"))).alias("point"))
     s = L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), 14, 200))
@@ -263,20 +269,20 @@ _GATE = "SELECT gk, arg_min(method, (CASE WHEN abs(bias) <= 0.15::DOUBLE THEN 0
 _BYS = {"global": "'all'", "klass": "class", "key": "key"}
 
 
-@C.query(with_("backtest classes", " UNION ALL ".join(_GATED.format(name=n, by=b) for n, b in _BYS.items()), bk="SELECT b.*, class FROM backtest b JOIN classes c ON b.key = c.key AND b.level = c.level WHERE b.level = 'store'", **{f"g_{n}": _GATE.format(by=b) for n, b in _BYS.items()}))
+@C.query(with_("backtest classes_before", " UNION ALL ".join(_GATED.format(name=n, by=b) for n, b in _BYS.items()), bk="SELECT b.*, class FROM backtest b JOIN classes_before c ON b.key = c.key AND b.level = c.level WHERE b.level = 'store'", **{f"g_{n}": _GATE.format(by=b) for n, b in _BYS.items()}))
 def C5_gates(spark, sf_dir):
     """One choice for all, one per demand class, one per series: selected on folds 1 to 3, scored on 4 to 6."""
     g = grid_of(spark, sf_dir, "store")
-    b = store_sums(B.backtest(g, starts=origins_of(spark, sf_dir)).join(M.adi_cv2(g, "level", "key").select("level", "key", "class"), ["level", "key"]), "key", "class")
+    b = store_sums(B.backtest(g, starts=origins_of(spark, sf_dir)).join(classes_before(g, spark, sf_dir), ["level", "key"]), "key", "class")
     out = G.compare_gates(b.where("selecting"), b.where("NOT selecting"), {"global": F.lit("all"), "klass": F.col("class"), "key": F.col("key")})
     return out.select("gate", "n_decisions", r6("wmape", "wmape"), r6("bias", "bias"))
 
 
-@C.query(with_("backtest classes", """SELECT class, count(*) AS n, round(avg((s < v)::INT), 6) AS win_rate, round(sum(es) / nullif(sum(ya), 0), 6) AS ses_wmape FROM (SELECT b.key, class, sum(abs(y - yhat)) FILTER (WHERE method = 'ses') AS s, sum(abs(y - yhat)) FILTER (WHERE method = 'seasonal_naive') AS v, sum(abs(y - yhat)) FILTER (WHERE method = 'ses') AS es, sum(abs(y)) FILTER (WHERE method = 'ses') AS ya FROM backtest b JOIN classes c ON b.key = c.key AND b.level = c.level WHERE b.level = 'store' AND fold > 3 GROUP BY b.key, class) GROUP BY class"""))
+@C.query(with_("backtest classes_before", """SELECT class, count(*) AS n, round(avg((s < v)::INT), 6) AS win_rate, round(sum(es) / nullif(sum(ya), 0), 6) AS ses_wmape FROM (SELECT b.key, class, sum(abs(y - yhat)) FILTER (WHERE method = 'ses') AS s, sum(abs(y - yhat)) FILTER (WHERE method = 'seasonal_naive') AS v, sum(abs(y - yhat)) FILTER (WHERE method = 'ses') AS es, sum(abs(y)) FILTER (WHERE method = 'ses') AS ya FROM backtest b JOIN classes_before c ON b.key = c.key AND b.level = c.level WHERE b.level = 'store' AND fold > 3 GROUP BY b.key, class) GROUP BY class"""))
 def R3_win_rate(spark, sf_dir):
     """By demand class, the share of series on which smoothing beats the seasonal naive."""
     g = grid_of(spark, sf_dir, "store")
-    b = B.backtest(g, ("seasonal_naive", "ses"), starts=origins_of(spark, sf_dir)).where("fold > 3").join(M.adi_cv2(g, "level", "key").select("level", "key", "class"), ["level", "key"])
+    b = B.backtest(g, ("seasonal_naive", "ses"), starts=origins_of(spark, sf_dir)).where("fold > 3").join(classes_before(g, spark, sf_dir), ["level", "key"])
     e = F.abs(F.col("y") - F.col("yhat"))
     per = b.groupBy("key", "class").agg(F.sum(F.when(F.col("method") == "ses", e)).alias("s"), F.sum(F.when(F.col("method") == "seasonal_naive", e)).alias("v"), F.sum(F.when(F.col("method") == "ses", F.abs("y"))).alias("a"))
     return per.groupBy("class").agg(F.count("*").alias("n"), r6(F.avg((F.col("s") < F.col("v")).cast("int")), "win_rate"), r6(F.try_divide(F.sum("s"), F.nullif(F.sum("a"), F.lit(0.0))), "ses_wmape"))
@@ -293,7 +299,8 @@ def R5_recon_report(spark, sf_dir):
     """Base, bottom-up and middle-out by level on the last fold, and the best of each level."""
     s = sales(spark, sf_dir)
     g = grid_of(spark, sf_dir, *UPPER)
-    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6").select("level", "key", "h", "y", F.col("yhat").alias("value"))
+    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir).where("fold = 6")).select("level", "key", "h", "y", F.col("yhat").alias("value"))
+    f = written(f, "recon-base")
     places = s.select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct()
     edge = R.edges(places, UPPER)
     actual = f.select("level", "key", "h", "y")
@@ -304,7 +311,7 @@ def R5_recon_report(spark, sf_dir):
     out = R.bottom_up(edge, middle.select(F.col("store_id").alias("bkey"), "h", "value"), "h").join(actual, ["level", "key", "h"])
     cols = ["level", "y", "value"]
     rows = f.select(F.lit("base").alias("recon"), *cols).union(up.select(F.lit("bottom_up"), *cols)).union(out.select(F.lit("middle_out"), *cols))
-    w = rows.groupBy("recon", "level").agg(M.wmape("y", "value").alias("w"))
+    w = written(rows.groupBy("recon", "level").agg(M.wmape("y", "value").alias("w")), "recon-scores")
     wide = w.groupBy("level").pivot("recon", ["base", "bottom_up", "middle_out"]).agg(F.first("w"))
     best = w.groupBy("level").agg(F.min_by("recon", F.struct(F.round("w", 9), F.col("recon"))).alias("best"))
     return wide.join(best, "level").select("level", *[r6(c, c) for c in ("base", "bottom_up", "middle_out")], "best")

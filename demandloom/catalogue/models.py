@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import ALL, grid_of, last_origin, origins_of
+from demandloom.catalogue.base import ALL, grid_of, last_day, last_origin, origins_of
 from demandloom.catalogue.decide import items_of
 from demandloom.catalogue.registry import Catalogue, r6
 from demandloom.catalogue.sql import with_
@@ -29,22 +26,12 @@ from demandloom.operators import regression as RG
 from demandloom.sources import generator as GN
 from demandloom.sources import sales as S
 from demandloom.sources.sales import sales, table
+from demandloom.sources.store import work_path, written
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 _MONTHS = with_("panel", "SELECT level, key, date_trunc('month', date)::DATE AS month, sum(y)::BIGINT AS y FROM panel GROUP BY 1, 2, 3")
 
 
@@ -170,7 +157,7 @@ def _feature_rows(spark, sf_dir, level: str = "store"):
 @C.query()
 def B6_boosted_mean(spark, sf_dir):
     """Boosted Poisson trees on the features of all stores: last fold's error next to the seasonal naive's."""
-    f = _feature_rows(spark, sf_dir).cache()
+    f = written(_feature_rows(spark, sf_dir), "f")
     names = list(X.FEATURES)
     models = GB.fit_models(X.training_rows(f, F.col("origin")), names, (None,), GB.TREES, 0)
     p = GB.predict(f.where("date >= origin"), models, names, ["key", "date", "y", "lag_28"])
@@ -180,7 +167,7 @@ def B6_boosted_mean(spark, sf_dir):
 @C.query()
 def B7_boosted_quantiles(spark, sf_dir):
     """Boosted quantiles, rearranged: coverage and loss by quantile on the last fold."""
-    f = _feature_rows(spark, sf_dir).cache()
+    f = written(_feature_rows(spark, sf_dir), "f")
     names = list(X.FEATURES)
     models = GB.fit_models(X.training_rows(f, F.col("origin")), names, Q.SERVICE_LEVELS, 0, GB.QUANTILE_TREES)
     p = GB.predict(f.where("date >= origin"), models, names, ["key", "date", "y"])
@@ -192,7 +179,7 @@ def B7_boosted_quantiles(spark, sf_dir):
 @C.query()
 def B12_deep_forecast(spark, sf_dir):
     """The residual network on windows of all stores before the last origin: its error by store."""
-    g = grid_of(spark, sf_dir, "store").cache()
+    g = written(grid_of(spark, sf_dir, "store"), "g")
     o = origins_of(spark, sf_dir).where("fold = 6")
     before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
     net = D.fit_network(D.training_windows(before))
@@ -207,7 +194,7 @@ def R7_series_sweep(spark, sf_dir):
 
     All arms train on the same number of windows, so that only the number of series they come from grows.
     """
-    g = grid_of(spark, sf_dir, "store_cat").cache()
+    g = written(grid_of(spark, sf_dir, "store_cat"), "g")
     o = origins_of(spark, sf_dir).where("fold = 6")
     before = g.crossJoin(F.broadcast(o.select("origin"))).where("date < origin").drop("origin")
     keys = g.select("key").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("key").cast("binary")))))
@@ -217,7 +204,7 @@ def R7_series_sweep(spark, sf_dir):
     for n in arms:
         some = keys.where(F.col("r") <= n).select("key")
         net = D.fit_network(D.training_windows(before.join(some, "key", "left_semi"), D.fixed_stride(size["days"], n, budget)), budget)
-        h = B.histories(g.join(some, "key", "left_semi"), o).cache()
+        h = written(B.histories(g.join(some, "key", "left_semi"), o), "h")
         actual = h.select("key", F.posexplode("actual").alias("h0", "y"), B.seasonal_naive(F.col("ys"), F.lit(1)).alias("x")).select("key", (F.col("h0") + 1).alias("h"), "y")
         naive = B.backtest(g.join(some, "key", "left_semi"), ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6").select("key", "h", F.col("yhat").alias("naive"))
         row = D.forecast(h, net).join(actual, ["key", "h"]).join(naive, ["key", "h"]).agg(F.lit(n).alias("series"), r6(M.wmape("y", "naive"), "seasonal_naive"), r6(M.wmape(), "deep"), r6(M.wmape("y", "naive") - M.wmape(), "fva"))
@@ -237,13 +224,13 @@ def H7_mint(spark, sf_dir):
     """Minimum trace over total, states and stores by all three covariances: largest incoherence and error by level."""
     levels = ("total", "state", "store")
     g, tails = _tails(spark, sf_dir, *levels)
-    tails = tails.cache()
-    edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels).cache()
-    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6").cache()
+    tails = written(tails, "tails")
+    edge = written(R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels), "edge")
+    f = written(B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6"), "f")
     base = f.select("level", "key", "h", F.col("yhat").alias("value"))
     out = None
     for method in ("ols", "wls", "shrink"):
-        m = R.mint(base, edge, tails, "store", method).cache()
+        m = written(R.mint(base, edge, tails, "store", method), "m")
         up = R.bottom_up(edge, m.where("level = 'store'").select(F.col("key").alias("bkey"), "h", "value"), "h")
         gap = R.coherence_error(up, m, "h")
         row = m.join(f.select("level", "key", "h", "y"), ["level", "key", "h"]).groupBy("level").agg(r6(M.wmape("y", "value"), "wmape")).crossJoin(gap).select(F.lit(method).alias("method"), "level", "wmape", F.round("violation", 4).alias("violation"))
@@ -268,10 +255,10 @@ def L9_compare_methods(spark, sf_dir):
     """Bootstrap, summed daily quantiles and the independent normal for three lead times and levels, by store."""
     taus = (0.90, 0.95, 0.98)
     g = grid_of(spark, sf_dir, "store")
-    g = g.crossJoin(F.broadcast(g.agg(F.max("date").alias("b")))).withColumn("p", F.lag("y", 7).over(Window.partitionBy("key").orderBy("date")))
+    g = g.crossJoin(F.broadcast(last_day(spark, sf_dir))).withColumn("p", F.lag("y", 7).over(Window.partitionBy("key").orderBy("date")))
     z = F.when(F.col("p").isNotNull(), F.struct("date", L.standardised(F.col("y") - F.col("p"), F.col("p")).alias("z")))
     recent = F.when(F.col("date") > F.date_sub("b", 28), F.col("y"))
-    per = g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(recent).alias("point"), F.percentile(F.when(F.col("date") > F.date_sub("b", 180), F.col("y")), F.array(*[F.lit(t) for t in taus])).alias("daily")).cache()
+    per = written(g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(recent).alias("point"), F.percentile(F.when(F.col("date") > F.date_sub("b", 180), F.col("y")), F.array(*[F.lit(t) for t in taus])).alias("daily")), "per")
     out = None
     for days in (7, 14, 28):
         q = L.leadtime_quantiles(L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), days, L.SAMPLES, start=L.hashed_start())), taus)

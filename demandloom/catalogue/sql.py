@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 CTES: dict[str, str] = {
-    "sales": """SELECT CAST(l_shipdate AS DATE) AS date, r_name AS state_id, n_name AS store_id, p_type AS cat_id, p_brand AS item_id, l_quantity AS units, l_extendedprice AS revenue, l_discount >= 0.05::DOUBLE AS promo
+    "sales": """SELECT CAST(l_shipdate AS DATE) AS date, r_name AS state_id, n_name AS store_id, p_type AS cat_id, p_type || '/' || substr(p_brand, 7, 1) AS dept_id, p_brand AS item_id, l_quantity AS units, l_extendedprice AS revenue, l_discount >= 0.05::DOUBLE AS promo
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey""",
     "panel": "SELECT level, key, date, sum(units) AS y, sum(revenue) AS revenue, sum(CASE WHEN promo THEN units ELSE 0 END) AS promo_units, sum(revenue / nullif(units, 0)) AS price_sum, sum(promo::INT)::BIGINT AS promo_sum, count(*) AS n FROM ("
       "SELECT 'total' AS level, 'TOTAL' AS key, * FROM sales UNION ALL SELECT 'state', state_id, * FROM sales UNION ALL SELECT 'store', store_id, * FROM sales UNION ALL SELECT 'store_cat', store_id || '|' || cat_id, * FROM sales) GROUP BY level, key, date",
+    "panel6": "SELECT level, key, date, y FROM panel UNION ALL SELECT 'store_dept', store_id || '|' || dept_id, date, sum(units) FROM sales GROUP BY ALL UNION ALL SELECT 'store_item', store_id || '|' || cat_id || '|' || item_id, date, sum(units) FROM sales GROUP BY ALL",
     "bounds": "SELECT min(date) AS a, max(date) AS b FROM sales",
     "grid": """SELECT k.level, k.key, d.date, coalesce(p.y, 0) AS y, coalesce(p.revenue, 0) AS revenue, coalesce(p.promo_units, 0) AS promo_units, coalesce(p.price_sum, 0) AS price_sum, coalesce(p.promo_sum, 0) AS promo_sum, coalesce(p.n, 0) AS n
       FROM (SELECT DISTINCT level, key FROM panel) k CROSS JOIN (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM bounds) d LEFT JOIN panel p ON p.level = k.level AND p.key = k.key AND p.date = d.date""",
@@ -26,9 +27,11 @@ CTES: dict[str, str] = {
       SELECT level, key, count(*)::DOUBLE / nullif(count(*) FILTER (WHERE y != 0), 0) AS adi, coalesce((stddev_pop(y) FILTER (WHERE y != 0) / avg(y) FILTER (WHERE y != 0)) ** 2, 0) AS cv2 FROM grid GROUP BY level, key)""",
 }
 
+CTES["classes_before"] = CTES["classes"].replace("FROM grid GROUP BY", "FROM grid WHERE date < (SELECT origin FROM folds WHERE fold = 4) GROUP BY")
+
 NEEDS: dict[str, tuple[str, ...]] = {
     "sales": (), "panel": ("sales",), "bounds": ("sales",), "grid": ("panel", "bounds"), "folds": ("bounds",), "hist": ("grid", "folds"), "future": ("grid", "folds"),
-    "ses": ("hist",), "croston": ("hist",), "backtest": ("future", "hist", "ses", "croston"), "weekly": ("sales",), "classes": ("grid",),
+    "ses": ("hist",), "croston": ("hist",), "backtest": ("future", "hist", "ses", "croston"), "weekly": ("sales",), "classes": ("grid",), "classes_before": ("grid", "folds"), "panel6": ("panel", "sales"),
 }
 
 

@@ -12,10 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.operators.panel import EVENTS, HORIZON
+from demandloom.operators.panel import EVENTS, HORIZON, dense
 
 LAGS = (28, 29, 30, 35, 42, 56, 364)
 WINDOWS = (7, 28, 56)
+#: Days before an origin that the features of its horizon look back to.
+LOOK_BACK = max(*LAGS, HORIZON + max(WINDOWS) + 55)
 FEATURES = (
     *[f"lag_{k}" for k in LAGS], *[f"rmean_{w}" for w in WINDOWS], *[f"rstd_{w}" for w in WINDOWS],
     "zero_share_56", "dow_mean_4w", "dow", "month", "doy_sin", "doy_cos", "is_weekend", "promo", "snap", "price_rel_56", "price_chg_7", "log_price", "days_to_xmas",
@@ -83,33 +85,61 @@ def calendar_features() -> dict[str, Column]:
     }
 
 
-def fill_price(price: str = "price") -> Column:
-    """A missing price takes the last one before it in its series, else the series' first one.
+def fill_price(price: str = "price", carried: Column | None = None) -> Column:
+    """A missing price takes the last one before it in its series, else the carried one, else the series' first one.
 
     Where nothing comes before, the first one after is the first of the whole series: a frame that Spark evaluates once
     per series, whereas one from each row to the end would be walked anew for every row.
     """
     w = by_date()
     before = F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.coalesce(before, F.first(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return F.coalesce(before, *([] if carried is None else [carried]), F.first(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
-def exogenous(panel: DataFrame, weighting: str = "same_day") -> DataFrame:
-    """price, promo and snap of every row of a dense panel with y, revenue, promo_units, price_sum, promo_sum, n.
+def _weighted(then: dict[str, Column]) -> Column:
+    """How the price by units related to the mean price on the day that then describes; 1 if nothing was sold."""
+    by_units = F.try_divide(then["revenue"], F.nullif(then["y"], F.lit(0.0)))
+    return F.coalesce(F.try_divide(by_units, F.try_divide(then["price_sum"], then["n"])), F.lit(1.0))
 
-    same_day: price and promo are weighted by the units of the day itself, as in the original system. That leaks the
-    target above the bottom level; 'lagged' weights by the units of the horizon's lag instead (price and promo of the
-    day come from their plain means, scaled by how weighted and plain ones related then).
-    """
+
+_WEIGHTS = ("revenue", "y", "price_sum", "n")
+
+
+def prices(panel: DataFrame, weighting: str) -> DataFrame:
+    """panel with the price and promo of each day that has sales."""
     plain_price, plain_promo = F.try_divide("price_sum", "n"), F.try_divide("promo_sum", "n")
-    price = F.coalesce(F.try_divide("revenue", F.nullif("y", F.lit(0.0))), plain_price)
-    promo = F.coalesce(F.try_divide("promo_units", F.nullif("y", F.lit(0.0))), plain_promo)
     if weighting == "lagged":
         w = by_date()
-        then = {c: F.lag(c, HORIZON).over(w) for c in ("revenue", "promo_units", "y", "price_sum", "promo_sum", "n")}
-        mix_price = F.try_divide(F.try_divide(then["revenue"], F.nullif(then["y"], F.lit(0.0))), F.try_divide(then["price_sum"], then["n"]))
-        price, promo = plain_price * F.coalesce(mix_price, F.lit(1.0)), plain_promo
-    return panel.withColumns({"price": price, "promo": promo}).withColumn("price", fill_price()).withColumns({"promo": F.coalesce("promo", F.lit(0.0)), "snap": F.lit(0)})
+        return panel.withColumns({"price": plain_price * _weighted({c: F.lag(c, HORIZON).over(w) for c in _WEIGHTS}), "promo": plain_promo})
+    price = F.coalesce(F.try_divide("revenue", F.nullif("y", F.lit(0.0))), plain_price)
+    return panel.withColumns({"price": price, "promo": F.coalesce(F.try_divide("promo_units", F.nullif("y", F.lit(0.0))), plain_promo)})
+
+
+def exogenous(panel: DataFrame, weighting: str = "lagged") -> DataFrame:
+    """price, promo and snap of every row of a dense panel with y, revenue, promo_units, price_sum, promo_sum, n.
+
+    lagged: plain means of the day, the price scaled by how the price by units and the plain one related on the
+    horizon's lag. same_day weights by the units of the day itself, as in the original system; that leaks the target
+    above the bottom level.
+    """
+    return prices(panel, weighting).withColumn("price", fill_price()).withColumns({"promo": F.coalesce("promo", F.lit(0.0)), "snap": F.lit(0)})
+
+
+def exogenous_since(sparse: DataFrame, since: DataFrame) -> DataFrame:
+    """exogenous (lagged) of the dense panel from a day on, from the sparse one: since has one row (cut).
+
+    Each series brings the last price from before the cut along; its weight is looked up on the one day that it needs.
+    """
+    old = sparse.crossJoin(F.broadcast(since)).where("date < cut AND n > 0")
+    last = old.groupBy(*SERIES).agg(F.max("date").alias("last"), F.max_by(F.try_divide("price_sum", "n"), "date").alias("plain"))
+    then = sparse.select(*SERIES, F.date_add("date", HORIZON).alias("last"), *_WEIGHTS)
+    carried = last.join(then, [*SERIES, "last"], "left").select(*SERIES, (F.col("plain") * _weighted({c: F.col(c) for c in _WEIGHTS})).alias("carried"))
+    # the days of one more horizon before the cut give the weights of those after it
+    earlier = since.select(F.date_sub("cut", HORIZON).alias("cut"))
+    panel = prices(dense(sparse, "y", "revenue", "promo_units", "price_sum", "promo_sum", "n", since=earlier), "lagged")
+    rows = panel.crossJoin(F.broadcast(since)).where("date >= cut").join(carried, list(SERIES), "left")
+    filled = rows.withColumn("price", fill_price(carried=F.col("carried")))
+    return filled.withColumns({"promo": F.coalesce("promo", F.lit(0.0)), "snap": F.lit(0)}).drop("cut", "carried")
 
 
 def add_features(panel: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("total", "state", "store", "store_cat")
+#: With the bottom of the hierarchy.
+ALL_LEVELS = (*LEVELS, "store_dept", "store_item")
 HORIZON = 28
 FOLDS = 6
 
@@ -17,6 +19,8 @@ def series_keys(levels: tuple[str, ...] = LEVELS) -> Column:
         "state": F.col("state_id"),
         "store": F.col("store_id"),
         "store_cat": F.concat_ws("|", "store_id", "cat_id"),
+        "store_dept": F.concat_ws("|", "store_id", "dept_id"),
+        "store_item": F.concat_ws("|", "store_id", "cat_id", "item_id"),
         "state_cat_item": F.concat_ws("|", "state_id", "cat_id", "item_id"),
     }
     return F.array(*[F.struct(F.lit(n).alias("level"), keys[n].alias("key")) for n in levels])
@@ -28,7 +32,8 @@ def roll_up(sales: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     Rows are summed at the finest key first: what the explode multiplies is small, and the key 'TOTAL' is already
     combined before the shuffle.
     """
-    finest = [c for c in ("state_id", "store_id", "cat_id", "item_id") if c != "item_id" or "state_cat_item" in levels]
+    needed = {"dept_id": {"store_dept"}, "item_id": {"store_item", "state_cat_item"}}
+    finest = [c for c in ("state_id", "store_id", "cat_id", "dept_id", "item_id") if c not in needed or needed[c] & set(levels)]
     price = F.col("revenue") / F.nullif("units", F.lit(0.0))
     daily = sales.groupBy("date", *finest).agg(
         F.sum("units").alias("y"), F.sum("revenue").alias("revenue"), F.sum(F.when(F.col("promo"), F.col("units")).otherwise(0.0)).alias("promo_units"),
@@ -38,16 +43,22 @@ def roll_up(sales: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     return daily.withColumn("s", F.explode(series_keys(levels))).groupBy("s.level", "s.key", "date").agg(*sums)
 
 
-def dense(panel: DataFrame, *measures: str) -> DataFrame:
+def dense(panel: DataFrame, *measures: str, since: DataFrame | None = None) -> DataFrame:
     """Every series on every day between the first and the last day of the panel; missing days are 0.
 
+    since: one row (cut); the days from then on only, of all the panel's series.
+
     Zero rows are added and summed in: one shuffle by series serves this sum and all windows over a series. Its number
     of partitions is the session's and stays: judged by their bytes, which zeros hardly have, adaptive execution would
     merge what costs much to compute into a few tasks.
     """
     measures = measures or ("y",)
     days = panel.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    spine = panel.select("level", "key").distinct().crossJoin(F.broadcast(days)).where("a IS NOT NULL").select("level", "key", F.explode(F.sequence("a", "b")).alias("date"), *[F.lit(0.0).alias(m) for m in measures])
+    series = panel.select("level", "key").distinct()
+    if since is not None:
+        days = days.crossJoin(F.broadcast(since)).select(F.greatest("a", "cut").alias("a"), "b")
+        panel = panel.crossJoin(F.broadcast(since)).where("date >= cut")
+    spine = series.crossJoin(F.broadcast(days)).where("a IS NOT NULL").select("level", "key", F.explode(F.sequence("a", "b")).alias("date"), *[F.lit(0.0).alias(m) for m in measures])
     rows = panel.select("level", "key", "date", *measures).unionByName(spine).repartition(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), "level", "key")
     return rows.groupBy("level", "key", "date").agg(*[F.sum(m).alias(m) for m in measures])
 

@@ -14,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, state_id, store_id, cat_id, item_id, units, revenue, promo: one row per line item.
+    """date, state_id, store_id, cat_id, dept_id, item_id, units, revenue, promo: one row per line item.
+
+    A department is a category's items of one maker, whose digit the brand begins with.
 
     The dimensions join on keys; which of them are broadcast is left to their sizes.
     """
@@ -25,8 +27,8 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("state_id"), F.col("n_name").alias("store_id"))
     )
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("cat_id"), F.col("p_brand").alias("item_id"))
-    return line.join(place, "l_suppkey").join(part, "l_partkey").select("date", "state_id", "store_id", "cat_id", "item_id", "units", "revenue", "promo")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("cat_id"), F.concat_ws("/", "p_type", F.substring("p_brand", 7, 1)).alias("dept_id"), F.col("p_brand").alias("item_id"))
+    return line.join(place, "l_suppkey").join(part, "l_partkey").select("date", "state_id", "store_id", "cat_id", "dept_id", "item_id", "units", "revenue", "promo")
 
 
 #: Declared schemas of the panel files, so that no reader infers.
