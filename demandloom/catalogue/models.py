@@ -110,42 +110,71 @@ def item_weeks(spark, sf_dir):
 
 
 def _fits(df, *keys: str):
-    return df.select(*keys, *[r6(c, c) for c in ("estimate", "se")], "n")
+    return df.select(*keys, *[r6(c, c) for c in ("estimate", "se")], "n", "status")
+
+
+def item_days(spark, sf_dir):
+    """Item x store x day with sales: units, log price, promo, event, weekday and ISO week, and the rivals' index of the day."""
+    price = F.col("revenue") / F.nullif("units", F.lit(0.0))
+    d = sales(spark, sf_dir).groupBy("store_id", "cat_id", "item_id", "date").agg(F.sum("units").alias("units"), F.avg(price).alias("price"), F.avg(F.col("promo").cast("double")).alias("promo"))
+    d = d.withColumns({"safe": F.greatest("price", F.lit(0.01)), "event": P.event_of(F.col("date")), "dow": F.weekday("date"), "woy": F.weekofyear("date")})
+    d = d.withColumns({"log_p": F.ln("safe"), "log_units": F.ln("units")})
+    return E.rival_index(d, "item_id", "safe", ("date", "store_id", "cat_id"))
+
+
+CALENDAR = ("woy", "event", "dow")
 
 
 @C.query()
 def E3_poisson_by_category(spark, sf_dir):
-    """Poisson price response by category, with and without the promotion, stores as effects."""
-    w = P.weekly(sales(spark, sf_dir), "store_id", "cat_id")
-    plain = RG.fit_groups(w, ["cat_id"], regressors=("log_p",), effects=("store_id",)).withColumn("spec", F.lit("E"))
-    full = RG.fit_groups(w, ["cat_id"], effects=("store_id",)).withColumn("spec", F.lit("F"))
+    """Weekly Poisson price response by category, with and without the promotion, stores and weeks of the year as effects."""
+    w = written(P.weekly(sales(spark, sf_dir), "store_id", "cat_id"), "weeks")
+    plain = RG.fit_by_sums(w, ["cat_id"], regressors=("log_p",), effects=("store_id", "woy")).withColumn("spec", F.lit("E"))
+    full = RG.fit_by_sums(w, ["cat_id"], effects=("store_id", "woy")).withColumn("spec", F.lit("F"))
     return _fits(plain.unionByName(full), "cat_id", "spec")
 
 
+@C.query()
+def E4_daily_specs(spark, sf_dir):
+    """Daily log-log slopes by category: A price alone, B with promotion, C with stores, weekdays and weeks, D as C on unpromoted days."""
+    d = written(item_days(spark, sf_dir).where("units > 0").select("cat_id", "store_id", "dow", "woy", "log_units", "log_p", "promo"), "days")
+    fixed = ("store_id", "dow", "woy")
+    specs = (("A", d, ("log_p",), ()), ("B", d, ("log_p", "promo"), ()), ("C", d, ("log_p", "promo"), fixed), ("D", d.where("promo = 0"), ("log_p",), fixed))
+    out = None
+    for name, rows, regressors, effects in specs:
+        fit = RG.fit_by_sums(rows, ["cat_id"], "log_units", regressors, effects, family="gaussian").withColumn("spec", F.lit(name))
+        out = fit if out is None else out.unionByName(fit)
+    return _fits(out, "cat_id", "spec")
+
+
 @C.query()
 def E8_per_item(spark, sf_dir):
-    """Poisson fit of every item with store effects and robust errors."""
-    return _fits(RG.fit_groups(item_weeks(spark, sf_dir), ["item_id"], effects=("store_id",)), "item_id")
+    """Poisson fit of every item with store and week effects and robust errors."""
+    return _fits(RG.fit_groups(item_weeks(spark, sf_dir), ["item_id"], effects=("store_id", "woy")), "item_id")
 
 
 @C.query()
 def E11_by_segment(spark, sf_dir):
-    """Promoted against unpromoted weeks, and items above against below the median volume."""
+    """By category: promoted against unpromoted weeks, and items above against below the median volume."""
     w = item_weeks(spark, sf_dir)
-    volume = w.groupBy("item_id").agg(F.sum("units").alias("volume"))
-    cut = volume.crossJoin(volume.agg(F.median("volume").alias("median")))
-    w = w.join(cut, "item_id")
-    kinds = F.explode(F.array(F.struct(F.when(F.col("promo") > 0.3, "promo").otherwise("regular").alias("segment")), F.struct(F.when(F.col("volume") >= F.col("median"), "fast").otherwise("slow").alias("segment")))).alias("k")
-    return _fits(RG.fit_groups(w.select("*", kinds).withColumn("segment", F.col("k.segment")), ["segment"], regressors=("log_p",), effects=("cat_id",)), "segment")
+    volume = w.groupBy("cat_id", "item_id").agg(F.sum("units").alias("volume"))
+    cut = volume.join(volume.groupBy("cat_id").agg(F.median("volume").alias("median")), "cat_id")
+    w = w.join(cut, ["cat_id", "item_id"])
+    kinds = F.array(F.when(F.col("promo") > 0.3, "promo").otherwise("regular"), F.when(F.col("volume") >= F.col("median"), "fast").otherwise("slow"))
+    rows = w.withColumn("segment", F.explode(kinds))
+    return _fits(RG.fit_by_sums(rows, ["cat_id", "segment"], regressors=("log_p",), effects=("store_id", "woy")), "cat_id", "segment")
 
 
 @C.query()
 def E13_cross_price(spark, sf_dir):
-    """Own and rivals' price by category, and own price with the rivals left out."""
-    w = item_weeks(spark, sf_dir)
-    both = RG.fit_groups(w, ["cat_id"], regressors=("log_p", "promo"), effects=("store_id",), rival="rival_log_rel").withColumn("spec", F.lit("G"))
-    own = RG.fit_groups(w, ["cat_id"], regressors=("log_p", "promo"), effects=("store_id",)).withColumn("spec", F.lit("I"))
-    return both.unionByName(own).select("cat_id", "spec", *[r6(c, c) for c in ("estimate", "se", "cross", "cross_se")], "n")
+    """Daily own and rivals' price by category with calendar effects (G), without them (H), and own price with the rivals left out (I)."""
+    d = written(item_days(spark, sf_dir).select("cat_id", "store_id", *CALENDAR, "units", "log_p", "promo", "rival_log_rel"), "days")
+    fits = (("G", "rival_log_rel", ("store_id", *CALENDAR)), ("H", "rival_log_rel", ("store_id",)), ("I", None, ("store_id", *CALENDAR)))
+    out = None
+    for name, rival, effects in fits:
+        fit = RG.fit_by_sums(d, ["cat_id"], effects=effects, rival=rival).withColumn("spec", F.lit(name))
+        out = fit if out is None else out.unionByName(fit)
+    return out.select("cat_id", "spec", *[r6(c, c) for c in ("estimate", "se", "cross", "cross_se")], "n", "status")
 
 
 def _feature_rows(spark, sf_dir, level: str = "store"):

@@ -20,6 +20,10 @@ def standardised(error: Column, point: Column) -> Column:
     return error / F.sqrt(F.greatest(point, F.lit(0.25)))
 
 
+def finite(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+
+
 def hashed_start(seed: int = 17) -> Callable[[Column, Column, Column, Column], Column]:
     """Block starts from a hash of (key, sample, block): independent of partitioning."""
     return lambda key, sample, block, most: F.pmod(F.xxhash64(key, sample, block, F.lit(seed)), most)
@@ -34,8 +38,9 @@ def daily_paths(points: DataFrame, pools: DataFrame, length: int, samples: int,
     """(key, sample, day, demand): contiguous blocks of a series' standardised errors on its forecast path.
 
     points: (key, point) a constant forecast, or (key, path) an array by day. pools: (key, pool) arrays in time order;
-    a pool of fewer than 30 errors raises. Demand is not negative.
+    null and non-finite errors are left out, and a pool of fewer than 30 others raises. Demand is not negative.
     """
+    pools = pools.withColumn("pool", F.filter("pool", finite))
     path = F.col("path") if "path" in points.columns else F.array_repeat(F.col("point"), length)
     met = points.join(pools, "key").withColumn("path", path)
     pool = F.when(F.size("pool") < LEAST_POOL, F.raise_error(F.lit(f"a pool needs {LEAST_POOL} errors"))).otherwise(F.col("pool"))

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from demandloom.operators import panel as P
 from demandloom.operators import probabilistic as PR
 from demandloom.operators import reconcile as R
 from demandloom.operators import regression as RG
+from demandloom.sources.sales import sales
 
 SF = "/root/testdata/sf0.001"
 
@@ -264,3 +266,77 @@ def test_entry_module_lists_everything():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) >= 70
+
+
+def test_sums_over_partitions_fit_like_one_matrix(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    cat, store, woy = rng.choice(["a", "b"], n), rng.integers(0, 4, n), rng.integers(1, 9, n)
+    log_p, promo = rng.normal(1, 0.3, n), (rng.random(n) < 0.3).astype(float)
+    truth = np.where(cat == "a", -2.0, -1.0)
+    units = rng.poisson(np.exp(1.5 + truth * (log_p - 1) + 0.4 * promo + 0.2 * store + 0.15 * woy))
+    pdf = pd.DataFrame({"cat": cat, "store": store, "woy": woy, "log_p": log_p, "promo": promo, "units": units.astype(float)})
+    odd = pd.DataFrame({"cat": ["few"] * 5 + ["flat"] * 80, "store": 0, "woy": 1, "log_p": [1.0, 2, 3, 4, 5] + [1.0] * 80, "promo": 0.0, "units": 1.0})
+    df = spark.createDataFrame(pd.concat([pdf, odd])).repartition(5)
+    got = {r.cat: r for r in RG.fit_by_sums(df, ["cat"], effects=("store", "woy")).collect()}
+    small = {r.cat: r for r in RG.fit_groups(df, ["cat"], effects=("store", "woy")).collect()}
+    for c, want in (("a", -2.0), ("b", -1.0)):
+        part = pdf[pdf["cat"] == c]
+        beta, se = RG.poisson_irls(RG.design(part, ["store", "woy"], ["log_p", "promo"]), part["units"].to_numpy())
+        assert abs(got[c].estimate - beta[1]) < 1e-5 and abs(got[c].se - se[1]) < 1e-5 and abs(small[c].estimate - beta[1]) < 1e-6
+        assert abs(got[c].estimate - want) < 0.1 and got[c].status == "fitted" and got[c].n == len(part)
+    assert (got["few"].status, got["flat"].status) == ("few rows", "no price variation") == (small["few"].status, small["flat"].status)
+    assert got["few"].estimate is None and small["flat"].estimate is None
+    plain = {r.cat: r for r in RG.fit_by_sums(df.where("cat IN ('a', 'b')"), ["cat"], effects=("store",), rival="woy", family="gaussian").collect()}
+    part = pdf[pdf["cat"] == "a"]
+    beta = np.linalg.lstsq(RG.design(part, ["store"], ["log_p", "promo", "woy"]), part["units"].to_numpy(), rcond=None)[0]
+    assert abs(plain["a"].estimate - beta[1]) < 1e-3 and abs(plain["a"].cross - beta[3]) < 1e-3
+    assert RG.fit_by_sums(df.limit(0), ["cat"]).count() == 0
+
+
+def test_recent_prices_equal_those_of_the_whole_panel(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for key in ("a", "b", "old", "new"):
+        days = {"a": range(0, 700, 3), "b": sorted(rng.choice(700, 60, replace=False)), "old": (5, 33, 61), "new": (699,)}[key]
+        rows += [("store", key, date(2022, 1, 1) + timedelta(days=int(d)), float(rng.integers(1, 9)), float(rng.uniform(5, 90)), 1.0, float(rng.uniform(5, 30)), int(rng.integers(0, 2)), int(rng.integers(1, 4))) for d in days]
+    sparse = spark.createDataFrame(rows, "level string, key string, date date, y double, revenue double, promo_units double, price_sum double, promo_sum long, n long")
+    cut = date(2022, 1, 1) + timedelta(days=400)
+    since = spark.createDataFrame([(cut,)], "cut date")
+    of = lambda d: {(r.key, r.date): (None if r.price is None else round(r.price, 9), round(r.promo, 9), r.y) for r in d.where(F.col("date") >= F.lit(cut)).collect()}
+    assert of(X.exogenous_since(sparse, since)) == of(X.exogenous(P.dense(sparse, "y", "revenue", "promo_units", "price_sum", "promo_sum", "n")))
+
+
+def test_all_six_levels_have_one_total(spark):
+    s = sales(spark, "/root/testdata/sf0.001")
+    sums = {r.level: (r.y, r.k) for r in P.roll_up(s, P.ALL_LEVELS).groupBy("level").agg(F.round(F.sum("y"), 4).alias("y"), F.count_distinct("key").alias("k")).collect()}
+    assert set(sums) == set(P.ALL_LEVELS) and len({y for y, _ in sums.values()}) == 1
+    assert sums["store_item"][1] > sums["store_dept"][1] > sums["store_cat"][1]
+
+
+def test_small_parts(spark, tmp_path):
+    from demandloom.operators import probabilistic as PR
+    from demandloom.operators.deep import fixed_stride
+    from demandloom.plans import service as V
+    from demandloom.sources import sales as S
+
+    edge = spark.createDataFrame([("total", "T", "a"), ("total", "T", "b")], "level string, key string, bkey string")
+    q = spark.createDataFrame([("total", "T", 7.0), ("store", "a", 5.0), ("store", "b", 4.0)], "level string, key string, value double")
+    assert tuple(PR.coherence_gap(edge, q).first()) == (2.0, 2.0, 1.0)
+    assert np.linalg.eigvalsh(PR.nearest_psd(np.array([[1.0, 2.0], [2.0, 1.0]]))).min() > 0
+    assert fixed_stride(1000, 10, 100) == 91 and fixed_stride(100, 1, 10**6) == 1
+    fans = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2)], "key string, h int")
+    assert tuple(V.health(fans).first()) == ("ok", 2) and V.health(fans.limit(0)).first().status == "missing"
+    assert [r.key for r in V.series(fans, 1).collect()] == ["a"]
+    path = tmp_path / "truth.json"
+    path.write_text('{"x": {"p": 1.5}, "n": 3}')
+    assert S.available(spark, str(path)) and not S.available(spark, str(tmp_path / "none"))
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("x", T.MapType(T.StringType(), T.DoubleType())), T.StructField("n", T.IntegerType())])
+    assert tuple(S.read_json_document(spark, str(path), schema).first()) == ({"p": 1.5}, 3)
+    from demandloom.functions import leadtime as L
+
+    pools = spark.createDataFrame([("k", [1.0, math.nan, math.inf, None] + [0.0] * 40)], "key string, pool array<double>")
+    paths = L.daily_paths(spark.createDataFrame([("k", 2.0)], "key string, point double"), pools, 7, 20)
+    assert paths.where("isnan(demand) OR demand > 100 OR demand IS NULL").count() == 0 and paths.count() == 140
