@@ -164,7 +164,7 @@ def fit_by_sums(rows: DataFrame, by: list[str], y: str = "units", regressors: tu
             bread[g] = np.linalg.pinv(got[: width * width].reshape(width, width) + ridge[g], hermitian=True)
             step = bread[g] @ got[width * width :]
             beta[g] = beta[g] + step
-            if np.abs(step).max() >= 1e-9 and family == "poisson":
+            if np.abs(step).max() >= 1e-8 and family == "poisson":
                 moved[g] = beta[g]
         active = moved
     out = []
