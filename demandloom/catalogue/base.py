@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import metrics as M
+from demandloom.functions.leadtime import finite
 from demandloom.operators import baselines as B
 from demandloom.operators import features as X
 from demandloom.operators import panel as P
@@ -179,6 +180,25 @@ def A21_residual_tail(spark, sf_dir):
     return t.select("key", F.size("tail").alias("n"), r6(total, "total"), r6(F.element_at("tail", 1), "first_r"), r6(F.element_at("tail", -1), "last_r"))
 
 
+@C.query(with_("grid", "SELECT key, count(*) AS n, round(sum(lag_28), 2) AS lag_28, round(sum(lag_364), 2) AS lag_364 FROM lagged WHERE " + " AND ".join(f"lag_{k} IS NOT NULL" for k in X.LAGS) + " GROUP BY key",
+  lagged="SELECT key, " + ", ".join(f"lag(y, {k}) OVER s AS lag_{k}" for k in X.LAGS) + " FROM grid WHERE level = 'store_cat' WINDOW s AS (PARTITION BY key ORDER BY date)"))
+def P7_complete_rows(spark, sf_dir):
+    """The rows of each series that have all lags."""
+    lags = X.lags()
+    rows = grid_of(spark, sf_dir, "store_cat").withColumns(lags).dropna(subset=list(lags))
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("lag_28"), 2).alias("lag_28"), F.round(F.sum("lag_364"), 2).alias("lag_364"))
+
+
+@C.query(with_("grid", "SELECT key, count(*) FILTER (WHERE coalesce(isfinite(e), false)) AS n, count(*) FILTER (WHERE NOT coalesce(isfinite(e), false)) AS left_out, round(sum(e) FILTER (WHERE isfinite(e)), 6) + 0.0::DOUBLE AS total FROM ratios GROUP BY key",
+  ratios="SELECT key, (y - lag(y, 7) OVER (PARTITION BY key ORDER BY date)) * pow(y, -1.0::DOUBLE) AS e FROM grid WHERE level = 'store_cat'"))
+def P17_finite_filter(spark, sf_dir):
+    """Relative weekly changes that are finite; days without sales give infinities, no numbers or nulls."""
+    e = (F.col("y") - F.lag("y", 7).over(X.by_date())) * F.pow("y", F.lit(-1.0))
+    rows = grid_of(spark, sf_dir, "store_cat").withColumn("e", e).withColumn("ok", finite(F.col("e")))
+    total = F.sum(F.when(F.col("ok"), F.col("e")))
+    return rows.groupBy("key").agg(F.count_if("ok").alias("n"), F.count_if(~F.col("ok")).alias("left_out"), r6(total, "total"))
+
+
 _LAST = "SELECT * FROM ({q}) WHERE date >= (SELECT b - 27 FROM bounds)"
 
 
@@ -223,8 +243,11 @@ def W6_price_windows(spark, sf_dir):
     return last_fold(g.withColumns(prices), spark, sf_dir).where("date >= origin").select("key", "date", *[r6(c, c) for c in prices])
 
 
+SCALE = "SELECT level, key, avg(abs(d)) AS a, avg(d * d) AS q FROM (SELECT level, key, y - lag(y, 7) OVER (PARTITION BY level, key ORDER BY date) AS d FROM grid, folds WHERE fold = 6 AND date < origin) GROUP BY level, key"
+
+
 @C.query(with_("backtest", """SELECT b.level, b.key, round(avg(abs(y - yhat)) / nullif(max(s.a), 0), 6) AS mase, round(sqrt(avg((y - yhat) ** 2) / nullif(max(s.q), 0)), 6) AS rmsse FROM backtest b JOIN scale s USING (level, key) WHERE fold = 6 AND method = 'seasonal_naive' GROUP BY b.level, b.key""",
-  scale="SELECT level, key, avg(abs(d)) AS a, avg(d * d) AS q FROM (SELECT level, key, y - lag(y, 7) OVER (PARTITION BY level, key ORDER BY date) AS d FROM grid, folds WHERE fold = 6 AND date < origin) GROUP BY level, key"))
+  scale=SCALE))
 def W9_scale(spark, sf_dir):
     """MASE and RMSSE of the seasonal naive over the last fold."""
     g = grid_of(spark, sf_dir, "total", "state", "store")

@@ -17,7 +17,7 @@ from demandloom.operators import markdown as K
 from demandloom.operators import panel as P
 from demandloom.plans import service as V
 from demandloom.sources.sales import sales, table
-from demandloom.sources.store import written
+from demandloom.sources.store import work_path, written
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
@@ -37,16 +37,29 @@ def E1_ols_slope(spark, sf_dir):
     return E.ols_slope(log_weeks(spark, sf_dir, "cat_id", "store_id"), "y", "x", "cat_id").select("cat_id", r6("slope", "slope"), r6("se", "se"), "n")
 
 
-@C.query(with_("sales", """SELECT estimator, round(avg(abs(e - truth)), 6) AS mae, round(sqrt(avg((e - truth) ** 2)), 6) AS rmse, round(stddev_pop(e), 6) AS sd, round(avg(abs(dev - dev_truth)), 6) AS within_cat_mae FROM (SELECT *, e - avg(e) OVER (PARTITION BY cat_id, estimator) AS dev FROM (
+def item_scores(spark, sf_dir):
+    """Scores of item slopes against the item's slope over all categories."""
+    raw = E.ols_slope(log_weeks(spark, sf_dir, "cat_id", "item_id"), "y", "x", "cat_id", "item_id").select("cat_id", "item_id", F.col("slope").alias("estimate"), "se")
+    truth = E.ols_slope(log_weeks(spark, sf_dir, "item_id", "store_id"), "y", "x", "item_id").select("item_id", F.col("slope").alias("truth"))
+    return E.score_estimates(raw.join(truth, "item_id"))
+
+
+_SCORES = """(SELECT *, e - avg(e) OVER (PARTITION BY cat_id, estimator) AS dev FROM (
   SELECT cat_id, truth, truth - avg(truth) OVER g AS dev_truth, unnest(['raw_per_item', 'shrunk_to_category', 'category_mean_only']) AS estimator, unnest([est, m + CASE WHEN tau2 > 0 THEN tau2 / (tau2 + se ** 2) ELSE 0 END * (est - m), m]) AS e FROM (
-  SELECT *, avg(est) OVER g AS m, greatest(coalesce(var_samp(est) OVER g, 0) - avg(se ** 2) OVER g, 0) AS tau2 FROM tab WINDOW g AS (PARTITION BY cat_id)) WINDOW g AS (PARTITION BY cat_id))) GROUP BY estimator""",
-  w=_ITEM_WEEKS.format(by="cat_id, item_id"), w2=_ITEM_WEEKS.format(by="item_id, store_id"), f1=_SLOPE.format(by="cat_id, item_id", rows="w"), f2=_SLOPE.format(by="item_id", rows="w2"), tab="SELECT cat_id, item_id, f1.slope AS est, f1.se, f2.slope AS truth FROM f1 JOIN f2 USING (item_id)"))
+  SELECT *, avg(est) OVER g AS m, greatest(coalesce(var_samp(est) OVER g, 0) - avg(se ** 2) OVER g, 0) AS tau2 FROM tab WINDOW g AS (PARTITION BY cat_id)) WINDOW g AS (PARTITION BY cat_id)))"""
+_SCORED_SLOPES = dict(w=_ITEM_WEEKS.format(by="cat_id, item_id"), w2=_ITEM_WEEKS.format(by="item_id, store_id"), f1=_SLOPE.format(by="cat_id, item_id", rows="w"), f2=_SLOPE.format(by="item_id", rows="w2"), tab="SELECT cat_id, item_id, f1.slope AS est, f1.se, f2.slope AS truth FROM f1 JOIN f2 USING (item_id)")
+
+
+@C.query(with_("sales", """SELECT estimator, round(avg(abs(e - truth)), 6) AS mae, round(sqrt(avg((e - truth) ** 2)), 6) AS rmse, round(stddev_pop(e), 6) AS sd, round(avg(abs(dev - dev_truth)), 6) AS within_cat_mae FROM """ + _SCORES + " GROUP BY estimator", **_SCORED_SLOPES))
 def E9_shrinkage(spark, sf_dir):
     """Item slopes raw, shrunk and as category means, against the item's slope over all categories."""
-    raw = E.ols_slope(log_weeks(spark, sf_dir, "cat_id", "item_id"), "y", "x", "cat_id", "item_id").select("cat_id", "item_id", F.col("slope").alias("estimate"), "se")
-    truth = E.ols_slope(log_weeks(spark, sf_dir, "item_id", "store_id"), "y", "x", "item_id").select("item_id", F.col("slope").alias("truth"))
-    s = E.score_estimates(raw.join(truth, "item_id"))
-    return s.select("estimator", *[r6(c, c) for c in ("mae", "rmse", "sd", "within_cat_mae")])
+    return item_scores(spark, sf_dir).select("estimator", *[r6(c, c) for c in ("mae", "rmse", "sd", "within_cat_mae")])
+
+
+@C.query(with_("sales", """SELECT estimator, CASE WHEN stddev_pop(e) > 1e-12::DOUBLE AND stddev_pop(truth) > 1e-12::DOUBLE THEN round(corr(e, truth), 6) END AS corr_with_truth, round(CASE WHEN stddev_pop(dev) > 1e-12::DOUBLE AND stddev_pop(dev_truth) > 1e-12::DOUBLE THEN corr(dev, dev_truth) ELSE 0 END, 6) AS within_cat_corr FROM """ + _SCORES + " GROUP BY estimator", **_SCORED_SLOPES))
+def E10_estimator_correlations(spark, sf_dir):
+    """The same three estimators: how they go with the truth, overall and within categories."""
+    return item_scores(spark, sf_dir).select("estimator", r6("corr_with_truth", "corr_with_truth"), r6("within_cat_corr", "within_cat_corr"))
 
 
 _R = 2.0 ** (-1 / K.HALFLIFE)
@@ -157,6 +170,13 @@ def V3_forecast_lookup(spark, sf_dir):
     return out.select("key", F.size("path").cast("long").alias("days"), r6(total(lambda d: d["mean"]), "mean_total"), r6(total(lambda d: d["q"][0]), "p50_total"), r6(total(lambda d: d["q"][3]), "p95_total"), "class", r6("vs_seasonal_naive", "vs_seasonal_naive"))
 
 
+@C.query(with_("backtest", "SELECT (SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'missing' END FROM fans) AS status, (SELECT count(DISTINCT key) FROM fans) AS series, key FROM (SELECT DISTINCT key FROM fans ORDER BY key LIMIT 50)", fans=_FANS))
+def V2_health_series(spark, sf_dir):
+    """The service's state and the first 50 keys that it knows."""
+    f = written(fans_of(spark, sf_dir), "fans")
+    return V.series(f, 50).crossJoin(F.broadcast(V.health(f))).select("status", "series", "key")
+
+
 _LEVEL = "CASE WHEN sl = 0.9 THEN 3 WHEN sl = 0.97 THEN 5 ELSE 1 END"
 
 
@@ -173,11 +193,28 @@ def V4_orders(spark, sf_dir):
     return out.select("key", "lead_time_days", "service_level", "case_pack", "service_level_used", *[r6(c, c) for c in ("cover_units", "mean_units", "buffer_over_mean")], "order_quantity")
 
 
-@C.query("SELECT 'U' || user_id AS key, (event_id % 30)::INT AS horizon_day, round(arg_max(value, (ts, event_id)), 6) AS value, arg_max(event_type, (ts, event_id)) AS reason FROM events WHERE event_id % 30 <= 27 AND value >= 0 AND length(event_type) >= 4 GROUP BY 1, 2")
+_OVERRIDES = "SELECT 'U' || user_id AS key, (event_id % 30)::INT AS horizon_day, round(arg_max(value, (ts, event_id)), 6) AS value, arg_max(event_type, (ts, event_id)) AS reason FROM events WHERE event_id % 30 <= 27 AND value >= 0 AND length(event_type) >= 4 GROUP BY 1, 2"
+
+
+def override_log(spark, sf_dir):
+    """The events as entries of an override log."""
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id")).alias("key"), (F.col("event_id") % 30).cast("int").alias("horizon_day"), "value", F.col("event_type").alias("reason"), F.lit("planner").alias("author"), "ts", F.col("event_id").alias("entry"))
+
+
+@C.query(_OVERRIDES)
 def V5_override_latest(spark, sf_dir):
     """The latest valid entry by key and day of an override log made of the events."""
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id")).alias("key"), (F.col("event_id") % 30).cast("int").alias("horizon_day"), "value", F.col("event_type").alias("reason"), F.lit("planner").alias("author"), "ts", F.col("event_id").alias("entry"))
-    return V.latest_overrides(e).select("key", "horizon_day", r6("value", "value"), "reason")
+    return V.latest_overrides(override_log(spark, sf_dir)).select("key", "horizon_day", r6("value", "value"), "reason")
+
+
+@C.query(_OVERRIDES)
+def V5_override_append(spark, sf_dir):
+    """The same from a log on files, to which two requests append; entries that are not valid are not written."""
+    log, path = override_log(spark, sf_dir), work_path(spark, "overrides")
+    for odd in (0, 1):
+        V.append_overrides(log.where(F.col("entry") % 2 == odd), path)
+    kept = spark.read.schema(log.schema).parquet(path)
+    return V.latest_overrides(kept).select("key", "horizon_day", r6("value", "value"), "reason")
 
 
 _D42 = repr(sum(math.exp(-math.log(2.0) / 21.0 * t) for t in range(42)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import grid_of, last_day, last_fold, last_origin, origins_of
+from demandloom.catalogue.base import SCALE, grid_of, last_day, last_fold, last_origin, origins_of
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
@@ -78,6 +78,16 @@ def M8_horizon_split(spark, sf_dir):
     return backtest_of(spark, sf_dir).groupBy("level", "method").agg(r6(part(near), "h1_7"), r6(part(far), "h8_28"), r6(M.wmape(), "wmape"), r6(M.bias(), "bias"))
 
 
+@C.query(with_("backtest classes_before", """SELECT class, method, count(*) AS series, round(avg(mase), 6) AS mase FROM (SELECT level, key, method, avg(abs(y - yhat)) / nullif(max(s.a), 0) AS mase FROM backtest JOIN scale s USING (level, key) WHERE fold = 6 GROUP BY level, key, method) JOIN classes_before USING (level, key) GROUP BY class, method""", scale=SCALE))
+def R2_mase_by_class(spark, sf_dir):
+    """Mean scaled error by demand class and method over the last fold."""
+    g = grid_of(spark, sf_dir, *UPPER)
+    scale = M.seasonal_scale(last_fold(g, spark, sf_dir).where("date < origin"), "level", "key")
+    each = backtest_of(spark, sf_dir).where("fold = 6").join(scale, ["level", "key"]).groupBy("level", "key", "method").agg(M.mase(F.col("scale_abs")).alias("mase"))
+    met = each.join(classes_before(g, spark, sf_dir), ["level", "key"])
+    return met.groupBy("class", "method").agg(F.count("*").alias("series"), r6(F.avg("mase"), "mase"))
+
+
 def _forecasts(spark, sf_dir, method):
     b = backtest_of(spark, sf_dir, methods=(method,)).where("fold = 6")
     return b.groupBy("level", "key").agg(r6(F.min("yhat"), "first"), r6(F.sum("yhat"), "total"))
@@ -163,12 +173,11 @@ def H9_middle_out(spark, sf_dir):
 _DRAWS = """SELECT k.key, k.store_id, k.state_id, s AS sample, ys[((s * 1103515245 + k.i * 12345 + 20011) % 2147483648) % 180 + 1] AS v FROM (SELECT key, any_value(split_part(key, '|', 1)) AS store_id, any_value(state_id) AS state_id, list(y ORDER BY date)[-180:] AS ys, row_number() OVER (ORDER BY key) AS i FROM grid JOIN (SELECT DISTINCT store_id, state_id FROM sales) m ON split_part(key, '|', 1) = m.store_id WHERE level = 'store_cat' GROUP BY key) k, (SELECT unnest(range(0, 100)) AS s)"""
 
 
-@C.query(with_("grid", """SELECT level, round(sum(own), 6) AS q95, round(max(child) / nullif(sum(own), 0), 6) AS ratio, round(sum(own) - max(child), 6) + 0.0::DOUBLE AS gap FROM (SELECT level, key, quantile_cont(v, 0.95) AS own FROM up GROUP BY level, key), (SELECT sum(q) AS child FROM (SELECT quantile_cont(v, 0.95) AS q FROM draws GROUP BY key)) GROUP BY level""",
-  draws=_DRAWS, up="SELECT 'total' AS level, 'TOTAL' AS key, sample, sum(v) AS v FROM draws GROUP BY sample UNION ALL SELECT 'state', state_id, sample, sum(v) FROM draws GROUP BY state_id, sample UNION ALL SELECT 'store', store_id, sample, sum(v) FROM draws GROUP BY store_id, sample UNION ALL SELECT 'store_cat', key, sample, v FROM draws"))
-def H13_reconcile_draws(spark, sf_dir):
-    """Draws at the bottom summed up the tree: quantiles by level, and how far sums of bottom quantiles are from them."""
-    from demandloom.operators import probabilistic as PR
+_UP = "SELECT 'total' AS level, 'TOTAL' AS key, sample, sum(v) AS v FROM draws GROUP BY sample UNION ALL SELECT 'state', state_id, sample, sum(v) FROM draws GROUP BY state_id, sample UNION ALL SELECT 'store', store_id, sample, sum(v) FROM draws GROUP BY store_id, sample UNION ALL SELECT 'store_cat', key, sample, v FROM draws"
+
 
+def bottom_draws(spark, sf_dir):
+    """(edge, draws): the tree down to categories in stores, and a hundred draws from each one's last 180 days."""
     s = sales(spark, sf_dir)
     g = grid_of(spark, sf_dir, "store_cat")
     ys = g.groupBy("key").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("date", "y"))), lambda x: x["y"]), -180, 180).alias("ys"))
@@ -176,9 +185,32 @@ def H13_reconcile_draws(spark, sf_dir):
     draw = F.element_at("ys", (((F.col("sample") * 1103515245 + F.col("i") * 12345 + 20011) % 2147483648) % 180 + 1).cast("int"))
     draws = numbered.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(99)).cast("array<bigint>"))).select(F.col("key").alias("bkey"), "sample", draw.alias("value"))
     edge = R.edges(s.select("state_id", "store_id", "cat_id", F.concat_ws("|", "store_id", "cat_id").alias("bkey")).distinct(), P.LEVELS)
+    return edge, draws
+
+
+@C.query(with_("grid", """SELECT level, round(sum(own), 6) AS q95, round(max(child) / nullif(sum(own), 0), 6) AS ratio, round(sum(own) - max(child), 6) + 0.0::DOUBLE AS gap FROM (SELECT level, key, quantile_cont(v, 0.95) AS own FROM up GROUP BY level, key), (SELECT sum(q) AS child FROM (SELECT quantile_cont(v, 0.95) AS q FROM draws GROUP BY key)) GROUP BY level""",
+  draws=_DRAWS, up=_UP))
+def H13_reconcile_draws(spark, sf_dir):
+    """Draws at the bottom summed up the tree: quantiles by level, and how far sums of bottom quantiles are from them."""
+    from demandloom.operators import probabilistic as PR
+
+    edge, draws = bottom_draws(spark, sf_dir)
     return PR.level_ratios(PR.reconcile_draws(edge, draws), "store_cat", 0.95).select("level", r6("q95", "q95"), r6("ratio", "ratio"), r6("gap", "gap"))
 
 
+@C.query(with_("grid", """SELECT round(max(gap), 6) + 0.0::DOUBLE AS max_gap, round(avg(gap), 6) + 0.0::DOUBLE AS mean_gap, round(avg((gap > 1e-9::DOUBLE)::INT), 6) AS share_incoherent FROM (SELECT child - value AS gap FROM q JOIN child USING (level, key))""",
+  draws=_DRAWS, up=_UP, q="SELECT level, key, quantile_cont(v, 0.95) AS value FROM up GROUP BY level, key", b="SELECT d.*, value FROM (SELECT DISTINCT key, store_id, state_id FROM draws) d JOIN q ON q.level = 'store_cat' AND q.key = d.key",
+  child="SELECT 'total' AS level, 'TOTAL' AS key, sum(value) AS child FROM b UNION ALL SELECT 'state', state_id, sum(value) FROM b GROUP BY state_id UNION ALL SELECT 'store', store_id, sum(value) FROM b GROUP BY store_id UNION ALL SELECT 'store_cat', key, value FROM b"))
+def H15_coherence_gap(spark, sf_dir):
+    """How far summed bottom quantiles exceed the quantiles of the summed draws."""
+    from demandloom.operators import probabilistic as PR
+
+    edge, draws = bottom_draws(spark, sf_dir)
+    q = PR.sample_quantiles(PR.reconcile_draws(edge, draws), (0.95,)).select("level", "key", F.col("q")[0].alias("value"))
+    out = PR.coherence_gap(edge, written(q, "draw-quantiles"))
+    return out.select(*[r6(c, c) for c in ("max_gap", "mean_gap", "share_incoherent")])
+
+
 _FAN = """SELECT f.key, f.h, f.y, q FROM (SELECT key, h, y FROM future WHERE level = 'store' AND fold = 6) f JOIN (SELECT key, quantile_cont(v, [0.5, 0.75, 0.9, 0.95, 0.98]) AS q FROM (SELECT key, unnest(ys[-180:]) AS v FROM hist WHERE level = 'store' AND fold = 6) GROUP BY key) USING (key)"""
 _TAUS = "[0.5, 0.75, 0.9, 0.95, 0.98]::DOUBLE[]"
 

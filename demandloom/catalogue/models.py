@@ -71,6 +71,20 @@ def S13_json(spark, sf_dir):
     return spark.read.schema(_MONTH_SCHEMA).json(path)
 
 
+@C.query(with_("sales", "SELECT cat_id, round(sum(units), 2) AS units, any_value(n) AS n_rows, any_value(a) AS date_min, any_value(z) AS date_max, false AS before, true AS after FROM sales, (SELECT count(*)::INT AS n, CAST(min(date) AS VARCHAR) AS a, CAST(max(date) AS VARCHAR) AS z FROM sales) GROUP BY cat_id"))
+def S5_json_document(spark, sf_dir):
+    """One JSON document with a map, written, asked for before and after, and read with a declared schema."""
+    s = sales(spark, sf_dir)
+    by_cat = s.groupBy("cat_id").agg(F.sum("units").alias("units"), F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("z"))
+    by_category = F.map_from_entries(F.sort_array(F.collect_list(F.struct("cat_id", "units")))).alias("units_by_category")
+    doc = by_cat.agg(by_category, F.sum("n").cast("int").alias("n_rows"), F.min("a").cast("string").alias("date_min"), F.max("z").cast("string").alias("date_max"))
+    path = work_path(spark, "document")
+    before = S.available(spark, path)
+    S.write_json(doc, path)
+    read = S.read_json_document(spark, path, doc.schema).withColumns({"before": F.lit(before), "after": F.lit(S.available(spark, path))})
+    return read.select(F.explode("units_by_category").alias("cat_id", "units"), "n_rows", "date_min", "date_max", "before", "after").withColumn("units", F.round("units", 2))
+
+
 @C.query()
 def S14_text_report(spark, sf_dir):
     """A report of two sections as text lines."""
