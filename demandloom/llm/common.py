@@ -19,6 +19,10 @@ WORD_SEPARATOR = "[\\x20\\x09-\\x0D]+"
 #: Texts are handled in slices of about this many bytes, so that one Arrow batch of long texts stays small in Python.
 SLICE_BYTES = 2 << 20
 
+#: The JVM hands workers Arrow batches of about this many bytes, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: A key with no more rows than this is never a hot one.
 HOT_ROWS = 10_000
 
@@ -47,7 +51,10 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; a worker gives freed memory back when its task ends, since it lives on beside those of later stages."""
+    """mapInArrow in small batches; a worker gives freed memory back when its task ends, since it lives on beside those of later stages."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
