@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, pieces, quality, toxicity, warc_fixity
+from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, periodic, pieces, quality, toxicity, warc_fixity
 
 
 def _docs(spark, sf_dir):
@@ -49,8 +49,18 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_report(_docs(spark, sf_dir))
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.runs_report(_docs(spark, sf_dir))
+
+
+QUERIES = (
+    op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op7_toxicity,
+    op8_mix_sources, op9_warc_fixity, op10_minhash_near_dedup, op13_periodic_runs,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op7_toxicity, op8_mix_sources, op9_warc_fixity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
