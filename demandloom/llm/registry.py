@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, periodic, pieces, quality, toxicity, warc_fixity
+from demandloom.llm import langid, lattice_lm, licenses, mips, mixing, neardup, ngram_join, periodic, pieces, quality, spelling, toxicity, warc_fixity
 
 
 def _docs(spark, sf_dir):
@@ -49,13 +49,22 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.near_report(_docs(spark, sf_dir))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants_report(_docs(spark, sf_dir))
+
+
+def op12_ngram_join(spark, sf_dir):
+    return ngram_join.join_report(_docs(spark, sf_dir))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic.runs_report(_docs(spark, sf_dir))
 
 
 QUERIES = (
     op1_tokeniser_fertility, op2_language_id, op3_license_scan, op4_norm_bucketed_search, op5_subword_lattice, op6_sentencepiece, op7_toxicity,
-    op8_mix_sources, op9_warc_fixity, op10_minhash_near_dedup, op13_periodic_runs,
+    op8_mix_sources, op9_warc_fixity, op10_minhash_near_dedup, op11_spelling_variants, op12_ngram_join,
+    op13_periodic_runs,
 )
 
 
@@ -64,4 +73,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_mix_sources": mixing.ORACLE, "op3_license_scan": licenses.oracle(), "op4_norm_bucketed_search": mips.ORACLE, "op9_warc_fixity": warc_fixity.ORACLE, "op10_minhash_near_dedup": neardup.ORACLE}
+    return {
+        "op3_license_scan": licenses.oracle(), "op4_norm_bucketed_search": mips.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_warc_fixity": warc_fixity.ORACLE,
+        "op10_minhash_near_dedup": neardup.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_ngram_join": ngram_join.ORACLE,
+    }
