@@ -39,27 +39,29 @@ HIGH_COSINE = 0.7
 COORDINATES = 4
 #: Blocks whose thresholds a task remembers from bucket to bucket.
 REMEMBERED_BLOCKS = 4096
+LARGEST = float(np.finfo(np.float64).max)
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole_vectors(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v array<double>, level): components floor(scale * x), x as double, one row per vec_id.
+    """(row, vec_id, v array<double>, level) of every row: components floor(scale * x), x as double; row numbers the rows.
 
-    Components are whole numbers of any size a double holds. A vector that is null or empty, or has a null or
-    non-finite component, before or after scaling, and a null vec_id take no part. Of rows that repeat a vec_id with
-    different vectors the smallest (in array order) counts.
+    Components are whole numbers of any size a double holds; one that leaves its range by the scale counts as the largest
+    double of its sign. A vector that is null or empty, or has a null or non-finite component, and a null vec_id take no
+    part. Rows that repeat a vec_id, with whatever vectors, all count.
     """
-    x = F.transform("embedding", lambda c: c.cast("double") * F.lit(scale))
+    x = F.transform("embedding", lambda c: c.cast("double"))
     finite = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
+    scaled = F.transform("x", lambda c: F.greatest(F.least(c * F.lit(scale), F.lit(LARGEST)), F.lit(-LARGEST)))
     whole = F.transform("x", lambda c: F.when(F.abs(c) < F.lit(float(1 << 52)), F.floor(c).cast("double")).otherwise(c))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).select("vec_id", whole.alias("v"))
-    one = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).withColumn("x", scaled)
+    one = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v"))
     # the level of a length, in logarithms, so that squares of very large components stay finite
     most = F.array_max(F.transform("v", lambda c: F.abs(c)))
     squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + F.pow(c / F.col("most"), F.lit(2.0)))
     level = F.when(F.col("most") > 0, F.floor(F.lit(float(LEVELS)) * (F.log2("most") + F.log2(squares) / 2))).otherwise(F.lit(-1))
-    return one.withColumn("most", most).select("vec_id", "v", level.cast("int").alias("level"))
+    return one.withColumn("most", most).select("row", "vec_id", "v", level.cast("int").alias("level"))
 
 
 def _need(thresholds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -130,8 +132,8 @@ def _best_first(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.lexsort((ids, ~scores))  # ~s = -1 - s turns the order round without overflow
 
 
-def bucket_best(q_ids: np.ndarray, q: np.ndarray, thresholds: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of query, ids, scores) of each query's k best members that reach its threshold."""
+def bucket_best(q_rows: np.ndarray, q: np.ndarray, thresholds: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of query, ids, scores) of each query's k best members, but its own row, that reach its threshold."""
     norms, lengths = _lengths(p), _lengths(q)
     longest = float(norms.max(initial=0.0))
     slack = 1 - 1e-9
@@ -148,7 +150,7 @@ def bucket_best(q_ids: np.ndarray, q: np.ndarray, thresholds: np.ndarray, ids: n
         if len(use):
             scores = _products(q[rows], p[use])
             for i, s in zip(rows, scores, strict=True):
-                yield from _reached(i, q_ids[i], thresholds[i], s, ids[use], k)
+                yield from _reached(i, q_rows[i], thresholds[i], s, rows_of[use], ids[use], k)
     if by_coordinate.any():
         unit = p / np.maximum(norms, 1e-300)[:, None]
         for i in np.flatnonzero(by_coordinate & (cosine <= 1 + 1e-9)):
@@ -166,29 +168,30 @@ def bucket_best(q_ids: np.ndarray, q: np.ndarray, thresholds: np.ndarray, ids: n
                 keep &= (unit[:, c] >= low) & (unit[:, c] <= high)
             use = np.flatnonzero(keep)
             if len(use):
-                yield from _reached(i, q_ids[i], thresholds[i], _products(q[i : i + 1], p[use])[0], ids[use], k)
+                yield from _reached(i, q_rows[i], thresholds[i], _products(q[i : i + 1], p[use])[0], rows_of[use], ids[use], k)
 
 
-def _reached(i: int, own: int, threshold: float, scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    at = np.flatnonzero((scores >= threshold) & (ids != own))
+def _reached(i: int, own: int, threshold: float, scores: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    at = np.flatnonzero((scores >= threshold) & (rows_of != own))
     if len(at):
         at = at[_best(scores[at], ids[at], k)]
         yield i, ids[at], scores[at]
 
 
-PAYLOAD = "ids binary, matrix binary, dim int, thresholds binary"
+PAYLOAD = "rows_of binary, ids binary, matrix binary, dim int, thresholds binary"
 ROUTED = f"level int, part int, copy int, block int, {PAYLOAD}"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(key, ids, matrix, thresholds) of each run of rows with one key: so many key columns, then vec_id, v and perhaps threshold."""
+def _packed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(key, rows, ids, matrix, thresholds) of each run of rows with one key: so many key columns, then row, vec_id, v and perhaps threshold."""
     held: list[pa.RecordBatch] = []
     key: tuple | None = None
 
-    def whole() -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]:
+    def whole() -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         part = pa.Table.from_batches(held).combine_chunks()
-        thresholds = part.column(keys + 2).to_numpy() if part.num_columns > keys + 2 else None
-        return key, part.column(keys).to_numpy().astype(np.int64), _matrix(part.column(keys + 1).chunk(0)), thresholds
+        thresholds = part.column(keys + 3).to_numpy() if part.num_columns > keys + 3 else None
+        rows_of, ids = (part.column(keys + i).to_numpy().astype(np.int64) for i in (0, 1))
+        return key, rows_of, ids, _matrix(part.column(keys + 2).chunk(0)), thresholds
 
     for batch in batches:
         of = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1) if batch.num_rows else np.zeros((0, keys))
@@ -206,16 +209,16 @@ def _packed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield whole()
 
 
-def _row(level: int, part: int, copy: int, block: int, ids: np.ndarray, m: np.ndarray, thresholds: np.ndarray | None) -> pa.RecordBatch:
-    payload = (ids.tobytes(), np.ascontiguousarray(m).tobytes(), m.shape[1], None if thresholds is None else thresholds.tobytes())
-    kinds = (*[pa.int32()] * 4, pa.binary(), pa.binary(), pa.int32(), pa.binary())
+def _row(level: int, part: int, copy: int, block: int, rows_of: np.ndarray, ids: np.ndarray, m: np.ndarray, thresholds: np.ndarray | None) -> pa.RecordBatch:
+    payload = (rows_of.tobytes(), ids.tobytes(), np.ascontiguousarray(m).tobytes(), m.shape[1], None if thresholds is None else thresholds.tobytes())
+    kinds = (*[pa.int32()] * 4, pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
     names = [c.split()[0] for c in ROUTED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((level, part, copy, block, *payload), kinds, strict=True)], names)
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.frombuffer(row["matrix"]).reshape(len(ids), row["dim"])
+    return np.frombuffer(row["rows_of"], np.int64), ids, np.frombuffer(row["matrix"]).reshape(len(ids), row["dim"])
 
 
 def _counts(rows: DataFrame, level: str) -> dict[int, tuple[int, int]]:
@@ -225,9 +228,9 @@ def _counts(rows: DataFrame, level: str) -> dict[int, tuple[int, int]]:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest integer inner products over all other vectors.
+    """query_id, rank, vec_id, score: each query row's k highest integer inner products over all other rows.
 
-    Ties go to the smaller vec_id; a query with fewer others gets them all; shorter vectors count as padded with
+    Rows that repeat a vec_id are candidates, and queries, of their own. Ties go to the smaller vec_id; a query with fewer others gets them all; shorter vectors count as padded with
     zeros. A product outside the range of a long counts as the nearest long. An empty table, or one without queries,
     gives no rows.
     """
@@ -238,8 +241,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     capacity = max(64, min(BUCKET, BUCKET_BYTES // (8 * dim)))
     parts = {level: -(-n // capacity) for level, (n, _) in sizes.items()}
 
-    seeds = whole.orderBy(F.desc("level"), "vec_id").limit(max(k + 1, min(SEEDS, SEED_BYTES // (8 * dim)))).select("vec_id", "v").toArrow()
-    seed_ids = seeds.column("vec_id").to_numpy().astype(np.int64)
+    seeds = whole.orderBy(F.desc("level"), "row").limit(max(k + 1, min(SEEDS, SEED_BYTES // (8 * dim)))).select("row", "v").toArrow()
+    seed_ids = seeds.column("row").to_numpy().astype(np.int64)
     seed = _matrix(seeds.column("v").combine_chunks()) if len(seed_ids) else np.zeros((0, 1))
     sent = spark.sparkContext.broadcast((seed_ids, seed))
 
@@ -248,17 +251,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         for big in batches:
             for at in range(0, big.num_rows, QUERY_BLOCK):
                 batch = big.slice(at, QUERY_BLOCK)
-                q_ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                q_rows, q = batch.column(0).to_numpy(), _matrix(batch.column(2))
                 width = max(q.shape[1], m.shape[1])
                 scores = _products(_wide(q, width), _wide(m, width))
                 found = np.full(len(q), -np.inf)
                 for i, s in enumerate(scores):
-                    s = s[ids != q_ids[i]]
+                    s = s[ids != q_rows[i]]
                     if len(s) >= k:
                         found[i] = np.partition(s, len(s) - k)[len(s) - k]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(_need(found, _lengths(q)))], ["vec_id", "v", "threshold", "need"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(_need(found, _lengths(q)))], ["row", "vec_id", "v", "threshold", "need"])
 
-    asked = map_arrow(whole.where(is_query).select("vec_id", "v"), first_thresholds, "vec_id long, v array<double>, threshold double, need int")
+    asked = map_arrow(whole.where(is_query).select("row", "vec_id", "v"), first_thresholds, "row long, vec_id long, v array<double>, threshold double, need int")
     asked = durable(asked, "mips-queries")
     needs = {need: -(-n // QUERY_BLOCK) for need, (n, _) in sorted(_counts(asked, "need").items())}
     first = dict(zip(needs, np.concatenate([[0], np.cumsum(list(needs.values()))]).tolist(), strict=False))
@@ -266,50 +269,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     copies = {level: -(-sum(n for need, n in needs.items() if need <= level) // BLOCKS_PER_COPY) for level in parts}
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (level, part), ids, m, _ in _packed(batches, 2):
+        for (level, part), rows_of, ids, m, _ in _packed(batches, 2):
             for copy in range(copies[level]):
-                yield _row(level, part, copy, -1, ids, m, None)
+                yield _row(level, part, copy, -1, rows_of, ids, m, None)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (need, part), ids, m, thresholds in _packed(batches, 2):
+        for (need, part), rows_of, ids, m, thresholds in _packed(batches, 2):
             block = first[need] + part
             for level, n in parts.items():
                 for bucket in range(n if level >= need else 0):
-                    yield _row(level, bucket, block // BLOCKS_PER_COPY, block, ids, m, thresholds)
+                    yield _row(level, bucket, block // BLOCKS_PER_COPY, block, rows_of, ids, m, thresholds)
 
     def dealt(df: DataFrame, key: str, of: dict[int, int]) -> DataFrame:
         table = spark.createDataFrame(sorted(of.items()), f"{key} int, parts int")
-        part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int").alias("part")
+        part = F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")).cast("int").alias("part")
         rows = df.join(F.broadcast(table), key).select(key, part, *[c for c in df.columns if c != key])
-        return rows.repartition(key, "part").sortWithinPartitions(key, "part", "vec_id")
+        return rows.repartition(key, "part").sortWithinPartitions(key, "part", "row")
 
-    routed = map_arrow(dealt(whole, "level", parts), buckets, ROUTED).union(map_arrow(dealt(asked, "need", needs).select("need", "part", "vec_id", "v", "threshold"), blocks, ROUTED))
+    routed = map_arrow(dealt(whole, "level", parts), buckets, ROUTED).union(map_arrow(dealt(asked, "need", needs).select("need", "part", "row", "vec_id", "v", "threshold"), blocks, ROUTED))
     walked = routed.repartition("level", "part", "copy").sortWithinPartitions(F.desc("level"), "part", "copy", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, p, risen = np.zeros(0, np.int64), np.zeros((0, 1)), {}
+        rows_of, ids, p, risen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1)), {}
         rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
         for row in rows:
             if row["block"] < 0:
-                ids, p = _opened(row)
+                rows_of, ids, p = _opened(row)
                 continue
-            q_ids, q = _opened(row)
+            q_rows, q_ids, q = _opened(row)
             width = max(q.shape[1], p.shape[1])
             thresholds = risen.get(row["block"])
             if thresholds is None:
                 if len(risen) >= REMEMBERED_BLOCKS:
                     risen.clear()
                 thresholds = risen[row["block"]] = np.frombuffer(row["thresholds"]).copy()
-            got = list(bucket_best(q_ids, _wide(q, width), thresholds, ids, _wide(p, width), k))
+            got = list(bucket_best(q_rows, _wide(q, width), thresholds, rows_of, ids, _wide(p, width), k))
             if got:
                 for i, _, scores in got:
                     if len(scores) == k:
                         thresholds[i] = max(thresholds[i], float(scores[-1]))
-                of = np.concatenate([np.full(len(x), q_ids[i]) for i, x, _ in got])
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([x for _, x, _ in got])), pa.array(np.concatenate([s for *_, s in got]))], ["query_id", "vec_id", "score"])
+                own, of = (np.concatenate([np.full(len(x), q[i]) for i, x, _ in got]) for q in (q_rows, q_ids))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(of), pa.array(np.concatenate([x for _, x, _ in got])), pa.array(np.concatenate([s for *_, s in got]))], ["query_row", "query_id", "vec_id", "score"])
 
-    found = map_arrow(walked, search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = map_arrow(walked, search, "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -319,9 +322,9 @@ def search_report(vectors: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.rid != c.rid WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20
 """
