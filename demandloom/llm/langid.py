@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,13 +279,23 @@ STATE_TYPES = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows and SAMPLE_BYTES of each language, chosen by a hash of the text; all of a smaller one."""
-    fitting = labelled.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    totals = fitting.groupBy("lang").agg(F.count("*").alias("__rows"), F.sum(F.octet_length("text")).alias("__bytes"))
-    share = F.least(F.lit(float(rows)) / F.col("__rows"), F.lit(float(SAMPLE_BYTES)) / F.greatest("__bytes", F.lit(1)))
-    totals = durable(totals.select("lang", "__rows", share.alias("__share")), "lang-totals")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return spread_join(fitting, totals, ["lang"], "__rows").where(draw < F.col("__share")).select("text", "lang")
+    """About `rows` different texts and SAMPLE_BYTES of each language, chosen by a hash of the text; all of a smaller one.
+
+    Copies of a text count once. No language is left without a text: the one with the smallest hash is always in, and of
+    a language whose texts are all above SAMPLE_TEXT_BYTES its shortest ones count.
+    """
+    texts = labelled.select("lang", F.xxhash64("text").alias("__h"), F.octet_length("text").alias("__size")).groupBy("lang", "__h").agg(F.min("__size").alias("__size"))
+    texts = durable(texts, "lang-texts")
+    longest = texts.groupBy("lang").agg(F.greatest(F.min("__size"), F.lit(SAMPLE_TEXT_BYTES)).alias("__longest"))
+    fitting = texts.join(longest, "lang").where("__size <= __longest")
+    draw = F.pmod(F.col("__h"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    totals = fitting.groupBy("lang").agg(F.count("*").alias("__texts"), F.sum("__size").alias("__bytes"), F.min(F.struct(draw, "__h"))["__h"].alias("__first"), F.max("__longest").alias("__longest"))
+    share = F.least(F.lit(float(rows)) / F.col("__texts"), F.lit(float(SAMPLE_BYTES)) / F.greatest("__bytes", F.lit(1)))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("__rows"))
+    totals = durable(totals.join(counts, "lang").select("lang", "__rows", "__first", "__longest", share.alias("__share")), "lang-totals")
+    met = spread_join(labelled.select("lang", "text", F.xxhash64("text").alias("__h")), totals, ["lang"], "__rows")
+    chosen = ((draw < F.col("__share")) & (F.octet_length("text") <= F.col("__longest"))) | (F.col("__h") == F.col("__first"))
+    return met.where(chosen).select("text", "lang").distinct()
 
 
 @dataclass
@@ -311,13 +321,17 @@ class Trained:
 
 
 def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, reject_z: float = REJECT_Z, model_bytes: int = MODEL_BYTES) -> Trained:
-    """Fit on (text, lang), both non-null: one sample row in five calibrates, the others teach.
+    """Fit on (text, lang), both non-null: one sample text in five calibrates, the others teach.
 
-    The sample has about sample_rows rows and SAMPLE_BYTES per language, so a language's group does not grow with the
-    table. All languages have a model.
+    The sample has about sample_rows texts and SAMPLE_BYTES per language, so a language's group does not grow with the
+    table. Every language that has a letter in a text of its own has a model: where the fifth that calibrates would be all
+    that it has, it teaches, and the language keeps the limits of one without calibration texts.
     """
     known = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    rows = durable(_sample(known, sample_rows).withColumn("part", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5))), "lang-sample")
+    part = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(5))
+    letters = F.col("text").rlike("\\p{L}")
+    taught = F.max((part != 0) & letters).over(Window.partitionBy("lang"))
+    rows = durable(_sample(known, sample_rows).withColumn("part", F.when(taught, part).otherwise(1)), "lang-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -400,7 +414,10 @@ def train_on_fold(docs: DataFrame, learn_from: Column) -> Trained:
 
 def keep_known(docs: DataFrame, trained: Trained) -> DataFrame:
     """The documents that are not rejected, with their columns; a text without letters is rejected."""
-    return identified(docs, trained).where("__lang IS NOT NULL AND __entropy <= __limit").select(*docs.columns)
+    # numbered names, so that no column of docs can clash with the states
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    kept = identified(docs.toDF(*inner), trained).where("__lang IS NOT NULL AND __entropy <= __limit").select(*inner)
+    return kept.toDF(*docs.columns)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -74,8 +74,10 @@ def copy_counts(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document as often as copy_counts says, with the columns of docs, whatever their names."""
-    met = _with_targets(docs, docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeat, seed)
-    return met.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    # the columns travel as one, so that none can clash with those added on the way
+    packed = docs.select("doc_id", "source", F.struct("*").alias("__mix_row"))
+    met = _with_targets(packed, docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeat, seed)
+    return met.where("__mix_copies > 0").select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select("__mix_row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

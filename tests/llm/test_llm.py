@@ -218,6 +218,34 @@ def test_language_held_out_accuracy_and_odd_rows(spark, docs, odd, empty):
 # licences
 
 
+def test_every_labelled_language_has_a_model(spark, docs):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    rows = [(10_000 + k, " ".join(word("abcdefghijklmnop"[k : k + 6]) for _ in range(60)), f"x{k}", "a") for k in range(10)]
+    rows += [(20_000 + k, f"ωραίο κείμενο {k} γράμματα", "two", "a") for k in range(2)]
+    rows += [(30_000, "".join(f"длинное слово{i} " for i in range(70_000)), "long", "a")]  # above the bytes of a sample text
+    rows += [(40_000 + k, "одно и то же слово снова", "copies", "a") for k in range(3_000)]
+    some = docs.select("doc_id", "text", "lang", "source").collect()
+    df = docs_of(spark, [tuple(r) for r in some] + rows)
+    trained = langid.train(df)
+    want = {r.lang for r in some if r.lang} | {r[2] for r in rows}
+    assert {r.lang for r in trained.table.select("lang").collect()} == want
+    kept = {r.doc_id for r in langid.keep_known(df, trained).collect()}
+    assert {r[0] for r in rows if r[2] in ("two", "long", "copies")} <= kept
+    assert len({i for i, *_ in rows if i < 20_000} & kept) == 10
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    odd_names = docs.withColumns({c: F.lit("MINE") for c in ("__lang", "__entropy", "__mix_rate", "__mix_copies", "c0", "__h")})
+    trained = langid.train(docs)
+    kept = langid.keep_known(odd_names, trained)
+    assert kept.columns == odd_names.columns and kept.where("__lang != 'MINE' OR c0 != 'MINE'").count() == 0
+    assert kept.count() == langid.keep_known(docs, trained).count()
+    mixed = mixing.mix(odd_names)
+    assert mixed.columns == odd_names.columns and mixed.where("__mix_rate != 'MINE' OR __mix_copies != 'MINE'").count() == 0
+    assert mixed.count() == mixing.mix(docs).count()
+
+
 def test_license_sentences_in_order(spark, odd, empty):
     mit = " ".join(s[0] + "." for k, s in licenses.SENTENCES.items() if k in ("mit-grant", "mit-condition", "mit-warranty"))
     rows = [
@@ -328,7 +356,7 @@ def test_top_k_equals_brute_force(spark):
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == {q for q in whole if q % 20 == 0}
     for q, found in got.items():
-        want = sorted(((i, int(whole[q] @ v)) for i, v in whole.items() if i != q), key=lambda t: (-t[1], t[0]))[:20]
+        want = sorted([(i, int(whole[q] @ v)) for i, v in whole.items() if i != q] + [(5, int(whole[q] @ whole[5]))], key=lambda t: (-t[1], t[0]))[:20]
         assert found == want
     few = spark.createDataFrame(rows[:5], df.schema)
     assert mips.search_report(few).count() == 4
@@ -368,6 +396,15 @@ def test_top_k_of_large_values_and_one_wanted_level(spark):
     assert found["query_id"].nunique() == 150
 
 
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    rows = [(20, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [-9.0, 0.0]), (20, [2.0, 0.0]), (7, [1e308, 0.0])]
+    got = mips.search_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    most = 2**63 - 1
+    first = [(20, 1, 7, most), (20, 2, 1, 64 * 64 * 5), (20, 3, 20, 64 * 64 * 2), (20, 4, 1, -64 * 64 * 9)]
+    second = [(20, 1, 7, most), (20, 2, 1, 64 * 64 * 10), (20, 3, 20, 64 * 64 * 2), (20, 4, 1, -64 * 64 * 18)]
+    assert sorted(tuple(r) for r in got) == sorted(first + second)
+
+
 def test_products_are_exact():
     rng = np.random.default_rng(2)
     for size in (10, 1e6, 1e9, 1e15, 1e30):
@@ -383,7 +420,7 @@ def test_coordinate_route_loses_nothing():
     p, q = p.astype(float), q.astype(float)
     scores = q @ p.T
     thresholds = np.sort(scores, 1)[:, -3].astype(float)
-    got = {i: set(ids.tolist()) for i, ids, _ in mips.bucket_best(np.full(40, -1), q, thresholds, np.arange(500), p, 500)}
+    got = {i: set(ids.tolist()) for i, ids, _ in mips.bucket_best(np.full(40, -1), q, thresholds, np.arange(500), np.arange(500), p, 500)}
     for i in range(40):
         assert got[i] == set(np.flatnonzero(scores[i] >= thresholds[i]).tolist())
 
