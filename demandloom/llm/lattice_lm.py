@@ -34,6 +34,8 @@ from demandloom.llm.pieces import DEFAULT_MODEL, MARK, SuffixTable, Vocabulary,
 
 #: Words in the dictionary of each worker, and how many counted words a task holds before it passes them on.
 HEAD_WORDS = 100_000
+#: Longer words are never among them, so that what is broadcast is bounded in bytes.
+HEAD_BYTES = 64
 FLUSH_WORDS = 300_000
 #: Rounds of expected counts, and the weight of the vocabulary's own scores among them, in pieces.
 ROUNDS = 2
@@ -305,7 +307,7 @@ def score_texts(docs: DataFrame, learn: str = "learn", model: str | bytes = DEFA
     scored = durable(_with_marginals(words, lattice, start), "lm-scored")
     base_unit = math.log10(n_train + (v + 1))
     end_base, end_score = math.log10(ends + 1) - base_unit, float(lattice.logs[-1] / math.log(10.0))
-    top = scored.orderBy(F.desc("c"), "word").limit(head_words).select("word", "c", "lp", "own_lp").toArrow()
+    top = scored.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_words).select("word", "c", "lp", "own_lp").toArrow()
     facts = np.stack([top.column("c").to_numpy() > 0, np.log10(top.column("c").to_numpy() + 1.0) - base_unit, top.column("lp").to_numpy(), top.column("own_lp").to_numpy()], 1)
     head = docs.sparkSession.sparkContext.broadcast(pickle.dumps((top.column("word").combine_chunks().to_pylist(), facts)))
     key = uuid.uuid4().hex
@@ -320,6 +322,7 @@ def score_texts(docs: DataFrame, learn: str = "learn", model: str | bytes = DEFA
 
         number, known = worker_state(key, open_head)
         find = number.get
+        seen = 0
         for batch in slices(batches, 1):
             texts = bytes_list(batch.column(1))
             sums = np.zeros((len(texts), len(SUMS)))
@@ -344,8 +347,10 @@ def score_texts(docs: DataFrame, learn: str = "learn", model: str | bytes = DEFA
                 sums[d, 1:] += np.array(k, np.float64) @ known[at] if at else 0.0
             of = np.concatenate([np.arange(len(texts)), np.repeat(np.arange(len(texts)), per_doc)])
             more = len(rest)
-            # the key of a document's own row is no word, differs between documents and meets nothing in the join
-            words_ = pa.concat_arrays([pa.array([b"d" + m for m in marks], pa.binary()), pa.array([b"w" + w for w in rest], pa.binary())])
+            # the key of a row's own sums is no word and meets nothing in the join; the row's number in its task spreads equal texts
+            own = [b"d" + m + (seen + i).to_bytes(6) for i, m in enumerate(marks)]
+            seen += len(texts)
+            words_ = pa.concat_arrays([pa.array(own, pa.binary()), pa.array([b"w" + w for w in rest], pa.binary())])
             tail = [pa.array(np.concatenate([sums[:, j], np.zeros(more)])) for j in range(len(SUMS))]
             mark = pa.array(np.frombuffer(b"".join(m[:8] for m in marks), np.int64)).take(pa.array(of))
             flag = pa.array(np.concatenate([np.ones(len(texts), np.int64), np.zeros(more, np.int64)]))
