@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import metrics as M
 from demandloom.functions.leadtime import finite
+from demandloom.functions.selection import quantiles
 from demandloom.operators import baselines as B
 from demandloom.operators import features as X
+from demandloom.operators import folds as FO
 from demandloom.operators import panel as P
+from demandloom.operators import sparse as SP
+from demandloom.sources.artifacts import stored
 from demandloom.sources.sales import sales, table
 
 C = Catalogue()
@@ -28,6 +34,24 @@ def origins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.origins(sales(spark, sf_dir).select("date"))
 
 
+#: The tables that the sales view reads.
+SALES_TABLES = ("lineitem", "supplier", "nation", "region", "part")
+UPPER = ("total", "state", "store")
+
+
+def states_of(spark: SparkSession, sf_dir: str, levels: tuple[str, ...] = UPPER, fold: int | None = None, tail: int = 0, errors: str = "ses") -> DataFrame:
+    """folds.fold_states of these levels for all folds or one, built once for these tables and stored."""
+
+    def build() -> DataFrame:
+        s = sales(spark, sf_dir)
+        span = s.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        starts = [(r["fold"], r["origin"]) for r in P.origins(s.select("date")).collect() if r["origin"] is not None and fold in (None, r["fold"])]
+        return FO.fold_states(P.roll_up(s, levels), span["a"], span["b"], starts, tail, errors)
+
+    paths = [f"{sf_dir}/{t}.parquet" for t in SALES_TABLES]
+    return stored(spark, "fold-states", paths, {"levels": levels, "fold": fold, "tail": tail, "errors": errors}, build)
+
+
 def last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """b: the last day of the sales, which every grid ends on."""
     return sales(spark, sf_dir).agg(F.max("date").alias("b"))
@@ -136,7 +160,8 @@ def A2_multi_agg(spark, sf_dir):
 def A9_ordered_stats(spark, sf_dir):
     """Median, interpolated quantile, correlation, both deviations, and the mode with ties to the smaller value."""
     s = sales(spark, sf_dir).withColumn("key", F.concat_ws("|", "store_id", "cat_id"))
-    stats = s.groupBy("key").agg(r6(F.median("units"), "median"), r6(F.percentile("units", 0.95), "p95"), r6(F.corr("units", "revenue"), "corr"), r6(F.stddev_pop("units"), "sd0"), r6(F.stddev_samp("units"), "sd1"))
+    order = quantiles(s, "units", (0.5, 0.95), "key").select("key", r6(F.col("q")[0], "median"), r6(F.col("q")[1], "p95"))
+    stats = order.join(s.groupBy("key").agg(r6(F.corr("units", "revenue"), "corr"), r6(F.stddev_pop("units"), "sd0"), r6(F.stddev_samp("units"), "sd1")), "key")
     mode = s.groupBy("key", "units").count().groupBy("key").agg(F.min_by("units", F.struct(-F.col("count"), F.col("units"))).alias("mode_units"))
     return stats.join(mode, "key")
 
@@ -199,14 +224,23 @@ def P17_finite_filter(spark, sf_dir):
     return rows.groupBy("key").agg(F.count_if("ok").alias("n"), F.count_if(~F.col("ok")).alias("left_out"), r6(total, "total"))
 
 
+def last_fold_features(spark, sf_dir):
+    """Target features of every category in a store on the last fold's days, from the days with sales."""
+    s = sales(spark, sf_dir)
+    span = s.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    panel = P.roll_up(s, ("store_cat",)).select("level", "key", "date", "y")
+    first, last = span["a"] or datetime.date(1970, 1, 1), span["b"] or datetime.date(1970, 1, 1)
+    asked = SP.asked_days(panel, last - datetime.timedelta(days=P.HORIZON - 1), last)
+    return SP.target_features(panel, asked, first)
+
+
 _LAST = "SELECT * FROM ({q}) WHERE date >= (SELECT b - 27 FROM bounds)"
 
 
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", w="SELECT key, date, " + ", ".join(f"lag(y, {k}) OVER s AS lag_{k}" for k in X.LAGS) + " FROM grid WHERE level = 'store_cat' WINDOW s AS (PARTITION BY key ORDER BY date)"), dates="date")
 def W1_lags(spark, sf_dir):
     """Target lags of the horizon and more, for the last fold's days."""
-    g = last_fold(grid_of(spark, sf_dir, "store_cat", since=history_cut(spark, sf_dir)), spark, sf_dir).withColumns(X.lags())
-    return g.where("date >= origin").select("key", "date", *X.lags())
+    return last_fold_features(spark, sf_dir).select("key", "date", *[f"lag_{k}" for k in X.LAGS])
 
 
 def _rolling_sql(key: str = "key") -> str:
@@ -225,9 +259,8 @@ def _rolling_sql(key: str = "key") -> str:
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", w=f"SELECT key, date, {_rolling_sql()} FROM grid WHERE level = 'store_cat'"), dates="date")
 def W2_rolling(spark, sf_dir):
     """Rolling means, deviations, zero share and the same-weekday mean, for the last fold's days."""
-    roll = X.rolling()
-    g = last_fold(grid_of(spark, sf_dir, "store_cat", since=history_cut(spark, sf_dir)), spark, sf_dir).withColumn("dow", F.weekday("date")).withColumns({**roll, "dow_mean_4w": X.same_weekday_mean()})
-    return g.where("date >= origin").select("key", "date", *[r6(c, c) for c in (*roll, "dow_mean_4w")])
+    names = (*[f"{kind}_{n}" for n in X.WINDOWS for kind in ("rmean", "rstd")], "zero_share_56", "dow_mean_4w")
+    return last_fold_features(spark, sf_dir).select("key", "date", *[r6(c, c) for c in names])
 
 
 _FILLED = """SELECT level, key, date, y, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(p IGNORE NULLS) OVER (PARTITION BY level, key ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price, coalesce(promo_sum / nullif(n, 0), 0) AS promo

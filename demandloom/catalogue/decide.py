@@ -6,16 +6,16 @@ import math
 
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import grid_of
+from demandloom.catalogue.base import SALES_TABLES, grid_of
 from demandloom.catalogue.forecast import backtest_of, fan_of
-from demandloom.catalogue.registry import Catalogue, r6, r6s
+from demandloom.catalogue.registry import Catalogue, r6
 from demandloom.catalogue.sql import with_
 from demandloom.functions import metrics as M
-from demandloom.functions import quantiles as Q
 from demandloom.operators import elasticity as E
 from demandloom.operators import markdown as K
 from demandloom.operators import panel as P
 from demandloom.plans import service as V
+from demandloom.sources.artifacts import stored
 from demandloom.sources.sales import sales, table
 from demandloom.sources.store import work_path, written
 
@@ -152,9 +152,13 @@ _FANS = """SELECT f.key, f.h, list_sort(q) AS q, mean FROM (SELECT key, h FROM f
 
 
 def fans_of(spark, sf_dir):
-    """(key, h, q, mean): the service's artifact: empirical fans and the seasonal naive as the mean."""
-    mean = backtest_of(spark, sf_dir, "store", methods=("seasonal_naive",)).where("fold = 6").select("key", "h", F.col("yhat").alias("mean"))
-    return fan_of(spark, sf_dir).select("key", "h", "q").join(mean, ["key", "h"])
+    """(key, h, q, mean): the service's stored artifact: empirical fans and the seasonal naive as the mean."""
+
+    def build():
+        mean = backtest_of(spark, sf_dir, "store", methods=("seasonal_naive",)).where("fold = 6").select("key", "h", F.col("yhat").alias("mean"))
+        return fan_of(spark, sf_dir).select("key", "h", "q").join(mean, ["key", "h"])
+
+    return stored(spark, "fans", [f"{sf_dir}/{t}.parquet" for t in SALES_TABLES], {}, build)
 
 
 @C.query(with_("backtest classes", """SELECT key, count(*) AS days, round(sum(mean), 6) + 0.0::DOUBLE AS mean_total, round(sum(q[1]), 6) AS p50_total, round(sum(q[4]), 6) AS p95_total, any_value(class) AS class, round(max(s.w - s.v), 6) + 0.0::DOUBLE AS vs_seasonal_naive FROM fans JOIN (SELECT key, class FROM classes WHERE level = 'store') USING (key)
@@ -173,7 +177,7 @@ def V3_forecast_lookup(spark, sf_dir):
 @C.query(with_("backtest", "SELECT (SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'missing' END FROM fans) AS status, (SELECT count(DISTINCT key) FROM fans) AS series, key FROM (SELECT DISTINCT key FROM fans ORDER BY key LIMIT 50)", fans=_FANS))
 def V2_health_series(spark, sf_dir):
     """The service's state and the first 50 keys that it knows."""
-    f = written(fans_of(spark, sf_dir), "fans")
+    f = fans_of(spark, sf_dir)
     return V.series(f, 50).crossJoin(F.broadcast(V.health(f))).select("status", "series", "key")
 
 
@@ -184,7 +188,7 @@ _LEVEL = "CASE WHEN sl = 0.9 THEN 3 WHEN sl = 0.97 THEN 5 ELSE 1 END"
   SELECT key, lead, sl, case_pack, n, sum(q[n]) AS cover, sum(mean) AS mean FROM (SELECT key, h, q, mean, lead, sl, case_pack, LEVEL AS n FROM fans, (SELECT unnest([7, 28]) AS lead), (SELECT unnest([0.6, 0.9, 0.97]::DOUBLE[]) AS sl), (SELECT unnest([6, 24]) AS case_pack)) WHERE h <= lead GROUP BY ALL)""".replace("LEVEL", _LEVEL), fans=_FANS))
 def V4_orders(spark, sf_dir):
     """Orders for a grid of requests, one of which is refused."""
-    f = written(fans_of(spark, sf_dir), "fans")
+    f = fans_of(spark, sf_dir)
     lists = {"lead_time_days": (7, 28, 40), "service_level": (0.6, 0.9, 0.97), "case_pack": (6, 24)}
     r = f.select("key").distinct()
     for c, values in lists.items():
@@ -193,6 +197,21 @@ def V4_orders(spark, sf_dir):
     return out.select("key", "lead_time_days", "service_level", "case_pack", "service_level_used", *[r6(c, c) for c in ("cover_units", "mean_units", "buffer_over_mean")], "order_quantity")
 
 
+@C.query(with_("backtest", """SELECT key, lead AS lead_time_days, sl AS service_level, case_pack, on_hand, reason = 'ok' AS accepted, reason, CASE WHEN reason = 'ok' THEN round(cover, 6) END AS cover_units, CASE WHEN reason = 'ok' THEN CAST(ceil(greatest(round(cover, 9) - on_hand, 0) / case_pack) * case_pack AS BIGINT) END AS order_quantity FROM (
+  SELECT r.*, CASE WHEN lead NOT BETWEEN 1 AND 28 THEN 'lead_time_days' WHEN case_pack < 1 THEN 'case_pack' WHEN sl <= 0 OR sl >= 1 THEN 'service_level' WHEN on_hand IS NULL OR on_hand < 0 THEN 'on_hand' WHEN k.key IS NULL THEN 'unknown key' ELSE 'ok' END AS reason,
+    (SELECT sum(q[CASE WHEN sl = 0.9 THEN 3 ELSE 5 END]) FROM fans f WHERE f.key = r.key AND h <= lead) AS cover
+  FROM asked r LEFT JOIN (SELECT DISTINCT key FROM fans) k ON k.key = r.key)""", fans=_FANS,
+  asked="SELECT key, lead, sl, case_pack, on_hand FROM (SELECT DISTINCT key FROM fans UNION ALL SELECT 'NOWHERE'), (SELECT unnest([0, 7, 29]) AS lead), (SELECT unnest([0.9, 0.97, 1.0]::DOUBLE[]) AS sl), (SELECT unnest([0, 6]) AS case_pack), (SELECT unnest([-1.0, 20.0, NULL]::DOUBLE[]) AS on_hand)"))
+def V8_answers(spark, sf_dir):
+    """An answer to every request, with the first reason of those that are refused or unknown."""
+    f = fans_of(spark, sf_dir)
+    r = f.select("key").distinct().unionByName(spark.range(1).select(F.lit("NOWHERE").alias("key")))
+    for c, values in {"lead_time_days": (0, 7, 29), "service_level": (0.9, 0.97, 1.0), "case_pack": (0, 6)}.items():
+        r = r.withColumn(c, F.explode(F.array(*[F.lit(v) for v in values])))
+    r = r.withColumn("on_hand", F.explode(F.array(F.lit(-1.0), F.lit(20.0), F.lit(None).cast("double"))))
+    return V.answers(f, r).select("key", "lead_time_days", "service_level", "case_pack", "on_hand", "accepted", "reason", r6("cover_units", "cover_units"), "order_quantity")
+
+
 _OVERRIDES = "SELECT 'U' || user_id AS key, (event_id % 30)::INT AS horizon_day, round(arg_max(value, (ts, event_id)), 6) AS value, arg_max(event_type, (ts, event_id)) AS reason FROM events WHERE event_id % 30 <= 27 AND value >= 0 AND length(event_type) >= 4 GROUP BY 1, 2"
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import SCALE, grid_of, last_day, last_fold, last_origin, origins_of
+from demandloom.catalogue.base import SCALE, UPPER, grid_of, last_day, last_fold, last_origin, origins_of, states_of
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
 from demandloom.functions import metrics as M
 from demandloom.functions import quantiles as Q
 from demandloom.operators import baselines as B
+from demandloom.operators import folds as FO
 from demandloom.operators import gate as G
 from demandloom.operators import panel as P
 from demandloom.operators import reconcile as R
@@ -20,12 +21,12 @@ from demandloom.sources.store import written
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
-UPPER = ("total", "state", "store")
 BOTH = "round(sum(abs(y - yhat)) / nullif(sum(abs(y)), 0), 6) AS wmape, round(sum(yhat - y) / nullif(sum(abs(y)), 0), 6) + 0.0::DOUBLE AS bias"
 
 
 def backtest_of(spark, sf_dir, *levels: str, methods: tuple[str, ...] = tuple(B.BASELINES)):
-    return B.backtest(grid_of(spark, sf_dir, *(levels or UPPER)), methods, starts=origins_of(spark, sf_dir))
+    """The rolling-origin backtest of the upper levels, or some of them, from the stored fold states."""
+    return FO.backtest(states_of(spark, sf_dir).where(F.col("level").isin(*(levels or UPPER))), methods)
 
 
 def classes_before(grid, spark, sf_dir, fold: int = 4):
@@ -110,9 +111,7 @@ def B2_seasonal_naive(spark, sf_dir):
 @C.query(with_("ses", "SELECT level, key, round(alpha, 2) AS alpha, round(yhat, 6) AS level_end FROM ses WHERE fold = 6"))
 def B3_ses(spark, sf_dir):
     """Exponential smoothing with its alpha by in-sample error."""
-    g = grid_of(spark, sf_dir, *UPPER)
-    h = B.histories(g, origins_of(spark, sf_dir).where("fold = 6")).withColumn("fit", B.ses_fit(F.col("ys")))
-    return h.select("level", "key", F.round("fit.alpha", 2).alias("alpha"), r6("fit.level", "level_end"))
+    return states_of(spark, sf_dir).where("fold = 6").select("level", "key", F.round("alpha", 2).alias("alpha"), r6("ses", "level_end"))
 
 
 @C.query(_forecast_sql("croston_sba"))
@@ -154,7 +153,7 @@ def H7_mint_two_level(spark, sf_dir):
     g = grid_of(spark, sf_dir, "total", "state")
     d = F.col("y") - F.lag("y", 7).over(Window.partitionBy("level", "key").orderBy("date"))
     w = last_fold(g, spark, sf_dir).where("date < origin").withColumn("d", d).groupBy("level", "key").agg(F.var_pop("d").alias("w"))
-    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6").join(w, ["level", "key"]).select("level", "key", "h", F.col("yhat").alias("value"), "w")
+    f = backtest_of(spark, sf_dir, "total", "state", methods=("ses",)).where("fold = 6").join(w, ["level", "key"]).select("level", "key", "h", F.col("yhat").alias("value"), "w")
     out = R.mint_two_level(f.where("level = 'total'").select("h", "value", "w"), f.where("level = 'state'").select("key", "h", "value", "w"), "h")
     return out.select("key", "h", r6("value", "value"))
 
@@ -163,10 +162,9 @@ def H7_mint_two_level(spark, sf_dir):
 def H9_middle_out(spark, sf_dir):
     """Store forecasts shared out to categories by historical proportions."""
     s = sales(spark, sf_dir).withColumn("key", F.concat_ws("|", "store_id", "cat_id"))
-    g = grid_of(spark, sf_dir, "store")
     before = s.crossJoin(F.broadcast(last_origin(spark, sf_dir))).where("date < origin").withColumnRenamed("units", "y")
     shares = R.proportions(before, "key", "store_id")
-    f = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6").select(F.col("key").alias("store_id"), "h", F.col("yhat").alias("value"))
+    f = backtest_of(spark, sf_dir, "store", methods=("seasonal_naive",)).where("fold = 6").select(F.col("key").alias("store_id"), "h", F.col("yhat").alias("value"))
     return R.middle_out(f, shares, "store_id").select("key", "h", r6("value", "value"))
 
 
@@ -305,7 +303,7 @@ _BYS = {"global": "'all'", "klass": "class", "key": "key"}
 def C5_gates(spark, sf_dir):
     """One choice for all, one per demand class, one per series: selected on folds 1 to 3, scored on 4 to 6."""
     g = grid_of(spark, sf_dir, "store")
-    b = store_sums(B.backtest(g, starts=origins_of(spark, sf_dir)).join(classes_before(g, spark, sf_dir), ["level", "key"]), "key", "class")
+    b = store_sums(backtest_of(spark, sf_dir, "store").join(classes_before(g, spark, sf_dir), ["level", "key"]), "key", "class")
     out = G.compare_gates(b.where("selecting"), b.where("NOT selecting"), {"global": F.lit("all"), "klass": F.col("class"), "key": F.col("key")})
     return out.select("gate", "n_decisions", r6("wmape", "wmape"), r6("bias", "bias"))
 
@@ -314,7 +312,7 @@ def C5_gates(spark, sf_dir):
 def R3_win_rate(spark, sf_dir):
     """By demand class, the share of series on which smoothing beats the seasonal naive."""
     g = grid_of(spark, sf_dir, "store")
-    b = B.backtest(g, ("seasonal_naive", "ses"), starts=origins_of(spark, sf_dir)).where("fold > 3").join(classes_before(g, spark, sf_dir), ["level", "key"])
+    b = backtest_of(spark, sf_dir, "store", methods=("seasonal_naive", "ses")).where("fold > 3").join(classes_before(g, spark, sf_dir), ["level", "key"])
     e = F.abs(F.col("y") - F.col("yhat"))
     per = b.groupBy("key", "class").agg(F.sum(F.when(F.col("method") == "ses", e)).alias("s"), F.sum(F.when(F.col("method") == "seasonal_naive", e)).alias("v"), F.sum(F.when(F.col("method") == "ses", F.abs("y"))).alias("a"))
     return per.groupBy("class").agg(F.count("*").alias("n"), r6(F.avg((F.col("s") < F.col("v")).cast("int")), "win_rate"), r6(F.try_divide(F.sum("s"), F.nullif(F.sum("a"), F.lit(0.0))), "ses_wmape"))
@@ -330,9 +328,7 @@ _RECON = """SELECT 'base' AS recon, level, key, h, y, yhat FROM f UNION ALL SELE
 def R5_recon_report(spark, sf_dir):
     """Base, bottom-up and middle-out by level on the last fold, and the best of each level."""
     s = sales(spark, sf_dir)
-    g = grid_of(spark, sf_dir, *UPPER)
-    f = B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir).where("fold = 6")).select("level", "key", "h", "y", F.col("yhat").alias("value"))
-    f = written(f, "recon-base")
+    f = written(backtest_of(spark, sf_dir, methods=("ses",)).where("fold = 6").select("level", "key", "h", "y", F.col("yhat").alias("value")), "recon-base")
     places = s.select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct()
     edge = R.edges(places, UPPER)
     actual = f.select("level", "key", "h", "y")
@@ -347,3 +343,95 @@ def R5_recon_report(spark, sf_dir):
     wide = w.groupBy("level").pivot("recon", ["base", "bottom_up", "middle_out"]).agg(F.first("w"))
     best = w.groupBy("level").agg(F.min_by("recon", F.struct(F.round("w", 9), F.col("recon"))).alias("best"))
     return wide.join(best, "level").select("level", *[r6(c, c) for c in ("base", "bottom_up", "middle_out")], "best")
+
+
+#: Six levels in SQL: a node's parent, the fold's last week, Croston's rate from the days with sales, and a sweep per variance.
+_NODES = """SELECT 'total' AS level, 'TOTAL' AS key, NULL AS up UNION ALL SELECT DISTINCT 'state', state_id, 'TOTAL' FROM sales UNION ALL SELECT DISTINCT 'store', store_id, state_id FROM sales
+  UNION ALL SELECT DISTINCT 'store_cat', store_id || '|' || cat_id, store_id FROM sales UNION ALL SELECT DISTINCT 'store_dept', store_id || '|' || dept_id, store_id || '|' || cat_id FROM sales
+  UNION ALL SELECT DISTINCT 'store_item', store_id || '|' || cat_id || '|' || item_id, store_id || '|' || dept_id FROM sales"""
+_SPINE = "SELECT n.level, n.key, d.date, coalesce(p.y, 0) AS y FROM nodes n CROSS JOIN (SELECT unnest(generate_series(b - 27 - 28 * 5 - 187, b, INTERVAL 1 DAY))::DATE AS date FROM bounds) d LEFT JOIN panel6 p ON p.level = n.level AND p.key = n.key AND p.date = d.date"
+_RATES = """SELECT fold, level, key, CASE WHEN len(pts) = 0 THEN 0 WHEN len(pts) = 1 THEN pts[1].y / n ELSE s.z / greatest(s.p, 1e-9::DOUBLE) * 0.95::DOUBLE END AS rate FROM (SELECT *,
+  list_reduce(pts[2:], lambda st, x: {'z': 0.1::DOUBLE * x.y + 0.9::DOUBLE * st.z, 'p': 0.1::DOUBLE * (x.i - st.i) + 0.9::DOUBLE * st.p, 'i': x.i, 'y': x.y}, {'z': pts[1].y, 'p': pts[1].i, 'i': pts[1].i, 'y': pts[1].y}) AS s
+  FROM (SELECT f.fold, m.level, m.key, any_value(date_diff('day', a, origin)) AS n, coalesce(list({'z': 0::DOUBLE, 'p': 0::DOUBLE, 'i': date_diff('day', a, p.date) + 1::DOUBLE, 'y': p.y::DOUBLE} ORDER BY p.date) FILTER (WHERE p.y > 0), []) AS pts
+    FROM nodes m CROSS JOIN folds f CROSS JOIN bounds LEFT JOIN panel6 p ON p.level = m.level AND p.key = m.key AND p.date < origin GROUP BY f.fold, m.level, m.key))"""
+_BACK6 = """SELECT fold, level, key, method, h, y, CASE method WHEN 'naive' THEN ys[7] WHEN 'seasonal_naive' THEN ys[(h - 1) % 7 + 1] ELSE rate END AS yhat FROM (SELECT f.fold, f.origin, s.level, s.key, list(s.y ORDER BY s.date) AS ys FROM spine s JOIN folds f ON s.date >= f.origin - 7 AND s.date < f.origin GROUP BY ALL)
+  JOIN (SELECT f.fold, s.level, s.key, date_diff('day', f.origin, s.date)::INT + 1 AS h, s.y FROM spine s JOIN folds f ON s.date >= f.origin AND s.date < f.origin + 28) USING (fold, level, key) JOIN rates USING (fold, level, key), (SELECT unnest(['naive', 'seasonal_naive', 'croston_sba']) AS method)"""
+_SIX = {"nodes": _NODES, "spine": _SPINE, "rates": _RATES, "back6": _BACK6}
+SIX_METHODS = ("naive", "seasonal_naive", "croston_sba")
+
+
+def _materialised(sql: str, *names: str) -> str:
+    for n in names:
+        sql = sql.replace(f"\n{n} AS (", f"\n{n} AS MATERIALIZED (")
+    return sql
+
+
+@C.query(_materialised(with_("panel6 bounds folds", """SELECT level, method, round(sum(abs(y - yhat)) FILTER (WHERE h <= 7) / nullif(sum(y) FILTER (WHERE h <= 7), 0), 6) AS h1_7, round(sum(abs(y - yhat)) FILTER (WHERE h > 7) / nullif(sum(y) FILTER (WHERE h > 7), 0), 6) AS h8_28, BOTH FROM back6 WHERE fold > 3 GROUP BY level, method""".replace("BOTH", BOTH), **_SIX), "spine", "panel6"))
+def R1_six_levels(spark, sf_dir):
+    """WMAPE, bias and the horizon split of the evaluation folds at all six levels, bottom series included."""
+    b = FO.backtest(states_of(spark, sf_dir, P.ALL_LEVELS), SIX_METHODS).where("fold > 3")
+    near, e = F.col("h") <= 7, F.abs(F.col("y") - F.col("yhat"))
+    part = lambda c: F.try_divide(F.sum(F.when(c, e)), F.nullif(F.sum(F.when(c, F.col("y"))), F.lit(0.0)))
+    return b.groupBy("level", "method").agg(r6(part(near), "h1_7"), r6(part(~near), "h8_28"), r6(M.wmape(), "wmape"), r6(M.bias(), "bias"))
+
+
+def reconciled(spark, sf_dir, method: str = "croston_sba", weights: tuple[str, ...] = ("ols", "wls"), errors: str = "seasonal"):
+    """(recon, level, key, h, y, value) of the last fold at six levels: base, bottom_up, middle_out from the stores, and minimum traces."""
+    levels = P.ALL_LEVELS
+    states = states_of(spark, sf_dir, levels, fold=6, tail=180, errors=errors)
+    f = written(FO.backtest(states, (method,)).select("level", "key", "h", "y", F.col("yhat").alias("value")), "recon-base")
+    s = sales(spark, sf_dir)
+    nodes = written(R.tree(s.select("state_id", "store_id", "cat_id", "dept_id", "item_id").distinct(), levels), "recon-tree")
+    base, actual = f.select("level", "key", "h", "value"), f.select("level", "key", "h", "y")
+    bottom = lambda values: R.sum_up(values, nodes, levels, "h")
+    before = s.crossJoin(F.broadcast(last_origin(spark, sf_dir))).where("date < origin").withColumnRenamed("units", "y").withColumn("key", F.concat_ws("|", "store_id", "cat_id", "item_id"))
+    middle = R.middle_out(f.where("level = 'store'").select(F.col("key").alias("store_id"), "h", "value"), R.proportions(before, "key", "store_id"), "store_id").select("key", "h", "value")
+    parts = {"base": base, "bottom_up": bottom(base.where("level = 'store_item'").select("key", "h", "value")), "middle_out": bottom(middle)}
+    out = None
+    for name, df in parts.items():
+        named = df.select(F.lit(name).alias("recon"), "level", "key", "h", "value")
+        out = named if out is None else out.unionByName(named)
+    traced = R.mint(base, nodes, states.select("level", "key", F.col("resid").alias("tail")), levels, weights)
+    out = out.unionByName(traced.select(F.concat(F.lit("mint_"), F.col("method")).alias("recon"), "level", "key", "h", "value"))
+    return written(out.join(actual, ["level", "key", "h"]), "recon-rows")
+
+
+def _swept(w: str, name: str) -> dict[str, str]:
+    """SQL of one sweep: up from the bottom, down from the top; w: a node's variance."""
+    levels = P.ALL_LEVELS
+    out = {f"{name}_{levels[-1]}": f"SELECT level, key, up, h, yhat AS v, {w} AS s, 0::DOUBLE AS m, 0::DOUBLE AS cv FROM base6 WHERE level = '{levels[-1]}'"}
+    for level, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        out[f"{name}_{level}"] = f"""SELECT level, b.key, up, b.h, (yhat * cv + m * {w}) / ({w} + cv) AS v, {w} * cv / ({w} + cv) AS s, m, cv FROM base6 b JOIN (SELECT up AS key, h, sum(v) AS m, sum(s) AS cv FROM {name}_{below} GROUP BY 1, 2) k USING (key, h) WHERE level = '{level}'"""
+    out[f"{name}_x_{levels[0]}"] = f"SELECT key, h, v AS x, m, cv FROM {name}_{levels[0]}"
+    for level, below in zip(levels, levels[1:], strict=False):
+        out[f"{name}_x_{below}"] = f"SELECT c.key, c.h, c.v + c.s * (p.x - p.m) / p.cv AS x, c.m, c.cv FROM {name}_{below} c JOIN {name}_x_{level} p ON p.key = c.up AND p.h = c.h"
+    out[name] = " UNION ALL ".join(f"SELECT 'mint_{name}' AS recon, '{v}' AS level, key, h, x AS value FROM {name}_x_{v}" for v in levels)
+    return out
+
+
+def _summed(name: str, bottom: str) -> dict[str, str]:
+    levels = P.ALL_LEVELS
+    out = {f"{name}_{levels[-1]}": bottom}
+    for level, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        out[f"{name}_{level}"] = f"SELECT n.up AS key, h, sum(value) AS value FROM {name}_{below} b JOIN nodes n ON n.level = '{below}' AND n.key = b.key GROUP BY 1, 2"
+    out[name] = " UNION ALL ".join(f"SELECT '{name}' AS recon, '{v}' AS level, key, h, value FROM {name}_{v}" for v in levels)
+    return out
+
+
+RECONS = ("base", "bottom_up", "middle_out", "mint_ols", "mint_wls")
+_RECON6 = {
+    "w6": "SELECT level, key, var_pop(d) AS w FROM (SELECT level, key, date, y - lag(y, 7) OVER (PARTITION BY level, key ORDER BY date) AS d FROM spine), folds WHERE fold = 6 AND date < origin AND date >= origin - 180 GROUP BY level, key",
+    "base6": "SELECT n.level, n.key, n.up, h, y, yhat, CASE WHEN w > 0 THEN w ELSE 1e-6::DOUBLE END AS w FROM back6 b JOIN nodes n USING (level, key) JOIN w6 USING (level, key) WHERE fold = 6 AND method = 'croston_sba'",
+    **_swept("1.0::DOUBLE", "ols"), **_swept("w", "wls"), **_summed("bottom_up", "SELECT key, h, yhat AS value FROM base6 WHERE level = 'store_item'"),
+    "shares6": "SELECT store_id || '|' || cat_id || '|' || item_id AS key, store_id, coalesce(sum(units) FILTER (WHERE date < origin), 0) AS u FROM sales, folds WHERE fold = 6 GROUP BY ALL HAVING count(*) FILTER (WHERE date < origin) > 0",
+    **_summed("middle_out", "SELECT s.key, h, yhat * coalesce(u / nullif(sum(u) OVER (PARTITION BY s.store_id, h), 0), 1.0::DOUBLE / count(*) OVER (PARTITION BY s.store_id, h)) AS value FROM shares6 s JOIN base6 b ON b.level = 'store' AND b.key = s.store_id"),
+    "recon6": "SELECT 'base' AS recon, level, key, h, yhat AS value FROM base6 UNION ALL SELECT * FROM bottom_up UNION ALL SELECT * FROM middle_out UNION ALL SELECT * FROM ols UNION ALL SELECT * FROM wls",
+    "scored6": "SELECT r.recon, r.level, sum(abs(b.y - r.value)) / nullif(sum(abs(b.y)), 0) AS w FROM recon6 r JOIN base6 b USING (level, key, h) GROUP BY r.recon, r.level",
+}
+
+
+@C.query(_materialised(with_("panel6 bounds folds", "SELECT level, " + ", ".join(f"round(max(w) FILTER (WHERE recon = '{r}'), 6) AS {r}" for r in RECONS) + " FROM scored6 GROUP BY level", **_SIX, **_RECON6), "spine", "panel6", "base6"))
+def R5_recon_six_levels(spark, sf_dir):
+    """Base, bottom-up, middle-out and minimum-trace errors of the last fold at all six levels."""
+    w = reconciled(spark, sf_dir).groupBy("recon", "level").agg(M.wmape("y", "value").alias("w"))
+    return w.groupBy("level").pivot("recon", list(RECONS)).agg(F.first("w")).select("level", *[r6(c, c) for c in RECONS])

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import ALL, grid_of, last_day, last_origin, origins_of
+from demandloom.catalogue.base import ALL, grid_of, last_day, last_origin, origins_of, states_of
 from demandloom.catalogue.decide import items_of
-from demandloom.catalogue.registry import Catalogue, r6
+from demandloom.catalogue.forecast import reconciled
+from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
 from demandloom.functions import metrics as M
 from demandloom.functions import quantiles as Q
+from demandloom.operators import absorbed as AB
 from demandloom.operators import baselines as B
 from demandloom.operators import boosting as GB
 from demandloom.operators import deep as D
-from demandloom.operators import elasticity as E
 from demandloom.operators import features as X
+from demandloom.operators import folds as FO
 from demandloom.operators import markdown as K
 from demandloom.operators import panel as P
 from demandloom.operators import probabilistic as PR
@@ -104,11 +106,14 @@ def P19_series_sample(spark, sf_dir):
     return p.join(keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("y"))
 
 
-@C.query()
+_WINDOWS = """SELECT key, t, greatest(list_avg(past), 0.05::DOUBLE) AS scale FROM (SELECT key, (row_number() OVER s - 1)::INT AS t, list(y) OVER (PARTITION BY key ORDER BY date ROWS BETWEEN 56 PRECEDING AND 1 PRECEDING) AS past, count(*) OVER (PARTITION BY key ORDER BY date ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) AS ahead FROM grid WHERE level = 'store' WINDOW s AS (PARTITION BY key ORDER BY date)) WHERE len(past) = 56 AND ahead = 28 AND (t - 56) % 7 = 0"""
+
+
+@C.query(with_("grid", "SELECT key, t, round(scale + 3.1e-8::DOUBLE, 6) AS scale FROM w ORDER BY substr(md5(key || '|' || t), 1, 13), key, t LIMIT 2000", w=_WINDOWS))
 def P20_window_budget(spark, sf_dir):
-    """Training windows cut to a budget by a hash."""
+    """Training windows cut to exactly a budget by a hash."""
     w = D.training_windows(grid_of(spark, sf_dir, "store"), stride=7)
-    return D.sample_windows(w, 2_000).select("key", "t", r6("scale", "scale"))
+    return D.sample_windows(w, 2_000).select("key", "t", r6s("scale", "scale"))
 
 
 @C.query(with_("sales", "SELECT store_id, " + ", ".join(f"sum((cat_id = '{c}')::INT)::BIGINT AS cat_id_{c}" for c in ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM sales GROUP BY store_id"))
@@ -118,76 +123,131 @@ def F12_dummies(spark, sf_dir):
     return d.groupBy("store_id").agg(*[F.sum(c).alias(c) for c in d.columns if c.startswith("cat_id_")])
 
 
-def item_weeks(spark, sf_dir):
-    w = P.weekly(sales(spark, sf_dir), "store_id", "cat_id", "item_id")
-    return E.rival_index(w.withColumn("safe", F.greatest("price", F.lit(0.01))), "item_id", "safe", ("week", "store_id", "cat_id"))
+def _span(df, date: str):
+    """First and last date of a table: two values, for the calendar that all series share."""
+    r = df.agg(F.min(date).alias("a"), F.max(date).alias("b")).first()
+    return r["a"], r["b"]
 
 
-def _fits(df, *keys: str):
-    return df.select(*keys, *[r6(c, c) for c in ("estimate", "se")], "n", "status")
+SERIES = ["store_id", "cat_id", "item_id"]
+
 
+def week_stretches(spark, sf_dir):
+    """(pieces, first week, weeks): every item x store by week, weeks without sales at the carried price."""
+    w = P.weekly(sales(spark, sf_dir), *SERIES)
+    first, last = _span(w, "week")
+    n = (last - first).days // 7 + 1 if first else 0
+    pieces = AB.stretches(w.withColumn("t", (F.datediff("week", F.lit(first)) / 7).cast("int")), SERIES, n)
+    return pieces.withColumn("log_p", F.ln(F.greatest("price", F.lit(0.01)))), F.lit(first), n
 
-def item_days(spark, sf_dir):
-    """Item x store x day with sales: units, log price, promo, event, weekday and ISO week, and the rivals' index of the day."""
+
+def day_stretches(spark, sf_dir):
+    """(pieces, first day, days): every item x store by day, days without sales at the carried price."""
     price = F.col("revenue") / F.nullif("units", F.lit(0.0))
-    d = sales(spark, sf_dir).groupBy("store_id", "cat_id", "item_id", "date").agg(F.sum("units").alias("units"), F.avg(price).alias("price"), F.avg(F.col("promo").cast("double")).alias("promo"))
-    d = d.withColumns({"safe": F.greatest("price", F.lit(0.01)), "event": P.event_of(F.col("date")), "dow": F.weekday("date"), "woy": F.weekofyear("date")})
-    d = d.withColumns({"log_p": F.ln("safe"), "log_units": F.ln("units")})
-    return E.rival_index(d, "item_id", "safe", ("date", "store_id", "cat_id"))
+    keys = ["store_id", "cat_id", "dept_id", "item_id"]
+    d = sales(spark, sf_dir).groupBy(*keys, "date").agg(F.sum("units").alias("units"), F.avg(price).alias("price"), F.avg(F.col("promo").cast("double")).alias("promo"))
+    first, last = _span(d, "date")
+    n = (last - first).days + 1 if first else 0
+    pieces = AB.stretches(d.withColumn("t", F.datediff("date", F.lit(first))), keys, n)
+    return pieces.withColumns({"log_p": F.ln(F.greatest("price", F.lit(0.01))), "log_q": F.log1p("units")}), F.lit(first), n
+
+
+def _fits(df, *keys: str):
+    return df.select(*keys, *[r6(c, c) for c in ("estimate", "se")], "n", "status")
 
 
-CALENDAR = ("woy", "event", "dow")
+def _specs(fits):
+    out = None
+    for name, fit in fits:
+        named = fit.withColumn("spec", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 @C.query()
 def E3_poisson_by_category(spark, sf_dir):
-    """Weekly Poisson price response by category, with and without the promotion, stores and weeks of the year as effects."""
-    w = written(P.weekly(sales(spark, sf_dir), "store_id", "cat_id"), "weeks")
-    plain = RG.fit_by_sums(w, ["cat_id"], regressors=("log_p",), effects=("store_id", "woy")).withColumn("spec", F.lit("E"))
-    full = RG.fit_by_sums(w, ["cat_id"], effects=("store_id", "woy")).withColumn("spec", F.lit("F"))
-    return _fits(plain.unionByName(full), "cat_id", "spec")
+    """Weekly Poisson price response by category, without (E) and with (F) the promotion; series and week effects."""
+    w, first, n = week_stretches(spark, sf_dir)
+    w, c = written(w, "weeks"), AB.calendar_effects(spark, first, n, 7, ("woy",))
+    fits = [(name, AB.fit_groups(w, ["cat_id"], SERIES, c, regressors=x)) for name, x in (("E", ("log_p",)), ("F", ("log_p", "promo")))]
+    return _fits(_specs(fits), "cat_id", "spec")
 
 
 @C.query()
 def E4_daily_specs(spark, sf_dir):
-    """Daily log-log slopes by category: A price alone, B with promotion, C with stores, weekdays and weeks, D as C on unpromoted days."""
-    d = written(item_days(spark, sf_dir).where("units > 0").select("cat_id", "store_id", "dow", "woy", "log_units", "log_p", "promo"), "days")
-    fixed = ("store_id", "dow", "woy")
-    specs = (("A", d, ("log_p",), ()), ("B", d, ("log_p", "promo"), ()), ("C", d, ("log_p", "promo"), fixed), ("D", d.where("promo = 0"), ("log_p",), fixed))
-    out = None
-    for name, rows, regressors, effects in specs:
-        fit = RG.fit_by_sums(rows, ["cat_id"], "log_units", regressors, effects, family="gaussian").withColumn("spec", F.lit(name))
-        out = fit if out is None else out.unionByName(fit)
-    return _fits(out, "cat_id", "spec")
+    """log(1 + units) by day on log price: A alone, B with promotion, C with series, weekday and week effects, D as C on unpromoted days."""
+    d, first, n = day_stretches(spark, sf_dir)
+    d, c = written(d, "days"), AB.calendar_effects(spark, first, n, 1, ("dow", "woy"))
+    none = AB.calendar_effects(spark, first, n, 1, ())
+    both = ("log_p", "promo")
+    specs = (("A", d, ("log_p",), none, False), ("B", d, both, none, False), ("C", d, both, c, True), ("D", d.where("promo = 0"), ("log_p",), c, True))
+    fits = [(name, AB.fit_groups(rows, ["cat_id"], SERIES, e, "log_q", x, family="gaussian", absorb=absorb)) for name, rows, x, e, absorb in specs]
+    return _fits(_specs(fits), "cat_id", "spec")
+
+
+#: Days of an item x store: each sale, and the days to the next one, or before the first, at the carried price.
+DAY_PIECES = {
+    "day_sales": "SELECT store_id, cat_id, dept_id, item_id, date, sum(units) AS units, avg(CASE WHEN units = 0 THEN NULL ELSE revenue / units END) AS price, avg(promo::INT) AS promo FROM sales GROUP BY ALL",
+    "placed": """SELECT s.*, ln(greatest(price, 0.01)) AS x, lag(date) OVER w AS before, coalesce(lead(date) OVER w, b + 1) AS next, a FROM day_sales s, (SELECT min(date) AS a, max(date) AS b FROM day_sales)
+      WHERE price IS NOT NULL WINDOW w AS (PARTITION BY store_id, cat_id, dept_id, item_id ORDER BY date)""",
+    "pieces": """SELECT cat_id, x, promo AS p, ln(1 + units) AS y, 1 AS d FROM placed UNION ALL SELECT cat_id, x, 0, 0, (next - date)::INT - 1 FROM placed
+      UNION ALL SELECT cat_id, x, 0, 0, (date - a)::INT FROM placed WHERE before IS NULL""",
+}
+#: Least squares on one and on two regressors, in centred sums, with robust errors.
+SPECS_A_B = {
+    "means": "SELECT cat_id, sum(d) AS n, sum(d * x) / sum(d) AS mx, sum(d * p) / sum(d) AS mp, sum(d * y) / sum(d) AS my FROM pieces GROUP BY cat_id",
+    "centred": "SELECT cat_id, x - mx AS x, p - mp AS p, y - my AS y, d, n FROM pieces JOIN means USING (cat_id)",
+    "sums": "SELECT cat_id, any_value(n) AS n, sum(d * x * x) AS xx, sum(d * x * p) AS xp, sum(d * p * p) AS pp, sum(d * x * y) AS xy, sum(d * p * y) AS py FROM centred GROUP BY cat_id",
+    "slopes": """SELECT cat_id, n, 'A' AS spec, xy / xx AS b, 0 AS g, xx AS h, 0 AS k FROM sums
+      UNION ALL SELECT cat_id, n, 'B', (xy * pp - py * xp) / (xx * pp - xp * xp), (py * xx - xy * xp) / (xx * pp - xp * xp), xx - xp * xp / pp, xp / pp FROM sums""",
+}
+_A_B = """SELECT s.cat_id, spec, round(any_value(b), 6) AS estimate, round(sqrt(sum(d * ((x - k * p) * (y - b * x - g * p)) ** 2)) / any_value(h), 6) AS se, any_value(s.n)::BIGINT AS n
+  FROM centred c JOIN slopes s ON c.cat_id = s.cat_id GROUP BY s.cat_id, spec"""
+
+
+@C.query(with_("sales", _A_B, **DAY_PIECES, **SPECS_A_B))
+def E4_naive_specs(spark, sf_dir):
+    """Specs A and B of E4, whose sums SQL can write down."""
+    d, first, n = day_stretches(spark, sf_dir)
+    d, none = written(d, "days"), AB.calendar_effects(spark, first, n, 1, ())
+    fits = [(name, AB.fit_groups(d, ["cat_id"], SERIES, none, "log_q", x, family="gaussian", absorb=False)) for name, x in (("A", ("log_p",)), ("B", ("log_p", "promo")))]
+    return _fits(_specs(fits), "cat_id", "spec").drop("status")
 
 
 @C.query()
 def E8_per_item(spark, sf_dir):
-    """Poisson fit of every item with store and week effects and robust errors."""
-    return _fits(RG.fit_groups(item_weeks(spark, sf_dir), ["item_id"], effects=("store_id", "woy")), "item_id")
+    """Weekly Poisson fit of every item (a category's brand) with store and week effects and robust errors."""
+    w, first, n = week_stretches(spark, sf_dir)
+    return _fits(AB.fit_each(w, ["cat_id", "item_id"], ["store_id"], AB.calendar_effects(spark, first, n, 7, ("woy",))), "cat_id", "item_id")
+
+
+def segments(w, weeks: int):
+    """Stretches by dimension and segment: promoted or shelf weeks, and items above or below the items' median of mean weekly units."""
+    volume = w.groupBy("cat_id", "item_id").agg((F.sum("units") / F.sum(F.col("t1") - F.col("t0"))).alias("volume"))
+    cut = volume.crossJoin(F.broadcast(volume.agg(F.median("volume").alias("median"))))
+    tier = F.when(F.col("volume") >= F.col("median"), "high_volume").otherwise("low_volume")
+    kind = F.when(F.col("promo") > 0.3, "promo_weeks").otherwise("shelf_weeks")
+    both = F.array(F.struct(F.lit("segment_promo").alias("dimension"), kind.alias("segment")), F.struct(F.lit("segment_tier").alias("dimension"), tier.alias("segment")))
+    return w.join(cut, ["cat_id", "item_id"]).withColumn("s", F.explode(both)).select(*w.columns, "s.*")
 
 
 @C.query()
 def E11_by_segment(spark, sf_dir):
-    """By category: promoted against unpromoted weeks, and items above against below the median volume."""
-    w = item_weeks(spark, sf_dir)
-    volume = w.groupBy("cat_id", "item_id").agg(F.sum("units").alias("volume"))
-    cut = volume.join(volume.groupBy("cat_id").agg(F.median("volume").alias("median")), "cat_id")
-    w = w.join(cut, ["cat_id", "item_id"])
-    kinds = F.array(F.when(F.col("promo") > 0.3, "promo").otherwise("regular"), F.when(F.col("volume") >= F.col("median"), "fast").otherwise("slow"))
-    rows = w.withColumn("segment", F.explode(kinds))
-    return _fits(RG.fit_by_sums(rows, ["cat_id", "segment"], regressors=("log_p",), effects=("store_id", "woy")), "cat_id", "segment")
+    """Weekly price response by category and segment, with promotion, series and week effects."""
+    w, first, n = week_stretches(spark, sf_dir)
+    c = AB.calendar_effects(spark, first, n, 7, ("woy",))
+    return _fits(AB.fit_groups(segments(written(w, "weeks"), n), ["cat_id", "dimension", "segment"], SERIES, c), "cat_id", "dimension", "segment")
 
 
 @C.query()
 def E13_cross_price(spark, sf_dir):
-    """Daily own and rivals' price by category with calendar effects (G), without them (H), and own price with the rivals left out (I)."""
-    d = written(item_days(spark, sf_dir).select("cat_id", "store_id", *CALENDAR, "units", "log_p", "promo", "rival_log_rel"), "days")
-    fits = (("G", "rival_log_rel", ("store_id", *CALENDAR)), ("H", "rival_log_rel", ("store_id",)), ("I", None, ("store_id", *CALENDAR)))
-    out = None
-    for name, rival, effects in fits:
-        fit = RG.fit_by_sums(d, ["cat_id"], effects=effects, rival=rival).withColumn("spec", F.lit(name))
-        out = fit if out is None else out.unionByName(fit)
+    """Daily own and rivals' price by category with series, week, event and weekday effects (G), without the last two (H), and without the rivals (I)."""
+    d, first, n = day_stretches(spark, sf_dir)
+    d = d.withColumn("item", F.concat_ws("|", "cat_id", "item_id"))
+    d = written(AB.with_rivals(written(d, "days"), ["store_id", "cat_id", "dept_id"], "item", n), "rivals")
+    full, weeks = [AB.calendar_effects(spark, first, n, 1, e) for e in (("woy", "event", "dow"), ("woy",))]
+    specs = (("G", full, "rival_log_rel"), ("H", weeks, "rival_log_rel"), ("I", full, None))
+    out = _specs([(name, AB.fit_groups(d, ["cat_id"], SERIES, c, rival=rival)) for name, c, rival in specs])
     return out.select("cat_id", "spec", *[r6(c, c) for c in ("estimate", "se", "cross", "cross_se")], "n", "status")
 
 
@@ -255,42 +315,37 @@ def R7_series_sweep(spark, sf_dir):
     return out
 
 
-def _tails(spark, sf_dir, *levels: str):
-    g = grid_of(spark, sf_dir, *levels)
-    o = F.broadcast(last_origin(spark, sf_dir))
-    r = g.withColumn("r", F.col("y") - F.lag("y", 7).over(X.by_date())).crossJoin(o).where("date < origin AND r IS NOT NULL")
-    return g, R.residual_tail(r, "r", 180, "level", "key")
-
-
 @C.query()
 def H7_mint(spark, sf_dir):
-    """Minimum trace over total, states and stores by all three covariances: largest incoherence and error by level."""
-    levels = ("total", "state", "store")
-    g, tails = _tails(spark, sf_dir, *levels)
-    tails = written(tails, "tails")
-    edge = written(R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels), "edge")
-    f = written(B.backtest(g, ("ses",), starts=origins_of(spark, sf_dir)).where("fold = 6"), "f")
-    base = f.select("level", "key", "h", F.col("yhat").alias("value"))
-    out = None
-    for method in ("ols", "wls", "shrink"):
-        m = written(R.mint(base, edge, tails, "store", method), "m")
-        up = R.bottom_up(edge, m.where("level = 'store'").select(F.col("key").alias("bkey"), "h", "value"), "h")
-        gap = R.coherence_error(up, m, "h")
-        row = m.join(f.select("level", "key", "h", "y"), ["level", "key", "h"]).groupBy("level").agg(r6(M.wmape("y", "value"), "wmape")).crossJoin(gap).select(F.lit(method).alias("method"), "level", "wmape", F.round("violation", 4).alias("violation"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Minimum trace by all three covariances over six levels, from smoothing and its one-step errors: largest incoherence and error by level."""
+    rows = reconciled(spark, sf_dir, "ses", ("ols", "wls", "shrink"), "ses").where("recon LIKE 'mint%'")
+    nodes = written(R.tree(sales(spark, sf_dir).select("state_id", "store_id", "cat_id", "dept_id", "item_id").distinct(), P.ALL_LEVELS), "tree")
+    kids = rows.join(nodes, ["level", "key"]).groupBy("recon", F.col("up_key").alias("key"), "h", F.coalesce(*[F.when(F.col("level") == b, F.lit(a)) for a, b in zip(P.ALL_LEVELS, P.ALL_LEVELS[1:])]).alias("level")).agg(F.sum("value").alias("child"))
+    gap = rows.join(kids, ["recon", "level", "key", "h"]).groupBy("recon").agg(F.max(F.abs(F.col("value") - F.col("child"))).alias("violation"))
+    out = rows.groupBy("recon", "level").agg(r6(M.wmape("y", "value"), "wmape")).join(gap, "recon")
+    return out.select(F.substring("recon", 6, 10).alias("method"), "level", "wmape", F.round("violation", 4).alias("violation"))
+
+
+@C.query(with_("grid folds", """SELECT round(greatest(0.05::DOUBLE, least(1.0::DOUBLE, 1 - avg(r) ** 2 / avg(r * r))), 6) AS weight, round((SELECT avg(v) FROM (SELECT var_samp(d) AS v FROM errors GROUP BY level, key)), 6) AS variance, (SELECT count(*) FROM (SELECT DISTINCT level, key FROM errors)) AS nodes FROM (
+  SELECT corr(a.d, b.d) AS r FROM errors a JOIN errors b ON a.date = b.date AND (a.level != b.level OR a.key != b.key) GROUP BY a.level, a.key, b.level, b.key)""",
+  errors="SELECT level, key, date, d FROM (SELECT level, key, date, y - lag(y, 7) OVER (PARTITION BY level, key ORDER BY date) AS d FROM grid WHERE level != 'store_cat'), folds WHERE fold = 6 AND date < origin AND date >= origin - 180"))
+def H6_shrinkage(spark, sf_dir):
+    """The weight of the diagonal in the shrunk covariance of the seasonal errors of stores and above, the mean variance and the nodes."""
+    states = states_of(spark, sf_dir, fold=6, tail=180, errors="seasonal")
+    weight, variance, n = R.shrinkage(states.select(F.col("resid").alias("tail")), 180)
+    return spark.createDataFrame([(round(weight, 6), round(variance, 6), n)], "weight double, variance double, nodes long")
 
 
 @C.query()
 def H12_joint_samples(spark, sf_dir):
-    """Joint draws for stores, summed up: quantiles by level, and the gap to summed store quantiles."""
-    levels = ("total", "state", "store")
-    g, tails = _tails(spark, sf_dir, "store")
-    points = B.backtest(g, ("seasonal_naive",), starts=origins_of(spark, sf_dir)).where("fold = 6 AND h <= 7").select(F.col("key").alias("bkey"), F.col("h").cast("int").alias("h"), F.col("yhat").alias("value"))
-    draws = PR.bottom_samples(points, tails.select(F.col("key").alias("bkey"), "tail"))
-    edge = R.edges(sales(spark, sf_dir).select("state_id", "store_id", F.col("store_id").alias("bkey")).distinct(), levels)
+    """Joint draws for categories in stores, summed up: quantiles of a week by level, and the gap to summed bottom quantiles."""
+    states = states_of(spark, sf_dir, P.LEVELS, fold=6, tail=180, errors="seasonal").where("level = 'store_cat'")
+    points = FO.backtest(states, ("seasonal_naive",)).where("h <= 7").select(F.col("key").alias("bkey"), "h", F.col("yhat").alias("value"))
+    draws = PR.bottom_samples(points, states.select(F.col("key").alias("bkey"), F.col("resid").alias("tail")))
     week = draws.groupBy("bkey", "sample").agg(F.sum("value").alias("value"))
-    return PR.level_ratios(PR.reconcile_draws(edge, week), "store", 0.95).select("level", r6("q95", "q95"), r6("ratio", "ratio"), r6("gap", "gap"))
+    nodes = written(R.tree(sales(spark, sf_dir).select("state_id", "store_id", "cat_id").distinct(), P.LEVELS), "tree")
+    up = R.sum_up(week.select(F.col("bkey").alias("key"), "sample", "value"), nodes, P.LEVELS, "sample")
+    return PR.level_ratios(up, "store_cat", 0.95).select("level", r6("q95", "q95"), r6("ratio", "ratio"), r6("gap", "gap"))
 
 
 @C.query()

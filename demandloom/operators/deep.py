@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandloom.functions.selection import smallest
+
 BACK, AHEAD = 56, 28
 
 
@@ -110,9 +112,10 @@ def sweep_arms(n_series: int, days: int, back: int = BACK, ahead: int = AHEAD) -
 
 
 def sample_windows(windows: DataFrame, budget: int) -> DataFrame:
-    """At most about budget windows, by a hash of (key, t)."""
-    share = min(1.0, budget / max(windows.count(), 1))
-    return windows.where(F.pmod(F.xxhash64("key", "t"), F.lit(1_000_003)) < share * 1_000_003)
+    """Exactly budget windows (all, if fewer): those of the smallest md5 of `key|t`, ties by key and t."""
+    digest = F.md5(F.concat_ws("|", "key", F.col("t").cast("string")).cast("binary"))
+    drawn = windows.withColumn("draw", F.conv(F.substring(digest, 1, 13), 16, 10).cast("double"))
+    return smallest(drawn, "draw", budget, "key", "t").drop("draw")
 
 
 def fit_network(windows: DataFrame, budget: int = WINDOW_BUDGET, epochs: int = 12, width: int = 256, seed: int = 0) -> Network:

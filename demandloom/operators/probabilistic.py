@@ -35,45 +35,41 @@ def coherence_gap(edge: DataFrame, quantiles: DataFrame) -> DataFrame:
 
 
 def nearest_psd(c, floor: float = 1e-8):
-    """A symmetric matrix with its eigenvalues raised to the floor."""
+    """A symmetric matrix with its eigenvalues raised to the floor, for covariances that come from elsewhere."""
     import numpy as np
 
     values, vectors = np.linalg.eigh((c + c.T) / 2)
     return vectors @ np.diag(np.clip(values, floor, None)) @ vectors.T
 
 
-def bottom_samples(points: DataFrame, tails: DataFrame, samples: int = 500, shrink: float = 0.2, seed: int = 7) -> DataFrame:
-    """(bkey, h, sample, value): Gaussian draws around points (bkey, h, value) with the residuals' shrunk correlation.
+def bottom_samples(points: DataFrame, tails: DataFrame, samples: int = 500, shrink: float = 0.2, seed: int = 7, length: int = 180) -> DataFrame:
+    """(bkey, h, sample, value): Gaussian draws around points (bkey, h, value) with the residuals' shrunk correlation, for any number of series.
 
-    tails (bkey, tail) are bounded by the hierarchy (reconcile.MOST_SERIES); their factor goes to the tasks, which each
-    draw the samples of a range, seeded by sample and day, so a lost task is redone alike. Draws are not negative.
+    tails: (bkey, tail) residuals of `length` days. With the standardised residuals R (series x days), a draw is
+    sd * (sqrt(1 - shrink) R z / sqrt(days) + sqrt(shrink) e): its correlation is the residuals', shrunk towards none. The
+    days' z belong to the sample and the day of the horizon and are made alike in every task, e to the series as well; so
+    no correlation matrix is formed, none must be made definite, and a lost task is redone alike. Draws are not negative;
+    a series without spread keeps its points. Points without a tail are not drawn.
     """
+    import hashlib
+
     import numpy as np
     import pandas as pd
 
-    from demandloom.operators.reconcile import MOST_SERIES
-
-    rows = tails.orderBy("bkey").limit(MOST_SERIES + 1).collect()
-    if len(rows) > MOST_SERIES:
-        raise ValueError(f"joint draws are made for {MOST_SERIES} series at most")
-    keys = [r["bkey"] for r in rows]
-    resid = np.array([r["tail"] for r in rows], float)
-    sd = resid.std(1)
-    corr = np.corrcoef(resid) if len(rows) > 1 else np.ones((1, 1))
-    corr = (1 - shrink) * np.nan_to_num(corr, nan=0.0) + shrink * np.eye(len(rows))
-    np.fill_diagonal(corr, 1.0)
-    factor = np.linalg.cholesky(nearest_psd(corr)) * sd[:, None]
-    spark = points.sparkSession
-    noise_of = spark.sparkContext.broadcast((keys, factor))
-    horizon = [r["h"] for r in points.select("h").distinct().orderBy("h").collect()]
+    per = points.groupBy("bkey").agg(F.sort_array(F.collect_list(F.struct("h", "value"))).alias("p")).select("bkey", F.col("p.h").alias("h"), F.col("p.value").alias("value")).join(tails.select("bkey", "tail"), "bkey")
+    common, own = float(np.sqrt(1 - shrink)), float(np.sqrt(shrink))
 
     def draw(batches):
-        names, f = noise_of.value
+        days: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for s in pdf["id"]:
-                for h in horizon:
-                    z = np.random.default_rng([seed, int(s), int(h)]).standard_normal(len(names))
-                    yield pd.DataFrame({"bkey": names, "h": h, "sample": s, "noise": f @ z})
-
-    noise = spark.range(samples).mapInPandas(draw, "bkey string, h int, sample long, noise double")
-    return noise.join(points, ["bkey", "h"]).select("bkey", "h", "sample", F.greatest(F.lit(0.0), F.col("value") + F.col("noise")).alias("value"))
+            for key, hs, values, tail in zip(pdf["bkey"], pdf["h"], pdf["value"], pdf["tail"], strict=True):
+                r = np.asarray(tail, float) - np.mean(tail)
+                sd = r.std()
+                mine = np.random.default_rng([seed, int.from_bytes(hashlib.sha256(key.encode()).digest()[:8])])
+                for h, value in zip(hs, values, strict=True):
+                    if h not in days:
+                        days[h] = np.random.default_rng([seed, int(h)]).standard_normal((samples, length))
+                    noise = common * (days[h] @ r) / np.sqrt(length) + own * sd * mine.standard_normal(samples)
+                    yield pd.DataFrame({"bkey": key, "h": np.int32(h), "sample": np.arange(samples), "value": np.maximum(0.0, value + noise)})
+
+    return per.mapInPandas(draw, "bkey string, h int, sample long, value double")

@@ -1,9 +1,4 @@
-"""Regressions per group: weekly or daily demand on log price with fixed effects, errors robust to heteroskedasticity.
-
-fit_groups is for many small groups, such as items: each group's panel, bounded by its stores and weeks, is fitted in
-one place. fit_by_sums is for few large groups, such as categories: every round sums X'WX and X'Wz over the
-partitions, and only these matrices come to the driver.
-"""
+"""Indicator columns, and the Poisson regression of one matrix that absorbed.py must agree with."""
 
 from __future__ import annotations
 
@@ -11,13 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from demandloom.sources.store import written
-
-FIT = "estimate double, se double, cross double, cross_se double, n long, status string"
-NAMES = [f.split()[0] for f in FIT.split(", ")]
-LEAST_ROWS = 60
 
 
 def dummies(rows: DataFrame, column: str, values: list, drop_first: bool = True) -> DataFrame:
@@ -48,132 +36,3 @@ def design(pdf: pd.DataFrame, effects: list[str], regressors: list[str]) -> np.n
     parts = [np.ones((len(pdf), 1)), pdf[regressors].to_numpy(float)]
     parts += [pd.get_dummies(pdf[e], drop_first=True).to_numpy(float) for e in effects]
     return np.concatenate(parts, 1)
-
-
-def fit_groups(rows: DataFrame, by: list[str], y: str = "units", regressors: tuple[str, ...] = ("log_p", "promo"), effects: tuple[str, ...] = (), rival: str | None = None, least: int = LEAST_ROWS) -> DataFrame:
-    """(by..., estimate, se, cross, cross_se, n, status): the own-price coefficient (the first regressor), and the rival's if asked for.
-
-    A group of fewer rows than least, or without variation in price, or whose fit fails, has a row with a null
-    estimate and a status that says so; the others are 'fitted'.
-    """
-    columns = list(regressors) + ([rival] if rival else [])
-    names = rows.select(*by).schema
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        pdf = pdf.dropna(subset=[y, *columns])
-        status = _refusal(len(pdf), float(pdf[columns[0]].std()) if len(pdf) > 1 else 0.0, least)
-        out = [None, None, None, None]
-        if status is None:
-            try:
-                beta, se = poisson_irls(design(pdf, list(effects), columns), pdf[y].to_numpy(float))
-                out, status = _coefficients(beta, se, len(regressors), rival), "fitted"
-            except np.linalg.LinAlgError:
-                status = "no solution"
-        return pd.DataFrame({**head, **{c: pd.Series([x], dtype="float64") for c, x in zip(NAMES, out)}, "n": [len(pdf)], "status": [status]})
-
-    kept = rows.select(*dict.fromkeys([*by, y, *columns, *effects]))
-    return kept.groupBy(*by).applyInPandas(fit, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", " + FIT)
-
-
-def _refusal(n: int, spread: float, least: int) -> str | None:
-    if n < least:
-        return "few rows"
-    return None if spread >= 1e-9 else "no price variation"
-
-
-def _coefficients(beta: np.ndarray, se: np.ndarray, n_regressors: int, rival: str | None) -> list[float | None]:
-    k = 1 + n_regressors
-    return [float(beta[1]), float(se[1]), float(beta[k]) if rival else None, float(se[k]) if rival else None]
-
-
-#: Levels that the effects of fit_by_sums may have together: a group's matrix has the square of it.
-MOST_LEVELS = 2_000
-
-
-def fit_by_sums(rows: DataFrame, by: list[str], y: str = "units", regressors: tuple[str, ...] = ("log_p", "promo"), effects: tuple[str, ...] = (), rival: str | None = None, least: int = LEAST_ROWS, family: str = "poisson", rounds: int = 60) -> DataFrame:
-    """fit_groups for few groups of any size; family 'poisson' (log link) or 'gaussian' (least squares).
-
-    Rows with a null in y or a regressor take no part; a null effect is a level of its own. The first level of each
-    effect, in order, is the reference.
-    """
-    columns = list(regressors) + ([rival] if rival else [])
-    number = {c: F.col(c).cast("double").alias(c) for c in (y, *columns)}
-    kept = rows.dropna("any", subset=[y, *columns]).select(*by, *number.values(), *[F.coalesce(F.col(e).cast("string"), F.lit("")).alias(f"effect_{e}") for e in effects])
-    kept = written(kept, "regression")
-    levels = []
-    for e in effects:
-        found = [r[0] for r in kept.select(f"effect_{e}").distinct().orderBy(f"effect_{e}").limit(MOST_LEVELS + 1).collect()]
-        levels.append({v: i for i, v in enumerate(found[1:])})
-    width = 1 + len(columns) + sum(map(len, levels))
-    if width > MOST_LEVELS:
-        raise ValueError(f"the effects have more than {MOST_LEVELS} levels")
-    facts = kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(columns[0]).alias("spread")).collect()
-    groups = {tuple(r[c] for c in by): r for r in facts}
-    status = {g: _refusal(r["n"], r["spread"] or 0.0, least) for g, r in groups.items()}
-    beta = {}
-    for g, r in groups.items():
-        if status[g] is None:
-            beta[g] = np.zeros(width)
-            beta[g][0] = np.log(max(r["mean"], 1e-3)) if family == "poisson" else r["mean"]
-    schema = T.StructType([*kept.select(*by).schema.fields, T.StructField("sums", T.ArrayType(T.DoubleType()))])
-
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.zeros((len(pdf), width))
-        x[:, 0] = 1.0
-        x[:, 1 : 1 + len(columns)] = pdf[columns].to_numpy(float)
-        at = 1 + len(columns)
-        for e, places in zip(effects, levels, strict=True):
-            where = pdf[f"effect_{e}"].map(places).to_numpy(float)
-            known = np.flatnonzero(~np.isnan(where))
-            x[known, at + where[known].astype(int)] = 1.0
-            at += len(places)
-        return x
-
-    def summed(active: dict[tuple, np.ndarray], last: bool) -> dict[tuple, np.ndarray]:
-        def run(batches):
-            total: dict[tuple, np.ndarray] = {}
-            for pdf in batches:
-                for g, part in pdf.groupby(by, sort=False, dropna=False):
-                    if (b := active.get(g)) is None:
-                        continue
-                    x, target = matrix(part), part[y].to_numpy(float)
-                    eta = x @ b
-                    mu = np.exp(np.clip(eta, -30, 30)) if family == "poisson" else eta
-                    weight = mu if family == "poisson" else np.ones(len(mu))
-                    square = (x * (target - mu)[:, None] ** 2).T @ x if last else (x * weight[:, None]).T @ x
-                    got = np.concatenate([square.ravel(), x.T @ (target - mu)])
-                    total[g] = total[g] + got if g in total else got
-            for g, got in total.items():
-                yield pd.DataFrame({**{c: [v] for c, v in zip(by, g, strict=True)}, "sums": [got]})
-
-        parts = kept.mapInPandas(run, schema).select(*by, F.posexplode("sums").alias("at", "value"))
-        out = {g: np.zeros(width * width + width) for g in active}
-        table = parts.groupBy(*by, "at").agg(F.sum("value").alias("value")).toPandas()
-        for g, part in table.groupby(by, sort=False, dropna=False):
-            out[g][part["at"].to_numpy()] = part["value"].to_numpy()
-        return out
-
-    ridge = {g: np.eye(width) * 1e-6 * groups[g]["n"] for g in beta}
-    bread, active = {}, dict(beta)
-    for _ in range(rounds):
-        if not active:
-            break
-        moved = {}
-        for g, got in summed(active, False).items():
-            bread[g] = np.linalg.pinv(got[: width * width].reshape(width, width) + ridge[g], hermitian=True)
-            step = bread[g] @ got[width * width :]
-            beta[g] = beta[g] + step
-            if np.abs(step).max() >= 1e-8 and family == "poisson":
-                moved[g] = beta[g]
-        active = moved
-    out = []
-    meat = summed(beta, True) if beta else {}
-    for g, r in groups.items():
-        found = [None] * 4
-        if g in beta:
-            m = meat[g][: width * width].reshape(width, width)
-            found = _coefficients(beta[g], np.sqrt(np.clip(np.diag(bread[g] @ m @ bread[g]), 0, None)), len(regressors), rival)
-        out.append((*g, *found, r["n"], status[g] or "fitted"))
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields[:-1])
-    return rows.sparkSession.createDataFrame(out, names + ", " + FIT)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import quantiles as Q
@@ -36,26 +36,50 @@ def forecast(fans: DataFrame, scores: DataFrame, classes: DataFrame, overrides:
     return out
 
 
+def order_rules() -> dict[str, Column]:
+    """What a request must satisfy; a refused one names the first that it does not."""
+    return {
+        "lead_time_days": F.col("lead_time_days").between(1, 28),
+        "case_pack": F.col("case_pack") >= 1,
+        "service_level": (F.col("service_level") > 0) & (F.col("service_level") < 1),
+        "on_hand": F.col("on_hand") >= 0,
+    }
+
+
 def valid_orders(requests: DataFrame) -> DataFrame:
-    """Requests with accepted: lead time 1 to 28 days, cases of at least 1, service level between 0 and 1, stock not negative."""
-    ok = F.col("lead_time_days").between(1, 28) & (F.col("case_pack") >= 1) & (F.col("service_level") > 0) & (F.col("service_level") < 1) & (F.col("on_hand") >= 0)
-    return requests.withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    """Requests with accepted and refused: the first of order_rules() that fails, a null included; null for accepted ones."""
+    first = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in order_rules().items()])
+    return requests.withColumn("refused", first).withColumn("accepted", F.col("refused").isNull())
 
 
-def orders(fans: DataFrame, requests: DataFrame) -> DataFrame:
-    """Accepted requests with the order: service_level_used, implied_cost_ratio, cover_units, mean_units, buffer_over_mean, order_quantity.
+ORDER = ("service_level_used", "implied_cost_ratio", "cover_units", "mean_units", "buffer_over_mean", "order_quantity")
+
+
+def answers(fans: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row per request, refused ones included: its columns, accepted, reason ('ok', a rule of order_rules() or 'unknown key') and ORDER.
 
     The level asked for snaps to the nearest of the five (the lower one half-way), and so does the ratio. Daily
-    quantiles are summed, which takes all days to go wrong together.
+    quantiles are summed, which takes all days to go wrong together. What is not accepted has no order; requests that
+    repeat are each answered.
     """
     taus = F.array(*[F.lit(t) for t in Q.SERVICE_LEVELS])
     nearest = F.array_min(F.transform(taus, lambda t, i: F.struct(F.round(F.abs(t - F.col("service_level")), 9).alias("d"), i.alias("i"), t.alias("t"))))
-    asked = valid_orders(requests).where("accepted").withColumn("n", nearest)
-    days = fans.withColumn("q", Q.rearranged(F.col("q")))
-    met = asked.join(days, "key").where(F.col("h") <= F.col("lead_time_days"))
-    by = [c for c in requests.columns]
-    out = met.groupBy(*by, F.col("n.t").alias("service_level_used")).agg(F.sum(F.element_at("q", F.col("n.i") + 1)).alias("cover_units"), F.sum("mean").alias("mean_units"))
-    return out.withColumns({"implied_cost_ratio": Q.implied_cost_ratio(F.col("service_level_used")), "buffer_over_mean": F.col("cover_units") - F.col("mean_units"), "order_quantity": Q.order_up_to(F.round("cover_units", 9), F.col("on_hand"), F.col("case_pack")).cast("long")})
+    paths = fans.withColumn("q", Q.rearranged(F.col("q"))).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("h", "q", "mean"))).alias("path"))
+    met = valid_orders(requests).join(paths, "key", "left").withColumn("n", nearest)
+    reason = F.coalesce("refused", F.when(F.col("path").isNull(), "unknown key"), F.lit("ok"))
+    met = met.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok")
+    days = F.when(F.col("accepted"), F.filter("path", lambda d: d["h"] <= F.col("lead_time_days")))
+    total = lambda f: F.aggregate(days, F.lit(0.0), lambda a, d: a + f(d))
+    met = met.withColumn("cover_units", total(lambda d: F.get(d["q"], F.col("n.i")))).withColumn("mean_units", total(lambda d: d["mean"]))
+    level = F.when(F.col("accepted"), F.col("n.t"))
+    quantity = F.when(F.col("accepted"), Q.order_up_to(F.round("cover_units", 9), F.col("on_hand"), F.col("case_pack")).cast("long"))
+    out = met.withColumns({"service_level_used": level, "implied_cost_ratio": Q.implied_cost_ratio(level), "buffer_over_mean": F.col("cover_units") - F.col("mean_units"), "order_quantity": quantity})
+    return out.select(*requests.columns, "accepted", "reason", *ORDER)
+
+
+def orders(fans: DataFrame, requests: DataFrame) -> DataFrame:
+    """The accepted requests of answers() with their orders."""
+    return answers(fans, requests).where("accepted").select(*requests.columns, *ORDER)
 
 
 def valid_overrides(log: DataFrame) -> DataFrame:

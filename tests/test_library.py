@@ -100,16 +100,7 @@ def test_lagged_weights_do_not_leak_prices(spark):
     assert same(df, "same_day") != same(moved, "same_day")
 
 
-def test_reconciliation_is_coherent(spark):
-    rng = np.random.default_rng(3)
-    s = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [0, 0, 1, 1], *np.eye(4)])
-    resid = rng.normal(size=(7, 100))
-    base = rng.uniform(5, 10, 7)
-    for method in ("ols", "wls", "shrink"):
-        m = R.mint_matrix(s, resid, method)
-        y = m @ base
-        assert np.allclose(y, s @ y[3:])
-        assert np.allclose(m @ m, m)  # coherent forecasts stay as they are
+def test_proportions(spark):
     groups = spark.createDataFrame([("a", "A", 10.0), ("b", "A", 30.0), ("c", "B", 0.0), ("d", "B", 0.0)], "c string, p string, y double")
     assert {r.c: r.share for r in R.proportions(groups, "c", "p").collect()} == {"a": 0.25, "b": 0.75, "c": 0.5, "d": 0.5}
 
@@ -269,32 +260,6 @@ def test_entry_module_lists_everything():
     assert set(entry.oracle_sql()) <= set(names) and len(names) >= 70
 
 
-def test_sums_over_partitions_fit_like_one_matrix(spark):
-    rng = np.random.default_rng(11)
-    n = 3000
-    cat, store, woy = rng.choice(["a", "b"], n), rng.integers(0, 4, n), rng.integers(1, 9, n)
-    log_p, promo = rng.normal(1, 0.3, n), (rng.random(n) < 0.3).astype(float)
-    truth = np.where(cat == "a", -2.0, -1.0)
-    units = rng.poisson(np.exp(1.5 + truth * (log_p - 1) + 0.4 * promo + 0.2 * store + 0.15 * woy))
-    pdf = pd.DataFrame({"cat": cat, "store": store, "woy": woy, "log_p": log_p, "promo": promo, "units": units.astype(float)})
-    odd = pd.DataFrame({"cat": ["few"] * 5 + ["flat"] * 80, "store": 0, "woy": 1, "log_p": [1.0, 2, 3, 4, 5] + [1.0] * 80, "promo": 0.0, "units": 1.0})
-    df = spark.createDataFrame(pd.concat([pdf, odd])).repartition(5)
-    got = {r.cat: r for r in RG.fit_by_sums(df, ["cat"], effects=("store", "woy")).collect()}
-    small = {r.cat: r for r in RG.fit_groups(df, ["cat"], effects=("store", "woy")).collect()}
-    for c, want in (("a", -2.0), ("b", -1.0)):
-        part = pdf[pdf["cat"] == c]
-        beta, se = RG.poisson_irls(RG.design(part, ["store", "woy"], ["log_p", "promo"]), part["units"].to_numpy())
-        assert abs(got[c].estimate - beta[1]) < 1e-5 and abs(got[c].se - se[1]) < 1e-5 and abs(small[c].estimate - beta[1]) < 1e-6
-        assert abs(got[c].estimate - want) < 0.1 and got[c].status == "fitted" and got[c].n == len(part)
-    assert (got["few"].status, got["flat"].status) == ("few rows", "no price variation") == (small["few"].status, small["flat"].status)
-    assert got["few"].estimate is None and small["flat"].estimate is None
-    plain = {r.cat: r for r in RG.fit_by_sums(df.where("cat IN ('a', 'b')"), ["cat"], effects=("store",), rival="woy", family="gaussian").collect()}
-    part = pdf[pdf["cat"] == "a"]
-    beta = np.linalg.lstsq(RG.design(part, ["store"], ["log_p", "promo", "woy"]), part["units"].to_numpy(), rcond=None)[0]
-    assert abs(plain["a"].estimate - beta[1]) < 1e-3 and abs(plain["a"].cross - beta[3]) < 1e-3
-    assert RG.fit_by_sums(df.limit(0), ["cat"]).count() == 0
-
-
 def test_recent_prices_equal_those_of_the_whole_panel(spark):
     rng = np.random.default_rng(12)
     rows = []
