@@ -52,6 +52,12 @@ def states_of(spark: SparkSession, sf_dir: str, levels: tuple[str, ...] = UPPER,
     return stored(spark, "fold-states", paths, {"levels": levels, "fold": fold, "tail": tail, "errors": errors}, build)
 
 
+def panel_of(spark: SparkSession, sf_dir: str, levels: tuple[str, ...] = P.LEVELS) -> DataFrame:
+    """P.roll_up of the sales, kept as a table bucketed and sorted by series."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in SALES_TABLES]
+    return stored(spark, "panel", paths, {"levels": levels}, lambda: P.roll_up(sales(spark, sf_dir), levels), ("level", "key"), ("date",))
+
+
 def last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """b: the last day of the sales, which every grid ends on."""
     return sales(spark, sf_dir).agg(F.max("date").alias("b"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import ALL, grid_of, last_day, last_origin, origins_of, states_of
+from demandloom.catalogue.base import ALL, SALES_TABLES, grid_of, last_day, last_origin, origins_of, panel_of, states_of
 from demandloom.catalogue.decide import items_of
 from demandloom.catalogue.forecast import reconciled
 from demandloom.catalogue.registry import Catalogue, r6, r6s
@@ -25,8 +25,10 @@ from demandloom.operators import panel as P
 from demandloom.operators import probabilistic as PR
 from demandloom.operators import reconcile as R
 from demandloom.operators import regression as RG
+from demandloom.plans import sections as SC
 from demandloom.sources import generator as GN
 from demandloom.sources import sales as S
+from demandloom.sources.artifacts import stored
 from demandloom.sources.sales import sales, table
 from demandloom.sources.store import work_path, written
 
@@ -87,12 +89,21 @@ def S5_json_document(spark, sf_dir):
     return read.select(F.explode("units_by_category").alias("cat_id", "units"), "n_rows", "date_min", "date_max", "before", "after").withColumn("units", F.round("units", 2))
 
 
-@C.query()
+@C.query(_MONTHS.replace("SELECT level, key, date_trunc('month', date)::DATE AS month, sum(y)::BIGINT AS y FROM panel GROUP BY 1, 2, 3", """, m AS (SELECT level, key, date_trunc('month', date)::DATE AS month, sum(y)::BIGINT AS y FROM panel GROUP BY 1, 2, 3)
+SELECT '## Months' AS line UNION ALL SELECT level || chr(9) || key || chr(9) || month || chr(9) || y FROM m UNION ALL SELECT '## Series' UNION ALL SELECT level || chr(9) || count(DISTINCT key) FROM m GROUP BY level"""))
 def S14_text_report(spark, sf_dir):
     """A report of two sections as text lines."""
     m = months_of(spark, sf_dir)
-    S.write_report({"Months": m.groupBy("level").agg(F.sum("y").alias("y")), "Series": m.groupBy("level").agg(F.count_distinct("key").alias("n"))}, path := work_path(spark, "report"))
-    return spark.read.text(path, recursiveFileLookup=True).withColumnRenamed("value", "line")
+    S.write_report({"Months": (m, ["level", "key", "month"]), "Series": (m.groupBy("level").agg(F.count_distinct("key").alias("n")), ["level"])}, path := work_path(spark, "report"))
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@C.query(with_("panel", "SELECT level, key, count(*) AS n, round(sum(y), 2) AS total, round(max(step), 2) AS largest_step FROM (SELECT level, key, y, abs(y - lag(y) OVER (PARTITION BY level, key ORDER BY date)) AS step FROM panel) GROUP BY level, key"))
+def S9_panel_cache(spark, sf_dir):
+    """Series of the cached panel: a window and a sum by series over the bucketed table, which exchanges nothing."""
+    p = panel_of(spark, sf_dir)
+    step = F.abs(F.col("y") - F.lag("y").over(X.by_date()))
+    return p.withColumn("step", step).groupBy("level", "key").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"), F.round(F.max("step"), 2).alias("largest_step"))
 
 
 _SAMPLED = "SELECT key FROM (SELECT DISTINCT key FROM panel WHERE level = 'store_cat') ORDER BY md5('s1:' || key) LIMIT 20"
@@ -214,14 +225,26 @@ def E4_naive_specs(spark, sf_dir):
     return _fits(_specs(fits), "cat_id", "spec").drop("status")
 
 
+def _stored_fit(spark, sf_dir, name: str, build):
+    """A table of fits, made once for these sales and kept for the sections that read it."""
+    return stored(spark, name, [f"{sf_dir}/{t}.parquet" for t in SALES_TABLES], {}, build)
+
+
+def item_fits(spark, sf_dir):
+    def build():
+        w, first, n = week_stretches(spark, sf_dir)
+        return AB.fit_each(w, ["cat_id", "item_id"], ["store_id"], AB.calendar_effects(spark, first, n, 7, ("woy",)))
+
+    return _stored_fit(spark, sf_dir, "item-fits", build)
+
+
 @C.query()
 def E8_per_item(spark, sf_dir):
     """Weekly Poisson fit of every item (a category's brand) with store and week effects and robust errors."""
-    w, first, n = week_stretches(spark, sf_dir)
-    return _fits(AB.fit_each(w, ["cat_id", "item_id"], ["store_id"], AB.calendar_effects(spark, first, n, 7, ("woy",))), "cat_id", "item_id")
+    return _fits(item_fits(spark, sf_dir), "cat_id", "item_id")
 
 
-def segments(w, weeks: int):
+def segments(w):
     """Stretches by dimension and segment: promoted or shelf weeks, and items above or below the items' median of mean weekly units."""
     volume = w.groupBy("cat_id", "item_id").agg((F.sum("units") / F.sum(F.col("t1") - F.col("t0"))).alias("volume"))
     cut = volume.crossJoin(F.broadcast(volume.agg(F.median("volume").alias("median"))))
@@ -231,24 +254,44 @@ def segments(w, weeks: int):
     return w.join(cut, ["cat_id", "item_id"]).withColumn("s", F.explode(both)).select(*w.columns, "s.*")
 
 
+def segment_fits(spark, sf_dir):
+    def build():
+        w, first, n = week_stretches(spark, sf_dir)
+        c = AB.calendar_effects(spark, first, n, 7, ("woy",))
+        return AB.fit_groups(segments(written(w, "weeks")), ["cat_id", "dimension", "segment"], SERIES, c)
+
+    return _stored_fit(spark, sf_dir, "segment-fits", build)
+
+
 @C.query()
 def E11_by_segment(spark, sf_dir):
     """Weekly price response by category and segment, with promotion, series and week effects."""
-    w, first, n = week_stretches(spark, sf_dir)
-    c = AB.calendar_effects(spark, first, n, 7, ("woy",))
-    return _fits(AB.fit_groups(segments(written(w, "weeks"), n), ["cat_id", "dimension", "segment"], SERIES, c), "cat_id", "dimension", "segment")
+    return _fits(segment_fits(spark, sf_dir), "cat_id", "dimension", "segment")
+
+
+def cross_fits(spark, sf_dir):
+    def build():
+        d, first, n = day_stretches(spark, sf_dir)
+        d = d.withColumn("item", F.concat_ws("|", "cat_id", "item_id"))
+        d = written(AB.with_rivals(written(d, "days"), ["store_id", "cat_id", "dept_id"], "item", n), "rivals")
+        full, weeks = [AB.calendar_effects(spark, first, n, 1, e) for e in (("woy", "event", "dow"), ("woy",))]
+        specs = (("G", full, "rival_log_rel"), ("H", weeks, "rival_log_rel"), ("I", full, None))
+        return _specs([(name, AB.fit_groups(d, ["cat_id"], SERIES, c, rival=rival)) for name, c, rival in specs])
+
+    return _stored_fit(spark, sf_dir, "cross-fits", build)
 
 
 @C.query()
 def E13_cross_price(spark, sf_dir):
     """Daily own and rivals' price by category with series, week, event and weekday effects (G), without the last two (H), and without the rivals (I)."""
-    d, first, n = day_stretches(spark, sf_dir)
-    d = d.withColumn("item", F.concat_ws("|", "cat_id", "item_id"))
-    d = written(AB.with_rivals(written(d, "days"), ["store_id", "cat_id", "dept_id"], "item", n), "rivals")
-    full, weeks = [AB.calendar_effects(spark, first, n, 1, e) for e in (("woy", "event", "dow"), ("woy",))]
-    specs = (("G", full, "rival_log_rel"), ("H", weeks, "rival_log_rel"), ("I", full, None))
-    out = _specs([(name, AB.fit_groups(d, ["cat_id"], SERIES, c, rival=rival)) for name, c, rival in specs])
-    return out.select("cat_id", "spec", *[r6(c, c) for c in ("estimate", "se", "cross", "cross_se")], "n", "status")
+    return cross_fits(spark, sf_dir).select("cat_id", "spec", *[r6(c, c) for c in ("estimate", "se", "cross", "cross_se")], "n", "status")
+
+
+@C.query()
+def K12_sections(spark, sf_dir):
+    """The pricing report's sections on heterogeneity, segments and rivals, from the stored fits: a row per section, category and figure."""
+    out = SC.heterogeneity(item_fits(spark, sf_dir)).unionByName(SC.segments(segment_fits(spark, sf_dir))).unionByName(SC.rivals(cross_fits(spark, sf_dir)))
+    return out.select("section", "cat_id", "figure", r6("value", "value"))
 
 
 def _feature_rows(spark, sf_dir, level: str = "store"):

@@ -53,16 +53,26 @@ def _read_pointer(spark: SparkSession, at: str) -> dict | None:
     return json.loads(spark.read.text(f"{at}/current", wholetext=True).first()[0])
 
 
-def publish(df: DataFrame, at: str, inputs: str = "") -> DataFrame:
-    """df as the new current version of the artifact in folder `at`; read back from there."""
+def publish(df: DataFrame, at: str, inputs: str = "", keys: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """df as the new current version of the artifact in folder `at`; read back from there.
+
+    keys: bucketed by these columns, one file per bucket, and sorted by them and order, so that joins, windows and sums by
+    the keys exchange nothing.
+    """
     spark = df.sparkSession
     make, system = _files(spark)
     version = f"{at}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
+    layout = None
+    if keys:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        layout = {"keys": keys, "order": (*keys, *order), "buckets": buckets}
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*layout["order"]).option("path", version).saveAsTable(_table_name(version))
+    else:
+        df.write.parquet(version)
     fresh, pointer = make(f"{at}/.current-{uuid.uuid4().hex}"), make(f"{at}/current")
     fs = system(pointer)
     out = fs.create(fresh)
-    out.write(bytearray(json.dumps({"version": version, "schema": df.schema.json(), "inputs": inputs}).encode()))
+    out.write(bytearray(json.dumps({"version": version, "schema": df.schema.json(), "inputs": inputs, "layout": layout}).encode()))
     out.close()
     if not fs.rename(fresh, pointer):
         # stores that do not rename over a file: the old pointer goes first, and a reader in between builds for itself
@@ -71,7 +81,22 @@ def publish(df: DataFrame, at: str, inputs: str = "") -> DataFrame:
     old = sorted((s for s in fs.listStatus(make(at)) if s.getPath().getName().startswith("v-")), key=lambda s: -s.getModificationTime())
     for s in old[KEPT:]:
         fs.delete(s.getPath(), True)
-    return spark.read.schema(df.schema).parquet(version)
+    return _opened(spark, version, df.schema, layout)
+
+
+def _table_name(version: str) -> str:
+    return "artifact_" + version.rsplit("v-", 1)[1]
+
+
+def _opened(spark: SparkSession, version: str, schema: T.StructType, layout: dict | None) -> DataFrame:
+    if layout is None:
+        return spark.read.schema(schema).parquet(version)
+    name = _table_name(version)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by, order = (", ".join(f"`{c}`" for c in layout[k]) for k in ("keys", "order"))
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {layout['buckets']} BUCKETS LOCATION '{version}'")
+    return spark.table(name)
 
 
 def current(spark: SparkSession, at: str, inputs: str | None = None) -> DataFrame | None:
@@ -79,11 +104,13 @@ def current(spark: SparkSession, at: str, inputs: str | None = None) -> DataFram
     found = _read_pointer(spark, at)
     if found is None or (inputs is not None and found["inputs"] != inputs):
         return None
-    return spark.read.schema(T.StructType.fromJson(json.loads(found["schema"]))).parquet(found["version"])
+    return _opened(spark, found["version"], T.StructType.fromJson(json.loads(found["schema"])), found["layout"])
 
 
-def stored(spark: SparkSession, name: str, paths: list[str], parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
+def stored(
+    spark: SparkSession, name: str, paths: list[str], parameters: dict, build: Callable[[], DataFrame], keys: tuple[str, ...] = (), order: tuple[str, ...] = ()
+) -> DataFrame:
     """The current version of `name` with these parameters if it was built from these very inputs, else a new one."""
     at, inputs = folder(spark, name, {**parameters, "paths": sorted(paths)}), fingerprint(spark, paths)
     found = current(spark, at, inputs)
-    return publish(build(), at, inputs) if found is None else found
+    return publish(build(), at, inputs, keys, order) if found is None else found

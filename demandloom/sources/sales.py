@@ -58,12 +58,24 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """A text report: each section's rows as JSON lines below its title, one folder per section."""
-    for at, (title, df) in enumerate(sections.items()):
-        body = df.select(F.to_json(F.struct("*")).alias("value"))
-        head = df.sparkSession.createDataFrame([(f"## {title}",)], "value string")
-        head.union(body).coalesce(1).write.mode("overwrite").text(f"{path}/{at:02d}")
+def report_lines(sections: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(section, line, value): each section's title, then its rows as tab-separated text; line has the row's sort keys, null for the title."""
+    out = None
+    for at, (title, (df, order)) in enumerate(sections.items()):
+        keys = F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate([*order, *[order[-1]] * (3 - len(order))][:3])])
+        body = df.select(F.lit(at).alias("section"), keys.alias("line"), F.concat_ws("\t", *df.columns).alias("value"))
+        head = df.sparkSession.range(1).select(F.lit(at).alias("section"), F.lit(None).cast(body.schema["line"].dataType).alias("line"), F.lit(f"## {title}").alias("value"))
+        part = head.unionByName(body)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def write_report(sections: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """A text report: sections one after the other, each a title and its rows in the order of up to three columns.
+
+    The rows are dealt by ranges of that order, so the parts of the folder, by name, are the report; no task has it all.
+    """
+    report_lines(sections).orderBy("section", "line").select("value").write.mode("overwrite").text(path)
 
 
 def available(spark: SparkSession, path: str) -> bool:

@@ -273,3 +273,44 @@ def test_artifacts_are_built_once_and_pinned(spark, tmp_path):
     assert A.current(spark, at, "other inputs") is None and A.current(spark, str(tmp_path / "nothing")) is None
     with pytest.raises(Exception):
         first.count()  # two versions are kept
+
+
+def test_bucketed_artifacts_exchange_nothing(spark, tmp_path):
+    from pyspark.sql import Window
+
+    source = tmp_path / "in.parquet"
+    spark.range(300).selectExpr("concat('k', id % 7) AS key", "id AS t", "CAST(id AS double) AS y").write.parquet(str(source))
+    ask = lambda: A.stored(spark, "b", [str(source)], {}, lambda: spark.read.parquet(str(source)), ("key",), ("t",))
+    for _ in range(2):  # as written, and as opened again
+        table = ask()
+        df = table.withColumn("step", F.col("y") - F.lag("y").over(Window.partitionBy("key").orderBy("t"))).groupBy("key").agg(F.sum("step").alias("s"), F.count("*").alias("n"))
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.key: (r.s, r.n) for r in df.collect()} == {f"k{k}": (float(max(range(k, 300, 7)) - k), len(range(k, 300, 7))) for k in range(7)}
+        for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("artifact_")]:
+            spark.sql(f"DROP TABLE {name}")  # a later session does not know the table
+
+
+def test_reports_are_in_order(spark, tmp_path):
+    from demandloom.sources import sales as S
+
+    a = spark.createDataFrame([(k % 3, f"k{k:03d}", k) for k in range(200)], "g int, key string, n int").repartition(7)
+    S.write_report({"First": (a, ["g", "key"]), "Second": (a.groupBy("g").count(), ["g"])}, str(tmp_path / "r"))
+    lines = [line for p in sorted((tmp_path / "r").glob("part-*")) for line in p.read_text().splitlines()]
+    want = ["## First", *[f"{k % 3}\tk{k:03d}\t{k}" for k in sorted(range(200), key=lambda k: (k % 3, k))], "## Second", "0\t67", "1\t67", "2\t66"]
+    assert lines == want
+
+
+def test_pricing_sections(spark):
+    from demandloom.plans import sections as SC
+
+    fit = "cat_id string, {}, estimate double, se double, cross double, cross_se double, status string"
+    items = spark.createDataFrame([("a", f"i{k}", -1.0 - 0.1 * k, 0.05, None, None, "fitted") for k in range(5)] + [("a", "x", None, None, None, None, "few rows")], fit.format("item_id string"))
+    got = {(r.section, r.cat_id, r.figure): r.value for r in SC.heterogeneity(items).collect()}
+    assert got["heterogeneity", "a", "items"] == 5 and abs(got["heterogeneity", "a", "category_mean"] + 1.2) < 1e-9
+    assert abs(got["heterogeneity", "a", "noise_share"] - 0.0025 / 0.025) < 1e-9 and got["heterogeneity", "a", "sd_shrunk"] < got["heterogeneity", "a", "sd_raw"]
+    parts = spark.createDataFrame([("a", "promo_weeks", -2.0, 0.1, None, None, "fitted"), ("a", "shelf_weeks", -1.5, 0.1, None, None, "fitted"), ("a", "low_volume", -1.0, 0.1, None, None, "not settled")], fit.format("segment string"))
+    assert {r.figure: r.value for r in SC.segments(parts).collect()} == {"promo_weeks": -2.0, "shelf_weeks": -1.5, "promo_less_shelf": -0.5}
+    cross = spark.createDataFrame([("a", "G", -1.5, 0.1, 0.4, 0.05, "fitted"), ("a", "H", -1.4, 0.1, 0.1, 0.05, "fitted"), ("a", "I", -1.3, 0.1, None, None, "fitted")], fit.format("spec string"))
+    got = {r.figure: round(r.value, 9) for r in SC.rivals(cross).collect()}
+    assert got == {"own": -1.5, "cross": 0.4, "cross_se": 0.05, "attenuation": 0.75, "own_without_rivals": -1.3, "absorbed": 0.2}
