@@ -168,20 +168,20 @@ def H9_middle_out(spark, sf_dir):
     return R.middle_out(f, shares, "store_id").select("key", "h", r6("value", "value"))
 
 
-_DRAWS = """SELECT k.key, k.store_id, k.state_id, s AS sample, ys[((s * 1103515245 + k.i * 12345 + 20011) % 2147483648) % 180 + 1] AS v FROM (SELECT key, any_value(split_part(key, '|', 1)) AS store_id, any_value(state_id) AS state_id, list(y ORDER BY date)[-180:] AS ys, row_number() OVER (ORDER BY key) AS i FROM grid JOIN (SELECT DISTINCT store_id, state_id FROM sales) m ON split_part(key, '|', 1) = m.store_id WHERE level = 'store_cat' GROUP BY key) k, (SELECT unnest(range(0, 100)) AS s)"""
+_DRAWS = """SELECT k.key, k.store_id, k.state_id, s AS sample, ys[((s * 1103515245 + k.i * 12345 + 20011) % 2147483648) % 180 + 1] AS v FROM (SELECT key, any_value(split_part(key, '|', 1)) AS store_id, any_value(state_id) AS state_id, list(y ORDER BY date)[-180:] AS ys, ('0x' || substr(md5(key), 1, 7))::BIGINT AS i FROM grid JOIN (SELECT DISTINCT store_id, state_id FROM sales) m ON split_part(key, '|', 1) = m.store_id WHERE level = 'store_cat' GROUP BY key) k, (SELECT unnest(range(0, 400)) AS s)"""
 
 
 _UP = "SELECT 'total' AS level, 'TOTAL' AS key, sample, sum(v) AS v FROM draws GROUP BY sample UNION ALL SELECT 'state', state_id, sample, sum(v) FROM draws GROUP BY state_id, sample UNION ALL SELECT 'store', store_id, sample, sum(v) FROM draws GROUP BY store_id, sample UNION ALL SELECT 'store_cat', key, sample, v FROM draws"
 
 
 def bottom_draws(spark, sf_dir):
-    """(edge, draws): the tree down to categories in stores, and a hundred draws from each one's last 180 days."""
+    """(edge, draws): the tree down to categories in stores, and 400 draws from each one's last 180 days."""
     s = sales(spark, sf_dir)
     g = grid_of(spark, sf_dir, "store_cat")
     ys = g.groupBy("key").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("date", "y"))), lambda x: x["y"]), -180, 180).alias("ys"))
-    numbered = ys.withColumn("i", F.row_number().over(Window.orderBy("key")).cast("long"))
+    numbered = ys.withColumn("i", F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 7), 16, 10).cast("long"))
     draw = F.element_at("ys", (((F.col("sample") * 1103515245 + F.col("i") * 12345 + 20011) % 2147483648) % 180 + 1).cast("int"))
-    draws = numbered.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(99)).cast("array<bigint>"))).select(F.col("key").alias("bkey"), "sample", draw.alias("value"))
+    draws = numbered.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(399)).cast("array<bigint>"))).select(F.col("key").alias("bkey"), "sample", draw.alias("value"))
     edge = R.edges(s.select("state_id", "store_id", "cat_id", F.concat_ws("|", "store_id", "cat_id").alias("bkey")).distinct(), P.LEVELS)
     return edge, draws
 
@@ -280,17 +280,24 @@ def L6_leadtime_shortcuts(spark, sf_dir):
     return s.select("key", "length", r6(F.col("q90") * F.col("length"), "sum_of_daily"), r6(L.iid_normal(F.col("m") * F.col("length"), F.col("sd"), F.col("length"), 0.9), "iid"))
 
 
-_POOL = "SELECT key, list((y - p) / sqrt(greatest(p, 0.25::DOUBLE)) ORDER BY date) AS pool, max(m) AS point FROM (SELECT key, date, y, lag(y, 7) OVER (PARTITION BY key ORDER BY date) AS p, avg(y) OVER (PARTITION BY key ORDER BY date DESC ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) AS m0, avg(y) FILTER (WHERE date > b - 28) OVER (PARTITION BY key) AS m FROM grid, bounds WHERE level = 'store') WHERE p IS NOT NULL GROUP BY key"
+_POOLS = {
+    "changes": "SELECT key, date, y, b, lag(y, 7) OVER (PARTITION BY key ORDER BY date) AS p FROM grid, bounds WHERE level = 'store'",
+    "errors": "SELECT key, (y - p) / sqrt(greatest(p, 0.25::DOUBLE)) AS z, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS i FROM changes WHERE p IS NOT NULL",
+    "pools": "SELECT * FROM (SELECT key, count(*) AS n FROM errors GROUP BY key) JOIN (SELECT key, avg(y) FILTER (WHERE date > b - 28) AS point FROM changes GROUP BY key) USING (key)",
+    "drawn": """SELECT p.key, s, point, sum(greatest(0, point + z * sqrt(greatest(point, 0.25::DOUBLE)))) AS d FROM (SELECT key, point, s, ((s * 1103515245 + (day // 7) * 12345 + 20011) % 2147483648) % (n - 6) + day % 7 AS i FROM pools, (SELECT unnest(range(0, 4000)) AS s), (SELECT unnest(range(0, 14)) AS day)) p
+      JOIN errors e ON e.key = p.key AND e.i = p.i GROUP BY ALL""",
+}
 
 
-@C.query(with_("grid", """SELECT key, tau, round(CASE WHEN tau = 0.9 THEN quantile_cont(d, 0.9) ELSE quantile_cont(d, 0.95) END, 6) AS quantile, round(max(point) * 14, 6) AS mean_path FROM (SELECT key, s, max(point) AS point, sum(greatest(0, point + pool[((s * 1103515245 + (day // 7) * 12345 + 20011) % 2147483648) % (len(pool) - 6) + day % 7 + 1] * sqrt(greatest(point, 0.25::DOUBLE)))) AS d FROM pools, (SELECT unnest(range(0, 200)) AS s), (SELECT unnest(range(0, 14)) AS day) GROUP BY key, s), (SELECT unnest([0.9, 0.95]::DOUBLE[]) AS tau) GROUP BY key, tau""", pools=_POOL))
+@C.query(with_("grid bounds", "SELECT key, tau, round(CASE WHEN tau = 0.9 THEN quantile_cont(d, 0.9) ELSE quantile_cont(d, 0.95) END, 6) AS quantile, round(max(point) * 14, 6) AS mean_path FROM drawn, (SELECT unnest([0.9, 0.95]::DOUBLE[]) AS tau) GROUP BY key, tau", **_POOLS))
 def L2_bootstrap_lcg(spark, sf_dir):
-    """Two-week demand by block bootstrap, with block starts that SQL can follow."""
+    """Two-week demand by block bootstrap over 4,000 paths, with block starts that SQL can follow."""
     g = grid_of(spark, sf_dir, "store")
     g = g.crossJoin(F.broadcast(last_day(spark, sf_dir))).withColumn("p", F.lag("y", 7).over(Window.partitionBy("key").orderBy("date")))
     z = F.when(F.col("p").isNotNull(), F.struct("date", L.standardised(F.col("y") - F.col("p"), F.col("p")).alias("z")))
     per = g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(F.when(F.col("date") > F.date_sub("b", 28), F.col("y"))).alias("point"))
-    s = L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), 14, 200))
+    per = written(per, "pools")
+    s = L.leadtime_totals(per.select("key", "point"), per.select("key", "pool"), 14, L.SAMPLES)
     return L.leadtime_quantiles(s, (0.9, 0.95)).join(per.select("key", "point"), "key").select("key", "tau", r6("quantile", "quantile"), r6(F.col("point") * 14, "mean_path"))
 
 

@@ -391,7 +391,20 @@ def H12_joint_samples(spark, sf_dir):
     return PR.level_ratios(up, "store_cat", 0.95).select("level", r6("q95", "q95"), r6("ratio", "ratio"), r6("gap", "gap"))
 
 
-@C.query()
+_DRAWN = """SELECT p.key, len, s, sum(greatest(0, point + z * sqrt(greatest(point, 0.25::DOUBLE)))) AS d FROM (SELECT key, n, point, len, s, day, ((s * 1103515245 + (day // 7) * 12345 + 20011) % 2147483648) % (n - 6) + day % 7 AS i
+  FROM pools, (SELECT unnest([7, 14, 28]) AS len), (SELECT unnest(range(0, 4000)) AS s), (SELECT unnest(range(0, 28)) AS day) WHERE day < len) p JOIN errors e ON e.key = p.key AND e.i = p.i GROUP BY ALL"""
+
+
+def _normal(tau: float) -> str:
+    return repr(Q.normal_quantile(tau))
+
+
+@C.query(with_("grid bounds", f"""SELECT key, len::INT AS length, tau, round(CASE tau WHEN 0.9 THEN q[1] WHEN 0.95 THEN q[2] ELSE q[3] END, 6) AS bootstrap, round(len * CASE tau WHEN 0.9 THEN daily[1] WHEN 0.95 THEN daily[2] ELSE daily[3] END, 6) AS sum_of_daily,
+  round(point * len + CASE tau WHEN 0.9 THEN {_normal(0.9)}::DOUBLE WHEN 0.95 THEN {_normal(0.95)}::DOUBLE ELSE {_normal(0.98)}::DOUBLE END * sigma * sqrt(greatest(point, 0.25::DOUBLE)) * sqrt(len), 6) AS iid
+  FROM (SELECT key, len, quantile_cont(d, [0.9, 0.95, 0.98]) AS q FROM drawn GROUP BY key, len) JOIN pools USING (key), (SELECT unnest([0.9, 0.95, 0.98]::DOUBLE[]) AS tau)""",
+  changes="SELECT key, date, y, b, lag(y, 7) OVER (PARTITION BY key ORDER BY date) AS p FROM grid, bounds WHERE level = 'store'",
+  errors="SELECT key, (y - p) / sqrt(greatest(p, 0.25::DOUBLE)) AS z, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS i FROM changes WHERE p IS NOT NULL",
+  pools="SELECT * FROM (SELECT key, count(*) AS n, sqrt(avg(z * z)) AS sigma FROM errors GROUP BY key) JOIN (SELECT key, avg(y) FILTER (WHERE date > b - 28) AS point, quantile_cont(y, [0.9, 0.95, 0.98]) FILTER (WHERE date > b - 180) AS daily FROM changes GROUP BY key) USING (key)", drawn=_DRAWN))
 def L9_compare_methods(spark, sf_dir):
     """Bootstrap, summed daily quantiles and the independent normal for three lead times and levels, by store."""
     taus = (0.90, 0.95, 0.98)
@@ -402,7 +415,7 @@ def L9_compare_methods(spark, sf_dir):
     per = written(g.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(z)), lambda x: x["z"]).alias("pool"), F.avg(recent).alias("point"), F.percentile(F.when(F.col("date") > F.date_sub("b", 180), F.col("y")), F.array(*[F.lit(t) for t in taus])).alias("daily")), "per")
     out = None
     for days in (7, 14, 28):
-        q = L.leadtime_quantiles(L.leadtime_samples(L.daily_paths(per.select("key", "point"), per.select("key", "pool"), days, L.SAMPLES, start=L.hashed_start())), taus)
+        q = L.leadtime_quantiles(L.leadtime_totals(per.select("key", "point"), per.select("key", "pool"), days, L.SAMPLES), taus)
         met = q.join(per, "key").withColumn("length", F.lit(days))
         sigma = F.sqrt(F.aggregate("pool", F.lit(0.0), lambda a, x: a + x * x) / F.size("pool")) * F.sqrt(F.greatest("point", F.lit(0.25)))
         iid = F.coalesce(*[F.when(F.col("tau") == t, L.iid_normal(F.col("point") * days, sigma, F.col("length"), t)) for t in taus])

@@ -34,21 +34,35 @@ def lcg_start(key: Column, sample: Column, block: Column, most: Column) -> Colum
     return F.pmod((sample * 1103515245 + block * 12345 + 20011) % 2147483648, most)
 
 
+def _drawn(points: DataFrame, pools: DataFrame, length: int, samples: int) -> DataFrame:
+    """A row per series and sample, with its pool of finite errors and its path by day."""
+    pools = pools.withColumn("pool", F.filter("pool", finite))
+    path = F.col("path") if "path" in points.columns else F.array_repeat(F.col("point"), length)
+    met = points.join(pools, "key").withColumn("path", path)
+    pool = F.when(F.size("pool") < LEAST_POOL, F.raise_error(F.lit(f"a pool needs {LEAST_POOL} errors"))).otherwise(F.col("pool"))
+    return met.withColumn("pool", pool).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)).cast("array<bigint>")))
+
+
+def _demand(day: Column, start, block: int) -> Column:
+    first = start(F.col("key"), F.col("sample"), F.floor(day / block).cast("bigint"), (F.size("pool") - block + 1).cast("bigint"))
+    z, p = F.element_at("pool", (first + day % block + 1).cast("int")), F.element_at("path", day + 1)
+    return F.greatest(F.lit(0.0), p + z * F.sqrt(F.greatest(p, F.lit(0.25))))
+
+
 def daily_paths(points: DataFrame, pools: DataFrame, length: int, samples: int, start=lcg_start, block: int = BLOCK) -> DataFrame:
     """(key, sample, day, demand): contiguous blocks of a series' standardised errors on its forecast path.
 
     points: (key, point) a constant forecast, or (key, path) an array by day. pools: (key, pool) arrays in time order;
     null and non-finite errors are left out, and a pool of fewer than 30 others raises. Demand is not negative.
     """
-    pools = pools.withColumn("pool", F.filter("pool", finite))
-    path = F.col("path") if "path" in points.columns else F.array_repeat(F.col("point"), length)
-    met = points.join(pools, "key").withColumn("path", path)
-    pool = F.when(F.size("pool") < LEAST_POOL, F.raise_error(F.lit(f"a pool needs {LEAST_POOL} errors"))).otherwise(F.col("pool"))
-    rows = met.withColumn("pool", pool).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)).cast("array<bigint>"))).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    first = start(F.col("key"), F.col("sample"), F.floor(F.col("day") / block).cast("bigint"), (F.size("pool") - block + 1).cast("bigint"))
-    z = F.element_at("pool", (first + F.col("day") % block + 1).cast("int"))
-    p = F.element_at("path", F.col("day") + 1)
-    return rows.select("key", "sample", "day", F.greatest(F.lit(0.0), p + z * F.sqrt(F.greatest(p, F.lit(0.25)))).alias("demand"))
+    days = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda d: _demand(d, start, block))
+    return _drawn(points, pools, length, samples).select("key", "sample", F.posexplode(days).alias("day", "demand"))
+
+
+def leadtime_totals(points: DataFrame, pools: DataFrame, length: int, samples: int, start=lcg_start, block: int = BLOCK) -> DataFrame:
+    """(key, sample, demand): the sums of daily_paths by sample, without a row per day."""
+    days = F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0.0), lambda a, d: a + _demand(d, start, block))
+    return _drawn(points, pools, length, samples).select("key", "sample", days.alias("demand"))
 
 
 def leadtime_samples(paths: DataFrame) -> DataFrame:

@@ -227,8 +227,8 @@ def test_models_are_trained_at_full_size(spark, monkeypatch):
 
 def test_draws_are_as_many_as_the_methods_need(spark, monkeypatch):
     counts = []
-    paths, joint = L.daily_paths, PR.bottom_samples
-    monkeypatch.setattr(L, "daily_paths", lambda a, b, days, n, start: counts.append(n) or paths(a, b, days, 20, start=start))
+    paths, joint = L.leadtime_totals, PR.bottom_samples
+    monkeypatch.setattr(L, "leadtime_totals", lambda a, b, days, n: counts.append(n) or paths(a, b, days, 20))
     monkeypatch.setattr(PR, "bottom_samples", lambda a, b, samples=500, **kw: counts.append(samples) or joint(a, b, 20, **kw))
     for name in ("L9_compare_methods", "H12_joint_samples"):
         assert catalogue.queries()[name](spark, SF).count() > 0
@@ -304,5 +304,9 @@ def test_small_parts(spark, tmp_path):
     from demandloom.functions import leadtime as L
 
     pools = spark.createDataFrame([("k", [1.0, math.nan, math.inf, None] + [0.0] * 40)], "key string, pool array<double>")
-    paths = L.daily_paths(spark.createDataFrame([("k", 2.0)], "key string, point double"), pools, 7, 20)
+    point = spark.createDataFrame([("k", 2.0)], "key string, point double")
+    paths = L.daily_paths(point, pools, 7, 20)
+    sums = {r.sample: r.demand for r in L.leadtime_samples(paths).collect()}
+    totals = L.leadtime_totals(point, pools, 7, 20).collect()
+    assert all(abs(sums[r.sample] - r.demand) < 1e-9 for r in totals) and len(totals) == 20
     assert paths.where("isnan(demand) OR demand > 100 OR demand IS NULL").count() == 0 and paths.count() == 140
