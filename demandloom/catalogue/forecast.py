@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import SCALE, UPPER, grid_of, last_day, last_fold, last_origin, origins_of, states_of
+from demandloom.catalogue.base import SCALE, UPPER, grid_of, last_day, last_fold, last_origin, origins_of, panel_of, states_of
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
@@ -29,11 +29,12 @@ def backtest_of(spark, sf_dir, *levels: str, methods: tuple[str, ...] = tuple(B.
     return FO.backtest(states_of(spark, sf_dir).where(F.col("level").isin(*(levels or UPPER))), methods)
 
 
-def classes_before(grid, spark, sf_dir, fold: int = 4):
+def classes_before(spark, sf_dir, *levels: str, fold: int = 4):
     """(level, key, class) from the days before a fold's origin: with fold 4 no evaluation day has a part in a series' class."""
+    panel = panel_of(spark, sf_dir).where(F.col("level").isin(*(levels or UPPER)))
     origin = origins_of(spark, sf_dir).where(F.col("fold") == fold).select("origin")
-    before = grid.crossJoin(F.broadcast(origin)).where("date < origin")
-    return M.adi_cv2(before, "level", "key").select("level", "key", "class")
+    days = sales(spark, sf_dir).agg(F.min("date").alias("first")).crossJoin(origin).select("origin", F.datediff("origin", "first").alias("days"))
+    return M.sparse_adi_cv2(panel, days, "level", "key").select("level", "key", "class")
 
 
 def store_sums(backtest, *by: str):
@@ -85,7 +86,7 @@ def R2_mase_by_class(spark, sf_dir):
     g = grid_of(spark, sf_dir, *UPPER)
     scale = M.seasonal_scale(last_fold(g, spark, sf_dir).where("date < origin"), "level", "key")
     each = backtest_of(spark, sf_dir).where("fold = 6").join(scale, ["level", "key"]).groupBy("level", "key", "method").agg(M.mase(F.col("scale_abs")).alias("mase"))
-    met = each.join(classes_before(g, spark, sf_dir), ["level", "key"])
+    met = each.join(classes_before(spark, sf_dir), ["level", "key"])
     return met.groupBy("class", "method").agg(F.count("*").alias("series"), r6(F.avg("mase"), "mase"))
 
 
@@ -309,8 +310,7 @@ _BYS = {"global": "'all'", "klass": "class", "key": "key"}
 @C.query(with_("backtest classes_before", " UNION ALL ".join(_GATED.format(name=n, by=b) for n, b in _BYS.items()), bk="SELECT b.*, class FROM backtest b JOIN classes_before c ON b.key = c.key AND b.level = c.level WHERE b.level = 'store'", **{f"g_{n}": _GATE.format(by=b) for n, b in _BYS.items()}))
 def C5_gates(spark, sf_dir):
     """One choice for all, one per demand class, one per series: selected on folds 1 to 3, scored on 4 to 6."""
-    g = grid_of(spark, sf_dir, "store")
-    b = store_sums(backtest_of(spark, sf_dir, "store").join(classes_before(g, spark, sf_dir), ["level", "key"]), "key", "class")
+    b = store_sums(backtest_of(spark, sf_dir, "store").join(classes_before(spark, sf_dir, "store"), ["level", "key"]), "key", "class")
     out = G.compare_gates(b.where("selecting"), b.where("NOT selecting"), {"global": F.lit("all"), "klass": F.col("class"), "key": F.col("key")})
     return out.select("gate", "n_decisions", r6("wmape", "wmape"), r6("bias", "bias"))
 
@@ -318,8 +318,7 @@ def C5_gates(spark, sf_dir):
 @C.query(with_("backtest classes_before", """SELECT class, count(*) AS n, round(avg((s < v)::INT), 6) AS win_rate, round(sum(es) / nullif(sum(ya), 0), 6) AS ses_wmape FROM (SELECT b.key, class, sum(abs(y - yhat)) FILTER (WHERE method = 'ses') AS s, sum(abs(y - yhat)) FILTER (WHERE method = 'seasonal_naive') AS v, sum(abs(y - yhat)) FILTER (WHERE method = 'ses') AS es, sum(abs(y)) FILTER (WHERE method = 'ses') AS ya FROM backtest b JOIN classes_before c ON b.key = c.key AND b.level = c.level WHERE b.level = 'store' AND fold > 3 GROUP BY b.key, class) GROUP BY class"""))
 def R3_win_rate(spark, sf_dir):
     """By demand class, the share of series on which smoothing beats the seasonal naive."""
-    g = grid_of(spark, sf_dir, "store")
-    b = backtest_of(spark, sf_dir, "store", methods=("seasonal_naive", "ses")).where("fold > 3").join(classes_before(g, spark, sf_dir), ["level", "key"])
+    b = backtest_of(spark, sf_dir, "store", methods=("seasonal_naive", "ses")).where("fold > 3").join(classes_before(spark, sf_dir, "store"), ["level", "key"])
     e = F.abs(F.col("y") - F.col("yhat"))
     per = b.groupBy("key", "class").agg(F.sum(F.when(F.col("method") == "ses", e)).alias("s"), F.sum(F.when(F.col("method") == "seasonal_naive", e)).alias("v"), F.sum(F.when(F.col("method") == "ses", F.abs("y"))).alias("a"))
     return per.groupBy("class").agg(F.count("*").alias("n"), r6(F.avg((F.col("s") < F.col("v")).cast("int")), "win_rate"), r6(F.try_divide(F.sum("s"), F.nullif(F.sum("a"), F.lit(0.0))), "ses_wmape"))

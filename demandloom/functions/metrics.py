@@ -41,6 +41,14 @@ def adi_cv2(panel: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("class", demand_class(F.col("adi"), F.col("cv2")))
 
 
+def sparse_adi_cv2(panel: DataFrame, span: DataFrame, *keys: str) -> DataFrame:
+    """adi_cv2 of every series of panel before an origin, from its days with sales: span has one row (origin, days), the days before it."""
+    sold = F.when((F.col("date") < F.col("origin")) & (F.col("y") != 0), F.col("y"))
+    per = panel.crossJoin(F.broadcast(span)).groupBy(*keys).agg(F.first("days").cast("double").alias("days"), F.count(sold).alias("n"), F.stddev_pop(sold).alias("sd"), F.avg(sold).alias("mean"))
+    out = per.select(*keys, F.try_divide("days", "n").alias("adi"), F.coalesce(F.pow(F.try_divide("sd", "mean"), 2), F.lit(0.0)).alias("cv2"))
+    return out.withColumn("class", demand_class(F.col("adi"), F.col("cv2")))
+
+
 def demand_class(adi: Column, cv2: Column) -> Column:
     """A null interval counts as infinite, so an all-zero series is intermittent."""
     rare = F.coalesce(adi >= ADI_CUT, F.lit(True))
