@@ -19,6 +19,7 @@ from demandloom.operators import panel as P
 from demandloom.operators import sparse as SP
 from demandloom.sources.artifacts import stored
 from demandloom.sources.sales import sales, table
+from demandloom.sources.store import written
 
 C = Catalogue()
 QUERIES, ORACLES = C.queries, C.oracles
@@ -67,16 +68,6 @@ def last_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins_of(spark, sf_dir).where("fold = 6").select("origin")
 
 
-def history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cut: the first day that features of the last fold can look back to."""
-    return last_origin(spark, sf_dir).select(F.date_sub("origin", X.LOOK_BACK).alias("cut"))
-
-
-def recent_exogenous(spark: SparkSession, sf_dir: str, *levels: str) -> DataFrame:
-    """X.exogenous over the days from history_cut on, which no earlier day can change but by the price it hands on."""
-    return X.exogenous_since(P.roll_up(sales(spark, sf_dir), levels), history_cut(spark, sf_dir))
-
-
 def last_fold(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows with the last fold's origin on each."""
     return rows.crossJoin(F.broadcast(last_origin(spark, sf_dir)))
@@ -230,14 +221,18 @@ def P17_finite_filter(spark, sf_dir):
     return rows.groupBy("key").agg(F.count_if("ok").alias("n"), F.count_if(~F.col("ok")).alias("left_out"), r6(total, "total"))
 
 
-def last_fold_features(spark, sf_dir):
-    """Target features of every category in a store on the last fold's days, from the days with sales."""
+def last_fold_days(spark, sf_dir, measures: tuple[str, ...] = ("y",)):
+    """(panel, asked, first): categories in stores on their days with sales, all of them on the last fold's days, the first day."""
     s = sales(spark, sf_dir)
     span = s.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-    panel = P.roll_up(s, ("store_cat",)).select("level", "key", "date", "y")
     first, last = span["a"] or datetime.date(1970, 1, 1), span["b"] or datetime.date(1970, 1, 1)
-    asked = SP.asked_days(panel, last - datetime.timedelta(days=P.HORIZON - 1), last)
-    return SP.target_features(panel, asked, first)
+    panel = P.roll_up(s, ("store_cat",)).select("level", "key", "date", *measures)
+    return panel, SP.asked_days(panel, last - datetime.timedelta(days=P.HORIZON - 1), last), first
+
+
+def last_fold_features(spark, sf_dir):
+    """Target features of every category in a store on the last fold's days, from the days with sales."""
+    return SP.target_features(*last_fold_days(spark, sf_dir))
 
 
 _LAST = "SELECT * FROM ({q}) WHERE date >= (SELECT b - 27 FROM bounds)"
@@ -277,9 +272,8 @@ _PRICE = "round(CASE WHEN count(price) OVER (PARTITION BY level, key ORDER BY da
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", filled=_FILLED, w=f"SELECT key, date, {_PRICE} FROM filled WHERE level = 'store_cat'"), dates="date")
 def W6_price_windows(spark, sf_dir):
     """Price relative to its own recent mean, and its weekly change."""
-    g = recent_exogenous(spark, sf_dir, "store_cat")
-    prices = X.price_features()
-    return last_fold(g.withColumns(prices), spark, sf_dir).where("date >= origin").select("key", "date", *[r6(c, c) for c in prices])
+    f = SP.price_features(*last_fold_days(spark, sf_dir, ALL))
+    return f.select("key", "date", *[r6(c, c) for c in ("price_rel_56", "price_chg_7", "log_price")])
 
 
 SCALE = "SELECT level, key, avg(abs(d)) AS a, avg(d * d) AS q FROM (SELECT level, key, y - lag(y, 7) OVER (PARTITION BY level, key ORDER BY date) AS d FROM grid, folds WHERE fold = 6 AND date < origin) GROUP BY level, key"
@@ -358,10 +352,11 @@ _B15 = "SELECT key, f.date, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY key O
 @C.query(with_("grid", "SELECT * FROM w WHERE date >= (SELECT b - 27 FROM bounds)", filled=_FILLED, **_FULL_CALENDAR, w=_B15), dates="date")
 def B15_feature_matrix(spark, sf_dir):
     """All 34 features for the last fold's days."""
-    g = recent_exogenous(spark, sf_dir, "store_cat")
+    panel, asked, first = last_fold_days(spark, sf_dir, ALL)
+    panel = written(panel, "panel")
+    f = SP.target_features(panel, asked, first).join(SP.price_features(panel, asked, first), ["level", "key", "date"])
     # the event follows from the date: a join with a calendar would shuffle the panel by date and back
-    f = X.add_features(g.withColumn("event", P.event_of(F.col("date"))))
-    f = last_fold(f, spark, sf_dir).where("date >= origin")
+    f = f.withColumn("event", P.event_of(F.col("date"))).withColumns({**X.calendar_features(), "snap": F.lit(0)})
     exact = {*[f"lag_{k}" for k in X.LAGS], "dow", "month", "is_weekend", "snap", "days_to_xmas", *[f"ev_{e}" for e in P.EVENTS]}
     return f.select("key", "date", *[c if c in exact else r6(c, c) for c in X.FEATURES])
 

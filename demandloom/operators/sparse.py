@@ -1,4 +1,4 @@
-"""Features that look back at the target, from the days with sales alone.
+"""Features of the target and of prices, from the days with sales alone.
 
 A day without sales is a zero that no row holds. Frames are ranges of day numbers over the rows there are; how many days
 a frame has, the empty ones included, follows from the day and the first day of the panel. So a store x item series costs
@@ -13,7 +13,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.operators.features import LAGS, SERIES, WINDOWS
+from demandloom.operators.features import LAGS, SERIES, WINDOWS, _weighted
 from demandloom.operators.panel import HORIZON
 
 
@@ -54,3 +54,43 @@ def target_features(panel: DataFrame, asked: DataFrame, first: datetime.date) ->
     out["dow_mean_4w"] = F.when(seen >= 2, same / seen)
     found = both.withColumns(out).where("asked")
     return found.select(*SERIES, "date", F.col("y0").alias("y"), *[c for c in out if c != "y0"])
+
+
+def price_features(panel: DataFrame, asked: DataFrame, first: datetime.date) -> DataFrame:
+    """asked (level, key, date, unique) with price, promo, price_rel_56, price_chg_7 and log_price, as of the dense panel.
+
+    panel: (level, key, date, y, revenue, price_sum, promo_sum, n), a row per series and day with sales. A day's price is
+    its plain mean, scaled as in features.exogenous; it holds until the next sale, the first one also before itself. The
+    sum of prices up to a day follows from the sums at the sales, so a mean over days is a difference of two such sums.
+    """
+    w = Window.partitionBy(*SERIES).orderBy("t")
+    then = w.rangeBetween(-HORIZON, -HORIZON)
+    sold = panel.where("n > 0").withColumn("t", F.datediff("date", F.lit(first)))
+    weight = _weighted({c: F.sum(c).over(then) for c in ("revenue", "y", "price_sum", "n")})
+    sold = sold.withColumn("p", F.col("price_sum") / F.col("n") * weight).where("p IS NOT NULL")
+    before, gap = F.lag("p").over(w), F.col("t") - F.lag("t").over(w) - 1
+    step = F.coalesce(before * gap, F.col("p") * F.col("t")) + F.col("p")
+    sold = sold.withColumn("step", step)
+    sold = sold.withColumn("upto", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    event = F.struct("t", "p", "upto", (F.col("promo_sum") / F.col("n")).alias("promo"))
+    events = sold.select(*SERIES, "t", F.lit(None).cast("date").alias("date"), F.lit(-1).alias("back"), event.alias("e"))
+    points = asked.select(*SERIES, "date", F.explode(F.array(*[F.lit(k) for k in (0, 7, 56)])).alias("back"))
+    points = points.withColumn("t", F.datediff("date", F.lit(first)) - F.col("back")).where("t >= 0")
+    both = events.unionByName(points, allowMissingColumns=True)
+    in_order = Window.partitionBy(*SERIES).orderBy("t", "back")
+    last = F.last("e", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    lead = F.first(F.col("e")["p"], ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = both.withColumns({"last": last, "lead": lead}).where("back >= 0")
+    price = F.coalesce(F.col("last.p"), F.col("lead"))
+    total = F.coalesce(F.col("last.upto") + F.col("last.p") * (F.col("t") - F.col("last.t")), F.col("lead") * (F.col("t") + 1))
+    at = lambda k, c: F.max(F.when(F.col("back") == k, c))
+    per = met.groupBy(*SERIES, "date").agg(
+        at(0, price).alias("price"), at(0, total).alias("c0"), at(56, total).alias("c56"), at(7, price).alias("price7"), at(0, F.col("t")).alias("t"),
+        at(0, F.when(F.col("last.t") == F.col("t"), F.col("last.promo"))).alias("promo"),
+    )
+    days = F.least(F.lit(56), F.col("t") + 1)
+    mean = (F.col("c0") - F.coalesce("c56", F.lit(0.0))) / days
+    return per.select(
+        *SERIES, "date", "price", F.coalesce("promo", F.lit(0.0)).alias("promo"), F.when(days >= 7, F.try_divide("price", mean)).alias("price_rel_56"),
+        (F.try_divide("price", "price7") - 1).alias("price_chg_7"), F.ln(F.greatest("price", F.lit(0.01))).alias("log_price"),
+    )

@@ -31,6 +31,23 @@ def test_sparse_features_equal_the_dense_ones(spark):
     assert SP.target_features(panel.limit(0), SP.asked_days(panel.limit(0), FIRST, FIRST), FIRST).count() == 0
 
 
+def test_sparse_prices_equal_the_dense_ones(spark):
+    rng = np.random.default_rng(5)
+    days, rows = 200, []
+    for key, share in (("often", 0.7), ("seldom", 0.05), ("late", 0.0)):
+        kept = [d for d in range(days) if rng.random() < share] or [days - 3]
+        rows += [("store", key, FIRST + timedelta(days=d), float(rng.integers(1, 9)), float(rng.uniform(5, 90)), 1.0, float(rng.uniform(5, 30)), int(rng.integers(0, 3)), int(rng.integers(1, 4))) for d in kept]
+    rows += [("store", "ends", FIRST + timedelta(days=d), 2.0, 9.0, 1.0, 4.0 + d, 1, 1) for d in (0, days - 1)]
+    panel = spark.createDataFrame(rows, "level string, key string, date date, y double, revenue double, promo_units double, price_sum double, promo_sum long, n long")
+    dense = X.exogenous(P.dense(panel, "y", "revenue", "promo_units", "price_sum", "promo_sum", "n")).withColumns(X.price_features())
+    names = ("price", "promo", "price_rel_56", "price_chg_7", "log_price")
+    of = lambda df: {(r.key, r.date): tuple(None if r[c] is None else round(r[c], 9) for c in names) for r in df.collect()}
+    got = of(SP.price_features(panel, SP.asked_days(panel, FIRST, FIRST + timedelta(days=days - 1)), FIRST))
+    want = of(dense)
+    assert got.keys() == want.keys() and len(got) == 4 * days
+    assert all(a == b or all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-8) for x, y in zip(a, b, strict=True)) for a, b in ((got[k], want[k]) for k in want))
+
+
 def test_no_grid_is_made_for_sparse_features(spark):
     panel = spark.createDataFrame([("store", "k", FIRST, 1.0), ("store", "k", FIRST + timedelta(days=3000), 2.0)], "level string, key string, date date, y double")
     asked = panel.select("level", "key", "date")
