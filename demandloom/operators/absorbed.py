@@ -43,7 +43,11 @@ def stretches(panel: DataFrame, series: list[str], periods: int) -> DataFrame:
     """
     w = Window.partitionBy(*series).orderBy("t")
     kept = panel.where((F.col("t") >= 0) & (F.col("t") < periods) & F.col("price").isNotNull())
-    part = lambda a, b, units, promo: F.struct(a.cast("int").alias("t0"), b.cast("int").alias("t1"), units.cast("double").alias("units"), F.col("price").cast("double").alias("price"), promo.cast("double").alias("promo"))
+
+    def part(a: Column, b: Column, units: Column, promo: Column) -> Column:
+        values = {"units": units, "price": F.col("price"), "promo": promo}
+        return F.struct(a.cast("int").alias("t0"), b.cast("int").alias("t1"), *[v.cast("double").alias(n) for n, v in values.items()])
+
     t, none = F.col("t"), F.lit(0.0)
     head = part(F.when(F.lag("t").over(w).isNull(), F.lit(0)).otherwise(t), t, none, none)
     gap = part(t + 1, F.coalesce(F.lead("t").over(w), F.lit(periods)), none, none)
@@ -170,7 +174,8 @@ def _solve(sums, groups: list, width: int, family: str) -> dict:
 
 def _arrays(pieces: DataFrame, by: list[str], series: list[str], y: str, columns: list[str]) -> DataFrame:
     """A row per series of a group, with its stretches as arrays in the order of time; a null in by, y or a slope drops a stretch."""
-    whole = pieces.dropna("any", subset=[*by, y, *columns]).select(*by, *series, "t0", "t1", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = [F.col(c).cast("double").alias(n) for c, n in ((y, "y"), *((c, c) for c in columns))]
+    whole = pieces.dropna("any", subset=[*by, y, *columns]).select(*by, *[s for s in series if s not in by], "t0", "t1", *numbers)
     rows = F.sort_array(F.collect_list(F.struct("t0", "t1", "y", *columns)))
     return whole.groupBy(*by, *[s for s in series if s not in by]).agg(rows.alias("r")).select(*by, *[F.col(f"r.{c}").alias(c) for c in ("t0", "t1", "y", *columns)])
 
@@ -189,7 +194,10 @@ def _found(solved: tuple, first: int, rival: int | None) -> tuple[list[float | N
     return [float(slopes[first]), float(errors[first]), *cross], "fitted" if settled else "not settled"
 
 
-def fit_groups(pieces: DataFrame, by: list[str], series: list[str], c: np.ndarray, y: str = "units", regressors: tuple[str, ...] = ("log_p", "promo"), rival: str | None = None, family: str = "poisson", absorb: bool = True, least: int = LEAST_ROWS) -> DataFrame:
+def fit_groups(
+    pieces: DataFrame, by: list[str], series: list[str], c: np.ndarray, y: str = "units", regressors: tuple[str, ...] = ("log_p", "promo"),
+    rival: str | None = None, family: str = "poisson", absorb: bool = True, least: int = LEAST_ROWS,
+) -> DataFrame:
     """(by..., estimate, se, cross, cross_se, n, status) of few groups of any number of series: the first slope, and the rival's.
 
     pieces: by, series, t0, t1, y and regressors; c: effects of the periods. n counts periods. A group of fewer than
@@ -200,7 +208,8 @@ def fit_groups(pieces: DataFrame, by: list[str], series: list[str], c: np.ndarra
     table = written(_arrays(pieces, by, series, y, columns), "stretches")
     spark, n_rows = pieces.sparkSession, F.aggregate(F.zip_with("t1", "t0", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, v: s + v)
     price = F.col(columns[0])
-    facts = table.groupBy(*by).agg(F.sum(n_rows).alias("n"), (F.max(F.array_max(price)) - F.min(F.array_min(price))).alias("spread"), F.max(F.array_max("y")).alias("sold")).collect()
+    spread = F.max(F.array_max(price)) - F.min(F.array_min(price))
+    facts = table.groupBy(*by).agg(F.sum(n_rows).alias("n"), spread.alias("spread"), F.max(F.array_max("y")).alias("sold")).collect()
     status = {tuple(r[b] for b in by): _status(r["n"], r["spread"] or 0.0, r["sold"], least) for r in facts}
     head = table.select(*by).schema
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head)
@@ -235,7 +244,9 @@ def fit_groups(pieces: DataFrame, by: list[str], series: list[str], c: np.ndarra
     return spark.createDataFrame(rows, f"{names}, {FIT}")
 
 
-def fit_each(pieces: DataFrame, by: list[str], series: list[str], c: np.ndarray, y: str = "units", regressors: tuple[str, ...] = ("log_p", "promo"), least: int = LEAST_ROWS) -> DataFrame:
+def fit_each(
+    pieces: DataFrame, by: list[str], series: list[str], c: np.ndarray, y: str = "units", regressors: tuple[str, ...] = ("log_p", "promo"), least: int = LEAST_ROWS
+) -> DataFrame:
     """fit_groups for any number of groups of few series each, such as items over stores: each is solved where it is."""
     columns = list(regressors)
     table = _arrays(pieces, by, series, y, columns)

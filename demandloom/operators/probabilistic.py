@@ -56,7 +56,8 @@ def bottom_samples(points: DataFrame, tails: DataFrame, samples: int = 500, shri
     import numpy as np
     import pandas as pd
 
-    per = points.groupBy("bkey").agg(F.sort_array(F.collect_list(F.struct("h", "value"))).alias("p")).select("bkey", F.col("p.h").alias("h"), F.col("p.value").alias("value")).join(tails.select("bkey", "tail"), "bkey")
+    days_of = points.groupBy("bkey").agg(F.sort_array(F.collect_list(F.struct("h", "value"))).alias("p")).select("bkey", F.col("p.h").alias("h"), F.col("p.value").alias("value"))
+    per = days_of.join(tails.select("bkey", "tail"), "bkey")
     common, own = float(np.sqrt(1 - shrink)), float(np.sqrt(shrink))
 
     def draw(batches):

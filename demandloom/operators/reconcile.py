@@ -65,7 +65,12 @@ def tree(bottom: DataFrame, levels: tuple[str, ...]) -> DataFrame:
     from demandloom.operators.panel import series_keys
 
     path = bottom.select(series_keys(levels).alias("s"))
-    pairs = F.transform("s", lambda x, i: F.struct(x["level"].alias("level"), x["key"].alias("key"), F.when(i > 0, F.get("s", i - 1)["key"]).alias("up_key"), (i == F.size("s") - 1).alias("leaf")))
+
+    def node(x, i):
+        up = F.when(i > 0, F.get("s", i - 1)["key"])
+        return F.struct(x["level"].alias("level"), x["key"].alias("key"), up.alias("up_key"), (i == F.size("s") - 1).alias("leaf"))
+
+    pairs = F.transform("s", node)
     return path.select(F.explode(pairs).alias("n")).select("n.*").distinct()
 
 
@@ -179,7 +184,8 @@ def mint(base: DataFrame, nodes: DataFrame, tails: DataFrame, levels: tuple[str,
         return out
     pair = F.struct("col", F.col("own.value").alias("f"), F.col("swept.value").alias("p"))
     met = rows.where("run = 'shrink'").alias("own").join(swept.where("run = 'shrink'").alias("swept"), ["level", "key", "col"])
-    wide = written(met.groupBy("level", "key").agg(F.first("w").alias("w"), F.sort_array(F.collect_list(pair)).alias("c")).select("level", "key", "w", F.col("c.col").alias("col"), F.col("c.f").alias("f"), F.col("c.p").alias("p")), "mint-wide")
+    per = met.groupBy("level", "key").agg(F.first("w").alias("w"), F.sort_array(F.collect_list(pair)).alias("c"))
+    wide = written(per.select("level", "key", "w", *[F.col(f"c.{c}").alias(c) for c in ("col", "f", "p")]), "mint-wide")
     some = wide.select("col").first()
     cols = np.array(some["col"] if some else [], int)
     factor, days = np.flatnonzero(cols < 0), np.flatnonzero(cols > 0)
@@ -201,6 +207,7 @@ def mint(base: DataFrame, nodes: DataFrame, tails: DataFrame, levels: tuple[str,
         for pdf in batches:
             p = np.array(pdf["p"].to_list(), float).reshape(-1, len(cols))
             value = p[:, days] - p[:, factor] @ scores
-            yield pd.DataFrame({"method": "shrink", "level": np.repeat(pdf["level"].to_numpy(), len(days)), "key": np.repeat(pdf["key"].to_numpy(), len(days)), "h": np.tile(cols[days], len(pdf)).astype(np.int32), "value": value.ravel()})
+            level, key = (np.repeat(pdf[c].to_numpy(), len(days)) for c in ("level", "key"))
+            yield pd.DataFrame({"method": "shrink", "level": level, "key": key, "h": np.tile(cols[days], len(pdf)).astype(np.int32), "value": value.ravel()})
 
     return out.unionByName(wide.mapInPandas(combined, "method string, level string, key string, h int, value double"))

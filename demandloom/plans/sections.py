@@ -21,7 +21,8 @@ def heterogeneity(item_fits: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("raw"), F.stddev_samp("shrunk").alias("shrunk"),
         F.avg(F.col("se") * F.col("se")).alias("noise"), F.var_samp("estimate").alias("var"),
     )
-    return _figures(per, "heterogeneity", items=F.col("n"), category_mean=F.col("mean"), sd_raw=F.col("raw"), sd_shrunk=F.col("shrunk"), noise_share=F.least(F.lit(1.0), F.try_divide("noise", F.nullif("var", F.lit(0.0)))))
+    noise = F.least(F.lit(1.0), F.try_divide("noise", F.nullif("var", F.lit(0.0))))
+    return _figures(per, "heterogeneity", items=F.col("n"), category_mean=F.col("mean"), sd_raw=F.col("raw"), sd_shrunk=F.col("shrunk"), noise_share=noise)
 
 
 def segments(segment_fits: DataFrame) -> DataFrame:
@@ -29,11 +30,15 @@ def segments(segment_fits: DataFrame) -> DataFrame:
     of = lambda name: F.max(F.when((F.col("segment") == name) & (F.col("status") == "fitted"), F.col("estimate")))
     names = ("promo_weeks", "shelf_weeks", "high_volume", "low_volume")
     per = segment_fits.groupBy("cat_id").agg(*[of(n).alias(n) for n in names])
-    return _figures(per, "segments", **{n: F.col(n) for n in names}, promo_less_shelf=F.col("promo_weeks") - F.col("shelf_weeks"), high_less_low=F.col("high_volume") - F.col("low_volume"))
+    pairs = {"promo_less_shelf": F.col("promo_weeks") - F.col("shelf_weeks"), "high_less_low": F.col("high_volume") - F.col("low_volume")}
+    return _figures(per, "segments", **{n: F.col(n) for n in names}, **pairs)
 
 
 def rivals(cross_fits: DataFrame) -> DataFrame:
     """Own and rivals' slopes of spec G, what leaving out weekdays and events does to the rivals' (H), and the rivals to the own (I)."""
     of = lambda spec, c: F.max(F.when((F.col("spec") == spec) & (F.col("status") == "fitted"), F.col(c)))
-    per = cross_fits.groupBy("cat_id").agg(of("G", "estimate").alias("own"), of("G", "cross").alias("cross"), of("G", "cross_se").alias("se"), of("H", "cross").alias("h"), of("I", "estimate").alias("i"))
-    return _figures(per, "rivals", own=F.col("own"), cross=F.col("cross"), cross_se=F.col("se"), attenuation=1 - F.try_divide("h", F.nullif("cross", F.lit(0.0))), own_without_rivals=F.col("i"), absorbed=F.col("i") - F.col("own"))
+    asked = {"own": ("G", "estimate"), "cross": ("G", "cross"), "cross_se": ("G", "cross_se"), "plain_cross": ("H", "cross"), "own_without_rivals": ("I", "estimate")}
+    per = cross_fits.groupBy("cat_id").agg(*[of(*source).alias(name) for name, source in asked.items()])
+    attenuation = 1 - F.try_divide("plain_cross", F.nullif("cross", F.lit(0.0)))
+    kept = {c: F.col(c) for c in asked if c != "plain_cross"}
+    return _figures(per, "rivals", **kept, attenuation=attenuation, absorbed=F.col("own_without_rivals") - F.col("own"))

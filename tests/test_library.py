@@ -199,7 +199,9 @@ def duck():
 
 
 CHECKED = ("S1_scan_project", "P4_date_filters", "J1_calendar_join", "A2_multi_agg", "A9_ordered_stats", "A19_leave_one_out", "W2_rolling", "W10_gaps", "M1_wmape_by_level", "M5_intermittency", "A15_pivot_wmape", "B4_croston", "H7_mint_two_level", "H13_reconcile_draws", "Q1_pinball_table", "L2_bootstrap_lcg", "C5_gates", "E9_shrinkage", "K2_schedules", "V4_orders", "V5_override_latest", "S6_nested_parquet", "ST1_daily_events",
-           "P7_complete_rows", "P17_finite_filter", "R2_mase_by_class", "H15_coherence_gap", "E10_estimator_correlations", "V2_health_series", "V5_override_append", "S5_json_document")
+           "P7_complete_rows", "P17_finite_filter", "R2_mase_by_class", "H15_coherence_gap", "E10_estimator_correlations", "V2_health_series", "V5_override_append", "S5_json_document",
+    "R1_six_levels", "R5_recon_six_levels", "V8_answers", "P20_window_budget", "S9_panel_cache", "S14_text_report", "L9_compare_methods", "E4_naive_specs", "H6_shrinkage", "B15_feature_matrix", "W6_price_windows",
+)
 
 
 def test_models_are_trained_at_full_size(spark, monkeypatch):
