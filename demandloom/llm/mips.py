@@ -8,9 +8,11 @@ strongest coordinates a member's direction must lie in a narrow interval. Otherw
 What is left is verified by exact integer products. A task walks its buckets from long to short, and the thresholds
 of its queries rise with the best scores of each bucket.
 
-Queries of similar needs make a block, and a block goes to the buckets of the levels that it needs. A bucket is
-repeated for every few of its blocks, so no bucket or level, however wanted, ends in one task. What the driver holds
-is one row per level, and the number of levels is bounded by the range of floating-point numbers.
+Queries of similar needs make a block. Blocks and buckets meet as tiles: so many buckets in a row, from long to short,
+are a shelf, so many blocks a stack, and a task has one shelf and one stack. A block is sent once per shelf that it needs
+and a bucket once per stack that needs it, so what is shuffled is blocks x shelves + buckets x stacks and not blocks x
+buckets, and no bucket or level, however wanted, ends in one task. What the driver holds is one row per level, and the
+number of levels is bounded by the range of floating-point numbers.
 """
 
 from __future__ import annotations
@@ -26,19 +28,19 @@ from demandloom.llm.common import durable, map_arrow
 
 #: Levels per doubling of the length.
 LEVELS = 16
-#: Most vectors and bytes of a bucket, most queries of a block, and blocks per copy of a bucket.
+#: Most vectors and bytes of a bucket, most queries of a block, bytes of a stack of blocks, which a task holds, and most
+#: buckets of a shelf, which it reads one by one.
 BUCKET = 4096
 BUCKET_BYTES = 2 << 20
 QUERY_BLOCK = 512
-BLOCKS_PER_COPY = 16
+STACK_BYTES = 64 << 20
+SHELF = 256
 #: Longest vectors that give the first thresholds: at most so many, and so many bytes.
 SEEDS = 8192
 SEED_BYTES = 16 << 20
 #: From this cosine on, members are selected by coordinate, along so many coordinates.
 HIGH_COSINE = 0.7
 COORDINATES = 4
-#: Blocks whose thresholds a task remembers from bucket to bucket.
-REMEMBERED_BLOCKS = 4096
 LARGEST = float(np.finfo(np.float64).max)
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -179,7 +181,7 @@ def _reached(i: int, own: int, threshold: float, scores: np.ndarray, rows_of: np
 
 
 PAYLOAD = "rows_of binary, ids binary, matrix binary, dim int, thresholds binary"
-ROUTED = f"level int, part int, copy int, block int, {PAYLOAD}"
+ROUTED = f"shelf int, stack int, bucket int, need int, {PAYLOAD}"
 
 
 def _packed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -209,11 +211,11 @@ def _packed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield whole()
 
 
-def _row(level: int, part: int, copy: int, block: int, rows_of: np.ndarray, ids: np.ndarray, m: np.ndarray, thresholds: np.ndarray | None) -> pa.RecordBatch:
+def _row(shelf: int, stack: int, bucket: int, need: int, rows_of: np.ndarray, ids: np.ndarray, m: np.ndarray, thresholds: np.ndarray | None) -> pa.RecordBatch:
     payload = (rows_of.tobytes(), ids.tobytes(), np.ascontiguousarray(m).tobytes(), m.shape[1], None if thresholds is None else thresholds.tobytes())
     kinds = (*[pa.int32()] * 4, pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
     names = [c.split()[0] for c in ROUTED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((level, part, copy, block, *payload), kinds, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shelf, stack, bucket, need, *payload), kinds, strict=True)], names)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,20 +267,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     asked = durable(asked, "mips-queries")
     needs = {need: -(-n // QUERY_BLOCK) for need, (n, _) in sorted(_counts(asked, "need").items())}
     first = dict(zip(needs, np.concatenate([[0], np.cumsum(list(needs.values()))]).tolist(), strict=False))
-    # blocks are numbered by need, so a level is needed by the blocks before some number
-    copies = {level: -(-sum(n for need, n in needs.items() if need <= level) // BLOCKS_PER_COPY) for level in parts}
+    # buckets are numbered from long to short, blocks by need: a shelf is needed by the blocks before some number
+    place, total = {}, 0
+    for level in sorted(parts, reverse=True):
+        place[level], total = total, total + parts[level]
+    stack_size = max(1, STACK_BYTES // (QUERY_BLOCK * 8 * dim))
+    stacks = -(-sum(needs.values()) // stack_size)
+    shelf_size = max(1, min(SHELF, total * stacks // max(1, 4 * spark.sparkContext.defaultParallelism)))
+    starts_at = np.searchsorted(list(place.values()), np.arange(0, total, shelf_size), side="right") - 1
+    top = np.array(list(place), np.int64)[starts_at].tolist()
+    wanted = [-(-sum(n for need, n in needs.items() if need <= level) // stack_size) for level in top]
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (level, part), rows_of, ids, m, _ in _packed(batches, 2):
-            for copy in range(copies[level]):
-                yield _row(level, part, copy, -1, rows_of, ids, m, None)
+            bucket = place[level] + part
+            for stack in range(wanted[bucket // shelf_size]):
+                yield _row(bucket // shelf_size, stack, bucket, level, rows_of, ids, m, None)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (need, part), rows_of, ids, m, thresholds in _packed(batches, 2):
-            block = first[need] + part
-            for level, n in parts.items():
-                for bucket in range(n if level >= need else 0):
-                    yield _row(level, bucket, block // BLOCKS_PER_COPY, block, rows_of, ids, m, thresholds)
+            for shelf, level in enumerate(top):
+                if level >= need:
+                    yield _row(shelf, (first[need] + part) // stack_size, -1, need, rows_of, ids, m, thresholds)
 
     def dealt(df: DataFrame, key: str, of: dict[int, int]) -> DataFrame:
         table = spark.createDataFrame(sorted(of.items()), f"{key} int, parts int")
@@ -287,29 +297,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         return rows.repartition(key, "part").sortWithinPartitions(key, "part", "row")
 
     routed = map_arrow(dealt(whole, "level", parts), buckets, ROUTED).union(map_arrow(dealt(asked, "need", needs).select("need", "part", "row", "vec_id", "v", "threshold"), blocks, ROUTED))
-    walked = routed.repartition("level", "part", "copy").sortWithinPartitions(F.desc("level"), "part", "copy", "block")
+    walked = routed.repartition("shelf", "stack").sortWithinPartitions("shelf", "stack", "bucket")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of, ids, p, risen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1)), {}
+        """The blocks of a stack come first and stay; then its buckets pass by, and thresholds rise on the way."""
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        tile = None
         rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
         for row in rows:
-            if row["block"] < 0:
-                rows_of, ids, p = _opened(row)
+            if tile != (row["shelf"], row["stack"]):
+                tile = (row["shelf"], row["stack"])
+                held = []
+            if row["bucket"] < 0:
+                held.append((row["need"], *_opened(row), np.frombuffer(row["thresholds"]).copy()))
                 continue
-            q_rows, q_ids, q = _opened(row)
-            width = max(q.shape[1], p.shape[1])
-            thresholds = risen.get(row["block"])
-            if thresholds is None:
-                if len(risen) >= REMEMBERED_BLOCKS:
-                    risen.clear()
-                thresholds = risen[row["block"]] = np.frombuffer(row["thresholds"]).copy()
-            got = list(bucket_best(q_rows, _wide(q, width), thresholds, rows_of, ids, _wide(p, width), k))
-            if got:
+            rows_of, ids, p = _opened(row)
+            for need, q_rows, q_ids, q, thresholds in held:
+                if need > row["need"]:
+                    continue
+                width = max(q.shape[1], p.shape[1])
+                got = list(bucket_best(q_rows, _wide(q, width), thresholds, rows_of, ids, _wide(p, width), k))
+                if not got:
+                    continue
                 for i, _, scores in got:
                     if len(scores) == k:
                         thresholds[i] = max(thresholds[i], float(scores[-1]))
-                own, of = (np.concatenate([np.full(len(x), q[i]) for i, x, _ in got]) for q in (q_rows, q_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(of), pa.array(np.concatenate([x for _, x, _ in got])), pa.array(np.concatenate([s for *_, s in got]))], ["query_row", "query_id", "vec_id", "score"])
+                sizes = [len(x) for _, x, _ in got]
+                at = np.repeat([i for i, *_ in got], sizes)
+                columns = (q_rows[at], q_ids[at], np.concatenate([x for _, x, _ in got]), np.concatenate([s for *_, s in got]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_row", "query_id", "vec_id", "score"])
 
     found = map_arrow(walked, search, "query_row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))

@@ -376,12 +376,12 @@ def test_top_k_of_large_values_and_one_wanted_level(spark):
     for q in (i for i in whole if i % 20 == 0):
         want = sorted(((i, inner(whole[q], v)) for i, v in whole.items() if i != q), key=lambda t: (-t[1], t[0]))[:20]
         assert got[q] == want
-    # vectors of one length fill one level, which every query needs: it is cut into buckets and repeated for the blocks
+    # vectors of one length fill one level, which every query needs: it is cut into buckets, shelves and stacks
     turn = rng.normal(size=(3000, 8))
     turn *= 40 / np.linalg.norm(turn, axis=1)[:, None]
     same = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(turn)], "vec_id long, embedding array<double>")
     m = np.floor(64 * turn).astype(np.int64)
-    small = {"BUCKET": 256, "QUERY_BLOCK": 16, "BLOCKS_PER_COPY": 2}
+    small = {"BUCKET": 256, "QUERY_BLOCK": 16, "STACK_BYTES": 2 * 16 * 8 * 8, "SHELF": 3}
     kept = {n: getattr(mips, n) for n in small}
     try:
         for n, x in small.items():
