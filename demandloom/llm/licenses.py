@@ -9,6 +9,8 @@ which are ordered: full texts come before notices, notices before mentions, and
 that must occur in this order. Every licence of a text is reported, by the first of its rules that matches; a rule
 whose sentences are part of a longer one's (two clauses of three) gives way to that.
 
+An SPDX expression counts as one tag per licence, wherever AND, OR or WITH join them.
+
 Everything happens within the row, in DataFrame functions: no join, no shuffle. The known sentences are a fixed list.
 """
 
@@ -66,10 +68,43 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mpl2-notice": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
     "mpl2-copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",),
     "isc-grant": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "apache-terms": ("TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",),
+    "apache-definition": ('"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',),
+    "gpl3-copyleft": ("The GNU General Public License is a free, copyleft license for software and other kinds of works",),
+    "agpl3-copyleft": (
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with "
+        "the community in the case of network server software",
+    ),
+    "gpl2-freedom": ("The licenses for most software are designed to take away your freedom to share and change it",),
+    "gpl2-contrast": (
+        "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for "
+        "all its users",
+    ),
+    "lgpl21-contrast": (
+        "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free "
+        "for all its users",
+    ),
+    "lgpl3-incorporates": (
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by "
+        "the additional permissions listed below",
+    ),
+    "mpl2-contributor": ('"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software',),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
     "reserved": ("All rights reserved",),
 }
 
+#: The Creative Commons licences of version 4.0, by identifier: the name, and the SPDX name.
+CREATIVE_COMMONS = {
+    "ccby4-terms": ("Attribution", "CC-BY-4.0"),
+    "ccbysa4-terms": ("Attribution-ShareAlike", "CC-BY-SA-4.0"),
+    "ccbync4-terms": ("Attribution-NonCommercial", "CC-BY-NC-4.0"),
+    "ccbynd4-terms": ("Attribution-NoDerivatives", "CC-BY-ND-4.0"),
+    "ccbyncsa4-terms": ("Attribution-NonCommercial-ShareAlike", "CC-BY-NC-SA-4.0"),
+    "ccbyncnd4-terms": ("Attribution-NonCommercial-NoDerivatives", "CC-BY-NC-ND-4.0"),
+}
+_BOUND = 'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {} 4.0 International Public License ("Public License")'
+SENTENCES |= {name: (_BOUND.format(kind),) for name, (kind, _) in CREATIVE_COMMONS.items()}
+
 #: Licence rules in their order.
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("MIT", "text", ("mit-grant", "mit-condition", "mit-warranty")),
@@ -86,6 +121,14 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Zlib", "text", ("zlib-warranty", "zlib-grant")),
     ("Unlicense", "text", ("unlicense",)),
     ("CC0-1.0", "text", ("cc0-waived",)),
+    ("Apache-2.0", "text", ("apache-terms", "apache-definition")),
+    ("GPL-3.0-only", "text", ("gpl3-copyleft",)),
+    ("AGPL-3.0-only", "text", ("agpl3-copyleft",)),
+    ("GPL-2.0-only", "text", ("gpl2-freedom", "gpl2-contrast")),
+    ("LGPL-2.1-only", "text", ("gpl2-freedom", "lgpl21-contrast")),
+    ("LGPL-3.0-only", "text", ("lgpl3-incorporates",)),
+    ("MPL-2.0", "text", ("mpl2-contributor",)),
+    *((spdx, "text", (name,)) for name, (_, spdx) in CREATIVE_COMMONS.items()),
     ("Apache-2.0", "notice", ("apache-notice",)),
     ("GPL-3.0-or-later", "notice", ("gpl3-terms",)),
     ("GPL-2.0-or-later", "notice", ("gpl2-terms",)),
@@ -138,6 +181,13 @@ EDGE = " ."
 END, LINE = "E", "L"
 
 
+#: Every known sentence has one of these in a word of its own: a text without them is not searched.
+ANCHORS = ("licen", "software", "permission", "redistribut", "reserved", "warranty", "cc0", "mpl", "reproduction")
+#: The tag of an SPDX expression, and what stands between its licences.
+TAG = "spdx-license-identifier:"
+OPERATOR = r"[ \t]+(?:or|and|with)[ \t]+"
+
+
 def normalised(sentence: str) -> str:
     """Lower case, everything but letters, digits and inner dots to single spaces."""
     import re
@@ -165,9 +215,26 @@ def _known_pattern() -> str:
     return f"{END}[ .{LINE}]*(?:{known})[ .{LINE}]*{END}|[{END}{LINE}][ .]*(?:{known})[ .]*(?=[{END}{LINE}])"
 
 
+def _tagged_singly(lowered: Column) -> Column:
+    """A lower-cased text in which each licence of an SPDX expression has a tag and a line of its own; exceptions are none."""
+
+    def single(line: Column) -> Column:
+        plain = F.regexp_replace(line, r"[()]", " ")
+        return F.when(line.rlike(TAG + ".*" + OPERATOR), F.regexp_replace(plain, OPERATOR, f"\n{TAG} ")).otherwise(line)
+
+    lines = F.array_join(F.transform(F.split(lowered, "\n"), single), "\n")
+    return F.when(F.contains(lowered, F.lit(TAG)), lines).otherwise(lowered)
+
+
 def sentence_ids(text: Column) -> Column:
     """Array of the identifiers of a text's known licence sentences, in order; null and empty texts have none."""
-    ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END, END + END)
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    none = F.array().cast("array<string>")
+    return F.when(lowered.rlike("|".join(ANCHORS)), _found_ids(_tagged_singly(lowered))).otherwise(none)
+
+
+def _found_ids(lowered: Column) -> Column:
+    ends = F.regexp_replace(lowered, SENTENCE_END, END + END)
     words = F.regexp_replace(F.translate(ends, "\n", LINE), f"[^a-z0-9.{END}{LINE}]+", " ")
     hits = F.regexp_extract_all(F.concat(F.lit(END), words, F.lit(END)), F.lit(_known_pattern()), F.lit(0))
     by_words = {" ".join(pieces): name for pieces, name in known_pieces().items()}
@@ -216,7 +283,10 @@ def oracle() -> str:
     hidden = ", ".join(f"({i}, {j})" for i in range(len(RULES)) for j in range(len(RULES)) if covers(i, j))
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}), rules(i, pattern, license, kind) AS (VALUES {rules}), hidden(i, j) AS (VALUES {hidden}),
-chunked AS (SELECT doc_id, unnest(list_transform(string_split_regex(lower(coalesce(text, '')), '[.!?;:]+(?:[ \t\n\x0b\f\r]+|\z)'), lambda x, k: {{'c': x, 'i': k}})) AS c FROM documents),
+lowered AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+singly AS (SELECT doc_id, CASE WHEN contains(low, '{TAG}') THEN array_to_string(list_transform(string_split(low, chr(10)),
+  lambda l: CASE WHEN regexp_matches(l, '{TAG}.*{OPERATOR}') THEN regexp_replace(regexp_replace(l, '[()]', ' ', 'g'), '{OPERATOR}', chr(10) || '{TAG} ', 'g') ELSE l END), chr(10)) ELSE low END AS tagged FROM lowered),
+chunked AS (SELECT doc_id, unnest(list_transform(string_split_regex(tagged, '[.!?;:]+(?:[ \t\n\x0b\f\r]+|\z)'), lambda x, k: {{'c': x, 'i': k}})) AS c FROM singly),
 lined AS (SELECT doc_id, c.i AS pos, unnest(list_transform(string_split(c.c, chr(10)), lambda x, k: {{'c': x, 'i': k}})) AS l FROM chunked WHERE strpos(c.c, chr(10)) > 0),
 pieces AS (SELECT doc_id, c.i AS pos, 0 AS line, c.c AS piece FROM chunked UNION ALL SELECT doc_id, pos, l.i, l.c FROM lined),
 hits AS (SELECT doc_id, pos, line, id FROM pieces JOIN known ON trim(regexp_replace(piece, '[^a-z0-9.]+', ' ', 'g'), ' .') = sentence),
