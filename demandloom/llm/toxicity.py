@@ -31,6 +31,8 @@ from demandloom.llm.common import bytes_list, durable, held_out, map_arrow, slic
 SAMPLE_ROWS = 8_000
 MOST_PATTERNS = 1_000
 SHORTEST, LONGEST = 3, 10
+#: Longer words are no patterns as a whole; their beginnings are.
+LONGEST_WORD = 40
 #: A pattern must be in so many toxic documents and so much more frequent there, by documents and by words.
 LEAST_DOCS = 4
 LEAST_LIFT = 4.0
@@ -200,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
                 c: Counter[str] = Counter()
                 for w, n in Counter(folder(text).split()).items():
                     c[""] += n
-                    c[f" {w[:40]} "] += n
+                    if len(w) <= LONGEST_WORD:  # a cut word with an end mark would match no text
+                        c[f" {w} "] += n
                     for k in range(SHORTEST, min(len(w), LONGEST) + 1):
                         c[" " + w[:k]] += n
                 words[toxic].update(c)
