@@ -87,17 +87,21 @@ def bytes_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: The folder of local runs that name none, by application: nothing is set in the caller's session.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediates that all executors see: spark.checkpoint.dir, else (local runs) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        found = tempfile.mkdtemp(prefix="spark-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+        return spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate"
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_dirs[app]
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

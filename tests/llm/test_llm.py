@@ -340,6 +340,56 @@ def test_every_license_rule_and_several_licenses(spark):
     }
 
 
+def test_license_bodies_and_expressions(spark):
+    apache = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+    gpl3 = """ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+    gpl2 = """  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.  This
+"""
+    lgpl21 = gpl2.replace("Public\nLicense is intended", "Public\nLicenses are intended")
+    lgpl3 = """  This version of the GNU Lesser General Public License incorporates
+the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.
+"""
+    mpl = """1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.
+"""
+    cc = """By exercising the Licensed Rights (defined below), You accept and agree
+to be bound by the terms and conditions of this Creative Commons
+Attribution-ShareAlike 4.0 International Public License ("Public
+License"). To the extent"""
+    texts = [
+        apache, gpl3, gpl2, lgpl21, lgpl3, mpl, cc, "# SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode", "// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0",
+        "x\n/* SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-3.0-or-later AND ISC */\ny", "SPDX-License-Identifier: NONE OR mine", "a licence, or and with",
+    ]
+    got = [set(r.licenses.split(",")) for r in licenses.scan(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert got == [
+        {"Apache-2.0:text"}, {"GPL-3.0-only:text"}, {"GPL-2.0-only:text"}, {"LGPL-2.1-only:text"}, {"LGPL-3.0-only:text"}, {"MPL-2.0:text"}, {"CC-BY-SA-4.0:text"},
+        {"Apache-2.0:tag", "MIT:tag"}, {"GPL-2.0-only:tag"}, {"MIT:tag", "BSD-3-Clause:tag", "GPL-3.0-or-later:tag", "ISC:tag"}, {""}, {""},
+    ]
+    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.known_sentences())
+
+
 # exact top-k
 
 
