@@ -71,9 +71,9 @@ def test_quality_stage(stages):
     table = quality._table(*quality._models(quality.DEFAULT_MODEL, quality.SECOND_MODEL))
     want = Counter()
     for r in before.collect():
-        found, band = quality._measured(table, [None if r.text is None else r.text.encode()], quality.BANDS, 1)[0]
+        found, band = next(quality._measured(table, [None if r.text is None else r.text.encode()], quality.BANDS, 1))
         w = (r.text or "").encode().split()
-        assert found.n_words == len(w)
+        assert found.n == len(w)
         if found.kept(band, 1):
             assert w
             want[r.doc_id, r.text, r.source] += 1
