@@ -580,6 +580,14 @@ def test_lm_scores_of_whole_texts_by_brute_force(spark):
             assert abs(got[i].score - score) < 1e-6 and abs(got[i].own_score - own) < 1e-6
 
 
+def test_lm_scores_of_many_equal_and_null_texts(spark):
+    rows = [(i, "the same odd wordings zqxj", "en", "a") for i in range(2_000)] + [(5_000 + i, None, "en", "a") for i in range(2_000)] + [(7, "the same odd wordings zqxj", "en", "a")]
+    got = lattice_lm.score_texts(docs_of(spark, rows).withColumn("learn", F.lit(True)), head_words=2).collect()
+    assert len(got) == len(rows)
+    by_kind = {(r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in got}
+    assert len(by_kind) == 2 and {t[0] for t in by_kind} == {1, 6}
+
+
 def test_lm_very_long_words():
     lattice = lattice_lm.Lattice.from_model(pieces.read_model())
     for word in ("ab" * 30, "x\udcff" * 25, "日本" * 22):
