@@ -31,6 +31,10 @@ SETTLED = 1e-8
 #: The longest step of a slope in one round.
 LONGEST_STEP = 3.0
 FIT = "estimate double, se double, cross double, cross_se double, n long, status string"
+#: A matrix of series x periods is multiplied faster than stretches are gathered from so many stretches in this many periods on.
+MATRIX_GAIN = 20
+#: Series x periods, and stretches, that a task works on at a time.
+CELLS_AT_ONCE, STRETCHES_AT_ONCE = 2_000_000, 100_000
 #: Effects of the calendar; the first level of each, in order, is the reference. snap: the first ten days of a month.
 EFFECTS = {"woy": F.weekofyear, "dow": F.weekday, "event": event_of, "snap": lambda d: (F.dayofmonth(d) <= 10).cast("int")}
 
@@ -101,13 +105,24 @@ class Stretches:
         """
         t0, t1, periods = self.t0, self.t1, len(day)
         days = np.concatenate(([0.0], np.cumsum(day)))
-        effects = np.concatenate((np.zeros((1, c.shape[1])), np.cumsum(c * day[:, None], 0)))
         total = weight * (days[t1] - days[t0])
-        each = np.concatenate((x * total[:, None], weight[:, None] * (effects[t1] - effects[t0])), 1)
+        sums = np.concatenate((np.add.reduceat(x * total[:, None], self.starts), self._by_series(weight, c * day[:, None])), 1)
         level = lambda v: np.cumsum(np.bincount(t0, v, periods + 1) - np.bincount(t1, v, periods + 1))[:periods] * day
         cross = np.stack([level(weight * x[:, j]) for j in range(x.shape[1])]) @ c
         square = np.block([[(x * total[:, None]).T @ x, cross], [cross.T, (c * level(weight)[:, None]).T @ c]])
-        return square, np.add.reduceat(each, self.starts), np.add.reduceat(total, self.starts)
+        return square, sums, np.add.reduceat(total, self.starts)
+
+    def _by_series(self, weight: np.ndarray, effects: np.ndarray) -> np.ndarray:
+        """By series the sum of weight x effects over its periods: from sums up to each period where stretches are few, else day by day."""
+        t0, t1, n, periods = self.t0, self.t1, len(self.starts), len(effects)
+        if len(t0) * MATRIX_GAIN < n * periods:
+            upto = np.concatenate((np.zeros((1, effects.shape[1])), np.cumsum(effects, 0)))
+            return np.add.reduceat(weight[:, None] * (upto[t1] - upto[t0]), self.starts)
+        length = t1 - t0
+        before = np.concatenate(([0], np.cumsum(length)))[:-1]
+        by_day = np.zeros(n * periods)
+        by_day[np.repeat(self.series * periods + t0 - before, length) + np.arange(length.sum())] = np.repeat(weight, length)
+        return by_day.reshape(n, periods) @ effects
 
     def poisson(self, slopes: np.ndarray, c: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
         """(information, score) of the slopes with series effects at their best; last: the score's outer products instead."""
@@ -152,6 +167,15 @@ class Stretches:
         return sum(self.products(x, weight, day, c)[0] for weight, day in terms), np.zeros(len(slopes))
 
 
+def _portions(pdf: pd.DataFrame, periods: int) -> Iterator[pd.DataFrame]:
+    """Some series at a time, so that what a task holds is bounded."""
+    series = max(1, CELLS_AT_ONCE // max(1, periods))
+    upto = pdf["t0"].map(len).cumsum().to_numpy() // STRETCHES_AT_ONCE
+    number = np.arange(len(pdf)) // series
+    for _, some in pdf.groupby([upto, number], sort=False):
+        yield some
+
+
 def _sums(s: Stretches, family: str, slopes: np.ndarray | None, c: np.ndarray, last: bool, absorb: bool) -> tuple[np.ndarray, np.ndarray]:
     return s.poisson(slopes, c, last) if family == "poisson" else s.gaussian(slopes if last else None, c, absorb)
 
@@ -221,8 +245,8 @@ def fit_groups(
             total: dict[tuple, np.ndarray] = {}
             for pdf in batches:
                 for g, part in pdf.groupby(by, sort=False, dropna=False):
-                    if g in slopes:
-                        square, score = _sums(Stretches(part, columns), family, slopes[g], shared.value, last, absorb)
+                    for some in _portions(part, len(shared.value)) if g in slopes else ():
+                        square, score = _sums(Stretches(some, columns), family, slopes[g], shared.value, last, absorb)
                         total[g] = total.get(g, 0.0) + np.concatenate((square.ravel(), score))
             for g, got in total.items():
                 yield pd.DataFrame({**{b: [v] * len(got) for b, v in zip(by, g, strict=True)}, "at": np.arange(len(got)), "value": got})

@@ -52,6 +52,27 @@ def test_stretches_fill_every_period_once(spark):
     assert got == {(r.cat, r.store, r.t): (r.units, round(r.log_p, 9), r.promo) for r in dense.itertuples()}
 
 
+def test_sums_by_series_agree_and_portions_are_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(40):
+        cuts = np.unique(np.concatenate(([0, PERIODS], rng.integers(0, PERIODS, rng.integers(1, 30)))))
+        keep = rng.random(len(cuts) - 1) < 0.8  # stretches may be missing
+        keep[0] = True
+        rows.append({"t0": cuts[:-1][keep], "t1": cuts[1:][keep], "y": rng.random(keep.sum()), "log_p": rng.normal(size=keep.sum())})
+    pdf = pd.DataFrame(rows)
+    s, effects = AB.Stretches(pdf, ["log_p"]), rng.normal(size=(PERIODS, 5))
+    weight = rng.random(len(s.y))
+    want = np.array([sum(weight[i] * effects[s.t0[i] : s.t1[i]].sum(0) for i in np.flatnonzero(s.series == k)) for k in range(40)])
+    for gain in (0, 10**9):
+        monkeypatch.setattr(AB, "MATRIX_GAIN", gain)
+        assert np.allclose(s._by_series(weight, effects), want)
+    monkeypatch.setattr(AB, "CELLS_AT_ONCE", 7 * PERIODS)
+    monkeypatch.setattr(AB, "STRETCHES_AT_ONCE", 50)
+    parts = list(AB._portions(pdf, PERIODS))
+    assert len(parts) > 5 and max(map(len, parts)) <= 7 and [i for p in parts for i in p.index] == list(range(40))
+
+
 def test_absorbed_fits_equal_those_with_dummies(spark):
     sold, dense = sparse_sales(np.random.default_rng(2))
     pieces, c = pieces_of(spark, sold), AB.calendar_effects(spark, F.lit(FIRST), PERIODS, 1, ("dow",))
