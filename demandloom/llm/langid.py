@@ -286,8 +286,8 @@ def _sample(labelled: DataFrame, rows: int) -> DataFrame:
     """
     texts = labelled.select("lang", F.xxhash64("text").alias("__h"), F.octet_length("text").alias("__size")).groupBy("lang", "__h").agg(F.min("__size").alias("__size"))
     texts = durable(texts, "lang-texts")
-    longest = texts.groupBy("lang").agg(F.greatest(F.min("__size"), F.lit(SAMPLE_TEXT_BYTES)).alias("__longest"))
-    fitting = texts.join(longest, "lang").where("__size <= __longest")
+    longest = durable(texts.groupBy("lang").agg(F.count("*").alias("__n"), F.greatest(F.min("__size"), F.lit(SAMPLE_TEXT_BYTES)).alias("__longest")), "lang-longest")
+    fitting = spread_join(texts, longest, ["lang"], "__n").where("__size <= __longest")
     draw = F.pmod(F.col("__h"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     totals = fitting.groupBy("lang").agg(F.count("*").alias("__texts"), F.sum("__size").alias("__bytes"), F.min(F.struct(draw, "__h"))["__h"].alias("__first"), F.max("__longest").alias("__longest"))
     share = F.least(F.lit(float(rows)) / F.col("__texts"), F.lit(float(SAMPLE_BYTES)) / F.greatest("__bytes", F.lit(1)))
