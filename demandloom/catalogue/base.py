@@ -40,6 +40,11 @@ SALES_TABLES = ("lineitem", "supplier", "nation", "region", "part")
 UPPER = ("total", "state", "store")
 
 
+def days_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P.daily of every item x store, stored: the sales are read and joined once for all that is made of a row per series and day."""
+    return stored(spark, "days", [f"{sf_dir}/{t}.parquet" for t in SALES_TABLES], {}, lambda: P.daily(sales(spark, sf_dir), *P.FINEST))
+
+
 def states_of(spark: SparkSession, sf_dir: str, levels: tuple[str, ...] = UPPER, fold: int | None = None, tail: int = 0, errors: str = "ses") -> DataFrame:
     """folds.fold_states of these levels for all folds or one, built once for these tables and stored."""
 

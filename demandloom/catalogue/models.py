@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import ALL, SALES_TABLES, grid_of, last_day, last_origin, origins_of, panel_of, states_of
+from demandloom.catalogue.base import ALL, SALES_TABLES, days_of, grid_of, last_day, last_origin, origins_of, panel_of, states_of
 from demandloom.catalogue.decide import items_of
 from demandloom.catalogue.forecast import reconciled
 from demandloom.catalogue.registry import Catalogue, r6, r6s
@@ -145,8 +145,9 @@ SERIES = ["store_id", "cat_id", "item_id"]
 
 def week_stretches(spark, sf_dir):
     """(pieces, first week, weeks): every item x store by week, weeks without sales at the carried price."""
-    w = P.weekly(sales(spark, sf_dir), *SERIES)
-    first, last = _span(w, "week")
+    days = days_of(spark, sf_dir)
+    w = P.weekly_days(days, *SERIES)
+    first, last = _span(days.select(P.week_end(F.col("date")).alias("week")), "week")
     n = (last - first).days // 7 + 1 if first else 0
     pieces = AB.stretches(w.withColumn("t", (F.datediff("week", F.lit(first)) / 7).cast("int")), SERIES, n)
     return pieces.withColumn("log_p", F.ln(F.greatest("price", F.lit(0.01)))), F.lit(first), n
@@ -154,10 +155,11 @@ def week_stretches(spark, sf_dir):
 
 def day_stretches(spark, sf_dir):
     """(pieces, first day, days): every item x store by day, days without sales at the carried price."""
-    price = F.col("revenue") / F.nullif("units", F.lit(0.0))
+    price, promo = P.day_means()
     keys = ["store_id", "cat_id", "dept_id", "item_id"]
-    d = sales(spark, sf_dir).groupBy(*keys, "date").agg(F.sum("units").alias("units"), F.avg(price).alias("price"), F.avg(F.col("promo").cast("double")).alias("promo"))
-    first, last = _span(d, "date")
+    days = days_of(spark, sf_dir)
+    d = days.groupBy(*keys, "date").agg(F.sum("y").alias("units"), price.alias("price"), promo.alias("promo"))
+    first, last = _span(days, "date")
     n = (last - first).days + 1 if first else 0
     pieces = AB.stretches(d.withColumn("t", F.datediff("date", F.lit(first))), keys, n)
     return pieces.withColumns({"log_p": F.ln(F.greatest("price", F.lit(0.01))), "log_q": F.log1p("units")}), F.lit(first), n

@@ -26,21 +26,38 @@ def series_keys(levels: tuple[str, ...] = LEVELS) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("level"), keys[n].alias("key")) for n in levels])
 
 
+SUMS = ("y", "revenue", "promo_units", "price_sum", "promo_sum", "n")
+FINEST = ("state_id", "store_id", "cat_id", "dept_id", "item_id")
+
+
+def daily(sales: DataFrame, *keys: str) -> DataFrame:
+    """(date, keys, y, revenue, promo_units, price_sum, promo_sum, n, priced, marked): sums by day; priced, marked: rows with a price, a promotion mark."""
+    price = F.col("revenue") / F.nullif("units", F.lit(0.0))
+    return sales.groupBy("date", *keys).agg(
+        F.sum("units").alias("y"), F.sum("revenue").alias("revenue"), F.sum(F.when(F.col("promo"), F.col("units")).otherwise(0.0)).alias("promo_units"),
+        F.sum(price).alias("price_sum"), F.sum(F.col("promo").cast("int")).alias("promo_sum"), F.count("*").alias("n"), F.count(price).alias("priced"), F.count("promo").alias("marked"),
+    )
+
+
+def day_means() -> tuple[Column, Column]:
+    """(mean price, promo share) of daily() rows summed; null without any."""
+    return F.sum("price_sum") / F.nullif(F.sum("priced"), F.lit(0)), F.sum("promo_sum") / F.nullif(F.sum("marked"), F.lit(0))
+
+
+def roll_up_days(days: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """roll_up from daily() of keys fine enough for the levels."""
+    return days.withColumn("s", F.explode(series_keys(levels))).groupBy("s.level", "s.key", "date").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def roll_up(sales: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """(level, key, date, y, revenue, promo_units, price_sum, promo_sum, n): sums by day of every level.
 
     Rows are summed at the finest key first: what the explode multiplies is small, and the key 'TOTAL' is already
     combined before the shuffle.
     """
-    needed = {"dept_id": {"store_dept"}, "item_id": {"store_item", "state_cat_item"}}
-    finest = [c for c in ("state_id", "store_id", "cat_id", "dept_id", "item_id") if c not in needed or needed[c] & set(levels)]
-    price = F.col("revenue") / F.nullif("units", F.lit(0.0))
-    daily = sales.groupBy("date", *finest).agg(
-        F.sum("units").alias("y"), F.sum("revenue").alias("revenue"), F.sum(F.when(F.col("promo"), F.col("units")).otherwise(0.0)).alias("promo_units"),
-        F.sum(price).alias("price_sum"), F.sum(F.col("promo").cast("int")).alias("promo_sum"), F.count("*").alias("n"),
-    )
-    sums = [F.sum(c).alias(c) for c in ("y", "revenue", "promo_units", "price_sum", "promo_sum", "n")]
-    return daily.withColumn("s", F.explode(series_keys(levels))).groupBy("s.level", "s.key", "date").agg(*sums)
+    by_item = {"store_item", "state_cat_item"}
+    needed = {"dept_id": {"store_dept"}, "item_id": by_item}
+    return roll_up_days(daily(sales, *[c for c in FINEST if c not in needed or needed[c] & set(levels)]), levels)
 
 
 def dense(panel: DataFrame, *measures: str, since: DataFrame | None = None) -> DataFrame:
@@ -116,3 +133,9 @@ def weekly(sales: DataFrame, *keys: str) -> DataFrame:
     price = F.col("revenue") / F.nullif("units", F.lit(0.0))
     week = sales.groupBy(*keys, week_end(F.col("date")).alias("week")).agg(F.sum("units").alias("units"), F.avg(price).alias("price"), F.avg(F.col("promo").cast("double")).alias("promo"))
     return week.withColumn("woy", F.weekofyear("week")).withColumn("log_p", F.ln(F.greatest("price", F.lit(0.01))))
+
+
+def weekly_days(days: DataFrame, *keys: str) -> DataFrame:
+    """Per series and week units, mean price and promo share, from daily() of these keys or finer ones."""
+    price, promo = day_means()
+    return days.groupBy(*keys, week_end(F.col("date")).alias("week")).agg(F.sum("y").alias("units"), price.alias("price"), promo.alias("promo"))
