@@ -49,10 +49,12 @@ def states_of(spark: SparkSession, sf_dir: str, levels: tuple[str, ...] = UPPER,
     """folds.fold_states of these levels for all folds or one, built once for these tables and stored."""
 
     def build() -> DataFrame:
-        s = sales(spark, sf_dir)
-        span = s.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-        starts = [(r["fold"], r["origin"]) for r in P.origins(s.select("date")).collect() if r["origin"] is not None and fold in (None, r["fold"])]
-        return FO.fold_states(P.roll_up(s, levels), span["a"], span["b"], starts, tail, errors)
+        # levels below the category have about as many rows as the stored days; the others fewer, so they come from the sales
+        fine = not set(levels) <= set(P.LEVELS)
+        rows = days_of(spark, sf_dir) if fine else written(P.roll_up(sales(spark, sf_dir), levels), "panel")
+        span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        starts = [(r["fold"], r["origin"]) for r in P.origins(rows.select("date")).collect() if r["origin"] is not None and fold in (None, r["fold"])]
+        return FO.fold_states(P.roll_up_days(rows, levels) if fine else rows, span["a"], span["b"], starts, tail, errors)
 
     paths = [f"{sf_dir}/{t}.parquet" for t in SALES_TABLES]
     return stored(spark, "fold-states", paths, {"levels": levels, "fold": fold, "tail": tail, "errors": errors}, build)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from demandloom.catalogue.base import SCALE, UPPER, grid_of, last_day, last_fold, last_origin, origins_of, panel_of, states_of
+from demandloom.catalogue.base import SCALE, UPPER, days_of, grid_of, last_day, last_fold, last_origin, origins_of, panel_of, states_of
 from demandloom.catalogue.registry import Catalogue, r6, r6s
 from demandloom.catalogue.sql import with_
 from demandloom.functions import leadtime as L
@@ -386,11 +386,12 @@ def reconciled(spark, sf_dir, method: str = "croston_sba", weights: tuple[str, .
     levels = P.ALL_LEVELS
     states = states_of(spark, sf_dir, levels, fold=6, tail=180, errors=errors)
     f = written(FO.backtest(states, (method,)).select("level", "key", "h", "y", F.col("yhat").alias("value")), "recon-base")
-    s = sales(spark, sf_dir)
-    nodes = written(R.tree(s.select("state_id", "store_id", "cat_id", "dept_id", "item_id").distinct(), levels), "recon-tree")
+    days = days_of(spark, sf_dir)
+    nodes = written(R.tree(days.select(*P.FINEST).distinct(), levels), "recon-tree")
     base, actual = f.select("level", "key", "h", "value"), f.select("level", "key", "h", "y")
     bottom = lambda values: R.sum_up(values, nodes, levels, "h")
-    before = s.crossJoin(F.broadcast(last_origin(spark, sf_dir))).where("date < origin").withColumnRenamed("units", "y").withColumn("key", F.concat_ws("|", "store_id", "cat_id", "item_id"))
+    origin = P.origins(days.select("date")).where("fold = 6").select("origin")
+    before = days.crossJoin(F.broadcast(origin)).where("date < origin").withColumn("key", F.concat_ws("|", "store_id", "cat_id", "item_id"))
     middle = R.middle_out(f.where("level = 'store'").select(F.col("key").alias("store_id"), "h", "value"), R.proportions(before, "key", "store_id"), "store_id").select("key", "h", "value")
     parts = {"base": base, "bottom_up": bottom(base.where("level = 'store_item'").select("key", "h", "value")), "middle_out": bottom(middle)}
     out = None
