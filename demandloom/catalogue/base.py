@@ -27,7 +27,9 @@ ALL = ("y", "revenue", "promo_units", "price_sum", "promo_sum", "n")
 
 
 def grid_of(spark: SparkSession, sf_dir: str, *levels: str, measures: tuple[str, ...] = ("y",), since: DataFrame | None = None) -> DataFrame:
-    return P.dense(P.roll_up(sales(spark, sf_dir), levels or P.LEVELS), *measures, since=since)
+    # a grid asks its panel for the days, the series and the rows: written, so that the sales are read once
+    panel = written(P.roll_up(sales(spark, sf_dir), levels or P.LEVELS).select("level", "key", "date", *measures), "panel")
+    return P.dense(panel, *measures, since=since)
 
 
 def origins_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,8 @@ def quantiles(rows: DataFrame, value: str, taus: tuple[float, ...], *by: str) ->
 
 def smallest(rows: DataFrame, draw: str, k: int, *ties: str) -> DataFrame:
     """Exactly the k rows (all, if fewer) of the smallest draw, a column of doubles; equal draws by ties, which tell rows apart."""
+    # the rows are asked for their draws, for how many lie below, and for themselves: what makes them runs once
+    rows = written(rows, "selection-of") if k > 0 else rows
     edge = ranked(rows, draw, rows.sparkSession.createDataFrame([(k - 1,)], "rank long")).select(F.col("value").alias("edge"))
     cut = edge.first() if k > 0 else None
     if cut is None:

@@ -56,7 +56,7 @@ def roll_up(sales: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     combined before the shuffle.
     """
     by_item = {"store_item", "state_cat_item"}
-    needed = {"dept_id": {"store_dept"}, "item_id": by_item}
+    needed = {"cat_id": {"store_cat", *by_item}, "dept_id": {"store_dept"}, "item_id": by_item}
     return roll_up_days(daily(sales, *[c for c in FINEST if c not in needed or needed[c] & set(levels)]), levels)
 
 

@@ -14,7 +14,7 @@ from demandloom.operators import panel as P
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["K12_sections", "R5_recon_six_levels"])
+@pytest.mark.parametrize("name", ["P20_window_budget", "K12_sections", "R5_recon_six_levels"])
 def test_sales_are_read_once(spark, monkeypatch, tmp_path, name):
     # tables of its own, so that no stored table of another test is found
     for t in base.SALES_TABLES:
